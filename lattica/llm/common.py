@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +77,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = [x or 0 for x in pa.compute.binary_length(col).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(col).to_pylist()]
         begin = total = 0
         for i, n in enumerate(sizes):
             total += n
@@ -98,8 +99,6 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     names = [f.name for f in schema.fields]
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         fn = make()
         for part in pieces_of(batches, text_col):
             texts = as_bytes(part.column(part.schema.get_field_index(text_col)))
