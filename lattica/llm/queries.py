@@ -1,10 +1,12 @@
 """Queries of this subpackage and their SQL, for `__spark_entry__`."""
 
-from . import decontaminate, exact_dedup, mixing, secrets, sharding, url_filter
+from . import decontaminate, exact_dedup, language_id, lm_scoring, mixing, secrets, sharding, url_filter
 
 QUERIES = {
+    "op1_lattice_likelihood": lm_scoring.op1_lattice_likelihood,
     "op2_wu_manber": decontaminate.op2_wu_manber,
     "op3_link_propagation": url_filter.op3_link_propagation,
+    "op4_marginal_unigrams": language_id.op4_marginal_unigrams,
     "op5_external_shuffle": sharding.op5_external_shuffle,
     "op6_hash_thresholds": mixing.op6_hash_thresholds,
     "op8_grace_hash": exact_dedup.op8_grace_hash,
