@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, for `__spark_entry__`."""
 
-from . import decontaminate, exact_dedup, jaccard, language_id, lm_scoring, mixing, secrets, sharding, url_filter
+from . import decontaminate, exact_dedup, jaccard, language_id, lm_scoring, mixing, secrets, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_lattice_likelihood": lm_scoring.op1_lattice_likelihood,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_marginal_unigrams": language_id.op4_marginal_unigrams,
     "op5_external_shuffle": sharding.op5_external_shuffle,
     "op6_hash_thresholds": mixing.op6_hash_thresholds,
+    "op7_interval_tree": suffix_dedup.op7_interval_tree,
     "op8_grace_hash": exact_dedup.op8_grace_hash,
     "op9_token_groups": jaccard.op9_token_groups,
     "op10_blob_ledger": secrets.op10_blob_ledger,
