@@ -197,7 +197,10 @@ def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: in
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id), one row for each row of `docs`; th is xxhash64 of the text."""
+    """(doc_id, th, n_shingles, component_id, root), one row for each row of `docs`.
+
+    th is xxhash64 of the text; root names the component by a digest, null without shingles.
+    """
     num, den = similarity.numerator, similarity.denominator
     share_bound = min(2**64 - 1, int(min(1.0, 1.6 * (1 - num / den)) * 2**64))
     blocks = common.written(blocks_of(docs, id_col, text_col, words, num, den), "shingles", "lz4")
@@ -236,9 +239,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = classes.select("d1", "id").join(found, "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     joined = common.written(joined, "linked")
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = joined.join(least, "root").select(F.col("d1").alias("_d1"), "component_id")
+    of_class = joined.join(least, "root").select(F.col("d1").alias("_d1"), "component_id", "root")
     out = rows.join(of_class, (F.col("d1") == F.col("_d1")) & (F.col("n") > 0), "left")
-    return out.select(F.col("ids").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "ids").alias("component_id"))
+    return out.select(F.col("ids").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "ids").alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of `docs` of which one stays for each group of near duplicates: that of the smallest id.
+
+    Documents without shingles all stay.  Ids need not be unique: a row is known by id and text, and of rows
+    that repeat both, one stays.
+    """
+    found = common.written(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).select("doc_id", "th", "root"), "near")
+    stays = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s")).select("s.doc_id", "s.th")
+    stays = stays.unionByName(found.where("root is null").select("doc_id", "th")).groupBy("doc_id", "th").agg(F.lit(1).alias("one"))
+    stays = common.written(stays.select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")), "stays")
+    more = found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = named.join(stays, (F.col("_th") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    if not more.isEmpty():
+        repeated = more.select(F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
+        on = (F.col("_th") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i"))
+        kept = kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates(["_id", "_th"]))
+    return kept.drop("_id", "_th")
 
 
 def op9_token_groups(spark, sf_dir: str) -> DataFrame:
