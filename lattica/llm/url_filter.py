@@ -58,14 +58,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     with the rest, so only hosts within reach of a seed have a row; scores of a kind sum to 1 at most.
     """
     outs = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    shares = common.written(edges.join(outs, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "links")
+    shares = common.written(edges.join(outs, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("n") / F.col("all")).alias("share")), "links")
     counts = seeds.groupBy("kind").agg(F.count("*").alias("k"))
     start = seeds.join(F.broadcast(counts), "kind").select("kind", "host", (1.0 / F.col("k")).alias("score")).checkpoint()
     if shares.isEmpty():
         return start
     ranks = start
     for i in range(1, rounds + 1):
-        flow = ranks.join(shares, (ranks.kind == shares.kind) & (ranks.host == shares.src)).select(shares.kind, F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+        flow = ranks.join(shares, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         ranks = flow.unionByName(start.withColumn("score", (1 - damping) * F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % cut_every == 0 or i == rounds:
             ranks = ranks.checkpoint()
