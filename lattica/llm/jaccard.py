@@ -196,6 +196,17 @@ def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: in
     return both.applyInArrow(run, "d1 long, n long, key long").distinct()
 
 
+def squeezed(texts: DataFrame) -> DataFrame:
+    """(i, t, text) with lower-cased texts compressed, as they travel once more."""
+
+    def run(batches):
+        for part in common.pieces_of(batches, "text"):
+            small = [packed.pack(np.frombuffer((t or b"").lower(), dtype=np.uint8)) for t in common.as_bytes(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(small, pa.binary())], names=["i", "t", "text"])
+
+    return texts.mapInArrow(run, "i long, t long, text binary")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, root), one row for each row of `docs`.
 
@@ -218,13 +229,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = members.unionByName(near.select(F.col("lead").alias("a"), F.col("next").alias("b"))).where("a <> b").distinct()
     clusters = connected_components(edges).select(F.col("v").alias("d1"), F.col("root").alias("cluster"))
     clusters = common.written(clusters.join(classes.select("d1", "rep"), "d1"), "clusters")
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.col(text_col).alias("text"))
+    texts = squeezed(docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.col(text_col).alias("text")))
     chosen = clusters.select("cluster", "d1", F.col("rep.ids").alias("_i"), F.col("rep.th").alias("_t"))
-    held = texts.join(chosen, (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "text")
+    # Both sides grow with the input: a merge join at every size.
+    held = texts.join(chosen.hint("merge"), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         d1s = table.column("d1").to_pylist()
-        texts = [(t or b"").lower() for t in common.as_bytes(table.column("text").combine_chunks())]
+        texts = [packed.unpack(t, np.uint8).tobytes() for t in table.column("text").to_pylist()]
         kept: dict[int, bytes] = {}
         for d, t in zip(d1s, texts, strict=True):  # repeated rows bring a class more than once
             kept.setdefault(d, t)
