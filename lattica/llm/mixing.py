@@ -68,7 +68,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         # Without a boundary bucket every row fits: the threshold is past the last value of this prefix.
         end = F.shiftleft(F.col("prefix") + 1, LEVEL_BITS)
         found = found.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", F.coalesce(F.col("e.b"), end).alias("prefix"), F.coalesce(F.col("e.left"), F.lit(0.0)).alias("left")).checkpoint()
+            "source", F.coalesce(F.col("e.b"), end).alias("prefix"), F.coalesce(F.col("e.left"), F.lit(0.0)).alias("left"))
+        found = common.written(found, "level")
     return found.select("source", F.col("prefix").alias("threshold"))
 
 
@@ -79,17 +80,18 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     A source takes each row floor(target / source_size) times, and rows under its hash threshold once more.
     Texts are read once for sizes; a narrow table of (source, hash, size) sums serves the levels.
     """
-    common.shared_dir(df.sparkSession)
     base = common.drop_columns(df, ["size", "source_size", "target", "copies", "taken"])
     base = base.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     narrow = base.select(F.col(source_col).alias("source"), hash60(F.col(id_col), seed).alias("h"), "size")
     narrow = common.written(narrow.groupBy("source", "h").agg(F.sum("size").alias("size")), "mix")
-    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap).checkpoint()
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
+    targets = common.written(targets, "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole)
     cut = thresholds(narrow, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     plan = plan.join(cut.select(F.col("source").alias("_c"), "threshold"), F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c")
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold").checkpoint()
+    # Written, so that its size is known: Spark broadcasts it below its threshold, else the join shuffles.
+    plan = common.written(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold"), "plan")
     out = base.join(plan, F.col(source_col).eqNullSafe(F.col("_s")), "left")
     # Copies stop at the cap also where a budget is rounded to a full source.
     copies = F.least(F.col("whole") + (hash60(F.col(id_col), seed) < F.col("threshold")).cast("long"), F.lit(int(cap)).cast("long"))
