@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica import fixtures as fx
-from lattica.operators import features, graph, metrics, neighbors, partition, skeleton, spatial, truth, voxel
+from lattica.operators import features, graph, metrics, neighbors, partition, scoring, skeleton, spatial, surface, truth, voxel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,3 +362,13 @@ def _(s, d):
 
 
 query("balanced_batches")(lambda s, d: features.balanced_batches(candidates(s, d)))
+
+
+# Scoring
+
+@query("edge_forward", f"""select *, {_RATES} from (select {_COUNTS.format("(truth = 'positive')", 'p > 0.5')} from truth join scored on v1 = label_one and v2 = label_two where truth <> 'unknown')""")
+def _(s, d):
+    return scoring.edge_forward(truth.classify_pairs(fx.scored(s, d), mapping(s, d), "v1", "v2"))
+
+
+query("surface_triangles")(lambda s, d: surface.marching(fx.labels(s, d)))

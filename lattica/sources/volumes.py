@@ -87,3 +87,8 @@ def slice_images(voxels: DataFrame, ny: int, nx: int, value: str = "label") -> D
         return pd.DataFrame({"name": [f"-{int(pdf.z.iloc[0]):05d}.pgm"], "content": [b"P5 %d %d 255\n" % (nx, ny) + a.tobytes()]})
 
     return voxels.select("z", "y", "x", F.col(value).alias("v")).groupBy("z").applyInPandas(run, "name string, content binary")
+
+
+def write_examples(examples: DataFrame, path: str) -> None:
+    """Examples by feature, subset and truth; Spark makes the folders."""
+    examples.write.partitionBy(*[c for c in ("feature", "subset", "truth") if c in examples.columns]).parquet(path)
