@@ -45,13 +45,23 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and LETTER.search(text.decode(errors="replace")) is not None
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """(lang, text): the first `per_lang` rows of each language by hash; only hashes are ranked."""
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, most_langs: int = 1000) -> DataFrame:
+    """(lang, text): at most `per_lang` rows of each language, the first by hash.
+
+    Languages are counted (their number is checked), each count gives a bound on the hash that about 1.25 times
+    the rows pass, and only these rows are ranked.
+    """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    bound = F.lit(-(2**63))
+    if sizes:
+        cuts = {lang: min(2**63 - 1, -(2**63) + int(2**64 * 1.25 * per_lang / n)) for lang, n in sizes.items()}
+        bound = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])[F.col("lang")]
     order = Window.partitionBy("lang").orderBy("h")
-    cut = rows.select("lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
-    return rows.join(cut, "lang").where("h <= cut").select("lang", "text")
+    return rows.where(F.col("h") <= bound).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("lang", "text")
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000,
@@ -106,7 +116,7 @@ def _counted(found):
 class Scorer:
     """Log likelihoods of texts; words already seen by this task are kept, up to a bounded number."""
 
-    def __init__(self, model: Model, room: int = 150_000):
+    def __init__(self, model: Model, room: int = 300_000):
         self.lattice, self.scores, self.room = segmentation.Lattice(model.pieces), model.scores, room
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((0, model.scores.shape[1]))
@@ -117,7 +127,7 @@ class Scorer:
             self.known, self.table = {}, self.table[:0]
             fresh = list(words)
         parts = [self.table]
-        parts += [self.lattice.forward(fresh[a:b], self.scores) for a, b in segmentation.chunks(fresh)]
+        parts += [self.lattice.marginals(fresh[a:b], self.scores) for a, b in segmentation.chunks(fresh)]
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.table = np.concatenate(parts)
 

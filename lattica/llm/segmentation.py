@@ -127,6 +127,31 @@ class Lattice:
         alpha, *_, finals, _ = self._sum(words, scores)
         return alpha[finals]
 
+    def marginals(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
+        """The same as `forward`, with plain products for words that these can hold; others go through log space."""
+        out = np.empty((len(words), scores.shape[1]))
+        short = np.fromiter((len(w) <= 32 for w in words), dtype=bool, count=len(words))
+        if short.any():
+            own = [w for w, s in zip(words, short, strict=True) if s]
+            start, end, piece, first, by_step, begins, finals, total = self.edges(own)
+            groups = np.searchsorted(first, by_step)
+            bounds = list(zip(by_step[:-1].tolist(), by_step[1:].tolist(), groups[:-1].tolist(), groups[1:].tolist(), strict=True))
+            ends = end[first]
+            found = np.empty((len(own), scores.shape[1]))
+            for k in range(scores.shape[1]):
+                alpha, weight = np.zeros(total), np.exp(scores[:, k])[piece]
+                alpha[begins] = 1.0
+                for a, b, ga, gb in bounds:
+                    alpha[ends[ga:gb]] = np.add.reduceat(alpha[start[a:b]] * weight[a:b], first[ga:gb] - a)
+                found[:, k] = alpha[finals]
+            fine = found.min(axis=1) > 1e-280
+            short[np.flatnonzero(short)[~fine]] = False
+            out[short] = np.log(found[fine])
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            out[rest] = self.forward([words[i] for i in rest.tolist()], scores)
+        return out
+
     def expect(self, words: list[bytes], weights: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Expected number of times each piece is used, words weighted, under one model."""
         out = np.zeros(self.count)
