@@ -13,7 +13,7 @@ den * |A & B| >= num * |A | B|; the result is the smallest id reachable by links
    documents without a near copy end here, as their prefix has no token that another document has.
 4. Classes that share a prefix token (and whose sizes allow a link) are joined to clusters by connected
    components, through the smallest class of each token and size band, so a frequent token costs its rows once.
-5. In a cluster, the token-group matrix: similar sets form groups, every group has the union of its members'
+5. In a cluster (or in pairs of blocks of a cluster that is too large for one task), the token-group matrix: similar sets form groups, every group has the union of its members'
    tokens, a query's overlap with a group is bounded by its overlap with the union, and only groups that reach
    the overlap that a link needs are opened and compared.  Members already connected are skipped.
 
@@ -28,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.components import connected_components
@@ -68,10 +68,16 @@ def _overlaps(flags: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarra
     return run[at[1:]] - run[at[:-1]]
 
 
-def link_cluster(sets: list[np.ndarray], num: int, den: int, group_size: int = 64) -> np.ndarray:
-    """Roots (positions) of the components of linked sets; exact for any number of sets."""
+def link_cluster(sets: list[np.ndarray], num: int, den: int, group_size: int = 64, prior: list | None = None) -> np.ndarray:
+    """Roots (positions) of the components of linked sets; exact for any number of sets.
+
+    Sets of equal `prior` are known to be in one component.
+    """
     m = len(sets)
     forest = Forest(m)
+    seen: dict = {}
+    for i, c in enumerate(prior or []):
+        forest.join(seen.setdefault(c, i), i)
     sizes = np.array([len(s) for s in sets])
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -166,10 +172,13 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
 
 
 def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: int, share_bound: int) -> DataFrame:
-    """(d1, n, key): tokens of each class's prefix that stand in two documents at least."""
+    """(d1, n, score, key): tokens of each class's prefix that stand in two documents at least.
+
+    score is the mean count of the class's posted tokens, higher for a text that others were made from.
+    """
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        d1s, ns, keys_out = [], [], []
+        d1s, ns, scores, keys_out = [], [], [], []
         if own.num_rows and told.num_rows:
             keys = np.frombuffer(own.column("keys")[0].as_py(), dtype=np.uint64)
             n_of = packed.told(keys, parts, list(zip(told.column("part").to_pylist(), told.column("counts").to_pylist(), strict=True)))
@@ -188,12 +197,13 @@ def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: in
                 chosen = chosen[count[chosen] > 1]
                 d1s.append(np.full(len(chosen), d1, dtype=np.int64))
                 ns.append(np.full(len(chosen), n, dtype=np.int64))
+                scores.append(np.full(len(chosen), count.mean() if len(count) else 0.0))
                 keys_out.append(token[chosen].view(np.int64))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"d1": cat(d1s), "n": cat(ns), "key": cat(keys_out)})
+        cat = lambda x, kind=np.int64: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
+        return pa.table({"d1": cat(d1s), "n": cat(ns), "score": cat(scores, np.float64), "key": cat(keys_out)})
 
     both = blocks.select("block", "n", "d1", "posted", "keys").groupBy("block").cogroup(counts.groupBy("block"))
-    return both.applyInArrow(run, "d1 long, n long, key long").distinct()
+    return both.applyInArrow(run, "d1 long, n long, score double, key long").dropDuplicates(["d1", "key"])
 
 
 def squeezed(texts: DataFrame) -> DataFrame:
@@ -207,9 +217,89 @@ def squeezed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "i long, t long, text binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+def _band(num: int, den: int):
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")
+
+
+def _texts(column) -> list[bytes]:
+    return [packed.unpack(t, np.uint8).tobytes() for t in column.to_pylist()]
+
+
+def comparer(words: int, num: int, den: int):
+    """The kernel of a task: (d1, root) of the classes in a table (d1, text[, prior])."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        prior = table.column("prior").to_pylist() if "prior" in table.column_names else [None] * table.num_rows
+        kept = {d: (t, c) for d, t, c in zip(table.column("d1").to_pylist(), _texts(table.column("text")), prior, strict=True)}
+        names = sorted(kept)  # repeated rows bring a class more than once
+        sets = []
+        for i in range(0, len(names), 500):
+            sets += packed.shingle_sets([kept[d][0] for d in names[i : i + 500]], words)
+        roots = link_cluster(sets, num, den, prior=[kept[d][1] for d in names] if "prior" in table.column_names else None)
+        return pa.table({"d1": pa.array(names, pa.int64()), "root": pa.array([names[r] for r in roots.tolist()], pa.int64())})
+
+    return compare
+
+
+def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: int, block: int, pivots: int = 16) -> DataFrame:
+    """(d1, root) of clusters (cluster, d1, n, text) that are too large for one task.
+
+    First every class is compared with its cluster's pivots, the classes with the most common tokens, wherever
+    its row is; in a family of copies of one text this connects nearly all.  What isn't known to be connected
+    yet is compared in blocks: classes of a component, or of small components together, form blocks of about
+    `block` classes of a size band, and only pairs of blocks that can hold a new link meet in a task.
+    """
+    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "d1")
+    tops = held.select("cluster", "d1").distinct().join(scores, "d1").withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(F.col("d1").alias("_d"))
+    leads = held.join(tops, F.col("d1") == F.col("_d")).groupBy("cluster").agg(F.collect_list(F.struct("d1", "text")).alias("leads"))
+    leads = common.written(leads, "pivots", "none")
+
+    def to_pivots(batches):
+        known: dict[int, list] = {}
+        for batch in batches:
+            a, b = [], []
+            cluster, d1, texts, leads_of = (batch.column(k) for k in range(4))
+            sets = packed.shingle_sets(_texts(texts), words)
+            for i, (c, d, s) in enumerate(zip(cluster.to_pylist(), d1.to_pylist(), sets, strict=True)):
+                if c not in known:
+                    known.clear()
+                    rows = {x["d1"]: packed.unpack(x["text"], np.uint8).tobytes() for x in leads_of[i].as_py()}
+                    known[c] = list(zip(rows, packed.shingle_sets(list(rows.values()), words), strict=True))
+                a.append(d)
+                b.append(d)
+                for name, p in known[c]:
+                    both = len(np.intersect1d(s, p, assume_unique=True))
+                    if den * both >= num * (len(s) + len(p) - both):
+                        a.append(d)
+                        b.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    met = held.select("cluster", "d1", "text").join(leads, "cluster").mapInArrow(to_pivots, "a long, b long")
+    first = common.written(connected_components(met).select(F.col("v").alias("_v"), F.col("root").alias("part")), "parts")
+    placed = held.join(first, F.col("d1") == F.col("_v")).drop("_v")
+    sizes = placed.groupBy("cluster", "part").agg(F.countDistinct("d1").alias("in_part"))
+    # One component: done.  Else large components have blocks of their own, small ones share blocks (part null).
+    open_ = sizes.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
+    own = placed.join(sizes, ["cluster", "part"]).join(open_, "cluster").withColumn("own", F.when(F.col("in_part") >= block, F.col("part"))).withColumn("band", _band(num, den))
+    counts = own.groupBy("cluster", "own", "band").agg(F.countDistinct("d1").alias("k")).select("cluster", F.col("own").alias("_o"), F.col("band").alias("_b"), F.ceil(F.col("k") / block).alias("ways"))
+    on = (own["cluster"] == counts["cluster"]) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("band") == F.col("_b"))
+    own = own.join(counts, on).drop(counts["cluster"]).drop("_o", "_b")
+    own = common.written(own.withColumn("block", F.xxhash64("cluster", "own", "band", F.pmod(F.xxhash64("d1"), "ways"))).select("cluster", "d1", "part", "own", "band", "block", "text"), "blocks", "none")
+    blocks = own.select("cluster", "own", "band", "block").distinct()
+    other = blocks.select("cluster", *[F.col(c).alias(f"n_{c}") for c in ("own", "band", "block")])
+    pairs = blocks.join(other, "cluster").where("block <= n_block and abs(band - n_band) <= 1 and not (own is not null and own <=> n_own)").select("block", "n_block")
+    pairs = pairs.withColumn("task", F.xxhash64("block", "n_block"))
+    sides = pairs.select("task", F.col("block").alias("_k")).unionByName(pairs.select("task", F.col("n_block").alias("_k"))).distinct()
+    rows = own.join(sides, F.col("block") == F.col("_k")).select("task", "d1", "text", F.col("part").alias("prior"))
+    linked = rows.groupBy("task").applyInArrow(comparer(words, num, den), "d1 long, root long")
+    edges = linked.select(F.col("d1").alias("a"), F.col("root").alias("b")).unionByName(first.select(F.col("_v").alias("a"), F.col("part").alias("b")))
+    return connected_components(edges).select(F.col("v").alias("d1"), "root")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5), most_in_task: int = 1000) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, root), one row for each row of `docs`.
 
+    A task compares clusters of at most `most_in_task` classes; larger ones are spread (see `link_large`).
     th is xxhash64 of the text; root names the component by a digest, null without shingles.
     """
     num, den = similarity.numerator, similarity.denominator
@@ -221,33 +311,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = packed.parts_for(blocks)
     tokens = common.written(prefixes(blocks, packed.key_counts(blocks, parts), parts, num, den, share_bound), "prefixes")
     # Size bands: sets that can link are in one band or in neighbouring ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")
-    banded = tokens.withColumn("band", band)
+    banded = tokens.select("d1", "key", _band(num, den).alias("band"))
     leaders = banded.groupBy("key", "band").agg(F.min("d1").alias("lead"), F.count("*").alias("k"))
     near = leaders.alias("a").join(leaders.select("key", (F.col("band") - 1).alias("band"), F.col("lead").alias("next")).alias("b"), ["key", "band"])
     members = banded.join(leaders.where("k > 1"), ["key", "band"]).where("d1 <> lead").select(F.col("d1").alias("a"), F.col("lead").alias("b"))
     edges = members.unionByName(near.select(F.col("lead").alias("a"), F.col("next").alias("b"))).where("a <> b").distinct()
     clusters = connected_components(edges).select(F.col("v").alias("d1"), F.col("root").alias("cluster"))
-    clusters = common.written(clusters.join(classes.select("d1", "rep"), "d1"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    clusters = common.written(clusters.join(classes.select("d1", "rep", "n"), "d1").join(sizes, "cluster"), "clusters")
     texts = squeezed(docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.col(text_col).alias("text")))
-    chosen = clusters.select("cluster", "d1", F.col("rep.ids").alias("_i"), F.col("rep.th").alias("_t"))
+    chosen = clusters.select("cluster", "d1", "m", "n", F.col("rep.ids").alias("_i"), F.col("rep.th").alias("_t"))
     # Both sides grow with the input: a merge join at every size.
-    held = texts.join(chosen.hint("merge"), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "text")
-
-    def compare(table: pa.Table) -> pa.Table:
-        d1s = table.column("d1").to_pylist()
-        texts = [packed.unpack(t, np.uint8).tobytes() for t in table.column("text").to_pylist()]
-        kept: dict[int, bytes] = {}
-        for d, t in zip(d1s, texts, strict=True):  # repeated rows bring a class more than once
-            kept.setdefault(d, t)
-        names = sorted(kept)
-        sets = []
-        for i in range(0, len(names), 500):
-            sets += packed.shingle_sets([kept[d] for d in names[i : i + 500]], words)
-        roots = link_cluster(sets, num, den)
-        return pa.table({"d1": pa.array(names, pa.int64()), "root": pa.array([names[r] for r in roots.tolist()], pa.int64())})
-
-    found = held.groupBy("cluster").applyInArrow(compare, "d1 long, root long")
+    held = texts.join(chosen.hint("merge"), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "m", "n", "text")
+    held = common.written(held, "held", "none")
+    compare = comparer(words, num, den)
+    found = held.where(F.col("m") <= most_in_task).select("cluster", "d1", "text").groupBy("cluster").applyInArrow(compare, "d1 long, root long")
+    if not clusters.where(F.col("m") > most_in_task).isEmpty():
+        scores = tokens.groupBy("d1").agg(F.max("score").alias("score"))
+        found = found.unionByName(link_large(held.where(F.col("m") > most_in_task), scores, words, num, den, most_in_task))
     joined = classes.select("d1", "id").join(found, "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     joined = common.written(joined, "linked")
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
