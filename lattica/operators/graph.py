@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from lattica.operators.neighbors import OFFSETS_26, neighbour_pairs
 from lattica.operators.voxel import map_labels
-from lattica.plans.components import connected_components
+from lattica.plans.components import connected_components as all_components
+
+
+#: Graphs of at most so many links are settled by one task.
+ONE_TASK = 2_000_000
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(v, root) from edges (a, b): the smallest vertex that v reaches."""
+    return all_components(edges, one_task=ONE_TASK)
 
 
 def union_edges(edges: DataFrame, keep, one: str = "v1", two: str = "v2") -> DataFrame:

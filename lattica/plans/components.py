@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,47 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lattica")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def least_labels(u: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and the smallest vertex of each one's component."""
+    names, place = np.unique(np.concatenate([u, p]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return names, names[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches):
+        got = list(batches)
+        if got:
+            both = pd.concat(got)
+            v, root = least_labels(both["u"].to_numpy(), both["p"].to_numpy())
+            yield pd.DataFrame({"v": v, "root": root})
+
+    return links.coalesce(1).mapInPandas(run, "v long, root long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = 0) -> DataFrame:
     """(v, root) from edges (a, b): root is the smallest vertex that v reaches.
 
     Alternating large-star and small-star steps: every vertex hangs its larger neighbours under the smallest
     one, then its smaller ones.  The number of rounds grows with the logarithm of a component's size, each
     round aggregates before it shuffles, and each ends in a checkpoint.  Self-loops name isolated vertices;
     null ends are ignored.
+    A graph of at most `one_task` links (they are counted first) is settled by one task instead.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     named = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null")
     alone = named.where("a = b").select(F.col("a").alias("v"))
     links = named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p")).distinct().checkpoint()
     state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "p").cast("decimal(38,0)"))).first()
+    if 0 < state[0] <= one_task:
+        return _in_one_task(links).unionByName(alone.select("v", F.col("v").alias("root"))).groupBy("v").agg(F.min("root").alias("root"))
     for _ in range(max_rounds if state[0] else 0):
         both = links.select("u", "p").unionByName(links.select(F.col("p").alias("u"), F.col("u").alias("p")))
         least = both.groupBy("u").agg(F.least(F.min("p"), F.col("u")).alias("m"))

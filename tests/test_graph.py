@@ -21,7 +21,8 @@ def test_components_of_a_path(spark, n, extra):
     assert got.get(100, 100) == 100
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_random_graphs(spark, one_task):
     rng = np.random.default_rng(3)
     edges = rng.integers(0, 300, (260, 2)).tolist()
     up = list(range(300))
@@ -34,7 +35,7 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         up[b] = a
-    got = {r.v: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.v: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {v: find(v) for e in edges for v in e}
 
 

@@ -65,9 +65,9 @@ def test_skeletons(spark, tmp_path):
 
 
 def test_metadata(spark, tmp_path):
-    r = metadata.read_meta(spark, write(tmp_path / "JWR.meta", META)).first()
-    assert r.prefix == "JWR" and tuple(r.resolution) == (30.0, 7.0, 6.0) and tuple(r.grid) == (30, 20, 10)
-    assert r.crop.z.max == 30 and r.crop.x.min == 0 and r.gold_file == "g.h5 main" and r.image_file == "images/JWR_image.h5 main"
+    r = metadata.read_meta(spark, write(tmp_path / "VOL.meta", META)).first()
+    assert r.prefix == "VOL" and tuple(r.resolution) == (30.0, 7.0, 6.0) and tuple(r.grid) == (30, 20, 10)
+    assert r.crop.z.max == 30 and r.crop.x.min == 0 and r.gold_file == "g.h5 main" and r.image_file == "images/VOL_image.h5 main"
     assert (r.world.zmin, r.world.ymin, r.world.xmin, r.world.zmax) == (3, 2, 1, 6) and not r.is_isotropic
 
 
