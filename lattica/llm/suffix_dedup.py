@@ -11,6 +11,10 @@ before them: a group is a maximal repeat where its left extensions differ, and e
 longest match to its left among those of smaller documents.  All matches of one occurrence hold its anchor, so
 what they cover is one span.
 
+Hot anchors (`hot` occurrences or more) would bring too much to one task where their surroundings differ.  Their
+windows are told apart instead: each `length`-byte window that holds one goes by its own 128-bit hash, the
+smallest id of a block first, so that a group is one window and has a row a block at most.
+
 Copies: only the smallest id of equal texts takes part; its copies are covered whole.  Equal surroundings of
 an anchor are combined inside a block before anything is shuffled.
 
@@ -190,6 +194,33 @@ def resolve(context: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.nd
     return cover_l, cover_r
 
 
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("at", "<i4")])
+
+
+def least_ids(windows: np.ndarray) -> np.ndarray:
+    """For each window record the smallest id of its hash."""
+    order = np.lexsort((windows["id"], windows["h2"], windows["h1"]))
+    sorted_ = windows[order]
+    new = np.r_[True, (sorted_["h1"][1:] != sorted_["h1"][:-1]) | (sorted_["h2"][1:] != sorted_["h2"][:-1])][: len(windows)]
+    out = np.empty(len(windows), np.int64)
+    out[order] = sorted_["id"][np.maximum.accumulate(np.where(new, np.arange(len(windows)), 0))]
+    return out
+
+
+def hot_windows(text: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, doc_ids: np.ndarray, length: int) -> np.ndarray:
+    """Records of all windows around hot anchors, each place once."""
+    first, last = at - left, at + right - length
+    counts = np.maximum(0, last - first + 1)
+    place = np.repeat(first - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+    place, one = np.unique(place, return_index=True)
+    out = np.zeros(len(place), WINDOW)
+    if len(place):
+        h = string_hashes(text, length)[place]
+        out["h1"], out["h2"] = packed.mix(h), packed.mix(string_hashes(text ^ np.uint8(0x55), length)[place] ^ packed.MIX_B)
+        out["id"], out["at"] = np.repeat(doc_ids, counts)[one], place
+    return out
+
+
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(text_col, F.lit(""))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("h1"),
@@ -210,14 +241,14 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "block long, ids array<long>, no_id array<boolean>, h1 array<long>, h2 array<long>, lens array<long>, n_keys long, body binary")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept]), one row for each row of `docs`.
 
     spans: array<struct<begin, end>> of maximal removed runs, in bytes.
     """
     before = length - k
     blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
-    parts = packed.parts_for(blocks, each=1_000_000)
+    parts = packed.parts_for(blocks, each=700_000)
 
     def open_block(lens, body):
         text = packed.unpack(body, np.uint8)
@@ -241,7 +272,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bodies = blocks.select("block", "ids", "no_id", "lens", "body").groupBy("block")
 
     def surroundings(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("part", "block", "at", "context", "left", "right", "ids", "done")}
+        out = {c: [] for c in ("part", "block", "at", "context", "left", "right", "ids", "done", "windows")}
         for r in range(own.num_rows):
             block, ids, lens, body = (own.column(c)[r].as_py() for c in ("block", "ids", "lens", "body"))
             ids, lens = np.array(ids, dtype=np.int64), np.array(lens, dtype=np.int64)
@@ -250,14 +281,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if not len(at):
                 continue
             said = list(zip(told.column("part").to_pylist(), told.column("counts").to_pylist(), strict=True))
-            often = packed.told(h, parts, [x for x in said if x[0] >= 0]) > 1
+            number = packed.told(h, parts, [x for x in said if x[0] >= 0])
+            often = number > 1
             doc = np.searchsorted(ends, at, side="right")
             active = np.ones(len(lens), dtype=bool)
             for ats in told.column("ats").to_pylist():
                 active[ats or []] = False
             often &= active[doc]
-            at, h, doc = at[often], h[often], doc[often]
+            at, h, doc, number = at[often], h[often], doc[often], number[often]
             left, right = np.minimum(before, at - starts[doc]), np.minimum(length, ends[doc] - at)
+            many = number >= hot
+            windows = hot_windows(text, at[many], left[many], right[many], ids[doc[many]], length)
+            at, h, doc, left, right = (x[~many] for x in (at, h, doc, left, right))
+            beaten = windows["id"] > least_ids(windows)
+            window_spans = np.stack([windows["at"][beaten], windows["at"][beaten] + length], axis=1).astype(np.int64)
+            windows = windows[~beaten]
+            window_deal, window_begin = packed.dealt(windows["h1"], parts)
             padded = np.r_[np.zeros(before, np.uint8), text, np.zeros(length, np.uint8)]
             context = np.lib.stride_tricks.sliding_window_view(padded, before + length)[at].copy()
             place = np.arange(before + length)[None, :]
@@ -269,19 +308,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             rep_of = np.empty(len(at), np.int64)
             rep_of[order] = order[first][inverse]
             done = ids[doc] > ids[doc[rep_of]]
-            spans = np.stack([at - left, at + right], axis=1)[done & (left + right >= length)]
+            spans = np.concatenate([np.stack([at - left, at + right], axis=1)[done & (left + right >= length)], window_spans])
             send = np.flatnonzero(~done)
             deal, begin = packed.dealt(h[send], parts)
             for p in range(parts):
                 x = send[deal[begin[p] : begin[p + 1]]]
-                if len(x) or (p == 0 and len(spans)):
+                w = windows[window_deal[window_begin[p] : window_begin[p + 1]]]
+                if len(x) or len(w) or (p == 0 and len(spans)):
                     for c, v in (("part", p), ("block", block), ("at", packed.pack(at[x].astype(np.int32))), ("context", packed.pack(context[x])), ("left", packed.pack(left[x].astype(np.uint8))),
-                                 ("right", packed.pack(right[x].astype(np.uint8))), ("ids", packed.pack(ids[doc[x]])), ("done", packed.pack(spans.astype(np.int32)) if p == 0 else None)):
+                                 ("right", packed.pack(right[x].astype(np.uint8))), ("ids", packed.pack(ids[doc[x]])), ("done", packed.pack(spans.astype(np.int32)) if p == 0 else None), ("windows", packed.pack(w) if len(w) else None)):
                         out[c].append(v)
         kinds = {"part": pa.int32(), "block": pa.int64()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
-    sent = bodies.cogroup(sides.groupBy("block")).applyInArrow(surroundings, "part int, block long, at binary, context binary, left binary, right binary, ids binary, done binary")
+    sent = bodies.cogroup(sides.groupBy("block")).applyInArrow(surroundings, "part int, block long, at binary, context binary, left binary, right binary, ids binary, done binary, windows binary")
 
     def settle(table: pa.Table) -> pa.Table:
         got = {c: [packed.unpack(x, t) for x in table.column(c).to_pylist()] for c, t in (("at", np.int32), ("context", np.uint8), ("left", np.uint8), ("right", np.uint8), ("ids", np.int64))}
@@ -290,11 +330,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         left, right = (np.concatenate(got[c]).astype(np.int64) for c in ("left", "right"))
         at, ids = np.concatenate(got["at"]).astype(np.int64), np.concatenate(got["ids"])
         l, r = resolve(context, left, right, ids, length, k) if len(ids) else (left, right)
+        hot_of = [packed.unpack(x, WINDOW) if x is not None else np.zeros(0, WINDOW) for x in table.column("windows").to_pylist()]
+        windows = np.concatenate(hot_of)
+        beaten = np.split(windows["id"] > least_ids(windows), np.cumsum([len(x) for x in hot_of])[:-1])
         spans = []
         for i, done in enumerate(table.column("done").to_pylist()):
             a, b = bounds[i], bounds[i + 1]
             on = r[a:b] > 0
             own = np.stack([at[a:b] - l[a:b], at[a:b] + r[a:b]], axis=1)[on].astype(np.int32)
+            gone = hot_of[i]["at"][beaten[i]]
+            own = np.concatenate([own, np.stack([gone, gone + length], axis=1)])
             spans.append(packed.pack(np.concatenate([own, packed.unpack(done, np.int32).reshape(-1, 2)]) if done is not None else own))
         return pa.table({"block": table.column("block"), "spans": pa.array(spans, pa.binary())})
 
