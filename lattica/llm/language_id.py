@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,16 +130,17 @@ class Scorer:
         parts = [self.table]
         parts += [self.lattice.marginals(fresh[a:b], self.scores) for a, b in segmentation.chunks(fresh)]
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        self.table = np.concatenate(parts)
+        self.table = np.asfortranarray(np.concatenate(parts))
 
     def texts(self, split: list[list[bytes]]) -> np.ndarray:
         """One row of log likelihoods for each list of words."""
         self.learn(set().union(*split))
         out = np.zeros((len(split), self.scores.shape[1]))
-        get = self.known.__getitem__
-        for k, words in enumerate(split):
-            if words:
-                out[k] = self.table[list(map(get, words))].sum(axis=0)
+        sizes = np.array(list(map(len, split)))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        full, begins = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+        for k in range(out.shape[1] if len(at) else 0):
+            out[full, k] = np.add.reduceat(self.table[:, k][at], begins)
         return out
 
 
