@@ -148,9 +148,9 @@ def brute_links(source, k, num, den):
     return [(str(r[0]), str(r[1]), len(s), least[forest.find(i)] if s else r[0]) for i, (r, s) in enumerate(zip(source, sets, strict=True))]
 
 
-@pytest.mark.parametrize("k, similarity", [(4, Fraction(17, 20)), (5, Fraction(4, 5))])
-def test_near_duplicates(docs, none, k, similarity):
-    found = jaccard.near_duplicates(docs, words=k, similarity=similarity)
+@pytest.mark.parametrize("k, similarity, most", [(4, Fraction(17, 20), 1000), (5, Fraction(4, 5), 1000), (5, Fraction(4, 5), 2)])
+def test_near_duplicates(docs, none, k, similarity, most):
+    found = jaccard.near_duplicates(docs, words=k, similarity=similarity, most_in_task=most)
     want = brute_links(rows(), k, similarity.numerator, similarity.denominator)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == sorted((a, n, str(c)) for a, _, n, c in want)
     assert jaccard.near_duplicates(none).count() == 0
@@ -166,6 +166,22 @@ def test_one_of_each_group_stays(docs, none):
     assert jaccard.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [4, 25])
+def test_large_families_are_spread_and_exact(spark, most):
+    rng = np.random.default_rng(11)
+    families = [rng.choice(WORDS, n).tolist() for n in (90, 100, 60)]
+    source = []
+    for i in range(150):
+        w = list(families[i % 3])
+        for at in rng.integers(0, len(w), rng.integers(0, 4)):
+            w[at] = f"new{rng.integers(0, 5)}"
+        source.append((i, " ".join(w + families[(i + 1) % 3][: rng.integers(0, 12)])))
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(4)
+    got = jaccard.near_duplicates(df, words=5, similarity=Fraction(4, 5), most_in_task=most)
+    want = brute_links(source, 5, 4, 5)
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == sorted((a, n, c) for a, _, n, c in want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_link_cluster_is_exact(seed):
     rng = np.random.default_rng(seed)
@@ -210,16 +226,18 @@ def check_repeats(df, source, length=50):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()) == sorted(want)
 
 
-def test_remove_repeats(docs, none):
-    check_repeats(suffix_dedup.remove_repeats(docs), rows())
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_remove_repeats(docs, none, hot):
+    check_repeats(suffix_dedup.remove_repeats(docs, hot=hot), rows())
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_remove_repeats_of_dense_repeats(spark):
+@pytest.mark.parametrize("hot", [20_000, 30, 2])
+def test_remove_repeats_of_dense_repeats(spark, hot):
     rng = np.random.default_rng(8)
     parts = ["".join(rng.choice(list("abc"), 60)) for _ in range(4)]
     source = [(int(i), "".join(p[rng.integers(0, 20) :] for p in (parts[k] for k in rng.integers(0, 4, 5)))) for i in rng.permutation(60)]
-    check_repeats(suffix_dedup.remove_repeats(spark.createDataFrame(source, "doc_id long, text string").repartition(5), with_text=True), source)
+    check_repeats(suffix_dedup.remove_repeats(spark.createDataFrame(source, "doc_id long, text string").repartition(5), with_text=True, hot=hot), source)
 
 
 def test_intervals_of_a_suffix_array():
@@ -258,6 +276,20 @@ def test_forward_sums_all_segmentations(lattice):
     assert np.isclose(total, lat.forward([b"rest"], scores[:, None])[0, 0])
 
 
+def test_plain_products_equal_log_space(lattice):
+    pieces, scores, lat = lattice
+    two = np.stack([scores, scores - 30.0], axis=1)
+    words = [b"a", b"nation" * 5, b"x" * 33, b"q" * 300, "é".encode()]
+    assert np.allclose(lat.marginals(words, two), lat.forward(words, two))
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "en" if i % 3 else "fr") for i in range(900)] + [(None, "x", None), (1, None, "en")], "doc_id long, text string, lang string")
+    for n in (50, 10_000):
+        got = {r.lang: r["count"] for r in language_id.sample(df, "doc_id", "text", "lang", n).groupBy("lang").count().collect()}
+        assert set(got) == {"en", "fr"} and all(0.6 * min(n, m) <= got[k] <= min(n, m) for k, m in (("en", 600), ("fr", 300)))
+
+
 def test_expected_uses_cover_every_byte(lattice):
     pieces, scores, lat = lattice
     e = lat.expect([b"winter", b"x"], np.array([2.0, 3.0]), scores)
