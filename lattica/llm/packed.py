@@ -86,12 +86,24 @@ def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def short(keys: np.ndarray) -> bytes:
+    """Six of a mixed key's eight bytes: among the keys of one part these tell different keys apart."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def key_counts(blocks: DataFrame, parts: int) -> DataFrame:
     """(block, part, counts): for rows (block, keys) how often each key stands in all rows, capped at 65535.
 
     Keys (packed 64-bit integers) go to `parts` tasks by hash, as one binary a block and part; counts come
     back in the same order, so a block can put them to its keys.  The cap is on the number that is told, not
-    on what is counted.
+    on what is counted.  A key travels as 48 of its bits: two keys of one part that agree in them would count
+    together, so a count may be too high, but is the same for a key wherever it stands.
     """
 
     def split(batches):
@@ -101,11 +113,11 @@ def key_counts(blocks: DataFrame, parts: int) -> DataFrame:
                 order, at = dealt(keys, parts)
                 own = [k for k in range(parts) if at[k + 1] > at[k]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([keys[order[at[k] : at[k + 1]]].tobytes() for k in own], pa.binary())],
+                    [pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([short(keys[order[at[k] : at[k + 1]]]) for k in own], pa.binary())],
                     names=["block", "part", "keys"])
 
     def count(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        held = [long(x) for x in table.column("keys").to_pylist()]
         _, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
         n = np.minimum(n, 65535).astype(np.uint16)[place]
         ends = np.cumsum([len(x) for x in held])
