@@ -120,19 +120,19 @@ FIELDS = [
 ]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The query set in blocks of at most `block_bytes` of text (one longer item is a block of its own).
 
-    The size is checked before anything is read to the driver; blocks come one at a time.
+    The size is checked before anything is read to the driver, and the driver holds one block at a time.
     """
     own = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
-    blocks = []
     for k in range(count):
         part = own if count == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)
-        blocks.append([(r.i, r.t.encode()) for r in part.orderBy("i", "t").collect()])
-    return [b for b in blocks if b]
+        block = [(r.i, r.t.encode()) for r in part.orderBy("i", "t").collect()]
+        if block:
+            yield block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -158,6 +158,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             items: list[set] = [set() for _ in texts]
             for block in sent:
                 matcher = single or Matcher(block.value, window)
+                if not single:
+                    vars(block).pop("_value", None)  # a worker holds one block at a time
                 for k, (n, text) in enumerate(normal):
                     if n:
                         s, i = matcher.spans(text)
