@@ -71,7 +71,7 @@ def as_bytes(column) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of one column, so a task's memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:

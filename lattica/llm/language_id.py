@@ -117,7 +117,7 @@ def _counted(found):
 class Scorer:
     """Log likelihoods of texts; words already seen by this task are kept, up to a bounded number."""
 
-    def __init__(self, model: Model, room: int = 300_000):
+    def __init__(self, model: Model, room: int = 200_000):
         self.lattice, self.scores, self.room = segmentation.Lattice(model.pieces), model.scores, room
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((0, model.scores.shape[1]))

@@ -74,8 +74,8 @@ class Lattice:
         offset = np.zeros(len(words) + 1, dtype=np.int64)
         np.cumsum(lengths, out=offset[1:])
         n = int(offset[-1])
-        word = np.repeat(np.arange(len(words)), lengths)
-        at, node = np.arange(n), self.root[text[:n]]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        at, node = np.arange(n, dtype=np.int32), self.root[text[:n]]
         starts, ends, pieces, size = [at], [at + 1], [self.piece_at[node]], 1
         while True:
             row = self.row[node]
@@ -96,7 +96,7 @@ class Lattice:
         w = word[start]
         step = end - offset[w]
         # Boundaries: one more than bytes for each word.
-        key = step * (n + len(words) + 1) + end + w
+        key = step.astype(np.int64) * (n + len(words) + 1) + end + w
         order = np.argsort(key)
         start, end, piece, step = (start + w)[order], (end + w)[order], piece[order], step[order]
         first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
@@ -168,7 +168,7 @@ class Lattice:
         return np.bincount(piece, share, self.count)
 
 
-def chunks(words: list, limit: int = 250_000):
+def chunks(words: list, limit: int = 50_000):
     """Slices of a list of words with about `limit` bytes together."""
     begin = total = 0
     for i, w in enumerate(words):
