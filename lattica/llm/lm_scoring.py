@@ -133,27 +133,30 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def look_up(batches):
         get = hot.value.get
         for part in common.pieces_of(batches, "text"):
-            rows: list[list] = [[] for _ in names]
-            keys, ids, helds = (part.column(k).to_pylist() for k in range(3))
-            for key, i, held, t in zip(keys, ids, helds, common.as_bytes(part.column(3)), strict=True):
-                count = Counter((t or b"").lower().split())
-                base = lp = 0.0
-                tokens = known = 0
-                for w, n in count.items():
+            keys = part.column(0).to_numpy()
+            words, counts, cold, own = [], [], [], []
+            for t in common.as_bytes(part.column(3)):
+                base, lp, tokens, known, before = end_base, end_lp, 1, end_known, len(words)
+                for w, n in Counter((t or b"").lower().split()).items():
                     tokens += n
                     found = get(w)
                     if found is None:
-                        for at, v in zip(rows, (key, None, None, w, n, 0, 0, 0.0, 0.0), strict=True):
-                            at.append(v)
+                        words.append(w)
+                        counts.append(n)
                     else:
                         base += n * found[0]
                         lp += n * found[1]
                         known += n * found[2]
-                # A row for the document itself; its word holds a space, so no word of the table equals it.
-                for at, v in zip(rows, (key, i, held, b" %d" % key, 0, tokens + 1, known + end_known, base + end_base, lp + end_lp), strict=True):
-                    at.append(v)
-            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=names)
+                cold.append(len(words) - before)
+                own.append((tokens, known, base, lp))
+            # A row for each cold word, then one for each document, whose word holds a space, so that no word of the
+            # table equals it.
+            m, sums = len(words), list(zip(*own, strict=True))
+            of_doc = lambda column: pa.concat_arrays([pa.nulls(m, column.type), column])
+            totals = [pa.concat_arrays([pa.array(np.zeros(m, dtype)), pa.array(v, pa.from_numpy_dtype(dtype))]) for v, dtype in zip(sums, (np.int64, np.int64, np.float64, np.float64), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.repeat(keys, cold), keys])), of_doc(part.column(1)), of_doc(part.column(2)), pa.array(words + [b" %d" % k for k in keys.tolist()], pa.binary()),
+                 pa.array(np.concatenate([np.array(counts, dtype=np.int64), np.zeros(len(keys), np.int64)])), *totals], names=names)
 
     parts = source.mapInArrow(look_up, schema)
     table = model.words.where(F.col("n") * hot_share < F.lit(everything)).select("word", "c", "lp")
