@@ -360,3 +360,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def op9_token_groups(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, words=4, similarity=Fraction(17, 20)).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+link as (select a, b from (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all) join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)),
+e as (select a, b from link union all select b, a from link),
+r as (select distinct a v, a u from e union select r.v, e.b from r join e on r.u = e.a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(c.u, w.doc_id) component_id from w left join n on n.doc_id = w.doc_id left join (select v, min(u) u from r group by v) c on c.v = w.doc_id
+"""

@@ -17,6 +17,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_wu_manber": decontaminate.SQL,
     "op6_hash_thresholds": mixing.SQL,
+    "op7_interval_tree": suffix_dedup.SQL,
     "op8_grace_hash": exact_dedup.SQL,
+    "op9_token_groups": jaccard.SQL,
     "op10_blob_ledger": secrets.SQL,
 }

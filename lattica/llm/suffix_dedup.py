@@ -381,4 +381,14 @@ def op7_interval_tree(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-SQL = None
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) s from (select doc_id, h, unnest(range(len(h) // 2 - 49)) i from d where len(h) >= 100)),
+dup as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) least from w) where least < doc_id),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) p from dup)),
+runs as (select doc_id, count(*) n, count(*) filter (prev is null or prev < p - 1) spans from (select doc_id, p, lag(p) over (partition by doc_id order by p) prev from gone) group by doc_id),
+kept as (select b.doc_id, string_agg(b.x, '' order by b.p) k from (select doc_id, p, substr(h, 2 * p + 1, 2) x from (select doc_id, h, unnest(range(len(h) // 2)) p from d where doc_id in (select doc_id from runs))) b
+  left join gone g on g.doc_id = b.doc_id and g.p = b.p where g.p is null group by b.doc_id)
+select d.doc_id, cast(len(h) // 2 as bigint) n_bytes, coalesce(r.n, 0) n_removed, coalesce(r.spans, 0) n_spans, sha256(unhex(case when r.n is null then h else coalesce(k, '') end)) kept_sha256
+from d left join runs r on r.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+"""

@@ -70,7 +70,7 @@ def test_sharding_stage(stages):
     assert max(n.values()) - min(n.values()) <= 1 and set(n) == set(range(8))
 
 
-@pytest.mark.parametrize("name", ["op2_wu_manber", "op6_hash_thresholds", "op8_grace_hash", "op10_blob_ledger"])
+@pytest.mark.parametrize("name", ["op2_wu_manber", "op6_hash_thresholds", "op7_interval_tree", "op8_grace_hash", "op9_token_groups", "op10_blob_ledger"])
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
     from lattica.llm import queries
 
