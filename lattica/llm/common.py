@@ -7,6 +7,9 @@ passed through, and an input column that has the name of a result column is repl
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -71,6 +74,15 @@ def as_bytes(column) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def release(collect: bool = True) -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and with them what they hold."""
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of one column, so a task's memory stays bounded."""
     for batch in batches:
@@ -104,5 +116,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
             texts = as_bytes(part.column(part.schema.get_field_index(text_col)))
             new = [pa.array(values, type=kind) for values, kind in zip(fn(texts), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+        del fn
+        release()
 
     return source.mapInArrow(run, schema)

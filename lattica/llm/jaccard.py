@@ -165,6 +165,8 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
                  one(n, pa.int64()), one(d1, pa.int64()), one(d2, pa.int64()), one([len(x) for x in posted], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary())],
                 names=["block", "ids", "th", "n", "d1", "d2", "posted", "n_keys", "keys"])
             seq += 1
+        packed.forget()
+        common.release()
 
     many = "array<long>"
     schema = f"block long, ids {many}, th {many}, n {many}, d1 {many}, d2 {many}, posted {many}, n_keys long, keys binary"
@@ -199,6 +201,7 @@ def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: in
                 ns.append(np.full(len(chosen), n, dtype=np.int64))
                 scores.append(np.full(len(chosen), count.mean() if len(count) else 0.0))
                 keys_out.append(token[chosen].view(np.int64))
+        common.release(False)
         cat = lambda x, kind=np.int64: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
         return pa.table({"d1": cat(d1s), "n": cat(ns), "score": cat(scores, np.float64), "key": cat(keys_out)})
 
@@ -213,6 +216,7 @@ def squeezed(texts: DataFrame) -> DataFrame:
         for part in common.pieces_of(batches, "text"):
             small = [packed.pack(np.frombuffer((t or b"").lower(), dtype=np.uint8)) for t in common.as_bytes(part.column(2))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(small, pa.binary())], names=["i", "t", "text"])
+        common.release()
 
     return texts.mapInArrow(run, "i long, t long, text binary")
 
@@ -236,6 +240,9 @@ def comparer(words: int, num: int, den: int):
         for i in range(0, len(names), 500):
             sets += packed.shingle_sets([kept[d][0] for d in names[i : i + 500]], words)
         roots = link_cluster(sets, num, den, prior=[kept[d][1] for d in names] if "prior" in table.column_names else None)
+        if len(names) > 200:
+            del sets
+            common.release(False)
         return pa.table({"d1": pa.array(names, pa.int64()), "root": pa.array([names[r] for r in roots.tolist()], pa.int64())})
 
     return compare

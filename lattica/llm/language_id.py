@@ -80,6 +80,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield from _counted(found)
                 found = {}
         yield from _counted(found)
+        common.release()
 
     words = sample(labelled, id_col, text_col, lang_col, per_lang).mapInArrow(count, "lang string, word binary, n long")
     words = common.written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
@@ -100,6 +101,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for k, e in total.items():
                 at = np.flatnonzero(e > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(e[at])], names=["k", "piece", "e"])
+            del lattice, total
+            common.release()
 
         # At most pieces x languages rows come to the driver.
         got = words.mapInArrow(expect, "k int, piece int, e double").groupBy("k", "piece").agg(F.sum("e").alias("e")).toPandas()

@@ -8,6 +8,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -36,6 +38,11 @@ def powers(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the tables of powers."""
+    _powers.clear()
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of lower-cased texts, one after another, and each text's first word (plus end)."""
     joined = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
@@ -121,6 +128,7 @@ def key_counts(blocks: DataFrame, parts: int) -> DataFrame:
         _, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
         n = np.minimum(n, 65535).astype(np.uint16)[place]
         ends = np.cumsum([len(x) for x in held])
+        common.release(False)
         return pa.table({"block": table.column("block"), "part": table.column("part"),
                          "counts": pa.array([pack(n[e - len(x) : e]) for x, e in zip(held, ends, strict=True)], pa.binary())})
 
