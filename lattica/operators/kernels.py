@@ -318,3 +318,31 @@ def contract(edges: list[tuple[int, int, float]], lifted: list[tuple[int, int, f
         return v
 
     return {v: find(v) for v in root}
+
+
+def contract_complete(one: np.ndarray, two: np.ndarray, weight: np.ndarray, original: np.ndarray) -> np.ndarray:
+    """`contract` where every pair of vertices has a weight, on a matrix: whether each original pair is cut."""
+    names, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+    i, j = np.sort(at.reshape(2, -1), axis=0)
+    weights = np.zeros((len(names), len(names)))
+    real = np.zeros(weights.shape, dtype=bool)
+    weights[i, j] = weights[j, i] = weight
+    real[i, j] = real[j, i] = original
+    root, alive = np.arange(len(names)), np.ones(len(names), dtype=bool)
+    first = original & (weight > 0)
+    heap = list(zip((-weight[first]).tolist(), i[first].tolist(), j[first].tolist(), strict=True))
+    heapq.heapify(heap)
+    while heap:
+        w, a, b = heapq.heappop(heap)
+        if not (alive[a] and alive[b]) or weights[a, b] != -w:
+            continue
+        alive[b] = False
+        root[root == b] = a
+        weights[a] += weights[b]
+        weights[:, a] = weights[a]
+        real[a] |= real[b]
+        real[a, a] = False
+        real[:, a] = real[a]
+        for t in np.flatnonzero(real[a] & alive & (weights[a] > 0)).tolist():
+            heapq.heappush(heap, (-float(weights[a, t]), *sorted((a, t))))
+    return root[i[original]] != root[j[original]]

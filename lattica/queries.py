@@ -332,24 +332,31 @@ query("force_connectivity", f"""select v.iv, coalesce(n.new, v.seg_split) label
   on c.component = p.component) n on n.iv = v.iv""")(lambda s, d: graph.force_connectivity(fx.labels(s, d, "seg_split")).select("iv", "label"))
 
 
+def lifted_rows(df):
+    return df.select("v1", "v2", F.round("p", 6).alias("p"))
+
+
 def strong(s, d):
+    """Edges of p >= 0.9: on these, SQL can list all paths and so check the operators; on all edges it cannot."""
     return fx.scored(s, d).where("p >= 0.9")
 
 
-query("lifted_edges", """select a v1, b v2, round(p, 6) p from (with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
+query("lifted_edges")(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d))))
+query("lifted_edges_strong", """select a v1, b v2, round(p, 6) p from (with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
 w(a, b, p, path) as (select a, b, p, [a, b] from e union all select w.a, e.b, w.p * e.p, list_append(path, e.b) from w join e on w.b = e.a where not list_contains(path, e.b)) select a, b, max(p) p from w where a < b group by all)""")(
-    lambda s, d: graph.lifted_edges(strong(s, d)).select("v1", "v2", F.round("p", 6).alias("p")))
+    lambda s, d: lifted_rows(graph.lifted_edges(strong(s, d))))
 query("voxel_geodesic")(lambda s, d: graph.voxel_geodesic(fx.labels(s, d)))
 
 # Partition
 
 query("multicut_weights", "select v1, v2, round(ln(p / (1 - p)) + ln((1 - 0.95) / 0.95), 6) weight from scored")(lambda s, d: partition.multicut_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 6)))
-query("lifted_weights", """select a v1, b v2, o original, round(case when o then nv * (nv - 1) / 2 else ne end * (ln(p / (1 - p)) + ln((1 - 0.95) / 0.95)), 4) weight from (select a, b, max(p) p, bool_or(len(path) = 2) o from (
+query("lifted_weights")(lambda s, d: partition.lifted_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 4)))
+query("lifted_weights_strong", """select a v1, b v2, o original, round(case when o then nv * (nv - 1) / 2 else ne end * (ln(p / (1 - p)) + ln((1 - 0.95) / 0.95)), 4) weight from (select a, b, max(p) p, bool_or(len(path) = 2) o from (
 with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
 w(a, b, p, path) as (select a, b, p, [a, b] from e union all select w.a, e.b, w.p * e.p, list_append(path, e.b) from w join e on w.b = e.a where not list_contains(path, e.b)) select * from w where a < b) group by all),
 (select max(v2) + 1.0::double nv, count(*)::double ne from scored where p >= 0.9)""")(lambda s, d: partition.lifted_weights(strong(s, d)).withColumn("weight", F.round("weight", 4)))
 query("multicut")(lambda s, d: partition.multicut(fx.scored(s, d)))
-query("lifted_multicut")(lambda s, d: partition.lifted_multicut(strong(s, d)))
+query("lifted_multicut")(lambda s, d: partition.lifted_multicut(fx.scored(s, d)))
 query("thinning")(lambda s, d: skeleton.thinning(fx.labels(s, d)))
 query("teaser")(lambda s, d: skeleton.teaser(fx.labels(s, d)))
 

@@ -119,6 +119,37 @@ def test_lifted_paths_are_at_least_as_likely_as_edges(spark):
     assert got == {(1, 2): 0.9, (2, 3): 0.9, (1, 3): 0.81, (8, 9): 1.0}
 
 
+def test_lifted_queries_take_all_scored_edges(spark, sf_dir):
+    """Against all-pairs relaxation over every scored edge, the weights and the contraction that follow from it."""
+    from lattica import fixtures as fx
+    from lattica import queries as q
+    from lattica.operators.kernels import contract
+
+    edges = {(r.v1, r.v2): r.p for r in fx.scored(spark, sf_dir).collect()}
+    names = sorted({v for e in edges for v in e})
+    best = np.zeros((len(names), len(names)))
+    for (a, b), p in edges.items():
+        i, j = names.index(a), names.index(b)
+        best[i, j] = best[j, i] = p
+    for k in range(len(names)):
+        best = np.maximum(best, best[:, k, None] * best[None, k, :])
+    want = {(a, b): best[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if i < j and best[i, j] > 0}
+    got = {(r.v1, r.v2): r.p for r in q.QUERIES["lifted_edges"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and edges.keys() <= got.keys() and min(edges.values()) < 0.5
+    assert all(abs(got[k] - want[k]) <= 5.1e-7 for k in want)
+
+    nv, ne = max(names) + 1, len(edges)
+    clamp = {k: min(max(p, 1e-12), 1 - 1e-12) for k, p in want.items()}
+    weight = {k: (nv * (nv - 1) / 2 if k in edges else ne) * (np.log(p / (1 - p)) + np.log(0.05 / 0.95)) for k, p in clamp.items()}
+    rows = q.QUERIES["lifted_weights"](spark, sf_dir).collect()
+    assert {(r.v1, r.v2): r.original for r in rows} == {k: k in edges for k in want}
+    assert all(abs(r.weight - weight[r.v1, r.v2]) <= 1e-9 * abs(weight[r.v1, r.v2]) + 5.1e-5 for r in rows)
+
+    roots = contract([(*k, w) for k, w in weight.items() if k in edges], [(*k, w) for k, w in weight.items() if k not in edges])
+    cut = {(r.v1, r.v2): r.cut for r in q.QUERIES["lifted_multicut"](spark, sf_dir).collect()}
+    assert cut == {(a, b): roots[a] != roots[b] for a, b in edges}
+
+
 def test_multicut_by_components_equals_whole(spark):
     from lattica.operators.kernels import contract
 

@@ -117,6 +117,17 @@ def test_contraction_equals_naive(seed):
     assert k.contract(edges) == naive_contraction(edges)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_contraction_on_a_matrix_equals_that_of_pairs(seed):
+    rng = np.random.default_rng(seed)
+    pairs = np.array([(7 * a, 7 * b) for a in range(14) for b in range(a + 1, 14)])
+    weight, original = rng.integers(-6, 5, len(pairs)).astype(float), rng.random(len(pairs)) < 0.4
+    rows = [(int(a), int(b), float(w)) for (a, b), w in zip(pairs, weight, strict=True)]
+    roots = k.contract([r for r, o in zip(rows, original, strict=True) if o], [r for r, o in zip(rows, original, strict=True) if not o])
+    got = k.contract_complete(pairs[:, 0], pairs[:, 1], weight, original)
+    assert got.tolist() == [roots[a] != roots[b] for (a, b, _), o in zip(rows, original, strict=True) if o]
+
+
 def test_lifted_pairs_alone_are_never_contracted():
     roots = k.contract([(0, 1, -1.0), (1, 2, 1.0)], [(0, 2, 5.0)])
     assert roots == {0: 0, 1: 0, 2: 0}
