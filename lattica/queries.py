@@ -242,12 +242,25 @@ query("skeleton_label_semi", "select * from skel where label in (select label fr
 _SCALED = """(select iz, iy, ix, case seg when 1 then 1 when 2 then 2 else 0 end val from (select 0::bigint iz, a.range iy, b.range ix from range(10) a, range(20) b) join voxel on z = 0 and y = iy * 3 and x = cast(floor(2.5 * ix) as bigint))"""
 
 
-def scaled(s, d):
+def scaled_plane(s, d):
     return features.scale_feature(fx.labels(s, d).where("z = 0"), (1, fx.NY, fx.NX), (1, 10, 20), 1, 2)
 
 
-query("scale_feature", f"select iz, iy, ix, val from {_SCALED}")(scaled)
-query("example_channels", f"select iz, iy, ix, case when val > 0 then 0.5 else -0.5 end::double c0, case when val = 1 then 0.5 else -0.5 end::double c1, case when val = 2 then 0.5 else -0.5 end::double c2 from {_SCALED}")(
+query("scale_feature_plane", f"select iz, iy, ix, val from {_SCALED}")(scaled_plane)
+query("example_channels_plane", f"select iz, iy, ix, case when val > 0 then 0.5 else -0.5 end::double c0, case when val = 1 then 0.5 else -0.5 end::double c1, case when val = 2 then 0.5 else -0.5 end::double c2 from {_SCALED}")(
+    lambda s, d: features.example_channels(scaled_plane(s, d)))
+#: The whole volume: three cells for four planes, so that planes 0 and 1, which hold labels 1 and 2, are both taken.
+_SCALED_ALL = """(select iz, iy, ix, case seg when 1 then 1 when 2 then 2 else 0 end val from (select iz, cast(floor(nz::double / nc::double * iz) as bigint) az from (select nz, nc, unnest(range(nc)) iz from (select max(z) + 1 nz, (3 * (max(z) + 1) + 3) // 4 nc from voxel)))
+  cross join (select a.range iy, b.range ix from range(10) a, range(20) b) join voxel on z = az and y = iy * 3 and x = cast(floor(2.5 * ix) as bigint))"""
+
+
+def scaled(s, d):
+    nz = fx.geometry(s, d).nz
+    return features.scale_feature(fx.labels(s, d), (nz, fx.NY, fx.NX), ((3 * nz + 3) // 4, 10, 20), 1, 2)
+
+
+query("scale_feature", f"select iz, iy, ix, val from {_SCALED_ALL}")(scaled)
+query("example_channels", f"select iz, iy, ix, case when val > 0 then 0.5 else -0.5 end::double c0, case when val = 1 then 0.5 else -0.5 end::double c1, case when val = 2 then 0.5 else -0.5 end::double c2 from {_SCALED_ALL}")(
     lambda s, d: features.example_channels(scaled(s, d)))
 _CUBE = """(select {0}, string_agg(case seg when c.label_one then '1' when c.label_two then '2' else '0' end, '' order by k) cube from {1} c,
   (select a.range * 25 + b.range * 5 + e.range k, cast(floor(5.0 / 3.0 * a.range) as bigint) - 2 oz, cast(floor(9.0 / 5.0 * b.range) as bigint) - 4 oy, cast(floor(9.0 / 5.0 * e.range) as bigint) - 4 ox from range(3) a, range(5) b, range(5) e)

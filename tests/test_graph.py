@@ -119,6 +119,24 @@ def test_lifted_paths_are_at_least_as_likely_as_edges(spark):
     assert got == {(1, 2): 0.9, (2, 3): 0.9, (1, 3): 0.81, (8, 9): 1.0}
 
 
+def test_scale_feature_takes_planes_of_the_whole_volume(spark):
+    """Each cell against the voxel that it takes, on a volume of ten planes; labels 1 and 2 lie in the first two."""
+    from lattica import fixtures as fx
+    from lattica import queries as q
+
+    sf_dir = "/root/testdata/sf0.01"
+    volume = {(r.z, r.y, r.x): r.seg for r in fx.voxels(spark, sf_dir).select("z", "y", "x", "seg").collect()}
+    planes = [0, 1, 2, 3, 5, 6, 7, 8]
+    assert len(volume) == 10 * 30 * 50
+    want = {(i, j, k): {1: 1, 2: 2}.get(volume[z, 3 * j, 5 * k // 2], 0) for i, z in enumerate(planes) for j in range(10) for k in range(20)}
+    assert {c[0] for c, v in want.items() if v} == {0, 1}
+    rows = q.QUERIES["scale_feature"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {(r.iz, r.iy, r.ix): r.val for r in rows} == want
+    rows = q.QUERIES["example_channels"](spark, sf_dir).collect()
+    on = lambda v: 0.5 if v else -0.5
+    assert {(r.iz, r.iy, r.ix): (r.c0, r.c1, r.c2) for r in rows} == {c: (on(v > 0), on(v == 1), on(v == 2)) for c, v in want.items()}
+
+
 def test_lifted_queries_take_all_scored_edges(spark, sf_dir):
     """Against all-pairs relaxation over every scored edge, the weights and the contraction that follow from it."""
     from lattica import fixtures as fx
