@@ -20,6 +20,8 @@ from . import common
 
 #: Fixed values of the contract: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Rounds go on while four of them change the scores of all hosts together by more than this, or reach a new host.
+TOLERANCE = 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -51,11 +53,13 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 16, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4) -> DataFrame:
     """(kind, host, score): PageRank that restarts at the seeds of each kind.
 
     `edges(kind, src, dst, n)` and `seeds(kind, host)`.  Mass of hosts without an edge goes back to the seeds
     with the rest, so only hosts within reach of a seed have a row; scores of a kind sum to 1 at most.
+    Without a number of `rounds` it ends when `cut_every` of them reached no new host and changed the scores by
+    TOLERANCE in sum at most; with one, hosts that are further from a seed have no row.
     """
     outs = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     shares = common.written(edges.join(outs, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("n") / F.col("all")).alias("share")), "links")
@@ -63,16 +67,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     start = seeds.join(F.broadcast(counts), "kind").select("kind", "host", (1.0 / F.col("k")).alias("score")).checkpoint()
     if shares.isEmpty():
         return start
-    ranks = start
-    for i in range(1, rounds + 1):
+    ranks = last = start
+    i = 0
+    while rounds is None or i < rounds:
+        i += 1
         flow = ranks.join(shares, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         ranks = flow.unionByName(start.withColumn("score", (1 - damping) * F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % cut_every == 0 or i == rounds:
             ranks = ranks.checkpoint()
+            if rounds is None:
+                old = last.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), F.col("score").alias("old"))
+                both = ranks.join(old, (F.col("kind") == F.col("_k")) & (F.col("host") == F.col("_h")), "left")
+                # Hosts that are reached stay reached, as seeds send their mass in each round.
+                change = both.agg(F.count_if(F.col("old").isNull()).alias("new"), F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))).alias("by")).first()
+                if not change.new and (change.by or 0.0) <= TOLERANCE:
+                    break
+                last = ranks
     return ranks
 
 
-def filter_urls(pages: DataFrame, rules=RULES, *, url_col: str = "url", html_col: str = "html", margin: float = 1.0, rounds: int = 16) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, *, url_col: str = "url", html_col: str = "html", margin: float = 1.0, rounds: int | None = None) -> DataFrame:
     """`pages` with host, path, rule, trust, distrust and verdict (`allow` or `block`)."""
     common.shared_dir(pages.sparkSession)
     base = common.drop_columns(pages, ["host", "path", "rule", "trust", "distrust", "verdict"])

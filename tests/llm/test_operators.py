@@ -520,6 +520,24 @@ def test_url_filter(spark, none):
     assert url_filter.filter_urls(empty).count() == 0
 
 
+def test_propagation_goes_on_until_scores_settle(spark, tmp_path):
+    """A chain of 40 hosts to a blocked seed, and a ring of two that a trusted seed links to."""
+    chain = [f"h{i}.com" for i in range(40)] + ["bad.net"]
+    pages = [(i, f"http://{a}/", f'<a href="http://{b}/">') for i, (a, b) in enumerate(zip(chain, chain[1:], strict=False))]
+    pages += [(100, "http://bad.net/", ""), (101, "http://example.net/en/", '<a href="http://r1.com/">'), (102, "http://r1.com/", '<a href="http://r2.com/">'),
+              (103, "http://r2.com/", '<a href="http://r1.com/"><a href="http://h39.com/">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = {r.host: r.verdict for r in url_filter.op3_link_propagation(spark, str(tmp_path)).collect()}
+    assert all(verdicts[h] == "block" for h in chain[:39]) and verdicts["bad.net"] == "block" and verdicts["r1.com"] == "allow"
+    edges = brute_graph(pages)
+    trust = brute_rank(edges, ["example.net"], rounds=300)
+    distrust = brute_rank({(b, a): n for (a, b), n in edges.items()}, ["bad.net"], rounds=300)
+    for r in url_filter.filter_urls(df).collect():
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-8 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-8
+        assert (r.distrust > 0) == (r.host in distrust)
+
+
 def test_crc_rule(spark):
     df = spark.range(20).select(common.crc32_mod(F.col("id"), 5).alias("m"), "id")
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 5 for r in df.collect())
