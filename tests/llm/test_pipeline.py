@@ -56,6 +56,63 @@ def test_decontamination_stage(spark, sf_dir, stages):
     assert {r.doc_id for r in have if not brute_contamination(r.text, items)[4]} == {i for i in ids(stages[3]) if i % 4 == 0}
 
 
+def contaminated_ids(rows, items, window=13):
+    """Ids of documents of which 5 % of the words or more lie in windows of the items, by an index of all windows."""
+    table = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    cut = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().translate(table))
+    known = {}
+    for _, t in items:
+        b = cut(t)
+        n = min(window, len(b))
+        if b:
+            known.setdefault(n, set()).update(tuple(b[i : i + n]) for i in range(len(b) - n + 1))
+    out = set()
+    for r in rows:
+        ws, hit = cut(r.text), set()
+        for n, windows in known.items():
+            for i in range(len(ws) - n + 1):
+                if tuple(ws[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+        if hit and 20 * len(hit) >= len(ws):
+            out.add(r.doc_id)
+    return out
+
+
+def test_decontamination_stage_of_all_documents(spark, sf_dir, stages):
+    import corpus_pipeline as c
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    # besides the stage's own input, contaminated documents of each remainder of the id
+    made = [(2 * 10**6 + i, items[i][1], "en", "src0", len(items[i][1])) for i in range(4)]
+    for before, after in ((stages[2], stages[3]), (df := stages[2].unionByName(spark.createDataFrame(made, stages[2].schema)), c.decontamination_stage(spark, df, sf_dir))):
+        rows = before.collect()
+        bad = contaminated_ids(rows, items)
+        assert ids(after) == Counter(r.doc_id for r in rows if r.doc_id not in bad)
+    assert {i for i, *_ in made} <= bad
+
+
+def test_mixing_stage_meets_the_target_of_each_source(stages):
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    have, largest, taken = Counter(), Counter(), Counter()
+    for r in stages[3].collect():
+        have[r.source] += size(r)
+        largest[r.source] = max(largest[r.source], size(r))
+    for r in stages[4].collect():
+        taken[r.source] += size(r)
+    order = sorted(have, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_, budget = {}, dict(weight), 1.5 * sum(have.values())
+    while open_:
+        level = (budget - sum(target.values())) / sum(open_.values())
+        over = [s for s in open_ if level * weight[s] > 2 * have[s]]
+        target |= {s: 2 * have[s] if over else level * weight[s] for s in over or open_}
+        open_ = {s: w for s, w in open_.items() if s not in target}
+    assert len(order) > 1 and set(taken) <= set(have)
+    for s in order:
+        # the budget is an upper bound, and the first document that doesn't fit is less than what is missing
+        assert target[s] - largest[s] < taken[s] + 1e-6 and taken[s] <= target[s] + 1e-6, s
+
+
 def test_mixing_stage(stages):
     before, after = ids(stages[3]), ids(stages[4])
     assert set(after) <= set(before) and max(after.values()) <= 2
