@@ -13,7 +13,9 @@ den * |A & B| >= num * |A | B|; the result is the smallest id reachable by links
    documents without a near copy end here, as their prefix has no token that another document has.
 4. Classes that share a prefix token (and whose sizes allow a link) are joined to clusters by connected
    components, through the smallest class of each token and size band, so a frequent token costs its rows once.
-5. In a cluster (or in pairs of blocks of a cluster that is too large for one task), the token-group matrix: similar sets form groups, every group has the union of its members'
+5. In a cluster (or in pairs of blocks of a cluster that is too large for one task, after a comparison with
+   pivots): two sets are compared directly; of more, up to 24 are compared with all sets, and only where this
+   doesn't connect all of them follows the token-group matrix: similar sets form groups, every group has the union of its members'
    tokens, a query's overlap with a group is bounded by its overlap with the union, and only groups that reach
    the overlap that a link needs are opened and compared.  Members already connected are skipped.
 
