@@ -3,6 +3,7 @@ import pytest
 
 from lattica.geometry import Geometry
 from lattica.operators import features, graph, metrics, neighbors, partition, skeleton, voxel
+from lattica.plans import components
 from lattica.plans.components import connected_components
 
 
@@ -21,8 +22,10 @@ def test_components_of_a_path(spark, n, extra):
     assert got.get(100, 100) == 100
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components_of_random_graphs(spark, one_task):
+@pytest.mark.parametrize("spread, least_hub", [(False, 1000), (True, 1000), (True, 2)])
+def test_components_of_random_graphs(spark, monkeypatch, spread, least_hub):
+    """With links in one partition, in several, and with all vertices of two links or more as hubs."""
+    monkeypatch.setattr(components, "LEAST_HUB", least_hub)
     rng = np.random.default_rng(3)
     edges = rng.integers(0, 300, (260, 2)).tolist()
     up = list(range(300))
@@ -35,7 +38,11 @@ def test_components_of_random_graphs(spark, one_task):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         up[b] = a
-    got = {r.v: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", not spread)
+    try:
+        got = {r.v: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {v: find(v) for e in edges for v in e}
 
 
