@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_wu_manber": decontaminate.SQL,
+    "op3_link_propagation": url_filter.SQL,
     "op6_hash_thresholds": mixing.SQL,
     "op7_interval_tree": suffix_dedup.SQL,
     "op8_grace_hash": exact_dedup.SQL,
