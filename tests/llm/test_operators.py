@@ -111,15 +111,27 @@ def check_exact(df, source):
     assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("bucket_bytes", [24_000_000, 300])
-def test_exact_dedup(docs, none, bucket_bytes):
-    check_exact(exact_dedup.exact_dedup(docs, bucket_bytes=bucket_bytes), rows())
+@pytest.mark.parametrize("bucket_bytes, most_partitions", [(None, 20_000), (300, 20_000), (300, 3)])
+def test_exact_dedup(docs, none, bucket_bytes, most_partitions):
+    check_exact(exact_dedup.exact_dedup(docs, bucket_bytes=bucket_bytes, most_partitions=most_partitions), rows())
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_a_group_that_no_split_makes_smaller(spark):
-    source = [(i, "same text " * 40) for i in range(50)] + [(100 + i, f"other {i}") for i in range(30)]
-    check_exact(exact_dedup.exact_dedup(spark.createDataFrame(source, "doc_id long, text string"), bucket_bytes=500), source)
+@pytest.mark.parametrize("most_records", [64, 2])
+def test_a_group_that_no_split_makes_smaller(spark, most_records):
+    """One content in every table of every task, many times the size of a bucket; the largest id repeated."""
+    rng = np.random.default_rng(5)
+    source = [(int(i), "same text " * 40) for i in rng.permutation(400)] + [(399, "SAME text " * 40), (None, "same text " * 40)] + [(1000 + i, f"other {i}") for i in range(30)]
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(6)
+    check_exact(exact_dedup.exact_dedup(df, bucket_bytes=500, most_records=most_records), source)
+
+
+def test_exact_dedup_of_other_ids(spark):
+    """The least long is an id like others; strings are ordered as such."""
+    source = [(-(2**63), "a"), (None, "a"), (-(2**63), "A"), (3, "b")]
+    check_exact(exact_dedup.exact_dedup(spark.createDataFrame(source, "doc_id long, text string")), source)
+    named = [("b", "x"), ("a10", "X"), ("é", "y"), ("z", "y"), (None, "y")]
+    check_exact(exact_dedup.exact_dedup(spark.createDataFrame(named, "doc_id string, text string")), named)
 
 
 def test_content_table_settles_equal_hashes():
