@@ -432,9 +432,9 @@ def test_thresholds_end_at_single_hashes(spark):
 
 # Sharding
 
-@pytest.mark.parametrize("bucket_bytes", [32_000_000, 800])
-def test_shuffle(docs, none, bucket_bytes):
-    out = sharding.external_shuffle(docs.drop("slot"), 8, bucket_bytes=bucket_bytes)
+@pytest.mark.parametrize("bucket_bytes, most", [(None, 20_000), (800, 20_000), (800, 2)])
+def test_shuffle(docs, none, bucket_bytes, most):
+    out = sharding.external_shuffle(docs.drop("slot"), 8, bucket_bytes=bucket_bytes, most_partitions=most)
     got = out.collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r[0]), str(r[1])) for r in rows())
     counts = Counter(r.shard for r in got)
@@ -447,6 +447,21 @@ def test_shuffle(docs, none, bucket_bytes):
     assert sharding.external_shuffle(none).count() == 0
 
 
+def test_shuffle_of_one_row_over_and_over(spark):
+    """Equal rows are spread over buckets; names that the operator would use itself travel along."""
+    made = [(1, "same", 5, 6, 7)] * 5000 + [(i, f"t{i}", 1, 2, 3) for i in range(100)]
+    df = spark.createDataFrame(made, "doc_id long, text string, bucket int, order int, nth int").repartition(5)
+    out = sharding.external_shuffle(df, 8, bucket_bytes=5000)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    parts = out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 500
+    got = out.collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(made)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((k % 8, k // 8) for k in range(5100))
+    key = lambda r: (r.shard, r.slot, r.doc_id)
+    assert sorted(map(key, got)) == sorted(map(key, sharding.external_shuffle(df.repartition(3), 8, bucket_bytes=5000).collect()))
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(s)).tolist()) for s in range(3000))
     assert len(seen) == 6 and min(seen.values()) > 400
