@@ -3,20 +3,24 @@
 Every version of a file is addressed by the SHA-256 of its content.  A ledger row (blob, rule, version,
 spans) says that a blob was scanned with one version of a rule; only pairs not yet in the ledger are
 scanned, once for each distinct content, and findings are joined back to every path with that content.
+`advance` keeps the ledger as a Parquet table at a stated path: it reads what is there, scans what is unseen,
+and appends that; rows that a lost job appended twice count once.
 
 Spans come from one pass of each pattern: matches are enclosed in U+0001 marks (any U+0001 of the text
 first becomes U+0002, which no pattern tells from it), the text is split at the marks, and running sums
-of lengths give code-point offsets.
+of lengths give code-point offsets.  Sums run inside slices of the parts and then over the slices, so that
+texts with very many matches take time in proportion to their length.
 
 Defined cases: null texts count as empty; each row of a repeated path gets the findings; texts without
-findings are in the ledger with no spans; empty tables give empty results.
+findings are in the ledger with no spans; empty tables give empty results; a text of any length is scanned as
+a whole; paths are of any type; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,20 +45,37 @@ RULES = (
 )
 
 
+LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
+#: Parts of a text that are summed together; even, so that matches stand at odd places of each slice.
+SLICE = 128
+
+
 def spans_of(text, rule: Rule):
     """array<struct<start, end>> of a rule's matches, leftmost and non-overlapping, short ones dropped."""
     # (?s) isn't needed: no pattern has a dot.  $0 is the whole match.
     marked = F.regexp_replace(F.translate(text, "\u0001", "\u0002"), F.lit(rule.pattern), F.lit("\u0001$0\u0001"))
-    parts = F.split(marked, "\u0001", -1)
-    # Matches stand at odd places.
-    step = F.transform(parts, lambda p, i: F.struct(
-        F.char_length(p).alias("n"),
-        ((i % 2 == 1) & (F.char_length(F.regexp_extract(p, rule.pattern, rule.group) if rule.group else p) >= rule.least)).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    total = F.aggregate(step, start, lambda acc, x: F.struct(
-        (acc["at"] + x["n"]).alias("at"),
-        F.when(x["hit"], F.array_append(acc["found"], F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end")))).otherwise(acc["found"]).alias("found")))
-    return F.when(F.size(parts) > 1, total["found"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    spans = "array<struct<start:int,end:int>>"
+
+    def piece(parts, c):
+        """The length of slice c of the parts, and the spans in it from its own begin; matches stand at odd places."""
+        step = F.transform(F.slice(parts, c * SLICE + 1, F.lit(SLICE)), lambda p, i: F.struct(
+            F.char_length(p).alias("n"),
+            ((i % 2 == 1) & (F.char_length(F.regexp_extract(p, rule.pattern, rule.group) if rule.group else p) >= rule.least)).alias("hit")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("found"))
+        return F.aggregate(step, start, lambda acc, x: F.struct(
+            (acc["at"] + x["n"]).alias("at"),
+            F.when(x["hit"], F.array_append(acc["found"], F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end")))).otherwise(acc["found"]).alias("found")))
+
+    def sliced(parts):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / SLICE).cast("int")), lambda c: piece(parts, c))
+
+    def joined(slices):
+        begins = F.aggregate(F.transform(slices, lambda x: x["at"]), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.flatten(F.zip_with(slices, F.slice(begins, F.lit(1), F.size(slices)), lambda x, at: F.transform(x["found"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))))
+
+    # Lambda variables hold what is used more than once, so that it is computed once.
+    found = F.transform(F.transform(F.array(F.split(marked, "\u0001", -1)), sliced), joined)
+    return F.when(F.instr(marked, "\u0001") > 0, found[0].cast(spans)).otherwise(F.array().cast(spans))
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, *, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +86,7 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, *, path_col: str = "
     """
     spark = paths.sparkSession
     common.shared_dir(spark)
-    own = paths.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    own = paths.select(common.col(path_col).alias("path"), F.coalesce(common.col(text_col), F.lit("")).alias("content"))
     own = own.withColumn("blob", F.sha2("content", 256))
     versions = common.written(own.select("path", "blob"), "paths")
     first = versions.groupBy("blob").agg(F.min("path").alias("path"))
@@ -77,7 +98,9 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, *, path_col: str = "
         first = first.where(F.coalesce(F.size(F.array_except(every, "seen")) > 0, F.lit(True)))
     else:
         first = first.withColumn("seen", F.lit(None).cast("array<struct<kind:string,version:int>>"))
-    chosen = first.select(F.col("blob").alias("_b"), F.col("path").alias("_p"), "seen")
+    chosen = common.written(first.select(F.col("blob").alias("_b"), F.col("path").alias("_p"), "seen"), "unseen")
+    if chosen.isEmpty():
+        return spark.createDataFrame([], LEDGER), versions
     work = own.join(chosen, (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p"))).select("blob", "content", "seen")
     scanned = []
     for r in rules:
@@ -86,7 +109,9 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, *, path_col: str = "
     # A path that is repeated with the same content brings its blob more than once.
     rows = work.select("blob", F.explode(F.array(*scanned)).alias("x")).where("x.spans is not null")
     new = rows.select("blob", "x.kind", "x.version", "x.spans").dropDuplicates(["blob", "kind", "version"])
-    return common.written(new, "ledger"), versions
+    new = common.written(new, "ledger")
+    common.discard(chosen)
+    return new, versions
 
 
 def _count(kind: str):
@@ -99,15 +124,38 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("kind")]))
     hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("kind")].alias("k"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
-    blobs = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    blobs = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans"))  # rows that repeat are one
     joined = versions.join(blobs, "blob", "left").withColumn("spans", F.coalesce("spans", F.array()))
     counts = [_count(r.kind).alias(f"n_{r.kind}") for r in rules]
     return joined.select("path", "blob", *counts, "spans")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path; None where there is none yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def advance(paths: DataFrame, ledger_path: str, *, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of all `paths`, after the pairs of blob and rule version that the ledger lacks were scanned and appended to it."""
+    spark = paths.sparkSession
+    ledger = read_ledger(spark, ledger_path)
+    new, versions = scan(paths, ledger, path_col=path_col, text_col=text_col, rules=rules)
+    if ledger is None or not new.isEmpty():
+        new.write.mode("append").parquet(ledger_path)
+    common.discard(new)
+    return findings(versions, read_ledger(spark, ledger_path), rules)
+
+
 def op10_blob_ledger(spark, sf_dir: str) -> DataFrame:
-    new, versions = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = findings(versions, new)
+    """Two runs over all documents: the first finds no ledger and scans every blob, the second scans what it lacks then."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = common.new_path(spark, "blob-ledger")
+    advance(docs, path)
+    found = advance(docs, path)
     text = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 

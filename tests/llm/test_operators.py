@@ -514,6 +514,31 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert secrets.findings(versions, ledger.unionByName(changed), newer).where("path = 4 and n_hex = 2").count() == 1
 
 
+def test_ledger_at_a_path(spark, tmp_path):
+    df = spark.createDataFrame(SECRETS, "doc_id long, text string")
+    path = f"{tmp_path}/ledger"
+    want = sorted((i, brute_spans(t)) for i, t in SECRETS)
+    read = lambda found: sorted((r.path, [tuple(s) for s in r.spans]) for r in found.collect())
+    assert read(secrets.advance(df.where("doc_id <= 3"), path)) == [x for x in want if x[0] <= 3]
+    before = spark.read.parquet(path).count()
+    assert read(secrets.advance(df, path)) == want and spark.read.parquet(path).count() == before + 3 * 4
+    assert read(secrets.advance(df, path)) == want and spark.read.parquet(path).count() == before + 3 * 4
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}2")
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}2")
+    assert read(secrets.advance(df, f"{path}2")) == want
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    text = "".join(f"é token=abcdef{i} \u0001 {'0123456789abcdef' * 2} " for i in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefg")], "doc_id long, text string")
+    secrets.scan(df.where("doc_id = 2"))
+    began = time.time()
+    new, versions = secrets.scan(df)
+    got = {r.path: [tuple(s) for s in r.spans] for r in secrets.findings(versions, new).collect()}
+    assert time.time() - began < 15
+    assert got[1] == brute_spans(text) and len(got[1]) == 80_000
+
+
 def test_secrets_of_nothing(spark, none):
     new, versions = secrets.scan(none)
     assert new.count() == 0 and secrets.findings(versions, new).count() == 0
