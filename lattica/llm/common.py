@@ -188,7 +188,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000
             yield batch.slice(begin)
 
 
-def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], limit: int = 2_000_000) -> DataFrame:
     """Map-only: `make()` gives, once a task, a function from texts (bytes or None) to one list per field."""
     kept = drop_columns(df, [f.name for f in fields])
     source = kept if text_col in kept.columns else kept.withColumn(text_col, F.lit(None).cast("string"))
@@ -200,7 +200,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
 
     def run(batches):
         fn = make()
-        for part in pieces_of(batches, text_col):
+        for part in pieces_of(batches, text_col, limit):
             texts = as_bytes(part.column(part.schema.get_field_index(text_col)))
             new = [pa.array(values, type=kind) for values, kind in zip(fn(texts), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)

@@ -4,23 +4,29 @@ Texts become a normal form: words (ASCII letters lower-cased) with one space bef
 so that a run of words occurs in a text exactly where its own normal form occurs as a string.
 A benchmark item's windows are its runs of `window` words; an item with fewer words, but not none,
 is one window.  Windows are searched with shift tables over blocks of bytes, buckets of windows by
-the hash of their suffix block, and a direct comparison.
+the hash of their suffix block (and of all bytes that the shift table spans), and a direct comparison.
+
+The tables are compact: windows are places in the benchmark's own normal form, a shift table is one byte for
+each value of a block's hash, and a bucket is a range of a sorted array.  They take about 11 bytes for each
+byte of the benchmark (50 while they are built), are built once, on the driver, and broadcast; a benchmark of more than `block_bytes`
+is searched block by block.
 
 Defined cases: a null or empty text has no words and is not contaminated; an item without words has
 no window; repeated items count once for each distinct item id; a null item id is written `null`;
-repeated document rows are judged one by one; extra columns pass through (see `common`).
+repeated document rows are judged one by one; a very long text is searched as a whole; extra columns pass
+through (see `common`).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, packed
 
 #: Word bytes are 0-9, a-z and all above 0x7F; A-Z are lower-cased before.
 WORD_TABLE = bytes(
@@ -32,72 +38,129 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_TABLE).split()
 
 
-def windows_of(text: bytes | None, window: int) -> list[bytes]:
-    words = words_of(text)
-    if not words:
-        return []
-    last = max(1, len(words) - window + 1)
-    return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(last)]
+#: Bits of a block's hash that a shift table tells apart, and the largest shift that it holds.
+MOST_BITS, MOST_SHIFT = 24, 255
 
 
 class WuManber:
-    """Multi-pattern search over one class of patterns of like length (`m` is the shortest)."""
+    """Multi-pattern search over one class of patterns of like length (`m` is the shortest).
+
+    Patterns are begins and lengths in `body`.
+    """
 
-    def __init__(self, patterns: list[bytes]):
-        self.m = m = min(map(len, patterns))
+    def __init__(self, body: bytes, begins: np.ndarray, lengths: np.ndarray):
+        self.m = m = int(min(lengths.min(), MOST_SHIFT))
         # The block length that the method advises: log of 2 * m * patterns, to a base of about 8 letters.
         block, reach = 2, 64
-        while reach < 2 * m * len(patterns):
+        while reach < 2 * m * len(begins):
             block, reach = block + 1, reach * 8
         self.block = block = min(m, block)
-        self.default = m - block + 1
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[bytes]] = defaultdict(list)
-        for p in patterns:
-            for end in range(block, m + 1):
-                key = p[end - block : end]
-                if self.shift.get(key, self.default) > m - end:
-                    self.shift[key] = m - end
-            self.bucket[p[m - block : m]].append(p)
-
-    def find(self, text: bytes):
-        """(begin, pattern) of every occurrence."""
-        m, block, default, get, bucket = self.m, self.block, self.default, self.shift.get, self.bucket
-        at, n = m, len(text)
-        while at <= n:
-            key = text[at - block : at]
-            skip = get(key, default)
+        self.bits = min(MOST_BITS, max(12, int(2 * len(begins) * (m - block + 1)).bit_length()))
+        text = np.frombuffer(body, np.uint8)
+        blocks = self._slots(packed.string_hashes(text, block))
+        self.shift = np.full(2**self.bits, m - block + 1, np.uint8)
+        # Later blocks have smaller shifts, so each assignment leaves the smallest.
+        for end in range(block, m + 1):
+            self.shift[blocks[begins + end - block]] = m - end
+        # Buckets by the suffix block's hash; inside of one by the hash of all m bytes.
+        suffix, prefix = blocks[begins + m - block], packed.string_hashes(text, m)[begins]
+        order = np.lexsort((prefix, suffix))
+        self.suffix, self.prefix, self.begins, self.lengths = suffix[order], prefix[order], begins[order], lengths[order]
+        self.names = order
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (packed.mix(hashes) >> np.uint64(64 - self.bits)).astype(np.uint32)
+
+    def find(self, text: bytes, body: bytes):
+        """(begin, number of the pattern) of every occurrence; `body` is the benchmark's normal form."""
+        m, block, n = self.m, self.block, len(text)
+        if n < m:
+            return
+        bytes_ = np.frombuffer(text, np.uint8)
+        slots = self._slots(packed.string_hashes(bytes_, block))
+        shifts = self.shift[slots].tobytes()  # by the block's begin
+        spans = None
+        at, last = m - block, n - block
+        while at <= last:
+            skip = shifts[at]
             if skip:
                 at += skip
                 continue
-            for p in bucket[key]:
-                if text.startswith(p, at - m):
-                    yield at - m, p
+            if spans is None:
+                spans = packed.string_hashes(bytes_, m)
+            begin = at - (m - block)
+            low, high = np.searchsorted(self.suffix, slots[at]), np.searchsorted(self.suffix, slots[at], side="right")
+            if high > low:
+                own = self.prefix[low:high]
+                for k in range(low + int(np.searchsorted(own, spans[begin])), low + int(np.searchsorted(own, spans[begin], side="right"))):
+                    first = self.begins[k]
+                    if text.startswith(body[first : first + self.lengths[k]], begin):
+                        yield begin, int(self.names[k])
             at += 1
 
 
 class Matcher:
-    """Windows of many items, in one search table for each power of two of the window length."""
+    """Windows of many items, in one search table for each power of two of the window length.
+
+    Windows of equal hashes (128 bits) and length are one pattern with several owners.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        owners: dict[bytes, set[str]] = defaultdict(set)
+        self.items = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.items)}
+        normal, begins, ends, owners, at = [], [], [], [], 0
         for item, text in items:
-            for w in windows_of(text, window):
-                owners[w].add(item)
-        self.owners = {k: sorted(v) for k, v in owners.items()}
-        classes: dict[int, list[bytes]] = defaultdict(list)
-        for p in sorted(self.owners):
-            classes[len(p).bit_length()].append(p)
-        self.searches = [WuManber(ps) for _, ps in sorted(classes.items())]
+            ws = words_of(text)
+            if not ws:
+                continue
+            normal.append(b" " + b" ".join(ws) + b" ")
+            edge = at + np.r_[0, np.cumsum([len(w) + 1 for w in ws])]
+            count = max(1, len(ws) - window + 1)
+            begins.append(edge[:count])
+            ends.append(edge[min(window, len(ws)) :][:count] + 1)
+            owners.append(np.full(count, number[item], np.int32))
+            at += len(normal[-1])
+        self.body = b"".join(normal)
+        self.searches: list[tuple[WuManber, np.ndarray]] = []
+        if not normal:
+            return
+        begin, end, owner = np.concatenate(begins), np.concatenate(ends), np.concatenate(owners)
+        h1, h2 = _window_hashes(np.frombuffer(self.body, np.uint8), begin, end)
+        length = end - begin
+        order = np.lexsort((owner, h2, h1, length))
+        same = lambda x: x[order][1:] == x[order][:-1]
+        new = np.r_[True, ~(same(length) & same(h1) & same(h2))]
+        # Pattern p is the window order[firsts[p]]; its owners stand from own_at[p] on.
+        firsts, pattern = np.flatnonzero(new), np.cumsum(new) - 1
+        kept = np.r_[True, (pattern[1:] != pattern[:-1]) | (owner[order][1:] != owner[order][:-1])]
+        self.owners, self.own_at = owner[order][kept], np.searchsorted(pattern[kept], np.arange(len(firsts) + 1))
+        begin, length = begin[order][firsts], length[order][firsts]
+        kind = np.floor(np.log2(length)).astype(np.int64)
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            self.searches.append((WuManber(self.body, begin[own], length[own]), own))
+        self.lengths = length
 
     def spans(self, normal: bytes) -> tuple[list[tuple[int, int]], set[str]]:
         """Byte spans hit in a normal form, and the ids of items with occurring windows."""
-        spans, items = [], set()
-        for search in self.searches:
-            for begin, p in search.find(normal):
-                spans.append((begin, begin + len(p)))
-                items.update(self.owners[p])
-        return spans, items
+        spans, found = [], set()
+        for search, names in self.searches:
+            for begin, p in search.find(normal, self.body):
+                p = int(names[p])
+                spans.append((begin, begin + int(self.lengths[p])))
+                found.update(self.owners[self.own_at[p] : self.own_at[p + 1]].tolist())
+        return spans, {self.items[k] for k in found}
+
+
+def _window_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two polynomial hashes of each window."""
+    out = []
+    for salt in (0, 0x55):
+        run = np.zeros(len(text) + 1, dtype=np.uint64)
+        np.cumsum(packed.mix((text ^ np.uint8(salt)).astype(np.uint64) + np.uint64(1 + salt)) * packed.powers("up", len(text)), out=run[1:])
+        out.append((run[end] - run[begin]) * packed.powers("down", len(text))[begin])
+    packed.forget()
+    return out[0], out[1]
 
 
 def hit_words(normal: bytes, spans: list[tuple[int, int]]) -> int:
@@ -136,19 +199,17 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  window: int = 13, min_share: tuple[int, int] = (1, 20), block_bytes: int = 16_000_000) -> DataFrame:
+                  window: int = 13, min_share: tuple[int, int] = (1, 20), block_bytes: int = 8_000_000) -> DataFrame:
     """Documents with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     Contaminated: n_hit > 0 and n_hit / n_words >= min_share.  The search is map-only: documents never
-    shuffle.  Each block of the benchmark (`block_bytes` bounds it) is broadcast as plain item texts and
-    its tables are built in the worker; blocks after the first are searched one after another.
+    shuffle.  Each block of the benchmark (`block_bytes` bounds it) becomes tables on the driver, which are
+    broadcast; blocks are searched one after another.
     """
     num, den = min_share
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
+    sent = [docs.sparkSession.sparkContext.broadcast(Matcher(b, window)) for b in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
 
     def make():
-        single = Matcher(sent[0].value, window) if len(sent) == 1 else None
-
         def fn(texts):
             normal = []
             for t in texts:
@@ -157,8 +218,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             spans: list[list] = [[] for _ in texts]
             items: list[set] = [set() for _ in texts]
             for block in sent:
-                matcher = single or Matcher(block.value, window)
-                if not single:
+                matcher = block.value
+                if len(sent) > 1:
                     vars(block).pop("_value", None)  # a worker holds one block at a time
                 for k, (n, text) in enumerate(normal):
                     if n:
@@ -172,7 +233,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
         return fn
 
-    return common.append_columns(docs, text_col, FIELDS, make)
+    # With several blocks, larger slices of documents: each slice reads every block's tables.
+    return common.append_columns(docs, text_col, FIELDS, make, limit=2_000_000 if len(sent) < 2 else 32_000_000)
 
 
 def op2_wu_manber(spark, sf_dir: str) -> DataFrame:

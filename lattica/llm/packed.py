@@ -43,6 +43,23 @@ def forget() -> None:
     _powers.clear()
 
 
+def string_hashes(text: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of all k-byte strings, put together from those of powers of two."""
+
+    def chain(a, size_a, b, size_b):
+        n = len(a) - size_b
+        return a[:n] * np.uint64(pow(BASE, size_b, 2**64)) + b[size_a : size_a + n]
+
+    out, size, part, step = None, 0, text.astype(np.uint64) + np.uint64(1), 1
+    while True:
+        if k & step:
+            out = part if out is None else chain(out, size, part, step)
+            size += step
+        if size == k:
+            return out
+        part, step = chain(part, step, part, step), 2 * step
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of lower-cased texts, one after another, and each text's first word (plus end)."""
     joined = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)

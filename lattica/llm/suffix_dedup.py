@@ -46,29 +46,12 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def string_hashes(text: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hashes of all k-byte strings, put together from those of powers of two."""
-
-    def chain(a, size_a, b, size_b):
-        n = len(a) - size_b
-        return a[:n] * np.uint64(pow(packed.BASE, size_b, 2**64)) + b[size_a : size_a + n]
-
-    out, size, part, step = None, 0, text.astype(np.uint64) + np.uint64(1), 1
-    while True:
-        if k & step:
-            out = part if out is None else chain(out, size, part, step)
-            size += step
-        if size == k:
-            return out
-        part, step = chain(part, step, part, step), 2 * step
-
-
 def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of anchors in a block's text and their hashes; no window reaches over two documents."""
     n = len(text)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = string_hashes(text, k)
+    h = packed.string_hashes(text, k)
     h = packed.mix(h)
     width = length - k + 1
     least = sliding(h, width, np.minimum)
@@ -215,8 +198,8 @@ def hot_windows(text: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.nd
     place, one = np.unique(place, return_index=True)
     out = np.zeros(len(place), WINDOW)
     if len(place):
-        h = string_hashes(text, length)[place]
-        out["h1"], out["h2"] = packed.mix(h), packed.mix(string_hashes(text ^ np.uint8(0x55), length)[place] ^ packed.MIX_B)
+        h = packed.string_hashes(text, length)[place]
+        out["h1"], out["h2"] = packed.mix(h), packed.mix(packed.string_hashes(text ^ np.uint8(0x55), length)[place] ^ packed.MIX_B)
         out["id"], out["at"] = np.repeat(doc_ids, counts)[one], place
     return out
 

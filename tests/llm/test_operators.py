@@ -90,8 +90,25 @@ def test_decontaminate_nothing(spark, docs, none):
 
 
 def test_wu_manber_finds_overlapping_occurrences():
-    w = decontaminate.WuManber([b"aba", b"abab", b"bab"])
-    assert sorted(w.find(b"xababab")) == sorted((i, p) for p in (b"aba", b"abab", b"bab") for i in range(7) if b"xababab".startswith(p, i))
+    patterns = [b"aba", b"abab", b"bab"]
+    body = b"".join(patterns)
+    lengths = np.array(list(map(len, patterns)))
+    w = decontaminate.WuManber(body, np.cumsum(lengths) - lengths, lengths)
+    assert sorted((i, patterns[p]) for i, p in w.find(b"xababab", body)) == sorted((i, p) for p in patterns for i in range(7) if b"xababab".startswith(p, i))
+
+
+def test_tables_of_a_benchmark_are_compact():
+    """1 MB of items whose windows all begin alike; tables of at most 30 bytes for each of its bytes."""
+    rng = np.random.default_rng(2)
+    made = [" ".join(map(str, rng.integers(0, 10**6, 140))) for _ in range(1000)]
+    items = [(str(i), f"the same words at the begin of every item {x}".encode()) for i, x in enumerate(made)]
+    m = decontaminate.Matcher(items, 13)
+    held = sum(a.nbytes for s, names in m.searches for a in (s.shift, s.suffix, s.prefix, s.begins, s.lengths, s.names, names)) + m.owners.nbytes + m.own_at.nbytes + m.lengths.nbytes + len(m.body)
+    assert held < 30 * len(m.body)
+    for i in (0, 500, 999):
+        cut = made[i].split()[20:40]
+        spans, found = m.spans(" x {} y ".format(" ".join(cut)).encode())
+        assert found == {str(i)} and len(spans) == 8
 
 
 # Exact dedup

@@ -109,8 +109,8 @@ def test_mixing_stage_meets_the_target_of_each_source(stages):
         open_ = {s: w for s, w in open_.items() if s not in target}
     assert len(order) > 1 and set(taken) <= set(have)
     for s in order:
-        # the budget is an upper bound, and the first document that doesn't fit is less than what is missing
-        assert target[s] - largest[s] < taken[s] + 1e-6 and taken[s] <= target[s] + 1e-6, s
+        # of the documents that stand on the budget, as many are taken as come nearest to it
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6, s
 
 
 def test_mixing_stage(stages):
@@ -127,7 +127,7 @@ def test_sharding_stage(stages):
     assert max(n.values()) - min(n.values()) <= 1 and set(n) == set(range(8))
 
 
-@pytest.mark.parametrize("name", ["op2_wu_manber", "op6_hash_thresholds", "op7_interval_tree", "op8_grace_hash", "op9_token_groups", "op10_blob_ledger"])
+@pytest.mark.parametrize("name", ["op2_wu_manber", "op3_link_propagation", "op6_hash_thresholds", "op7_interval_tree", "op8_grace_hash", "op9_token_groups", "op10_blob_ledger"])
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
     from lattica.llm import queries
 
