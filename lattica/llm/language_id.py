@@ -6,11 +6,12 @@ words of the sum over all segmentations (forward algorithm); the prediction is t
 posterior under equal priors, and that posterior is the score.
 
 The classifier is fitted on a bounded sample: the `per_lang` documents of each language that come first by a
-hash of id and text.  Prediction covers every text as a whole and is map-only.
+hash of id and text; any number of languages is fitted.  Prediction covers every text as a whole and is map-only.
 
 Defined cases: a text that is null or has no letters is `und` with score 0; without any labelled document
 every text is `und`; rows with a null language or text aren't learned from; ties go to the first language by
-code point; extra columns pass through.
+code point; very long texts are scored as a whole, and very long words in segments (see `segmentation`); an
+empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -46,23 +47,20 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and LETTER.search(text.decode(errors="replace")) is not None
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, most_langs: int = 1000) -> DataFrame:
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
     """(lang, text): at most `per_lang` rows of each language, the first by hash.
 
-    Languages are counted (their number is checked), each count gives a bound on the hash that about 1.25 times
-    the rows pass, and only these rows are ranked.
+    Languages are counted, each count gives a bound on the hash that about 1.25 times the rows pass, and only
+    these rows are ranked.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
-    if len(sizes) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    bound = F.lit(-(2**63))
-    if sizes:
-        cuts = {lang: min(2**63 - 1, -(2**63) + int(2**64 * 1.25 * per_lang / n)) for lang, n in sizes.items()}
-        bound = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])[F.col("lang")]
+    rows = labelled.where(common.col(text_col).isNotNull() & common.col(lang_col).isNotNull()).select(
+        common.col(lang_col).alias("lang"), common.col(text_col).alias("text"), F.xxhash64(F.lit(5), common.col(id_col).cast("string"), common.col(text_col)).alias("h"))
+    share = F.least(F.lit(1.25 * per_lang) / F.col("n"), F.lit(1.0))
+    bound = F.when(share < 1.0, (F.lit(-(2.0**63)) + F.lit(2.0**64) * share).cast("long")).otherwise(F.lit(2**63 - 1))
+    bounds = common.written(rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_l"), bound.alias("bound")), "languages")
     order = Window.partitionBy("lang").orderBy("h")
-    return rows.where(F.col("h") <= bound).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("lang", "text")
+    near = rows.join(bounds, F.col("lang") == F.col("_l")).where("h <= bound")
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("lang", "text")
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000,
@@ -85,6 +83,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = sample(labelled, id_col, text_col, lang_col, per_lang).mapInArrow(count, "lang string, word binary, n long")
     words = common.written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
     langs = sorted((r.lang for r in words.select("lang").distinct().collect()), key=lambda x: x.encode())
+    place = {x: k for k, x in enumerate(langs)}
     scores = np.repeat(first[:, None], len(langs), axis=1)
     for _ in range(rounds if langs else 0):
         now = spark.sparkContext.broadcast(scores)
@@ -92,7 +91,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         def expect(batches, now=now):
             lattice, total = segmentation.Lattice(sent.value), {}
             for batch in batches:
-                lang = np.array([langs.index(x) for x in batch.column(0).to_pylist()])
+                lang = np.array([place[x] for x in batch.column(0).to_pylist()])
                 ws, ns = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).to_numpy()
                 for k in np.unique(lang):
                     own, n = ws[lang == k].tolist(), ns[lang == k].astype(np.float64)
@@ -109,6 +108,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         expected = np.zeros_like(scores)
         expected[got.piece, got.k] = got.e
         scores = np.stack([segmentation.new_scores(expected[:, k]) for k in range(len(langs))], axis=1)
+    common.discard(words)
     return Model(pieces, langs, scores)
 
 
@@ -118,10 +118,10 @@ def _counted(found):
 
 
 class Scorer:
-    """Log likelihoods of texts; words already seen by this task are kept, up to a bounded number."""
+    """Log likelihoods of texts; words already seen by this task are kept, up to a bounded number of figures."""
 
-    def __init__(self, model: Model, room: int = 200_000):
-        self.lattice, self.scores, self.room = segmentation.Lattice(model.pieces), model.scores, room
+    def __init__(self, model: Model, room: int = 4_000_000):
+        self.lattice, self.scores, self.room = segmentation.Lattice(model.pieces), model.scores, min(200_000, room // max(1, len(model.langs)))
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((0, model.scores.shape[1]))
 

@@ -1,8 +1,9 @@
 """LM scoring by subword lattice likelihood.
 
 The vocabulary is a fixed public one; its pieces' scores weight all segmentations of a text, and a forward
-recursion in log space sums them to the text's marginal probability.  The scores start from the file's own
-ranks and are re-estimated by EM over the words of all training documents.
+recursion in log space sums them to the text's marginal probability.  The files at hand hold merge ranks, not
+unigram scores, so ranks stand in for these (`segmentation.load_pieces`), and EM over the words of all
+training documents re-estimates them.
 
 A text is its words ([^\\x20\\x09-\\x0D]+ after lower-casing A-Z) and one end.  As no piece reaches over two
 words, a text's probability is the product of its words' marginals and of the end's probability, so each
@@ -13,7 +14,9 @@ document meet the table in one shuffle join, where no key is hot.
 `base_score` is an add-half unigram over whole words, learned from the same counts.
 
 Defined cases: a null or empty text is the end alone; repeated rows are scored one by one; without training
-documents counts are 0 and scores stay at the smoothed first values; an empty table gives no rows.
+documents counts are 0 and scores stay at the smoothed first values; an empty table gives no rows; texts and
+words of any length are scored as a whole (long words in segments); ids are of any type that a string names;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -114,6 +117,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", held_col: str = "held_out",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["word", "c", "n", "lp"])
 
     scored = common.written(words.where(~is_end).mapInArrow(marginals, "word binary, c long, n long, lp double"), "marginals")
+    common.discard(words)
     return Model(scored, tokens, distinct, ends, end, pieces, scores)
 
 

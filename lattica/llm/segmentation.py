@@ -4,21 +4,26 @@ A word is the byte string of its UTF-8 text after one space.  Its lattice has an
 piece that stands in it; single bytes are always pieces, so every word has a segmentation.  Pieces have a
 space at their first byte only, so no piece reaches over two words and the lattice of a text is the chain of
 its words' lattices.  Many words are walked at once: positions step through a prefix tree together, and
-boundaries at equal distance from their word's begin are summed together in log space.
+boundaries at equal distance from their word's begin are summed together in log space.  Words of more than
+LONG bytes are walked one by one in segments, and only the sums at the last boundaries are carried on, so
+that time grows in proportion to their length and memory with the segment (for expected uses, and with 16
+bytes for each byte of the word).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+LN10 = float(np.log(10.0))
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 24
+LONG, SEGMENT = 2000, 50_000
 
 
 def load_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
     """Pieces that lower-cased words can hold, then single bytes, and their log weights by the file's scores.
 
-    The scores of this vocabulary are ranks, so piece r has weight 1 / (r + 100); bytes come after all ranks.
+    The scores of this vocabulary are ranks, so piece r has weight 1 / (r + 100), which is Zipf's law with an
+    offset; bytes come after all ranks.  Pieces with a space after their first byte can't stand in a word.
     """
     import sentencepiece
 
@@ -28,7 +33,7 @@ def load_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i):
             continue
         surface = sp.id_to_piece(i).replace("▁", " ").encode()
-        if len(surface) <= LONGEST and b" " not in surface[1:] and surface == surface.lower():
+        if b" " not in surface[1:] and surface == surface.lower():
             rank[surface] = i
     for b in range(256):
         rank.setdefault(bytes([b]), sp.get_piece_size())
@@ -39,7 +44,7 @@ def load_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
 
 class Lattice:
     def __init__(self, pieces: list[bytes]):
-        self.count = len(pieces)
+        self.count, self.longest = len(pieces), max(map(len, pieces))
         tree: list[dict[int, int]] = [{}]
         piece_at = [-1]
         for k, p in enumerate(pieces):
@@ -67,14 +72,8 @@ class Lattice:
             for b, node in tree[i].items():
                 self.next[self.row[i], self.kind[b]] = node
 
-    def edges(self, words: list[bytes]):
-        """Edges of all words, sorted by the distance of their end from the word's begin, then by end."""
-        text = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        offset = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=offset[1:])
-        n = int(offset[-1])
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    def _walk(self, text: np.ndarray, n: int):
+        """(start, end, piece) of all pieces that start before n; a space ends each way through the tree."""
         at, node = np.arange(n, dtype=np.int32), self.root[text[:n]]
         starts, ends, pieces, size = [at], [at + 1], [self.piece_at[node]], 1
         while True:
@@ -92,7 +91,17 @@ class Lattice:
             starts.append(at[hit])
             ends.append(at[hit] + size)
             pieces.append(piece[hit])
-        start, end, piece = map(np.concatenate, (starts, ends, pieces))
+        return tuple(map(np.concatenate, (starts, ends, pieces)))
+
+    def edges(self, words: list[bytes]):
+        """Edges of all words, sorted by the distance of their end from the word's begin, then by end."""
+        text = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        offset = np.zeros(len(words) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=offset[1:])
+        n = int(offset[-1])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        start, end, piece = self._walk(text, n)
         w = word[start]
         step = end - offset[w]
         # Boundaries: one more than bytes for each word.
@@ -120,12 +129,77 @@ class Lattice:
             value[a:b] = v - np.repeat(total_at, sizes, axis=0)
         return alpha, value, start, end, piece, by_step, finals, total
 
+    def _segments(self, word: bytes):
+        """Begins of segments of a long word's text, and the text with a space after it."""
+        text = np.frombuffer(b" " + word + b" ", dtype=np.uint8)
+        return range(0, len(text) - 1, SEGMENT), text
+
+    def _long(self, word: bytes, scores: np.ndarray, keep: bool = False):
+        """Natural log of a long word's probability under one model; with `keep` that of each of its beginnings."""
+        begins, text = self._segments(word)
+        n, weight, shift = len(text) - 1, np.exp(scores), 0.0
+        alpha = [1.0]
+        kept = np.empty(n + 1) if keep else None
+        for s in begins:
+            size = min(SEGMENT, n - s)
+            start, end, piece = self._walk(text[s : s + size + self.longest + 1], size)
+            order = np.argsort(start, kind="stable")
+            firsts = np.searchsorted(start[order], np.arange(size + 1)).tolist()
+            ends, weights = end[order].tolist(), weight[piece[order]].tolist()
+            alpha += [0.0] * (size + self.longest + 1 - len(alpha))
+            for i in range(size):
+                a = alpha[i]
+                if a < 1e-150:
+                    for j in range(i, i + self.longest + 1):
+                        alpha[j] *= 1e150
+                    shift -= 150 * LN10
+                    a = alpha[i]
+                if keep:
+                    kept[s + i] = np.log(a) + shift
+                for e in range(firsts[i], firsts[i + 1]):
+                    alpha[ends[e]] += a * weights[e]
+            alpha = alpha[size:]
+        total = float(np.log(alpha[0])) + shift
+        if keep:
+            kept[n] = total
+            return kept
+        return total
+
+    def _long_uses(self, word: bytes, weight: float, scores: np.ndarray) -> np.ndarray:
+        """Expected uses of the pieces in a long word, from the last segment of ends to the first."""
+        begins, text = self._segments(word)
+        n, reached, out = len(text) - 1, self._long(word, scores, True), np.zeros(self.count)
+        mass = [0.0] * self.longest + [weight]  # at the boundaries up to the end of the segment
+        for s in reversed(begins):
+            size, low = min(SEGMENT, n - s), max(0, s - self.longest)
+            start, end, piece = (x.astype(np.int64) for x in self._walk(text[low : s + size + self.longest + 1], s + size - low))
+            on = (end + low > s) & (end + low <= s + size)
+            start, end, piece = start[on] + low, end[on] + low, piece[on]
+            share = np.exp(reached[start] + scores[piece] - reached[end])
+            order = np.argsort(-end, kind="stable")
+            base = s + size  # mass[-1] stands for this boundary
+            mass = [0.0] * (base - low + 1 - len(mass)) + mass if base - low + 1 > len(mass) else mass[len(mass) - (base - low + 1) :]
+            used = np.empty(len(order))
+            at = zip((start[order] - low).tolist(), (end[order] - low).tolist(), share[order].tolist(), strict=True)
+            for k, (a, b, part) in enumerate(at):
+                part *= mass[b]
+                mass[a] += part
+                used[k] = part
+            out += np.bincount(piece[order], used, self.count)
+            mass = mass[: s - low + 1]
+        return out
+
     def forward(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability under each column of `scores` (pieces x models)."""
-        if not words:
-            return np.zeros((0, scores.shape[1]))
-        alpha, *_, finals, _ = self._sum(words, scores)
-        return alpha[finals]
+        out = np.zeros((len(words), scores.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            alpha, *_, finals, _ = self._sum([words[i] for i in short], scores)
+            out[short] = alpha[finals]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = [self._long(w, scores[:, k]) for k in range(scores.shape[1])]
+        return out
 
     def marginals(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
         """The same as `forward`, with plain products for words that these can hold; others go through log space."""
@@ -155,6 +229,11 @@ class Lattice:
     def expect(self, words: list[bytes], weights: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Expected number of times each piece is used, words weighted, under one model."""
         out = np.zeros(self.count)
+        for w, n in zip(words, weights.tolist(), strict=True):
+            if len(w) > LONG:
+                out += self._long_uses(w, n, scores)
+        short = np.array([len(w) <= LONG for w in words], dtype=bool)
+        words, weights = [w for w in words if len(w) <= LONG], np.asarray(weights)[short]
         if not words:
             return out
         _, value, start, end, piece, by_step, finals, total = self._sum(words, scores[:, None])
@@ -165,7 +244,7 @@ class Lattice:
             a, b = by_step[t], by_step[t + 1]
             share[a:b] *= mass[end[a:b]]
             mass[start[a:b]] += share[a:b]  # at one step no two edges begin at the same boundary
-        return np.bincount(piece, share, self.count)
+        return out + np.bincount(piece, share, self.count)
 
 
 def chunks(words: list, limit: int = 50_000):

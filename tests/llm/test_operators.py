@@ -287,7 +287,7 @@ def brute_word(word, index, scores):
     w = b" " + word
     alpha = [0.0] + [-math.inf] * len(w)
     for e in range(1, len(w) + 1):
-        alpha[e] = np.logaddexp.reduce([alpha[s] + scores[index[w[s:e]]] for s in range(max(0, e - segmentation.LONGEST), e) if w[s:e] in index])
+        alpha[e] = np.logaddexp.reduce([alpha[s] + scores[index[w[s:e]]] for s in range(max(0, e - 30), e) if w[s:e] in index])
     return alpha[-1]
 
 
@@ -306,6 +306,91 @@ def test_forward_sums_all_segmentations(lattice):
     assert np.isclose(total, lat.forward([b"rest"], scores[:, None])[0, 0])
 
 
+def test_long_words_are_walked_in_segments(lattice, monkeypatch):
+    pieces, scores, lat = lattice
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(WORDS, n)).encode() + b"\x80" * m for n, m in ((400, 0), (300, 300), (1, 0))] + [b"q" * 2500]
+    whole = lat._sum(words, scores[:, None])
+    uses = sum(lat.expect([w[:1000]], np.ones(1), scores) for w in words)
+    want = whole[0][whole[6]][:, 0]
+    for segment in (50_000, 700, 64):
+        monkeypatch.setattr(segmentation, "SEGMENT", segment)
+        assert np.allclose(lat.forward(words, scores[:, None])[:, 0], want)
+        assert np.allclose(lat.marginals(words, np.stack([scores, scores], axis=1)), np.stack([want, want], axis=1))
+        monkeypatch.setattr(segmentation, "LONG", 0)
+        assert np.allclose(sum(lat.expect([w[:1000]], np.ones(1), scores) for w in words), uses)
+        monkeypatch.setattr(segmentation, "LONG", 2000)
+    monkeypatch.setattr(segmentation, "SEGMENT", 50_000)
+    began = time.time()
+    lat.forward([b"abcdefgh" * 125_000], scores[:, None])
+    assert time.time() - began < 8
+
+
+def brute_uses(word, index, scores):
+    """Log probability of a word and the expected uses of its pieces, by forward and backward sums over dicts."""
+    w = b" " + word
+    n = len(w)
+    edges = [(s, e, index[w[s:e]]) for s in range(n) for e in range(s + 1, min(n, s + 30) + 1) if w[s:e] in index]
+    a, z = {0: 0.0}, {n: 0.0}
+    for s, e, p in sorted(edges, key=lambda x: x[1]):
+        a[e] = np.logaddexp(a.get(e, -np.inf), a[s] + scores[p])
+    for s, e, p in sorted(edges, reverse=True):
+        z[s] = np.logaddexp(z.get(s, -np.inf), z[e] + scores[p])
+    uses = Counter()
+    for s, e, p in edges:
+        uses[p] += math.exp(a[s] + scores[p] + z[e] - a[n])
+    return a[n], uses
+
+
+def brute_em(counts, pieces, scores, rounds, extra):
+    index = {p: i for i, p in enumerate(pieces)}
+    for _ in range(rounds):
+        expected = np.zeros(len(pieces))
+        for w, n in counts.items():
+            for p, x in brute_uses(w, index, scores)[1].items():
+                expected[p] += n * x
+        scores = np.log((expected + 0.1) / (expected.sum() + extra + 0.1 * (len(pieces) + (extra > 0))))
+    return scores, index
+
+
+def test_em_equals_brute_force(docs, lattice):
+    pieces, scores, _ = lattice
+    model = lm_scoring.fit(docs.withColumn("held_out", F.col("doc_id") % 5 == 1))
+    train = [r[1] for r in rows() if not (r[0] is not None and r[0] % 5 == 1)]
+    counts = Counter(w for t in train for w in lower(t).split())
+    want, _ = brute_em(counts, pieces, scores, 3, len(train) + 0.1)
+    assert np.allclose(model.scores, want)
+
+
+def test_language_id_equals_brute_force(docs, lattice):
+    pieces, first, _ = lattice
+    own = {}
+    for lang in ("en", "fr"):
+        counts = Counter(w for r in rows() if r[2] == lang and r[1] is not None for w in lower(r[1]).split())
+        own[lang], index = brute_em(counts, pieces, first, 3, 0.0)
+    model = language_id.fit(docs)
+    assert model.langs == ["en", "fr"] and np.allclose(model.scores, np.stack([own["en"], own["fr"]], axis=1))
+    known = {}
+    for r in language_id.predict(docs, model).collect():
+        ws = lower(r.text).split()
+        for w in ws:
+            if w not in known:
+                known[w] = np.array([brute_uses(w, index, own[k])[0] for k in ("en", "fr")])
+        like = sum((known[w] for w in ws), np.zeros(2))
+        share = np.exp(like - np.logaddexp.reduce(like))
+        if r.lang_pred != "und":
+            assert r.lang_pred == ("en", "fr")[int(like[1] > like[0])] and abs(r.score - share.max()) < 1e-9
+
+
+def test_language_id_of_very_many_languages(spark):
+    """1500 labels, most of one document each."""
+    made = [(i, f"text {i % 7} of language", f"l{i:04}") for i in range(1500)] + [(2000 + i, "the stone market and the river", "l0001") for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language_id.fit(df, rounds=1)
+    assert len(model.langs) == 1500
+    assert {r.lang_pred for r in language_id.predict(df.where("doc_id >= 2000"), model).collect()} == {"l0001"}
+
+
 def test_plain_products_equal_log_space(lattice):
     pieces, scores, lat = lattice
     two = np.stack([scores, scores - 30.0], axis=1)
