@@ -19,9 +19,14 @@ den * |A & B| >= num * |A | B|; the result is the smallest id reachable by links
    tokens, a query's overlap with a group is bounded by its overlap with the union, and only groups that reach
    the overlap that a link needs are opened and compared.  Members already connected are skipped.
 
+A class is named by 64 bits of its digest; classes that agree in these but not in the whole digest (128 bits)
+and size get names of their own.  Clusters are settled without the matrix where step 5 says so.
+
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows are copies; a null id is never a component's
-smallest if there is another; an empty table gives no rows.
+smallest if there is another; an empty table gives no rows; ids are 64-bit integers; a very long text is
+hashed in pieces, and is a task of its own where its shingles fill one; `near_duplicates` reads no other
+column, `keep_one` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.components import connected_components
+from lattica.plans.joins import join_counted
 
 from . import common, packed
 
@@ -144,11 +150,11 @@ def link_cluster(sets: list[np.ndarray], num: int, den: int, group_size: int = 6
     return forest.roots()
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, bits: int = 64) -> DataFrame:
     """Blocks: ids, th (hash of the text), n, d1 and d2 (digest) of each document, and all posted tokens."""
     share = min(1.0, 1.6 * (1 - num / den))
     bound = np.uint64(min(2**64 - 1, int(share * 2**64)))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    source = docs.select(common.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(common.col(text_col), F.lit(""))).alias("th"), common.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches):
         seq = 0
@@ -158,7 +164,8 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
             n = np.array([len(s) for s in sets], dtype=np.int64)
             prefix = np.where(n > 0, n - needed(n, num, den) + 1, 0)
             posted = [s[: max(p, int(np.searchsorted(s, bound)))] for s, p in zip(sets, prefix.tolist(), strict=True)]
-            d1 = np.array([int(packed.mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in sets], dtype=np.uint64).view(np.int64)
+            d1 = np.array([int(packed.mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in sets], dtype=np.uint64)
+            d1 = (d1 >> np.uint64(64 - bits)).view(np.int64)
             d2 = np.array([int(np.bitwise_xor.reduce(packed.mix(s))) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
             keys = np.concatenate(posted)
             one = lambda x, kind: pa.array([x], pa.list_(kind))
@@ -175,19 +182,45 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     return source.mapInArrow(run, schema)
 
 
-def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: int, share_bound: int) -> DataFrame:
+def renamed(classes: DataFrame, most: int = 1_000_000) -> DataFrame | None:
+    """(d1, d2, n, name) of classes whose d1 is also another class's, all but one of each; None where there are none.
+
+    Of k classes k ** 2 / 2 ** 65 are to be expected; that they are no more than `most` is checked, as they are
+    broadcast.
+    """
+    first = Window.partitionBy("d1").orderBy("d2", "n")
+    twice = classes.groupBy("d1").agg(F.count("*").alias("k")).where("k > 1").select("d1")
+    later = classes.select("d1", "d2", "n").join(twice, "d1").withColumn("k", F.row_number().over(first)).where("k > 1")
+    later = common.written(later.select("d1", "d2", "n", F.xxhash64("d1", "d2", "n").alias("name")), "renamed")
+    if (k := later.count()) > most:
+        raise ValueError(f"{k} classes share their 64-bit names")
+    return later if k else None
+
+
+def with_names(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    if names is None:
+        return rows
+    own = names.select(*[F.col(c).alias(f"_{c}") for c in ("d1", "d2", "n")], "name")
+    on = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n"))
+    return rows.join(F.broadcast(own), on, "left").withColumn("d1", F.coalesce("name", "d1")).select(*rows.columns)
+
+
+def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: int, share_bound: int, names: DataFrame | None = None) -> DataFrame:
     """(d1, n, score, key): tokens of each class's prefix that stand in two documents at least.
 
     score is the mean count of the class's posted tokens, higher for a text that others were made from.
     """
 
+    named = blocks.sparkSession.sparkContext.broadcast({(r.d1, r.d2, r.n): r.name for r in names.collect()} if names is not None else {})
+
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         d1s, ns, scores, keys_out = [], [], [], []
         if own.num_rows and told.num_rows:
             keys = np.frombuffer(own.column("keys")[0].as_py(), dtype=np.uint64)
             n_of = packed.told(keys, parts, list(zip(told.column("part").to_pylist(), told.column("counts").to_pylist(), strict=True)))
             begin, seen = 0, set()
-            for n, d1, k in zip(*(own.column(c)[0].as_py() for c in ("n", "d1", "posted")), strict=True):
+            for n, d1, d2, k in zip(*(own.column(c)[0].as_py() for c in ("n", "d1", "d2", "posted")), strict=True):
+                d1 = named.value.get((d1, d2, n), d1)
                 if not n or d1 in seen:
                     begin += k
                     continue
@@ -207,7 +240,7 @@ def prefixes(blocks: DataFrame, counts: DataFrame, parts: int, num: int, den: in
         cat = lambda x, kind=np.int64: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
         return pa.table({"d1": cat(d1s), "n": cat(ns), "score": cat(scores, np.float64), "key": cat(keys_out)})
 
-    both = blocks.select("block", "n", "d1", "posted", "keys").groupBy("block").cogroup(counts.groupBy("block"))
+    both = blocks.select("block", "n", "d1", "d2", "posted", "keys").groupBy("block").cogroup(counts.groupBy("block"))
     return both.applyInArrow(run, "d1 long, n long, score double, key long").dropDuplicates(["d1", "key"])
 
 
@@ -250,13 +283,13 @@ def comparer(words: int, num: int, den: int):
     return compare
 
 
-def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: int, block: int, pivots: int = 16) -> DataFrame:
+def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: int, block: int, most_tokens: int, pivots: int = 16) -> DataFrame:
     """(d1, root) of clusters (cluster, d1, n, text) that are too large for one task.
 
     First every class is compared with its cluster's pivots, the classes with the most common tokens, wherever
     its row is; in a family of copies of one text this connects nearly all.  What isn't known to be connected
     yet is compared in blocks: classes of a component, or of small components together, form blocks of about
-    `block` classes of a size band, and only pairs of blocks that can hold a new link meet in a task.
+    `block` classes or `most_tokens` shingles of a size band, and only pairs of blocks that can hold a new link meet in a task.
     """
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "d1")
     tops = held.select("cluster", "d1").distinct().join(scores, "d1").withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(F.col("d1").alias("_d"))
@@ -286,11 +319,11 @@ def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: in
     met = held.select("cluster", "d1", "text").join(leads, "cluster").mapInArrow(to_pivots, "a long, b long")
     first = common.written(connected_components(met).select(F.col("v").alias("_v"), F.col("root").alias("part")), "parts")
     placed = held.join(first, F.col("d1") == F.col("_v")).drop("_v")
-    sizes = placed.groupBy("cluster", "part").agg(F.countDistinct("d1").alias("in_part"))
+    sizes = placed.groupBy("cluster", "part").agg(F.countDistinct("d1").alias("in_part"), F.sum("n").alias("in_tokens"))
     # One component: done.  Else large components have blocks of their own, small ones share blocks (part null).
     open_ = sizes.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
-    own = placed.join(sizes, ["cluster", "part"]).join(open_, "cluster").withColumn("own", F.when(F.col("in_part") >= block, F.col("part"))).withColumn("band", _band(num, den))
-    counts = own.groupBy("cluster", "own", "band").agg(F.countDistinct("d1").alias("k")).select("cluster", F.col("own").alias("_o"), F.col("band").alias("_b"), F.ceil(F.col("k") / block).alias("ways"))
+    own = placed.join(sizes, ["cluster", "part"]).join(open_, "cluster").withColumn("own", F.when((F.col("in_part") >= block) | (F.col("in_tokens") >= most_tokens), F.col("part"))).withColumn("band", _band(num, den))
+    counts = own.groupBy("cluster", "own", "band").agg(F.countDistinct("d1").alias("k"), F.sum("n").alias("t")).select("cluster", F.col("own").alias("_o"), F.col("band").alias("_b"), F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("t") / most_tokens)).alias("ways"))
     on = (own["cluster"] == counts["cluster"]) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("band") == F.col("_b"))
     own = own.join(counts, on).drop(counts["cluster"]).drop("_o", "_b")
     own = common.written(own.withColumn("block", F.xxhash64("cluster", "own", "band", F.pmod(F.xxhash64("d1"), "ways"))).select("cluster", "d1", "part", "own", "band", "block", "text"), "blocks", "none")
@@ -305,20 +338,24 @@ def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: in
     return connected_components(edges).select(F.col("v").alias("d1"), "root")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5), most_in_task: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5), most_in_task: int = 1000,
+                    most_tokens: int = 4_000_000, bits: int = 64) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, root), one row for each row of `docs`.
 
-    A task compares clusters of at most `most_in_task` classes; larger ones are spread (see `link_large`).
-    th is xxhash64 of the text; root names the component by a digest, null without shingles.
+    A task compares clusters of at most `most_in_task` classes with `most_tokens` shingles; larger ones are
+    spread (see `link_large`).  th is xxhash64 of the text; root names the component by a digest (of `bits`
+    bits, before names are told apart), null without shingles.
     """
     num, den = similarity.numerator, similarity.denominator
     share_bound = min(2**64 - 1, int(min(1.0, 1.6 * (1 - num / den)) * 2**64))
-    blocks = common.written(blocks_of(docs, id_col, text_col, words, num, den), "shingles", "lz4")
+    blocks = common.written(blocks_of(docs, id_col, text_col, words, num, den, bits), "shingles", "lz4")
     rows = blocks.select(F.explode(F.arrays_zip("ids", "th", "n", "d1", "d2")).alias("r")).select("r.*")
-    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("ids").alias("id"), F.min(F.struct("ids", "th")).alias("rep"))
+    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("ids").alias("id"), F.min(F.struct("ids", "th")).alias("rep"), F.count("*").alias("members"))
     classes = common.written(classes, "classes")
+    names = renamed(classes)
+    rows, classes = with_names(rows, names), with_names(classes, names)
     parts = packed.parts_for(blocks)
-    tokens = common.written(prefixes(blocks, packed.key_counts(blocks, parts), parts, num, den, share_bound), "prefixes")
+    tokens = common.written(prefixes(blocks, packed.key_counts(blocks, parts), parts, num, den, share_bound, names), "prefixes")
     # Size bands: sets that can link are in one band or in neighbouring ones.
     banded = tokens.select("d1", "key", _band(num, den).alias("band"))
     leaders = banded.groupBy("key", "band").agg(F.min("d1").alias("lead"), F.count("*").alias("k"))
@@ -326,30 +363,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = banded.join(leaders.where("k > 1"), ["key", "band"]).where("d1 <> lead").select(F.col("d1").alias("a"), F.col("lead").alias("b"))
     edges = members.unionByName(near.select(F.col("lead").alias("a"), F.col("next").alias("b"))).where("a <> b").distinct()
     clusters = connected_components(edges).select(F.col("v").alias("d1"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    clusters = common.written(clusters.join(classes.select("d1", "rep", "n"), "d1").join(sizes, "cluster"), "clusters")
-    texts = squeezed(docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.col(text_col).alias("text")))
-    chosen = clusters.select("cluster", "d1", "m", "n", F.col("rep.ids").alias("_i"), F.col("rep.th").alias("_t"))
+    clusters = common.written(clusters.join(classes.select("d1", "rep", "n"), "d1"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    large = (F.col("m") > most_in_task) | (F.col("tokens") > most_tokens)
+    sizes = common.written(sizes.select("cluster", "m", large.alias("large")), "sizes")
+    texts = squeezed(docs.select(common.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(common.col(text_col), F.lit(""))).alias("t"), common.col(text_col).alias("text")))
+    total = clusters.count()
+    chosen = join_counted(clusters, sizes, ["cluster"], "m", total).select("cluster", "d1", "large", "n", F.col("rep.ids").alias("_i"), F.col("rep.th").alias("_t"))
     # Both sides grow with the input: a merge join at every size.
-    held = texts.join(chosen.hint("merge"), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "m", "n", "text")
+    held = texts.join(chosen.hint("merge"), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i"))).select("cluster", "d1", "large", "n", "text")
     held = common.written(held, "held", "none")
     compare = comparer(words, num, den)
-    found = held.where(F.col("m") <= most_in_task).select("cluster", "d1", "text").groupBy("cluster").applyInArrow(compare, "d1 long, root long")
-    if not clusters.where(F.col("m") > most_in_task).isEmpty():
+    found = held.where("not large").select("cluster", "d1", "text").groupBy("cluster").applyInArrow(compare, "d1 long, root long")
+    if not sizes.where("large").isEmpty():
         scores = tokens.groupBy("d1").agg(F.max("score").alias("score"))
-        found = found.unionByName(link_large(held.where(F.col("m") > most_in_task), scores, words, num, den, most_in_task))
-    joined = classes.select("d1", "id").join(found, "d1", "left").withColumn("root", F.coalesce("root", "d1"))
+        found = found.unionByName(link_large(held.where("large").drop("large"), scores, words, num, den, most_in_task, most_tokens))
+    joined = classes.select("d1", "id", "members").join(found, "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     joined = common.written(joined, "linked")
-    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = joined.join(least, "root").select(F.col("d1").alias("_d1"), "component_id", "root")
-    out = rows.join(of_class, (F.col("d1") == F.col("_d1")) & (F.col("n") > 0), "left")
-    return out.select(F.col("ids").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "ids").alias("component_id"), "root")
+    common.discard(tokens, clusters, sizes, held)
+    least = joined.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k"), F.sum("members").alias("rows"))
+    counts = least.agg(F.sum("k"), F.sum("rows")).first()
+    of_class = join_counted(joined, least.drop("rows"), ["root"], "k", counts[0] or 0).select("d1", "component_id", "root", "members")
+    # One class may have a good part of all rows; documents without shingles need no class.
+    own = join_counted(rows.where("n > 0"), of_class, ["d1"], "members", counts[1] or 0).select("ids", "th", "n", F.coalesce("component_id", "ids").alias("component_id"), "root")
+    alone = rows.where("n = 0").select("ids", "th", "n", F.col("ids").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return own.unionByName(alone).select(F.col("ids").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of `docs` of which one stays for each group of near duplicates: that of the smallest id.
 
-    Documents without shingles all stay.  Ids need not be unique: a row is known by id and text, and of rows
+    All columns of `docs` are kept.  Documents without shingles all stay.  Ids need not be unique: a row is known by id and text, and of rows
     that repeat both, one stays.
     """
     found = common.written(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).select("doc_id", "th", "root"), "near")
@@ -357,13 +401,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stays = stays.unionByName(found.where("root is null").select("doc_id", "th")).groupBy("doc_id", "th").agg(F.lit(1).alias("one"))
     stays = common.written(stays.select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")), "stays")
     more = found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
-    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    kept = named.join(stays, (F.col("_th") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    i, t = common.fresh(docs.columns, "of_id", "of_text")
+    named = docs.withColumn(i, common.col(id_col).cast("long")).withColumn(t, F.xxhash64(F.coalesce(common.col(text_col), F.lit(""))))
+    other = common.fresh([*docs.columns, i, t], "stay_id", "stay_text")
+    on = (F.col(t) == F.col(other[1])) & F.col(i).eqNullSafe(F.col(other[0]))
+    kept = named.join(stays.toDF(*other), on, "left_semi")
     if not more.isEmpty():
-        repeated = more.select(F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
-        on = (F.col("_th") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i"))
-        kept = kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates(["_id", "_th"]))
-    return kept.drop("_id", "_th")
+        repeated = more.toDF(*other)
+        kept = kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates([i, t]))
+    return kept.select(*map(common.col, docs.columns))
 
 
 def op9_token_groups(spark, sf_dir: str) -> DataFrame:

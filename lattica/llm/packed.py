@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -60,8 +62,36 @@ def string_hashes(text: np.ndarray, k: int) -> np.ndarray:
         part, step = chain(part, step, part, step), 2 * step
 
 
+#: Bytes of text that are hashed at once.
+AT_ONCE = 4_000_000
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _cut(text: bytes):
+    """A text in pieces of about AT_ONCE bytes, cut between words."""
+    begin = 0
+    while len(text) - begin > AT_ONCE and (gap := GAP.search(text, begin + AT_ONCE)):
+        yield text[begin : gap.start()]
+        begin = gap.start()
+    yield text[begin:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of lower-cased texts, one after another, and each text's first word (plus end)."""
+    pieces = [(k, p) for k, t in enumerate(texts) for p in (_cut(t) if len(t) > AT_ONCE else (t,))]
+    words, counts, begin, total = [], np.zeros(len(texts) + 1, dtype=np.int64), 0, 0
+    for i, (_, p) in enumerate(pieces):
+        total += len(p)
+        if total >= AT_ONCE or i + 1 == len(pieces):
+            own = pieces[begin : i + 1]
+            found, first = _word_hashes([p for _, p in own])
+            words.append(found)
+            np.add.at(counts, np.array([k for k, _ in own]) + 1, np.diff(first))
+            begin, total = i + 1, 0
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum(counts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
     gap = SEPARATOR[joined]
     begins = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
@@ -121,45 +151,71 @@ def long(packed: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def key_counts(blocks: DataFrame, parts: int) -> DataFrame:
+def key_counts(blocks: DataFrame, parts: int, together: int = 100_000) -> DataFrame:
     """(block, part, counts): for rows (block, keys) how often each key stands in all rows, capped at 65535.
 
-    Keys (packed 64-bit integers) go to `parts` tasks by hash, as one binary a block and part; counts come
-    back in the same order, so a block can put them to its keys.  The cap is on the number that is told, not
-    on what is counted.  A key travels as 48 of its bits: two keys of one part that agree in them would count
-    together, so a count may be too high, but is the same for a key wherever it stands.
+    Keys (packed 64-bit integers) go to `parts` tasks by hash, as one binary a block and part that has each
+    distinct key once, with its number; totals come back in the same order, so a block can put them to its keys
+    (`told`).  A key that stands in every block brings one entry a block to its task; beyond `together` blocks
+    their entries are first summed in groups of about so many blocks, so it brings one a group.  The cap is on
+    the number that is told, not on what is counted.  A key travels as 48 of its bits: two keys of one part that
+    agree in them would count together, so a count may be too high, but is the same for a key wherever it stands.
     """
+    groups = max(1, -(-blocks.count() // together))
+    names = ["block", "part", "lot", "keys", "n"]
 
     def split(batches):
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.frombuffer(packed, dtype=np.uint64)
+                keys, n = np.unique(np.frombuffer(packed, dtype=np.uint64), return_counts=True)
                 order, at = dealt(keys, parts)
                 own = [k for k in range(parts) if at[k + 1] > at[k]]
+                lot = int(mix(np.array([block], dtype=np.int64).view(np.uint64))[0] % np.uint64(groups))
+                cut = lambda x, k, order=order, at=at: x[order[at[k] : at[k + 1]]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([short(keys[order[at[k] : at[k + 1]]]) for k in own], pa.binary())],
-                    names=["block", "part", "keys"])
+                    [pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([lot] * len(own), pa.int32()),
+                     pa.array([short(cut(keys, k)) for k in own], pa.binary()), pa.array([pack(cut(n, k)) for k in own], pa.binary())], names=names)
 
-    def count(table: pa.Table) -> pa.Table:
+    def summed(table: pa.Table):
+        """Distinct keys of the rows, their totals, each row's end, and where each entry stands among the keys."""
         held = [long(x) for x in table.column("keys").to_pylist()]
-        _, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        n = np.minimum(n, 65535).astype(np.uint16)[place]
-        ends = np.cumsum([len(x) for x in held])
+        n = np.concatenate([unpack(x, np.int64) for x in table.column("n").to_pylist()])
+        keys, place = np.unique(np.concatenate(held), return_inverse=True)
+        return keys, np.bincount(place, n).astype(np.int64), np.cumsum([len(x) for x in held]), place
+
+    def cut_up(x: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
+        return pa.array([pack(x[a:b].astype(kind)) for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)], pa.binary())
+
+    def count(table: pa.Table) -> pa.Table:
+        _, n, ends, place = summed(table)
         common.release(False)
-        return pa.table({"block": table.column("block"), "part": table.column("part"),
-                         "counts": pa.array([pack(n[e - len(x) : e]) for x, e in zip(held, ends, strict=True)], pa.binary())})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "lot": table.column("lot"), "counts": cut_up(np.minimum(n, 65535)[place], ends, np.uint16)})
 
-    pieces = blocks.select("block", "keys").mapInArrow(split, "block long, part int, keys binary")
-    return pieces.groupBy("part").applyInArrow(count, "block long, part int, counts binary")
+    def lots(table: pa.Table) -> pa.Table:
+        keys, n, _, _ = summed(table)
+        return pa.table({"block": pa.array([0], pa.int64()), "part": table.column("part")[:1], "lot": table.column("lot")[:1], "keys": pa.array([short(keys)], pa.binary()), "n": pa.array([pack(n)], pa.binary())})
+
+    def back(own: pa.Table, total: pa.Table) -> pa.Table:
+        keys, _, ends, place = summed(own)  # the same rows as in `lots`, so the same keys in the same order
+        n = unpack(total.column("counts")[0].as_py(), np.uint16)
+        return pa.table({"block": own.column("block"), "part": own.column("part"), "counts": cut_up(n[place], ends, np.uint16)})
+
+    pieces = blocks.select("block", "keys").mapInArrow(split, "block long, part int, lot int, keys binary, n binary")
+    told_ = "block long, part int, lot int, counts binary"
+    if groups == 1:
+        return pieces.groupBy("part").applyInArrow(count, told_).drop("lot")
+    totals = pieces.groupBy("part", "lot").applyInArrow(lots, "block long, part int, lot int, keys binary, n binary").groupBy("part").applyInArrow(count, told_)
+    return pieces.groupBy("part", "lot").cogroup(totals.groupBy("part", "lot")).applyInArrow(back, "block long, part int, counts binary")
 
 
 def told(keys: np.ndarray, parts: int, counts: list[tuple[int, bytes]]) -> np.ndarray:
     """The counts of a block's keys, in the keys' order."""
+    keys, place = np.unique(keys, return_inverse=True)
     order, at = dealt(keys, parts)
     out = np.zeros(len(keys), dtype=np.uint16)
     for part, packed in counts:
         out[order[at[part] : at[part + 1]]] = unpack(packed, np.uint16)
-    return out
+    return out[place]
 
 
 def parts_for(blocks: DataFrame, column: str = "n_keys", each: int = 1_500_000) -> int:

@@ -178,17 +178,19 @@ def brute_links(source, k, num, den):
     return [(str(r[0]), str(r[1]), len(s), least[forest.find(i)] if s else r[0]) for i, (r, s) in enumerate(zip(source, sets, strict=True))]
 
 
-@pytest.mark.parametrize("k, similarity, most", [(4, Fraction(17, 20), 1000), (5, Fraction(4, 5), 1000), (5, Fraction(4, 5), 2)])
-def test_near_duplicates(docs, none, k, similarity, most):
-    found = jaccard.near_duplicates(docs, words=k, similarity=similarity, most_in_task=most)
+@pytest.mark.parametrize("k, similarity, most, tokens, bits", [(4, Fraction(17, 20), 1000, 10**6, 64), (5, Fraction(4, 5), 1000, 150, 64), (5, Fraction(4, 5), 2, 10**6, 3)])
+def test_near_duplicates(docs, none, k, similarity, most, tokens, bits):
+    """In one task and spread, and with classes that share their names."""
+    found = jaccard.near_duplicates(docs, words=k, similarity=similarity, most_in_task=most, most_tokens=tokens, bits=bits)
     want = brute_links(rows(), k, similarity.numerator, similarity.denominator)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == sorted((a, n, str(c)) for a, _, n, c in want)
     assert jaccard.near_duplicates(none).count() == 0
 
 
 def test_one_of_each_group_stays(docs, none):
+    docs = docs.withColumnsRenamed({"slot": "_id", "host": "of_text"}).withColumn("stay_id", F.lit(1))
     kept = jaccard.keep_one(docs, words=4, similarity=Fraction(17, 20))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.where("stay_id = 1 and _id is not null").count() == kept.count()
     want = brute_links(rows(), 4, 17, 20)
     groups = Counter(str(c) for _, _, n, c in want if n)
     got = Counter(str(r.doc_id) for r in kept.where(F.col("text").rlike(r"\S")).collect())
@@ -235,6 +237,30 @@ def test_word_hashes_do_not_depend_on_place():
     assert at.tolist() == [0, 2, 2, 5] and a[0] == a[3] and a[1] == a[2] == a[4] and a[0] != a[1]
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts_ = [" ".join(rng.choice(WORDS, n)).encode() for n in (300, 0, 5, 900)] + [b"x" * 500, b"", b"  \n"]
+    want, at = packed.word_hashes(texts_)
+    for size in (40, 333):
+        monkeypatch.setattr(packed, "AT_ONCE", size)
+        got, cut = packed.word_hashes(texts_)
+        assert (got == want).all() and (cut == at).all()
+
+
+@pytest.mark.parametrize("together", [100_000, 3])
+def test_key_counts(spark, together):
+    """One key in every block, over and over in some; sums in one step and over groups of blocks."""
+    rng = np.random.default_rng(9)
+    held = {b: packed.mix(np.r_[np.zeros(1 + b, np.uint64), rng.integers(0, 60, 20).astype(np.uint64)]) for b in range(12)}
+    df = spark.createDataFrame([(b, bytearray(k.tobytes())) for b, k in held.items()], "block long, keys binary").repartition(4)
+    want = Counter(k for ks in held.values() for k in ks.tolist())
+    got = defaultdict(list)
+    for r in packed.key_counts(df, 5, together).collect():
+        got[r.block].append((r.part, bytes(r.counts)))
+    for b, keys in held.items():
+        assert packed.told(keys, 5, got[b]).tolist() == [want[k] for k in keys.tolist()]
+
+
 # Repeated passages
 
 def check_repeats(df, source, length=50):
