@@ -7,9 +7,13 @@ so equal windows have equal anchors.  Anchors whose hash stands only once in the
 further.  All occurrences of an anchor, with the bytes that a window around it can reach, come to one task,
 which sorts them by what follows (a sparse suffix array), takes common prefixes of neighbours and scans them
 with a stack for the intervals of the prefix tree.  Inside an interval, occurrences are ordered by what stands
-before them: a group is a maximal repeat where its left extensions differ, and each occurrence finds the
-longest match to its left among those of smaller documents.  All matches of one occurrence hold its anchor, so
-what they cover is one span.
+before them, and a second stack scan over the common left contexts gives the maximal repeats: groups of
+occurrences of one string of `length` bytes or more whose left extensions differ and whose right extensions
+differ (`maximal_repeats`).  Of a group, every occurrence in a document with a larger id than the group's
+least is covered.  All matches of one occurrence hold its anchor, so what they cover is one span.
+
+A string longer than an anchor's reach (`length` - k bytes to its left, `length` to its right) is a chain of
+such repeats; `repeat_groups` puts out all of them with all occurrences.
 
 Hot anchors (`hot` occurrences or more) would bring too much to one task where their surroundings differ.  Their
 windows are told apart instead: each `length`-byte window that holds one goes by its own 128-bit hash, the
@@ -19,7 +23,9 @@ Copies: only the smallest id of equal texts takes part; its copies are covered w
 an anchor are combined inside a block before anything is shuffled.
 
 Defined cases: null is empty; documents shorter than `length` keep everything; ids that are equal aren't
-smaller than each other; a null id counts as larger than all others; an empty table gives no rows.
+smaller than each other; a null id counts as larger than all others; an empty table gives no rows; ids are
+64-bit integers; a very long text is searched for anchors in pieces that overlap; `length` is at most 1000;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +34,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.joins import join_counted
+
 from . import common, packed
 
 LAST = 2**63 - 1
@@ -46,8 +55,31 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
+#: Bytes that are searched for anchors at once.
+AT_ONCE = 2_000_000
+
+
 def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of anchors in a block's text and their hashes; no window reaches over two documents."""
+    """Positions of anchors in a block's text and their hashes; no window reaches over two documents.
+
+    Long blocks go in pieces: each has `length` bytes more on both sides, so that it holds all windows around its
+    own positions.
+    """
+    found = []
+    for s in range(0, len(text), AT_ONCE):
+        low, high = max(0, s - length), min(len(text), s + AT_ONCE + length)
+        a, b = np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high)
+        # Windows of `length` bytes that lie in the piece and in one document.
+        first, last = np.maximum(starts[a:b], low) - low, np.minimum(ends[a:b], high) - low
+        at, h = _anchors(text[low:high], first, last, length, k)
+        own = (at + low >= s) & (at + low < s + AT_ONCE)
+        found.append((at[own] + low, h[own]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])
+
+
+def _anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -81,7 +113,7 @@ def as_rows(x: np.ndarray) -> np.ndarray:
 def intervals(lcp: list[int], least: int):
     """(prefix, first, last) of every interval of a suffix array with a common prefix of `least` or more."""
     stack: list[tuple[int, int]] = []
-    for i, value in enumerate([*lcp, 0]):
+    for i, value in enumerate([*lcp, -1]):
         first = i
         while stack and stack[-1][0] > value:
             prefix, first = stack.pop()
@@ -90,86 +122,84 @@ def intervals(lcp: list[int], least: int):
             stack.append((value, first))
 
 
-def longest_left(ids: list[int], joins: list[int]) -> list[int]:
-    """Per element of an order by left context, the longest common left context with one of a smaller id.
+def maximal_repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, k: int):
+    """(reach left of the anchor, reach right of its begin, members) of each maximal repeat around one task's anchors.
 
-    joins[i] is the common context of elements i and i + 1.  The nearest smaller id on each side has the most
-    in common, so one stack scan each way finds it; -1 where there is none.
+    `context` has length - k bytes before the anchor's begin and `length` from it on, different in all rows
+    (0 beyond the document); `left` and `right` say how many belong to it.  Members are rows.  A repeat has
+    `length` bytes or more and holds the anchor; its members are all rows around which it stands, and it can't be
+    extended to either side: the bytes there differ, or a member's document or reach ends.
     """
-    out = [-1] * len(ids)
-    for order in (range(len(ids)), range(len(ids) - 1, -1, -1)):
-        stack: list[tuple[int, int]] = []  # (id, common context with the next element in this order)
-        prev = None
-        for i in order:
-            shared = LAST if prev is None else joins[min(i, prev)]
-            if stack:
-                stack[-1] = (stack[-1][0], min(stack[-1][1], shared))
-            while stack and stack[-1][0] >= ids[i]:
-                _, s = stack.pop()
-                if stack:
-                    stack[-1] = (stack[-1][0], min(stack[-1][1], s))
-            if stack:
-                out[i] = max(out[i], stack[-1][1])
-            stack.append((ids[i], LAST))
-            prev = i
-    return out
+    before = length - k
+    # The sparse suffix array; what ends first comes first, also where a text holds zero bytes.
+    suffix = np.argsort(as_rows(_ended(context[:, before:], right)), kind="stable")
+    following, preceding = context[suffix][:, before:], context[suffix][:, :before][:, ::-1]
+    rl, rr = left[suffix].astype(np.int64), right[suffix].astype(np.int64)
+    lcp = common_prefix(following[1:], following[:-1], np.minimum(rr[1:], rr[:-1]))
+    joined = np.r_[False, lcp >= k, False]
+    # Runs of two occurrences: one interval each, and one left context that is common to both.
+    pair = np.flatnonzero(joined[1:-1] & ~joined[:-2] & ~joined[2:])
+    if len(pair):
+        shared = common_prefix(preceding[pair], preceding[pair + 1], np.minimum(rl[pair], rl[pair + 1]))
+        for i in np.flatnonzero(shared + lcp[pair] >= length).tolist():
+            yield int(shared[i]), int(lcp[pair[i]]), suffix[pair[i] : pair[i] + 2]
+    begins = np.flatnonzero(joined[1:] & ~joined[:-1])
+    stops = np.flatnonzero(~joined[1:] & joined[:-1])
+    many = stops - begins >= 2
+    for b, e in zip(begins[many].tolist(), (stops[many] + 1).tolist(), strict=True):
+        rank = np.argsort(as_rows(_ended(preceding[b:e], rl[b:e])), kind="stable")
+        place = np.empty(e - b, np.int64)
+        place[rank] = np.arange(e - b)
+        for prefix, lo, hi in intervals(lcp[b : e - 1].tolist(), k):
+            # Rows of the interval in the order of their left contexts, by place in the suffix array.
+            members = (rank if hi - lo + 1 == e - b else rank[np.sort(place[lo : hi + 1])]) + b
+            rows = preceding[members]
+            shared = common_prefix(rows[1:], rows[:-1], np.minimum(rl[members[1:]], rl[members[:-1]]))
+            if shared.max(initial=-1) + prefix < length:
+                continue
+            for common_left, first, last in intervals(shared.tolist(), max(0, length - prefix)):
+                own = members[first : last + 1]
+                if lcp[own.min() : own.max()].min() > prefix:
+                    continue  # all of them share more on the right: a group of an interval inside of this one
+                if _extends(preceding[own], rl[own], common_left):
+                    continue
+                yield common_left, prefix, suffix[own]
+
+
+def _ended(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, sizes.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1)
+
+
+def _extends(preceding: np.ndarray, left: np.ndarray, shared: int) -> bool:
+    """Whether all left extensions are alike, so that a repeat of this left context isn't maximal."""
+    if shared == preceding.shape[1] or (left <= shared).any():
+        return False
+    return bool((preceding[:, shared] == preceding[0, shared]).all())
 
 
 def resolve(context: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """How far each occurrence's covered span reaches left of its anchor and right of the anchor's begin (0, 0: none).
 
-    `context` has length - k bytes before the anchor's begin and `length` from it on; `left` and `right` say how
-    many of them belong to the document.
+    Of rows with equal surroundings the smallest id stands for all in the suffix array; larger ids are covered as
+    far as they reach.  Of each maximal repeat all members with an id larger than the least are covered.
     """
-    before = length - k
     cover_l, cover_r = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     order = np.argsort(ids, kind="stable")
-    whole = np.concatenate([context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)[order]
+    whole = np.concatenate([context, _columns(left, right)], axis=1)[order]
     _, first, inverse = np.unique(as_rows(whole), return_index=True, return_inverse=True)
-    # Of equal surroundings the smallest id stays in the array; larger ids are covered as far as they reach.
     rep = order[first]
     rep_of = np.empty(len(ids), np.int64)
     rep_of[order] = rep[inverse]
     copy = ids > ids[rep_of]
     full = copy & (left + right >= length)
     cover_l[full], cover_r[full] = left[full], right[full]
-    # The sparse suffix array of distinct surroundings.
-    following = context[rep][:, before:]
-    suffix = np.argsort(as_rows(following), kind="stable")
-    rep, following = rep[suffix], following[suffix]
-    preceding = context[rep][:, :before][:, ::-1]
-    rl, rr, rid = left[rep].astype(np.int64), right[rep].astype(np.int64), ids[rep]
-    lcp = common_prefix(following[1:], following[:-1], np.minimum(rr[1:], rr[:-1]))
-    joined = np.r_[False, lcp >= k, False]
+    # Rows that differ only behind their document's end are still different rows of the array.
     got_l, got_r = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
-    # Runs of two occurrences: one interval, settled for all at once.
-    pair = np.flatnonzero(joined[1:-1] & ~joined[:-2] & ~joined[2:])
-    if len(pair):
-        a, b = pair, pair + 1
-        l_common = common_prefix(preceding[a], preceding[b], np.minimum(rl[a], rl[b]))
-        hit = (l_common + lcp[pair] >= length) & (rid[a] != rid[b])
-        later = np.where(rid[a] > rid[b], a, b)[hit]
-        got_l[later], got_r[later] = l_common[hit], lcp[pair][hit]
-    begins = np.flatnonzero(joined[1:] & ~joined[:-1])
-    stops = np.flatnonzero(~joined[1:] & joined[:-1])
-    many = stops - begins >= 2
-    for b, e in zip(begins[many].tolist(), (stops[many] + 1).tolist(), strict=True):
-        rank = np.argsort(as_rows(preceding[b:e]), kind="stable")
-        place = np.empty(e - b, np.int64)
-        place[rank] = np.arange(e - b)
-        for prefix, lo, hi in intervals(lcp[b : e - 1].tolist(), k):
-            members = rank if hi - lo + 1 == e - b else rank[np.sort(place[lo : hi + 1])]
-            members = members + b
-            rows = preceding[members]
-            shared = common_prefix(rows[1:], rows[:-1], np.minimum(rl[members[1:]], rl[members[:-1]]))
-            if shared.max(initial=0) + prefix < length:
-                continue
-            # Left extensions all alike: the repeat isn't maximal here, its longest left context is one value.
-            found = np.array(longest_left(rid[members].tolist(), shared.tolist()))
-            hit = (found >= 0) & (found + prefix >= length)
-            at = members[hit]
-            got_l[at] = np.maximum(got_l[at], found[hit])
-            got_r[at] = np.maximum(got_r[at], prefix)
+    own = ids[rep]
+    for reach_l, reach_r, members in maximal_repeats(context[rep], left[rep], right[rep], length, k):
+        of = own[members]
+        later = members[of > of.min()]
+        got_l[later], got_r[later] = np.maximum(got_l[later], reach_l), np.maximum(got_r[later], reach_r)
     full_l, full_r = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     full_l[rep], full_r[rep] = got_l, got_r
     same = ~copy
@@ -177,6 +207,11 @@ def resolve(context: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.nd
     return cover_l, cover_r
 
 
+def _columns(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Both reaches as bytes beside a context."""
+    return np.stack([left, right], axis=1).astype("<u2").view(np.uint8)
+
+
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("at", "<i4")])
 
 
@@ -205,9 +240,9 @@ def hot_windows(text: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(text_col, F.lit(""))
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("h1"),
-                         F.xxhash64(F.lit(3), text).alias("h2"), F.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    text = F.coalesce(common.col(text_col), F.lit(""))
+    source = docs.select(F.coalesce(common.col(id_col).cast("long"), F.lit(LAST)).alias("id"), common.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("h1"),
+                         F.xxhash64(F.lit(3), text).alias("h2"), common.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches):
         seq = 0
@@ -224,42 +259,39 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "block long, ids array<long>, no_id array<boolean>, h1 array<long>, h2 array<long>, lens array<long>, n_keys long, body binary")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False, hot: int = 20_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept]), one row for each row of `docs`.
+def _open(lens, body) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's text, and where its documents begin and end."""
+    text, ends = packed.unpack(body, np.uint8), np.cumsum(np.asarray(lens, dtype=np.int64))
+    return text, ends - lens, ends
 
-    spans: array<struct<begin, end>> of maximal removed runs, in bytes.
+
+def surroundings(blocks: DataFrame, copies: DataFrame | None, parts: int, length: int, k: int, hot: int, whole: bool = False) -> DataFrame:
+    """(part, block, at, context, left, right, ids, starts, done, windows): repeated anchors with their surroundings.
+
+    Anchors are dealt to `parts` by hash.  Documents in `copies` (block, ats) take no part.  Equal surroundings of
+    a block go as one row, with the smallest id, and the windows of hot anchors likewise; the larger ids' spans
+    are `done`.  With `whole` every row goes.
     """
     before = length - k
-    blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
-    parts = packed.parts_for(blocks, each=700_000)
-
-    def open_block(lens, body):
-        text = packed.unpack(body, np.uint8)
-        ends = np.cumsum(np.asarray(lens, dtype=np.int64))
-        return text, ends - lens, ends
 
     def block_keys(batches):
         for batch in batches:
             for block, lens, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                text, starts, ends = open_block(np.array(lens, dtype=np.int64), body)
-                _, h = anchors(text, starts, ends, length, k)
+                _, h = anchors(*_open(np.array(lens, dtype=np.int64), body), length, k)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["block", "keys"])
 
-    keys = blocks.select("block", "lens", "body").mapInArrow(block_keys, "block long, keys binary")
-    counts = packed.key_counts(keys, parts)
-    # Copies of a text with a smaller id, as places in their blocks.
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "h1", "h2", "lens")).alias("at", "r")).select("block", "at", "r.*")
-    least = rows.groupBy("h1", "h2", "lens").agg(F.min("ids").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = common.written(rows.join(least, ["h1", "h2", "lens"]).where("ids > least").groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("ats")), "copies")
-    sides = counts.select("block", "part", "counts", F.lit(None).cast("array<int>").alias("ats")).unionByName(copies.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("counts"), "ats"))
-    bodies = blocks.select("block", "ids", "no_id", "lens", "body").groupBy("block")
+    counts = packed.key_counts(blocks.select("block", "lens", "body").mapInArrow(block_keys, "block long, keys binary"), parts)
+    sides = counts.select("block", "part", "counts", F.lit(None).cast("array<int>").alias("ats"))
+    if copies is not None:
+        sides = sides.unionByName(copies.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("counts"), "ats"))
+    columns = ("part", "block", "at", "context", "left", "right", "ids", "starts", "done", "windows")
 
-    def surroundings(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("part", "block", "at", "context", "left", "right", "ids", "done", "windows")}
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        out = {c: [] for c in columns}
         for r in range(own.num_rows):
             block, ids, lens, body = (own.column(c)[r].as_py() for c in ("block", "ids", "lens", "body"))
             ids, lens = np.array(ids, dtype=np.int64), np.array(lens, dtype=np.int64)
-            text, starts, ends = open_block(lens, body)
+            text, starts, ends = _open(lens, body)
             at, h = anchors(text, starts, ends, length, k)
             if not len(at):
                 continue
@@ -274,11 +306,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             at, h, doc, number = at[often], h[often], doc[often], number[often]
             left, right = np.minimum(before, at - starts[doc]), np.minimum(length, ends[doc] - at)
             many = number >= hot
+            hot_keys = np.unique(h[many])
             windows = hot_windows(text, at[many], left[many], right[many], ids[doc[many]], length)
             at, h, doc, left, right = (x[~many] for x in (at, h, doc, left, right))
-            beaten = windows["id"] > least_ids(windows)
-            window_spans = np.stack([windows["at"][beaten], windows["at"][beaten] + length], axis=1).astype(np.int64)
-            windows = windows[~beaten]
+            if whole and len(windows):
+                # Those whose own anchor is hot, by the digest of their bytes.
+                least = sliding(packed.mix(packed.string_hashes(text, k)), length - k + 1, np.minimum)
+                windows = windows[np.isin(least[windows["at"]], hot_keys)]
+                for w in windows:
+                    digest = xxhash.xxh3_128_intdigest(text[w["at"] : w["at"] + length].tobytes())
+                    w["h1"], w["h2"] = digest >> 64, digest & (2**64 - 1)
+            if whole:
+                windows["at"] -= starts[np.searchsorted(ends, windows["at"], side="right")].astype(np.int32)
+                window_spans = np.zeros((0, 2), np.int64)
+            else:
+                beaten = windows["id"] > least_ids(windows)
+                window_spans = np.stack([windows["at"][beaten], windows["at"][beaten] + length], axis=1).astype(np.int64)
+                windows = windows[~beaten]
             window_deal, window_begin = packed.dealt(windows["h1"], parts)
             padded = np.r_[np.zeros(before, np.uint8), text, np.zeros(length, np.uint8)]
             context = np.lib.stride_tricks.sliding_window_view(padded, before + length)[at].copy()
@@ -286,11 +330,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             context[(place < (before - left)[:, None]) | (place >= (before + right)[:, None])] = 0
             # Combine: of equal surroundings in this block the smallest id is sent, larger ids are done.
             order = np.argsort(ids[doc], kind="stable")
-            whole = np.concatenate([context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)[order]
-            _, first, inverse = np.unique(as_rows(whole), return_index=True, return_inverse=True)
+            _, first, inverse = np.unique(as_rows(np.concatenate([context, _columns(left, right)], axis=1)[order]), return_index=True, return_inverse=True)
             rep_of = np.empty(len(at), np.int64)
             rep_of[order] = order[first][inverse]
-            done = ids[doc] > ids[doc[rep_of]]
+            done = np.zeros(len(at), bool) if whole else ids[doc] > ids[doc[rep_of]]
             spans = np.concatenate([np.stack([at - left, at + right], axis=1)[done & (left + right >= length)], window_spans])
             send = np.flatnonzero(~done)
             deal, begin = packed.dealt(h[send], parts)
@@ -298,22 +341,120 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 x = send[deal[begin[p] : begin[p + 1]]]
                 w = windows[window_deal[window_begin[p] : window_begin[p + 1]]]
                 if len(x) or len(w) or (p == 0 and len(spans)):
-                    for c, v in (("part", p), ("block", block), ("at", packed.pack(at[x].astype(np.int32))), ("context", packed.pack(context[x])), ("left", packed.pack(left[x].astype(np.uint8))),
-                                 ("right", packed.pack(right[x].astype(np.uint8))), ("ids", packed.pack(ids[doc[x]])), ("done", packed.pack(spans.astype(np.int32)) if p == 0 else None), ("windows", packed.pack(w) if len(w) else None)):
+                    made = (p, block, packed.pack(at[x].astype(np.int32)), packed.pack(context[x]), packed.pack(left[x].astype(np.uint16)), packed.pack(right[x].astype(np.uint16)), packed.pack(ids[doc[x]]),
+                            packed.pack(starts[doc[x]].astype(np.int32)) if whole else None, packed.pack(spans.astype(np.int32)) if p == 0 else None, packed.pack(w) if len(w) else None)
+                    for c, v in zip(columns, made, strict=True):
                         out[c].append(v)
         kinds = {"part": pa.int32(), "block": pa.int64()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
-    sent = bodies.cogroup(sides.groupBy("block")).applyInArrow(surroundings, "part int, block long, at binary, context binary, left binary, right binary, ids binary, done binary, windows binary")
+    schema = "part int, block long" + "".join(f", {c} binary" for c in columns[2:])
+    return blocks.select("block", "ids", "lens", "body").groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(run, schema)
+
+
+def _gathered(table: pa.Table, width: int):
+    """The rows of one part together: context, left, right, ids, at; and where each row of the table ends."""
+    got = {c: [packed.unpack(x, t) for x in table.column(c).to_pylist()] for c, t in (("at", np.int32), ("context", np.uint8), ("left", np.uint16), ("right", np.uint16), ("ids", np.int64))}
+    bounds = np.r_[0, np.cumsum([len(x) for x in got["at"]])]
+    context = np.concatenate(got["context"]).reshape(-1, width)
+    left, right, at = (np.concatenate(got[c]).astype(np.int64) for c in ("left", "right", "at"))
+    return context, left, right, np.concatenate(got["ids"]), at, bounds
+
+
+def _windows(table: pa.Table) -> list[np.ndarray]:
+    return [packed.unpack(x, WINDOW) if x is not None else np.zeros(0, WINDOW) for x in table.column("windows").to_pylist()]
+
+
+def _anchored(string: np.ndarray, at: int, length: int, k: int) -> bool:
+    """Whether the k bytes at `at` are the anchor of a window inside of the string, so that all its occurrences have it."""
+    h = packed.mix(packed.string_hashes(string, k))
+    least = sliding(h, length - k + 1, np.minimum)
+    return bool((least[max(0, at + k - length) : at + 1] == h[at]).any())
+
+
+def _checked(length: int, k: int) -> None:
+    if not 0 < k <= length <= 1000:
+        raise ValueError("k is at most length, and length at most 1000")
+
+
+def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, hot: int = 20_000) -> DataFrame:
+    """(repeat, n_bytes, doc_id, begin): all occurrences (in bytes) of all maximal repeats around anchors.
+
+    `repeat` is a 128-bit digest of the repeated string.  A repeat around an anchor has `length` bytes or more and
+    all its occurrences; it is maximal inside of the anchor's reach (see above).  Around hot anchors the repeats
+    are the windows of `length` bytes.  The bytes that `remove_repeats` removes are those of the occurrences in
+    documents with a larger id than the least of their repeat.
+    """
+    _checked(length, k)
+    before = length - k
+    blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
+    sent = surroundings(blocks, None, packed.parts_for(blocks, each=700_000), length, k, hot, whole=True)
+
+    def name(string: bytes) -> str:
+        return xxhash.xxh3_128_hexdigest(string)
+
+    def groups(table: pa.Table) -> pa.Table:
+        context, left, right, ids, at, _ = _gathered(table, before + length)
+        at -= np.concatenate([packed.unpack(x, np.int32) for x in table.column("starts").to_pylist()])
+        out = []
+        if len(ids):
+            _, rep, inverse, n = np.unique(as_rows(np.concatenate([context, _columns(left, right)], axis=1)), return_index=True, return_inverse=True, return_counts=True)
+            rows_of = np.split(np.argsort(inverse, kind="stable"), np.cumsum(n)[:-1])
+            alone = (n > 1) & (left[rep] + right[rep] >= length)
+
+            def put(reach_l, reach_r, members):
+                one = rep[members[0]]
+                string = context[one][before - reach_l : before + reach_r]
+                if not _anchored(string, reach_l, length, k):
+                    return  # an anchor of a longer window; the string's own anchors have it with all occurrences
+                string = string.tobytes()
+                rows = np.concatenate([rows_of[m] for m in members])
+                out.append((name(string), len(string), ids[rows], at[rows] - reach_l))
+
+            for reach_l, reach_r, members in maximal_repeats(context[rep], left[rep], right[rep], length, k):
+                alone[members[(left[rep[members]] == reach_l) & (right[rep[members]] == reach_r)]] = False
+                put(reach_l, reach_r, members.tolist())
+            # Surroundings that repeat as a whole, and of which no other row holds as much.
+            for m in np.flatnonzero(alone).tolist():
+                put(int(left[rep[m]]), int(right[rep[m]]), [m])
+        windows = np.concatenate(_windows(table))
+        sizes = [len(x[2]) for x in out]
+        many = lambda i, kind: pa.array([x[i] for x, n in zip(out, sizes, strict=True) for _ in range(n)], kind)
+        return pa.table({
+            "repeat": pa.concat_arrays([many(0, pa.string()), pa.array([f"{a:016x}{b:016x}" for a, b in zip(windows["h1"].tolist(), windows["h2"].tolist(), strict=True)], pa.string())]),
+            "n_bytes": pa.concat_arrays([many(1, pa.int32()), pa.array(np.full(len(windows), length, np.int32))]),
+            "doc_id": pa.array(np.concatenate([*(x[2] for x in out), windows["id"]]).astype(np.int64)),
+            "begin": pa.array(np.concatenate([*(x[3] for x in out), windows["at"]]).astype(np.int64))})
+
+    found = sent.groupBy("part").applyInArrow(groups, "repeat string, n_bytes int, doc_id long, begin long")
+    # Windows of a hot anchor that stand once are no repeats; a place may be in several of its windows' rows.
+    found = common.written(found.dropDuplicates(), "repeats")
+    counts = found.groupBy("repeat", "n_bytes").agg(F.count("*").alias("k")).where("k > 1")
+    out = join_counted(found, counts, ["repeat", "n_bytes"], "k", found.count())
+    return out.select("repeat", "n_bytes", F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "begin")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False, hot: int = 20_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept]), one row for each row of `docs`.
+
+    spans: array<struct<begin, end>> of maximal removed runs, in bytes.
+    """
+    _checked(length, k)
+    before = length - k
+    blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
+    parts = packed.parts_for(blocks, each=700_000)
+    # Copies of a text with a smaller id, as places in their blocks.
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "h1", "h2", "lens")).alias("at", "r")).select("block", "at", "r.*")
+    least = common.written(rows.groupBy("h1", "h2", "lens").agg(F.min("ids").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "texts")
+    total = least.agg(F.sum("copies")).first()[0] or 0
+    copies = join_counted(rows, least, ["h1", "h2", "lens"], "copies", total).where("ids > least")
+    copies = common.written(copies.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("ats")), "copies")
+    sent = surroundings(blocks, copies, parts, length, k, hot)
 
     def settle(table: pa.Table) -> pa.Table:
-        got = {c: [packed.unpack(x, t) for x in table.column(c).to_pylist()] for c, t in (("at", np.int32), ("context", np.uint8), ("left", np.uint8), ("right", np.uint8), ("ids", np.int64))}
-        bounds = np.r_[0, np.cumsum([len(x) for x in got["at"]])]
-        context = np.concatenate(got["context"]).reshape(-1, before + length)
-        left, right = (np.concatenate(got[c]).astype(np.int64) for c in ("left", "right"))
-        at, ids = np.concatenate(got["at"]).astype(np.int64), np.concatenate(got["ids"])
+        context, left, right, ids, at, bounds = _gathered(table, before + length)
         l, r = resolve(context, left, right, ids, length, k) if len(ids) else (left, right)
-        hot_of = [packed.unpack(x, WINDOW) if x is not None else np.zeros(0, WINDOW) for x in table.column("windows").to_pylist()]
+        hot_of = _windows(table)
         windows = np.concatenate(hot_of)
         beaten = np.split(windows["id"] > least_ids(windows), np.cumsum([len(x) for x in hot_of])[:-1])
         spans = []
@@ -334,7 +475,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rows = []
         for r in range(own.num_rows):
             ids, no_id, lens, body = (own.column(c)[r].as_py() for c in ("ids", "no_id", "lens", "body"))
-            text, starts, ends = open_block(np.array(lens, dtype=np.int64), body)
+            text, starts, ends = _open(np.array(lens, dtype=np.int64), body)
             edge = np.zeros(len(text) + 1, dtype=np.int32)
             for packed_spans in told.column("spans").to_pylist():
                 if packed_spans is not None:
@@ -356,7 +497,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"][: 6 + with_text]
         return pa.table({c: pa.array([x[i] for x in rows], kinds[i]) for i, c in enumerate(names)})
 
-    return bodies.cogroup(ends_of.groupBy("block")).applyInArrow(cut, fields)
+    return blocks.select("block", "ids", "no_id", "lens", "body").groupBy("block").cogroup(ends_of.groupBy("block")).applyInArrow(cut, fields)
 
 
 def op7_interval_tree(spark, sf_dir: str) -> DataFrame:

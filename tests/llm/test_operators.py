@@ -290,15 +290,65 @@ def test_remove_repeats(docs, none, hot):
 
 @pytest.mark.parametrize("hot", [20_000, 30, 2])
 def test_remove_repeats_of_dense_repeats(spark, hot):
-    rng = np.random.default_rng(8)
-    parts = ["".join(rng.choice(list("abc"), 60)) for _ in range(4)]
-    source = [(int(i), "".join(p[rng.integers(0, 20) :] for p in (parts[k] for k in rng.integers(0, 4, 5)))) for i in rng.permutation(60)]
+    source = dense(8)
     check_repeats(suffix_dedup.remove_repeats(spark.createDataFrame(source, "doc_id long, text string").repartition(5), with_text=True, hot=hot), source)
 
 
 def test_intervals_of_a_suffix_array():
     assert sorted(suffix_dedup.intervals([3, 5, 5, 1, 4], 3)) == [(3, 0, 3), (4, 4, 5), (5, 1, 3)]
-    assert suffix_dedup.longest_left([5, 2, 9, 2], [4, 7, 1]) == [4, -1, 7, -1]
+    assert sorted(suffix_dedup.intervals([0, 2, 0], 0)) == [(0, 0, 3), (2, 1, 2)]
+
+
+def dense(seed, n=60):
+    rng = np.random.default_rng(seed)
+    parts = ["".join(rng.choice(list("abc"), 60)) for _ in range(4)]
+    return [(int(i), "".join(p[rng.integers(0, 20) :] for p in (parts[k] for k in rng.integers(0, 4, 5)))) for i in rng.permutation(n)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 12])
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeat_groups(spark, seed, hot):
+    """Each group is maximal and has all occurrences of its string; the groups give the removed bytes."""
+    rng = np.random.default_rng(seed)
+    source = dense(seed, 25) + [(100 + i, " ".join(rng.choice(WORDS, 12)) + "\0" * 60 + "end" * i) for i in range(3)] + [(200, None), (201, ""), (202, "é" * 45), (203, "x" + "é" * 45), (204, "copy " * 20), (205, "copy " * 20)]
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
+    texts_ = {i: (t or "").encode() for i, t in source}
+    groups = defaultdict(set)
+    for r in suffix_dedup.repeat_groups(df, hot=hot).collect():
+        groups[r.repeat, r.n_bytes].add((r.doc_id, r.begin))
+    assert len(groups) > 50
+    covered = {i: np.zeros(len(t), bool) for i, t in texts_.items()}
+    strings = set()
+    for (_, n), own in groups.items():
+        (string,) = {texts_[i][b : b + n] for i, b in own}
+        assert len(string) == n >= 50 and len(own) > 1 and string not in strings
+        strings.add(string)
+        assert own == {(i, b) for i, t in texts_.items() for b in range(len(t)) if t.startswith(string, b)}
+        least = min(i for i, _ in own)
+        for i, b in own:
+            covered[i][b : b + n] |= i > least
+        if hot == 20_000 and n < 80:
+            # At a side where it ends inside of its anchor's reach, what comes next differs.
+            sides = [{t[b - 1 : b] if b else i for i, b in own for t in (texts_[i],)}, {texts_[i][b + n : b + n + 1] or i for i, b in own}]
+            assert max(map(len, sides)) > 1
+    for r in suffix_dedup.remove_repeats(df, hot=hot).collect():
+        assert r.n_removed == covered[r.doc_id].sum()
+    check_repeats(suffix_dedup.remove_repeats(df, hot=hot), source)
+
+
+@pytest.mark.parametrize("length, k", [(50, 20), (300, 40), (20, 20)])
+def test_lengths_and_texts_in_pieces(spark, monkeypatch, length, k):
+    source = [(i, t * 3) for i, t in dense(5, 12)]
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(2)
+    check_repeats(suffix_dedup.remove_repeats(df, length=length, k=k), source, length)
+    block = np.frombuffer("".join(t for _, t in source).encode(), np.uint8)
+    ends = np.cumsum([len(t) for _, t in source])
+    starts = ends - [len(t) for _, t in source]
+    want = suffix_dedup.anchors(block, starts, ends, length, k)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 333)
+    assert all((a == b).all() for a, b in zip(suffix_dedup.anchors(block, starts, ends, length, k), want, strict=True))
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, length=1001)
 
 
 # Language models
