@@ -19,24 +19,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents without letters or with no clear language; the model is fitted on labelled rows of its input."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     judged = language_id.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*map(common.col, docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, stays of each group linked by five-word shingles at 0.8."""
-    return jaccard.keep_one(docs).select(*docs.columns)
+    return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which 5 % of the words or more lie in 13-word windows of benchmark items."""
     judged = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    return judged.where(~F.col("contaminated")).select(*map(common.col, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return mixed.select(*docs.columns)
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.select(*map(common.col, docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*map(common.col, docs.columns))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again.
+
+    What a stage wrote for itself is deleted when its result is written, and a result when the next one is.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = common.new_path(spark, f"stage-{name}")
+        with common.scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        common.discard(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs._written_path = path
     return STAGES[-1][1](spark, docs, sf_dir)
