@@ -109,15 +109,36 @@ def examples_union(candidates: DataFrame, forward: bool = True) -> DataFrame:
 
 
 def balanced_batches(examples: DataFrame, seed: int = 7) -> DataFrame:
-    """As many positives as negatives in random order, side by side: batch position, truth and the example."""
+    """As many positives as negatives in random order, side by side: batch position, truth and the example.
+
+    The order is that of the MD5 of seed and example.  Examples are ranked in 256 ranges of it, whose counts give
+    each range's first rank, so that no task orders all examples of a kind.
+    """
     known = examples.where("truth in ('positive', 'negative')")
-    order = Window.partitionBy("truth").orderBy(F.xxhash64(F.lit(seed), "label_one", "label_two", *AXES))
-    ranked = known.withColumn("_k", F.row_number().over(order) - 1)
+    known = known.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "label_one", "label_two", *AXES).cast("binary"))).withColumn("_range", F.substring("_h", 1, 2))
+    ranges = known.groupBy("truth", "_range").agg(F.count("*").alias("_c"))
+    first = F.coalesce(F.sum("_c").over(Window.partitionBy("truth").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.partitionBy("truth", "_range").orderBy("_h")
+    ranked = known.withColumn("_i", F.row_number().over(order) - 1).join(ranges.select("truth", "_range", first.alias("_first")), ["truth", "_range"])
+    ranked = ranked.withColumn("_k", F.col("_i") + F.col("_first")).drop("_h", "_range", "_i", "_first")
     sizes = known.groupBy("truth").agg(F.count("*").alias("_n")).agg(F.when(F.count("*") == 2, F.min("_n")).otherwise(0).alias("_least"))
     both = ranked.crossJoin(F.broadcast(sizes)).where("_k < _least")  # one row
     return both.withColumn("position", 2 * F.col("_k") + (F.col("truth") == "negative").cast("int")).drop("_k", "_least")
 
 
+def restricted(examples: DataFrame, names: tuple[str, ...], subset: str, kind: str = "nodes", file: str = "file") -> DataFrame:
+    """Examples of files whose name holds all of `names`, for fine-tuning on a dataset.
+
+    Of nodes, the subset `validation` is read from `training`; of edges, files of `reduced-nodes` are left out.
+    """
+    held = F.lit(True)
+    for n in names:
+        held = held & F.col(file).contains(n)
+    if kind == "edges":
+        held = held & ~F.col(file).contains("reduced-nodes")
+    return examples.where(held & (F.col("subset") == ("training" if kind == "nodes" and subset == "validation" else subset)))
+
+
 def merge_nodes(pairs: DataFrame, small: DataFrame, label_one: str = "label_one", label_two: str = "label_two") -> DataFrame:
     """(label, mapped): each small label goes to its large neighbour of the highest p unless that is below 0.5; others stay."""
     from lattica.operators.neighbors import best_large_neighbour

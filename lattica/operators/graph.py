@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.neighbors import OFFSETS_26, neighbour_pairs
 from lattica.operators.voxel import map_labels
-from lattica.plans.components import connected_components
+from lattica.plans.bricks import local_components
+from lattica.plans.components import connected_components, ensure_checkpoint_dir
+from lattica.plans.joins import join_counted
 
 def union_edges(edges: DataFrame, keep, one: str = "v1", two: str = "v2") -> DataFrame:
     """(label, mapped): each vertex and the smallest one that it reaches over kept edges."""
@@ -43,14 +45,26 @@ def collapse_graph(voxels: DataFrame, mapping: DataFrame, label: str = "label")
     return map_labels(voxels, mapping, label)
 
 
+def _with_components(voxels: DataFrame, label: str) -> DataFrame:
+    """Voxels of labels other than 0, all columns, with _component: the first voxel of their 26-connected component.
+
+    Components are found inside of bricks; only voxels at the bricks' faces are links of the graph over bricks.
+    """
+    ensure_checkpoint_dir(voxels.sparkSession)
+    local = local_components(voxels, label).checkpoint()
+    links = local.where("_halo or _near").select(F.col("iv").alias("a"), F.col("_root").alias("b"))
+    found = connected_components(links).select(F.col("v").alias("_root"), F.col("root").alias("_first"))
+    own = local.where("not _halo").drop("_halo", "_near")
+    # One component may hold a good part of all voxels.
+    sizes = own.groupBy("_root").agg(F.count("*").alias("_n")).join(found, "_root", "left").select("_root", "_n", F.coalesce("_first", "_root").alias("_component")).checkpoint()
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    return join_counted(own, sizes, ["_root"], "_n", total).drop("_root", "_n")
+
+
 def voxel_components(voxels: DataFrame, label: str = "label") -> DataFrame:
     """(iv, label, component): 26-connected components of equal labels other than 0, named by their first voxel."""
-    own = voxels.where(F.col(label) != 0)
-    half = OFFSETS_26[13:]
-    edges = neighbour_pairs(own, half, ["iv"], [label]).select(F.col("iv").alias("a"), F.col("n_iv").alias("b"))
-    edges = edges.unionByName(own.select(F.col("iv").alias("a"), F.col("iv").alias("b")))
-    found = connected_components(edges)
-    return own.select("iv", F.col(label).alias("label")).join(found.select(F.col("v").alias("iv"), F.col("root").alias("component")), "iv")
+    own = _with_components(voxels.select("iv", "z", "y", "x", label), label)
+    return own.select("iv", F.col(label).alias("label"), F.col("_component").alias("component"))
 
 
 def components_per_label(voxels: DataFrame, label: str = "label") -> DataFrame:
@@ -62,8 +76,8 @@ def force_connectivity(voxels: DataFrame, label: str = "label") -> DataFrame:
 
     Numbers are a rank inside the label plus the number of extra components of smaller labels.
     """
-    own = voxel_components(voxels, label)
-    parts = own.select("label", "component").distinct()
+    own = _with_components(voxels, label)
+    parts = own.groupBy(F.col(label).alias("label"), F.col("_component").alias("component")).agg(F.count("*").alias("_n")).checkpoint()
     rank = F.row_number().over(Window.partitionBy("label").orderBy("component")) - 1
     ranked = parts.withColumn("rank", rank)
     extra = ranked.groupBy("label").agg((F.count("*") - 1).alias("extra")).withColumn("_range", F.floor(F.col("label") / 1_000_000))
@@ -73,40 +87,52 @@ def force_connectivity(voxels: DataFrame, label: str = "label") -> DataFrame:
     offsets = extra.withColumn("_in", inside).join(ranges, "_range").select("label", (F.col("_in") + F.col("_o")).alias("offset"))
     top = voxels.agg(F.max(label).alias("top"))
     names = ranked.join(offsets, "label").crossJoin(F.broadcast(top))  # one row
-    names = names.select("component", F.when(F.col("rank") == 0, F.col("label")).otherwise(F.col("top") + F.col("offset") + F.col("rank")).alias("new"))
-    joined = own.join(names, "component").select(F.col("iv").alias("_iv"), "new")
-    return voxels.join(joined, F.col("iv") == F.col("_iv"), "left").withColumn(label, F.coalesce("new", F.col(label))).drop("_iv", "new")
+    names = names.select(F.col("component").alias("_component"), F.col("_n"), F.when(F.col("rank") == 0, F.col("label")).otherwise(F.col("top") + F.col("offset") + F.col("rank")).alias("_new")).checkpoint()
+    total = names.agg(F.sum("_n")).first()[0] or 0
+    renamed = join_counted(own, names, ["_component"], "_n", total).withColumn(label, F.col("_new").cast(voxels.schema[label].dataType))
+    return renamed.select(*voxels.columns).unionByName(voxels.where(F.col(label) == 0))
 
 
-def lifted_edges(edges: DataFrame) -> DataFrame:
+def lifted_edges(edges: DataFrame, sources: int = 128) -> DataFrame:
     """(v1, v2, p) for all connected v1 < v2: the largest product of probabilities along a path.
 
-    Parallel edges count by their largest p.  Each component is one group; inside of it shortest paths on -ln p.
+    Parallel edges count by their largest p.  A task has the edges of a component and a block of `sources`
+    vertices, and searches the shortest paths on -ln p from these; its result has a row for each pair.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     own = edges.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "p").where("p > 0 and v1 <> v2")
     own = own.groupBy("v1", "v2").agg(F.max("p").alias("p"))
-    roots = connected_components(own.select(F.col("v1").alias("a"), F.col("v2").alias("b"))).select(F.col("v").alias("v1"), "root")
+    roots = connected_components(own.select(F.col("v1").alias("a"), F.col("v2").alias("b"))).checkpoint()
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / sources).cast("long").alias("blocks"))
+    spread = own.join(roots.withColumnRenamed("v", "v1"), "v1").join(blocks, "root")
+    spread = spread.select("root", "v1", "v2", "p", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, p in zip(pdf.v1, pdf.v2, pdf.p, strict=True):
-            near.setdefault(a, []).append((b, p))
-            near.setdefault(b, []).append((a, p))
-        rows = []
-        for source in sorted(near):
-            best, heap = {}, [(-1.0, source)]
+        names, place = np.unique(np.concatenate([pdf.v1.to_numpy(), pdf.v2.to_numpy()]), return_inverse=True)
+        near: list[list[tuple[int, float]]] = [[] for _ in names]
+        for a, b, p in zip(place[: len(pdf)].tolist(), place[len(pdf) :].tolist(), pdf.p.tolist(), strict=True):
+            near[a].append((b, p))
+            near[b].append((a, p))
+        # Vertices are dealt to blocks by their place, so that those with many larger ones are spread.
+        found = []
+        for source in range(int(pdf.block.iloc[0]), len(names), int(pdf.blocks.iloc[0])):
+            best, heap = [-1.0] * len(names), [(-1.0, source)]
             while heap:
                 p, v = heapq.heappop(heap)
-                if v in best:
+                if best[v] >= 0:
                     continue
                 best[v] = -p
                 for w, q in near[v]:
-                    if w not in best:
+                    if best[w] < 0:
                         heapq.heappush(heap, (p * q, w))
-            rows += [(source, v, p) for v, p in best.items() if v > source]
-        return pd.DataFrame(rows, columns=["v1", "v2", "p"])
-
-    return own.join(roots, "v1").groupBy("root").applyInPandas(paths, "v1 long, v2 long, p double")
+            after = np.array(best[source + 1 :])
+            other = np.flatnonzero(after >= 0)
+            found.append((np.full(len(other), names[source]), names[source + 1 + other], after[other]))
+        if not found:
+            return pd.DataFrame({"v1": [], "v2": [], "p": []})
+        return pd.DataFrame(dict(zip(("v1", "v2", "p"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return spread.groupBy("root", "block").applyInPandas(paths, "v1 long, v2 long, p double")
 
 
 def voxel_geodesic(voxels: DataFrame, label: str = "label", penalty: str | None = None) -> DataFrame:

@@ -160,6 +160,32 @@ def thin(points: np.ndarray) -> np.ndarray:
             return np.array([p in live for p in places])
 
 
+def medial(points: np.ndarray) -> np.ndarray:
+    """Mask of the points that stay on the medial axis: what directional thinning leaves when line ends are kept.
+
+    Rounds over the six face directions: border points with more than one neighbour that are simple are noted,
+    then checked again one by one (also for being an end by now) and removed.
+    """
+    box, low = grid_of(points, 2)
+    places = [tuple(p) for p in (points - low).tolist()]
+    live, topology = set(places), Topology()
+
+    def goes(p) -> bool:
+        around = box[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
+        return around.sum() > 2 and topology.of(around)[0]
+
+    while True:
+        before = len(live)
+        for a, b, c in FACES:
+            border = [p for p in sorted(live) if not box[p[0] + a, p[1] + b, p[2] + c] and goes(p)]
+            for p in border:
+                if goes(p):
+                    box[p] = False
+                    live.discard(p)
+        if len(live) == before:
+            return np.array([p in live for p in places])
+
+
 def few_neighbours(points: np.ndarray) -> np.ndarray:
     """Endpoints: at most 2 occupied voxels in the 3x3x3 around, the voxel itself counted."""
     index = {tuple(p) for p in points.tolist()}
@@ -215,12 +241,34 @@ def teaser(points: np.ndarray, scale: float = 1.3, buffer: float = 2.0) -> np.nd
     return skeleton
 
 
-def has_path(points: np.ndarray, a: tuple, b: tuple, expansion: float = 1.5) -> bool:
+def pairs_within(points: list[tuple], reach: int) -> list[tuple[int, int]]:
+    """Pairs i < j of points at most `reach` apart on each axis, through cells of that size."""
+    cells: dict[tuple, list[int]] = {}
+    size, out = reach + 1, []
+    for j, p in enumerate(points):
+        at = tuple(v // size for v in p)
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                for c in (-1, 0, 1):
+                    out += [(i, j) for i in cells.get((at[0] + a, at[1] + b, at[2] + c), ()) if max(abs(u - v) for u, v in zip(points[i], p, strict=True)) <= reach]
+        cells.setdefault(at, []).append(j)
+    return out
+
+
+def lonely(inside: set[tuple], points: list[tuple], reach: int = 3, expansion: float = 1.5) -> np.ndarray:
+    """Points with fewer than 2 others that are at most `reach` away on each axis and that A* reaches inside the set."""
+    n = np.zeros(len(points), dtype=int)
+    for i, j in pairs_within(points, reach):
+        if has_path(inside, points[i], points[j], expansion):
+            n[[i, j]] += 1
+    return n < 2
+
+
+def has_path(inside: set[tuple], a: tuple, b: tuple, expansion: float = 1.5) -> bool:
     """A* between two voxels inside a set of points; given up when the estimate passes expansion * first estimate.
 
     Steps and the estimate are squared Euclidean lengths.
     """
-    inside = {tuple(p) for p in points.tolist()}
     h = lambda p: sum((u - v) ** 2 for u, v in zip(p, b, strict=True))
     first, heap, cost = h(a), [(h(a), 0, a)], {a: 0}
     while heap:

@@ -36,8 +36,22 @@ def variation_of_information(table: DataFrame) -> DataFrame:
     return s.select(F.round(ratio(F.col("s") - F.col("c"), F.col("n")), 6).alias("vi_merge"), F.round(ratio(F.col("t") - F.col("c"), F.col("n")), 6).alias("vi_split"))
 
 
-def adapted_rand(voxels: DataFrame, seg: str = "label", gold: str = "gold") -> DataFrame:
-    """Adapted Rand error, precision and recall; gold 0 is left out, seg 0 counts as single voxels."""
+def prepared(voxels: DataFrame, dilate: int = 0, least: int = 0, seg: str = "label", gold: str = "gold") -> DataFrame:
+    """Voxels for an evaluation: labels of both kinds with fewer than `least` voxels become 0, then gold within
+    `dilate` of a boundary in its plane."""
+    from lattica.operators.neighbors import dilate_gold
+    from lattica.operators.voxel import remove_small
+
+    out = remove_small(remove_small(voxels, least, seg), least, gold)
+    return dilate_gold(out, dilate, gold) if dilate else out
+
+
+def adapted_rand(voxels: DataFrame, seg: str = "label", gold: str = "gold", dilate: int = 0, least: int = 0) -> DataFrame:
+    """Adapted Rand error, precision and recall; gold 0 is left out, seg 0 counts as single voxels.
+
+    `dilate` and `least` are those of `prepared`.
+    """
+    voxels = prepared(voxels, dilate, least, seg, gold)
     table = contingency(voxels, (), seg, gold)
     n = table.agg(F.sum("n").alias("n"))
     own = table.where("gold > 0")

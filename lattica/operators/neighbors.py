@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AXES = ("z", "y", "x")
+from lattica.plans.bricks import AXES, face_rows, face_sums
+
 OFFSETS_26 = tuple((dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) != (0, 0, 0))
 
 
@@ -29,35 +30,22 @@ def neighbour_pairs(voxels: DataFrame, offsets, columns: list[str], by: list[str
 
 def face_pairs(voxels: DataFrame, label: str = "label", extra: list[str] | None = None) -> DataFrame:
     """Faces between voxels of different labels: axis (z, y or x), the lower voxel and its upper neighbour."""
-    columns = list(dict.fromkeys(["iv", *AXES, label, *(extra or [])]))
-    forward = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
-    pairs = neighbour_pairs(voxels, forward, columns).where(F.col(label) != F.col(f"n_{label}"))
-    return pairs.withColumn("axis", F.element_at(F.array(*map(F.lit, AXES)), F.col("k") + 1)).drop("k")
-
-
-def _normal(faces: DataFrame, label: str) -> DataFrame:
-    return faces.withColumn("label_one", F.least(label, f"n_{label}")).withColumn("label_two", F.greatest(label, f"n_{label}"))
+    return face_rows(voxels, label, list(dict.fromkeys(["iv", *AXES, label, *(extra or [])])))
 
 
 def adjacency(voxels: DataFrame, label: str = "label") -> DataFrame:
     """Distinct pairs of touching labels, 0 left out."""
-    own = voxels.where(F.col(label) != 0)
-    return _normal(face_pairs(own, label), label).select("label_one", "label_two").distinct()
+    return face_sums(voxels.where(F.col(label) != 0), label).select("label_one", "label_two")
 
 
 def middle_boundary(voxels: DataFrame, label: str = "label") -> DataFrame:
     """Mean of the face midpoints of each pair, 0 included.  Doubled coordinates keep the sums exact."""
-    faces = _normal(face_pairs(voxels, label), label)
-    sums = [F.sum(2 * F.col(a) + (F.col("axis") == a).cast("long")).alias(f"_{a}") for a in AXES]
-    out = faces.groupBy("label_one", "label_two").agg(F.count("*").alias("n"), *sums)
-    return out.select("label_one", "label_two", "n", *[(F.col(f"_{a}") / (2.0 * F.col("n"))).alias(f"{a}_mean") for a in AXES])
+    return face_sums(voxels, label).select("label_one", "label_two", "n", *[(F.col(f"s{a}") / (2.0 * F.col("n"))).alias(f"{a}_mean") for a in AXES])
 
 
 def mean_affinity(voxels: DataFrame, label: str = "label", scale: float = 1000.0) -> DataFrame:
     """Mean affinity of each pair: the lower voxel's channel of the face's axis, in units of 1 / scale."""
-    faces = _normal(face_pairs(voxels, label, ["aff_z", "aff_y", "aff_x"]), label)
-    own = F.when(F.col("axis") == "z", F.col("aff_z")).when(F.col("axis") == "y", F.col("aff_y")).otherwise(F.col("aff_x"))
-    out = faces.groupBy("label_one", "label_two").agg(F.count("*").alias("n"), F.sum(own).alias("total"))
+    out = face_sums(voxels, label, ["aff_z", "aff_y", "aff_x"])
     return out.select("label_one", "label_two", "n", "total", (F.col("total") / (F.col("n") * scale)).alias("affinity"))
 
 

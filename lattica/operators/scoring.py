@@ -1,7 +1,8 @@
 """Scoring candidates: a small 3-D convolutional network run in numpy, and a classifier trained by Spark.
 
-A network is a list of layers with their weights, as plain data.  The engine runs it over Arrow batches; it does not
-train it.  What Spark trains instead is a logistic regression on features that a cube's counts give.
+A network is a list of layers with their weights, as plain data; `node_network` and `edge_network` lay out the two
+architectures.  The engine runs a network over Arrow batches; it does not train it.  What Spark trains instead is a
+logistic regression on features that a cube's counts give, from zero or (`finetune`) from another one's weights.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,49 @@ class Network:
     layers: list[Layer] = field(default_factory=list)
 
 
+def _layers(channels: int, width, filters, pools, same: bool, seed: int, hidden: int = 512) -> list[Layer]:
+    """Blocks of two 3x3x3 convolutions and a pooling, then a hidden layer and one sigmoid output; uniform first weights."""
+    rng = np.random.default_rng(seed)
+
+    def weights(shape, fan: int) -> np.ndarray:
+        return rng.uniform(-1, 1, shape) * np.sqrt(6.0 / fan)
+
+    out, size, have = [], list(width), channels
+    for n, pool in zip(filters, pools, strict=True):
+        for _ in range(2):
+            out.append(Layer("conv", weights((n, have, 3, 3, 3), 27 * (have + n)), np.zeros(n), activation="leaky", same=same))
+            size, have = [s if same else s - 2 for s in size], n
+        out.append(Layer("pool", size=pool))
+        size = [s // p for s, p in zip(size, pool, strict=True)]
+    if min(size) < 1:
+        raise ValueError(f"a cube of {tuple(width)} is too small for {len(filters)} blocks")
+    flat = have * int(np.prod(size))
+    return [*out, Layer("flatten"), Layer("dense", weights((flat, hidden), flat + hidden), np.zeros(hidden), activation="leaky"),
+            Layer("dense", weights((hidden, 1), hidden + 1), np.zeros(1), activation="sigmoid")]
+
+
+def node_network(channels: int, width, filters=(16, 32, 64), seed: int = 0, hidden: int = 512) -> Network:
+    """Three or four blocks without padding; planes are pooled in the last blocks only."""
+    pools = [(1, 2, 2), (1, 2, 2), (2, 2, 2), (2, 2, 2)][: len(filters)]
+    return Network(channels, tuple(width), _layers(channels, width, filters, pools, False, seed, hidden))
+
+
+def edge_network(channels: int, width, filters=(16, 32, 64), seed: int = 0, hidden: int = 512) -> Network:
+    """Three blocks or more with padding; planes are pooled from the fourth block on."""
+    pools = [(1, 2, 2)] * min(3, len(filters)) + [(2, 2, 2)] * (len(filters) - 3)
+    return Network(channels, tuple(width), _layers(channels, width, filters, pools, True, seed, hidden))
+
+
+def network_log(network: Network, parameters: dict) -> str:
+    """A line for each layer with the shapes of its input and output, then one for each parameter."""
+    x, lines = np.zeros((1, network.channels, *network.width)), []
+    for k, layer in enumerate(network.layers):
+        y = forward(Network(network.channels, network.width, [layer]), x)
+        lines.append(f"{layer.kind}_{k + 1} {x.shape[1:]} -> {y.shape[1:]}")
+        x = y
+    return "\n".join([*lines, "", *(f"{k}: {v}" for k, v in parameters.items())]) + "\n"
+
+
 def activate(x: np.ndarray, kind: str) -> np.ndarray:
     if kind == "relu":
         return np.maximum(x, 0)
@@ -111,6 +155,56 @@ def score_trained(examples: DataFrame, model) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")[1]).withColumn("features", F.col("_f")).drop("_f", "rawPrediction", "probability", "prediction")
 
 
+@dataclass(frozen=True)
+class Linear:
+    """Weights of features, a bias, and (epoch, loss, accuracy) of the training."""
+
+    weights: np.ndarray
+    bias: float
+    losses: tuple[tuple[int, float, float], ...] = ()
+
+
+def finetune(examples: DataFrame, start: Linear | None = None, epochs: int = 20, rate: float = 1.0, truth: str = "truth") -> Linear:
+    """Logistic regression on `features` by full-batch gradient descent, from the weights of `start` or from zero.
+
+    An epoch is one pass over the examples; each batch of rows gives its gradient's sum, and these sums come to the
+    driver.
+    """
+    spark = examples.sparkSession
+    data = examples.where(F.col(truth).isin("positive", "negative")).select("features", (F.col(truth) == "positive").cast("double").alias("y"))
+    size = len(start.weights) if start else len(data.select("features").first()[0])
+    w, losses = np.r_[start.weights, start.bias] if start else np.zeros(size + 1), list(start.losses) if start else []
+    for epoch in range(epochs):
+        sent = spark.sparkContext.broadcast(w)
+
+        def gradient(batches, sent=sent):
+            for pdf in batches:
+                x = np.column_stack([np.stack(pdf.features.to_list()), np.ones(len(pdf))])
+                y, p = pdf.y.to_numpy(), 1 / (1 + np.exp(-x @ sent.value))
+                loss = -(y * np.log(np.maximum(p, 1e-12)) + (1 - y) * np.log(np.maximum(1 - p, 1e-12))).sum()
+                yield pd.DataFrame({"k": range(size + 4), "v": [*((p - y) @ x), loss, float(((p > 0.5) == (y > 0.5)).sum()), float(len(y))]})
+
+        sums = {r.k: r.v for r in data.mapInPandas(gradient, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        n = sums.get(size + 3, 0.0)
+        if not n:
+            break
+        w = w - rate / n * np.array([sums[k] for k in range(size + 1)])
+        losses.append((len(losses) + 1, sums[size + 1] / n, sums[size + 2] / n))
+    return Linear(w[:-1], float(w[-1]), tuple(losses))
+
+
+def loss_table(spark: SparkSession, model: Linear) -> DataFrame:
+    """(epoch, loss, accuracy) of a training, for plots."""
+    return spark.createDataFrame(list(model.losses), "epoch int, loss double, accuracy double")
+
+
+def score_linear(examples: DataFrame, model: Linear) -> DataFrame:
+    """`examples` and p by weights and bias."""
+    products = F.zip_with("features", F.array(*[F.lit(float(v)) for v in model.weights]), lambda x, v: x * v)
+    z = F.aggregate(products, F.lit(float(model.bias)), lambda a, x: a + x)
+    return examples.withColumn("p", 1 / (1 + F.exp(-z)))
+
+
 def edge_forward(scored: DataFrame) -> DataFrame:
     """The confusion record of scored candidates of known truth: a pair is called positive above 0.5."""
     from lattica.operators.metrics import confusion_matrix

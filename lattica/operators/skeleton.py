@@ -56,14 +56,10 @@ def upsample_endpoints(points: DataFrame, voxels: DataFrame, label: str = "label
     marked = both.join(points.select("label", F.col("up_iv").alias("iv")).withColumn("point", F.lit(True)), ["label", "iv"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside, own = pdf[list(AXES)].to_numpy(), pdf[pdf.point.notna()]
+        own = pdf[pdf.point.notna()]
         at = [tuple(p) for p in own[list(AXES)].to_numpy().tolist()]
-        n = np.zeros(len(at), dtype=int)
-        for i in range(len(at)):
-            for j in range(i + 1, len(at)):
-                if max(abs(u - v) for u, v in zip(at[i], at[j], strict=True)) <= reach and kernels.has_path(inside, at[i], at[j], expansion):
-                    n[[i, j]] += 1
-        return pd.DataFrame({"label": own.label, "iv": own.iv, "is_endpoint": n < 2})
+        inside = {tuple(p) for p in pdf[list(AXES)].to_numpy().tolist()}
+        return pd.DataFrame({"label": own.label, "iv": own.iv, "is_endpoint": kernels.lonely(inside, at, reach, expansion)})
 
     return marked.groupBy("label").applyInPandas(run, "label long, iv long, is_endpoint boolean")
 
@@ -73,20 +69,30 @@ def _per_label(voxels: DataFrame, label: str, run, schema: str) -> DataFrame:
     return own.groupBy("label").applyInPandas(lambda pdf: run(pdf.sort_values("iv", ignore_index=True)), schema)
 
 
-def thinning(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """(label, iv, is_endpoint) of each label's curve skeleton by topological thinning."""
-
+def _curve(kernel):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf[list(AXES)].to_numpy()
-        stays = kernels.thin(points)
+        stays = kernel(points)
         left = pdf[stays]
         return pd.DataFrame({"label": left.label, "iv": left.iv, "is_endpoint": kernels.few_neighbours(points[stays])})
 
-    return _per_label(voxels, label, run, "label long, iv long, is_endpoint boolean")
+    return run
+
+
+def thinning(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """(label, iv, is_endpoint) of each label's curve skeleton by topological thinning that keeps isthmuses."""
+    return _per_label(voxels, label, _curve(kernels.thin), "label long, iv long, is_endpoint boolean")
+
+
+def medial_axis(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """(label, iv, is_endpoint) of each label's medial axis: directional thinning that keeps line ends."""
+    return _per_label(voxels, label, _curve(kernels.medial), "label long, iv long, is_endpoint boolean")
 
 
-#: Medial axes share the thinning kernel: a curve skeleton with the same endpoint rule.
-medial_axis = thinning
+def skeleton_pairs(skeleton: DataFrame) -> DataFrame:
+    """(label, iv, n_iv): points of a skeleton that touch, each pair once, the smaller index first."""
+    pairs = neighbour_pairs(skeleton, OFFSETS_26[13:], ["iv", "label"], ["label"])
+    return pairs.select("label", F.least("iv", "n_iv").alias("iv"), F.greatest("iv", "n_iv").alias("n_iv"))
 
 
 def teaser(voxels: DataFrame, label: str = "label", scale: float = 1.3, buffer: float = 2.0) -> DataFrame:

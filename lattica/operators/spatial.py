@@ -9,44 +9,60 @@ from pyspark.sql import functions as F
 
 from lattica.geometry import Geometry
 from lattica.operators.neighbors import AXES, face_pairs
+from lattica.plans.components import ensure_checkpoint_dir
 
 CONE = math.cos(0.3216)
 
 
-def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[str] | None = None) -> DataFrame:
+def _around(half: bool) -> list[tuple[int, int, int]]:
+    """Offsets to the cell itself and its neighbours; with `half` to one of each two that are opposite."""
+    cells = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    return [o for o in cells if o >= (0, 0, 0)] if half else cells
+
+
+def _cell(axis: str, size):
+    return F.floor(F.col(axis) / F.lit(size)).cast("long")
+
+
+def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[str] | None = None, half: bool = False) -> DataFrame:
     """Pairs of rows in the same or neighbouring cells of the given sizes, so all pairs within `sizes` on each axis.
 
     `left` is exploded into its 27 cells and meets `right` in one equi-join, so a pure range predicate never
-    becomes a nested loop.  Columns of `right` are named n_*.  `by` are columns that must agree as well.
+    becomes a nested loop.  Columns of `right` are named n_*.  `by` are columns that must agree as well.  With
+    `half` (both sides are the same table) 14 cells do: rows of different cells meet once, in either order, and
+    `_same` says that both are in one cell, where they meet in both orders.
     """
     by = by or []
-    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate((a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    cell = lambda a, s: F.floor(F.col(a) / F.lit(s)).cast("long")
+    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)], F.lit(o == (0, 0, 0)).alias("same")) for o in _around(half)])
     l = left.withColumn("_o", F.explode(around))
     for i, (a, s) in enumerate(zip(axes, sizes, strict=True)):
-        l = l.withColumn(f"_c{i}", cell(a, s) + F.col(f"_o.d{i}"))
-    l = l.drop("_o")
-    r = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns], *[cell(a, s).alias(f"_r{i}") for i, (a, s) in enumerate(zip(axes, sizes, strict=True))])
+        l = l.withColumn(f"_c{i}", _cell(a, s) + F.col(f"_o.d{i}"))
+    l = l.withColumn("_same", F.col("_o.same")).drop("_o") if half else l.drop("_o")
+    r = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns], *[_cell(a, s).alias(f"_r{i}") for i, (a, s) in enumerate(zip(axes, sizes, strict=True))])
     on = (F.col("_c0") == F.col("_r0")) & (F.col("_c1") == F.col("_r1")) & (F.col("_c2") == F.col("_r2"))
     for c in by:
         on = on & (F.col(c) == F.col(f"n_{c}"))
     return l.join(r, on).drop(*[f"_{k}{i}" for k in "cr" for i in range(3)])
 
 
+def _gap():
+    return sum(((F.col(a) - F.col(f"n_{a}")) ** 2 for a in AXES), F.lit(0))
+
+
 def points_within(points: DataFrame, radius: int) -> DataFrame:
     """(id, n_id) of all pairs of points at most `radius` apart, id < n_id."""
-    pairs = binned_join(points.select("id", *AXES), points.select("id", *AXES), (radius,) * 3)
-    gap = sum(((F.col(a) - F.col(f"n_{a}")) ** 2 for a in AXES), F.lit(0))
-    return pairs.where(F.col("id") < F.col("n_id")).where(gap <= radius * radius).select("id", "n_id")
+    own = points.select("id", *AXES)
+    pairs = binned_join(own, own, (radius,) * 3, half=True).where((F.col("id") < F.col("n_id")) | ~F.col("_same")).where(_gap() <= radius * radius)
+    return pairs.where("id <> n_id").select(F.least("id", "n_id").alias("id"), F.greatest("id", "n_id").alias("n_id"))
 
 
 def endpoint_pair_match(endpoints: DataFrame, geometry: Geometry, distance: int = 800, angle: float = -1 / math.sqrt(2)) -> DataFrame:
     """Distinct pairs of labels with endpoints at most `distance` nm apart and vectors that point at each other."""
-    points = endpoints.select("label", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)], "vz", "vy", "vx")
-    pairs = binned_join(points, points, (distance,) * 3).where(F.col("label") < F.col("n_label"))
-    gap = sum(((F.col(a) - F.col(f"n_{a}")) ** 2 for a in AXES), F.lit(0))
+    ensure_checkpoint_dir(endpoints.sparkSession)
+    points = endpoints.select("label", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)], "vz", "vy", "vx").checkpoint()
+    pairs = binned_join(points, points, (distance,) * 3, half=True).where(F.col("label") != F.col("n_label"))
     dot = sum((F.col(f"v{a}") * F.col(f"n_v{a}") for a in AXES), F.lit(0.0))
-    return pairs.where((gap <= distance * distance) & (dot <= angle)).select(F.col("label").alias("label_one"), F.col("n_label").alias("label_two")).distinct()
+    return pairs.where((_gap() <= distance * distance) & (dot <= angle)).select(F.least("label", "n_label").alias("label_one"), F.greatest("label", "n_label").alias("label_two")).distinct()
 
 
 def medial_axis_baseline(pairs: DataFrame, n_positive: int) -> DataFrame:
@@ -68,30 +84,48 @@ def _aimed(endpoints: DataFrame) -> DataFrame:
     return endpoints.where("vz * vz + vy * vy + vx * vx >= 0.5").select("label", "iv", *AXES, "vz", "vy", "vx")
 
 
-def endpoint_cone(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
-    """(label, iv, neighbour): labels with a voxel at most `distance` nm from an endpoint inside its cone."""
+def _near(aimed: DataFrame, voxels: DataFrame, sizes, label: str) -> DataFrame:
+    """Voxels of labels other than 0 in the cells around endpoints: their windows and one voxel more."""
+    sizes = [s + 1 for s in sizes]
+    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)]) for o in _around(False)])
+    cells = aimed.withColumn("_o", F.explode(around)).select(*[(_cell(a, s) + F.col(f"_o.d{i}")).alias(f"_c{i}") for i, (a, s) in enumerate(zip(AXES, sizes, strict=True))]).distinct()
+    on = (_cell("z", sizes[0]) == F.col("_c0")) & (_cell("y", sizes[1]) == F.col("_c1")) & (_cell("x", sizes[2]) == F.col("_c2"))
+    return voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), "iv", *AXES).join(cells, on, "left_semi")
+
+
+def _in_cone(aimed: DataFrame, near: DataFrame, geometry: Geometry, distance: int) -> DataFrame:
     sizes, inside = _window(geometry, distance)
-    own = voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), *AXES)
-    pairs = binned_join(_aimed(endpoints), own, sizes).where(inside & (F.col("label") != F.col("n_label")))
+    pairs = binned_join(aimed, near.select("label", *AXES), sizes).where(inside & (F.col("label") != F.col("n_label")))
     step = {a: (F.col(f"n_{a}") - F.col(a)) * F.lit(r) for a, r in zip(AXES, geometry.resolution, strict=True)}
     squared = sum((step[a] * step[a] for a in AXES), F.lit(0))
     # dot(v, offset) / |offset| >= cos, without a division
     dot = sum((F.col(f"v{a}") * step[a] for a in AXES), F.lit(0.0))
-    near = (squared <= distance * distance) & (squared > 0) & (dot >= CONE * F.sqrt(squared.cast("double")))
-    return pairs.where(near).select("label", "iv", F.col("n_label").alias("neighbour")).distinct()
+    hit = (squared <= distance * distance) & (squared > 0) & (dot >= CONE * F.sqrt(squared.cast("double")))
+    return pairs.where(hit).select("label", "iv", F.col("n_label").alias("neighbour")).distinct()
+
+
+def endpoint_cone(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
+    """(label, iv, neighbour): labels with a voxel at most `distance` nm from an endpoint inside its cone."""
+    sizes, _ = _window(geometry, distance)
+    ensure_checkpoint_dir(endpoints.sparkSession)
+    aimed = _aimed(endpoints).checkpoint()
+    return _in_cone(aimed, _near(aimed, voxels, sizes, label), geometry, distance)
 
 
 def endpoint_traversal(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
     """(label, iv, neighbour, z, y, x): neighbours in the cone that touch the endpoint's label inside its window.
 
     The place is the mean of the midpoints of the faces between both labels whose lower voxel is in the window,
-    cut to whole numbers.
+    cut to whole numbers.  Only voxels around endpoints are looked at, and read once.
     """
     sizes, inside = _window(geometry, distance)
-    faces = face_pairs(voxels.where(F.col(label) != 0), label)
+    ensure_checkpoint_dir(endpoints.sparkSession)
+    aimed = _aimed(endpoints).checkpoint()
+    near = _near(aimed, voxels, sizes, label).checkpoint()
+    faces = face_pairs(near)
     axis = [(2 * F.col(a) + (F.col("axis") == a).cast("long")).alias(f"m{a}") for a in AXES]
-    both = [(label, f"n_{label}"), (f"n_{label}", label)]
-    sided = [faces.select(F.col(own).alias("label"), F.col(other).alias("other"), *AXES, *axis) for own, other in both]
-    pairs = binned_join(_aimed(endpoints), sided[0].unionByName(sided[1]), sizes, by=["label"]).where(inside)
+    sides = F.explode(F.array(F.struct(F.col("label").alias("label"), F.col("n_label").alias("other")), F.struct(F.col("n_label").alias("label"), F.col("label").alias("other"))))
+    sided = faces.select(sides.alias("_s"), *AXES, *axis).select("_s.label", "_s.other", *AXES, *[f"m{a}" for a in AXES])
+    pairs = binned_join(aimed, sided, sizes, by=["label"]).where(inside)
     means = pairs.groupBy("label", "iv", F.col("n_other").alias("neighbour")).agg(*[F.floor(F.sum(f"n_m{a}") / (2 * F.count("*"))).cast("long").alias(a) for a in AXES])
-    return means.join(endpoint_cone(endpoints, voxels, geometry, distance, label), ["label", "iv", "neighbour"])
+    return means.join(_in_cone(aimed, near, geometry, distance), ["label", "iv", "neighbour"])

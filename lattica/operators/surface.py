@@ -31,25 +31,25 @@ def isosurface(points: np.ndarray) -> np.ndarray:
     """Triangles (n x 3 x 3) around a set of voxels, by marching tetrahedra at the half level.
 
     A tetrahedron with one corner apart gives one triangle over the midpoints of its three cut edges, one with two and
-    two gives two.
+    two gives two.  All cubes are taken at once for each tetrahedron and each choice of its inner corners.
     """
     box, low = grid_of(points)
-    out = []
-    for z, y, x in np.argwhere(np.ones(tuple(s - 1 for s in box.shape), dtype=bool)).tolist():
-        cube = box[z : z + 2, y : y + 2, x : x + 2]
-        if cube.all() or not cube.any():
-            continue
-        for corners in tetrahedra():
-            inside = [c for c in corners if cube[c]]
-            outside = [c for c in corners if not cube[c]]
-            middle = [[[(a + b) / 2 for a, b in zip(i, o, strict=True)] for o in outside] for i in inside]
-            at = np.array([z, y, x]) + low
-            if len(inside) in (1, 3):
-                out.append(np.array([m for row in middle for m in row]) + at)
-            elif len(inside) == 2:
+    cubes = tuple(s - 1 for s in box.shape)
+    corner = {c: box[tuple(slice(o, o + n) for o, n in zip(c, cubes, strict=True))] for c in itertools.product((0, 1), repeat=3)}
+    out = [np.zeros((0, 3, 3))]
+    for t in tetrahedra():
+        code = sum(corner[c].astype(np.uint8) << i for i, c in enumerate(t))
+        for mask in range(1, 15):
+            inside, outside = [c for i, c in enumerate(t) if mask >> i & 1], [c for i, c in enumerate(t) if not mask >> i & 1]
+            middle = np.array([[np.add(i, o) / 2 for o in outside] for i in inside])
+            if len(inside) == 2:
                 (a, b), (c, d) = middle
-                out += [np.array([a, b, c]) + at, np.array([b, d, c]) + at]
-    return np.array(out).reshape(-1, 3, 3)
+                shapes = np.array([[a, b, c], [b, d, c]])
+            else:
+                shapes = middle.reshape(1, 3, 3)
+            at = np.argwhere(code == mask) + low
+            out += [at[:, None, :] + s for s in shapes]
+    return np.concatenate(out)
 
 
 def marching(voxels: DataFrame, resolution=(30, 15, 15), rate: int = 1, scale: float = 500.0, label: str = "label") -> DataFrame:

@@ -94,6 +94,11 @@ def rgb_decode(df: DataFrame) -> DataFrame:
     return df.withColumn("label", (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long"))
 
 
+def grey_rgb(df: DataFrame, image: str = "image") -> DataFrame:
+    """The grey value of a voxel as its red, green and blue."""
+    return df.withColumns({n: F.col(image) for n in "rgb"})
+
+
 def overlay(df: DataFrame, alpha: float = 0.5, label: str = "label", image: str = "image") -> DataFrame:
     """Label colours over a grey image; black labels show the image; values are cut to whole numbers."""
     colours = colorize(F.col(label))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica import fixtures as fx
-from lattica.operators import features, graph, metrics, neighbors, partition, scoring, skeleton, spatial, surface, truth, voxel
+from lattica.operators import features, graph, metrics, neighbors, partition, scoring, skeleton, spatial, surface, sweep, truth, voxel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -13,11 +13,13 @@ OUT, WIDTH, RADIUS = (60, 60, 60), (3, 5, 5), 60
 MASKED = (1, 2, 13, 14, 25)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, tables: str = ""):
+    """Registers a query; `tables` are common table expressions of its own SQL."""
+
     def add(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = fx.SQL + sql
+            ORACLE_SQL[name] = (fx.SQL.rstrip() + ",\n" + tables + "\n" if tables else fx.SQL) + sql
         return fn
 
     return add
@@ -70,6 +72,12 @@ query("overlay", """select iv, case when r + g + b = 0 then image else cast(floo
     lambda s, d: voxel.overlay(fx.labels(s, d)))
 
 
+query("grey_rgb", "select iv, image r, image g, image b from voxel")(lambda s, d: voxel.grey_rgb(fx.labels(s, d)).select("iv", "r", "g", "b"))
+query("extract_example", "select iv, case when seg in (1, 2) then seg else 0 end label from voxel")(lambda s, d: features.extract_example(fx.labels(s, d), 1, 2).select("iv", "label"))
+query("image_order", "select s_suppkey, row_number() over (order by n_name || '-' || s_name || '-reduced') - 1 z from supplier join nation on s_nationkey = n_nationkey")(
+    lambda s, d: voxel.slice_ids(fx.prefixes(s, d), "prefix").select("s_suppkey", "z"))
+
+
 @query("bbox_intersection", """select a_label, b_label, greatest(a.z0, b.z0) zmin, least(a.z1, b.z1) zmax, greatest(a.y0, b.y0) ymin, least(a.y1, b.y1) ymax, greatest(a.x0, b.x0) xmin, least(a.x1, b.x1) xmax,
   greatest(a.z0, b.z0) > least(a.z1, b.z1) or greatest(a.y0, b.y0) > least(a.y1, b.y1) or greatest(a.x0, b.x0) > least(a.x1, b.x1) as empty from (select label_one a_label, label_two b_label from adj)
   join (select seg, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from voxel group by seg) a on a.seg = a_label
@@ -98,6 +106,14 @@ query("variation_of_information", _VI.format("seg", _C))(lambda s, d: metrics.va
 query("adapted_rand", """select round(1 - 2 * p * r / (p + r), 6) are, round(p, 6) as precision, round(r, 6) recall from (select (ab + c / n) / (b + c / n) p, (ab + c / n) / a r from
   (select count(*)::double n from voxel), (select sum(k * k) a from (select count(*)::double k from voxel where gold > 0 group by gold)), (select sum(k * k) b from (select count(*)::double k from voxel where gold > 0 and seg > 0 group by seg)),
   (select sum(k * k) ab from (select count(*)::double k from voxel where gold > 0 and seg > 0 group by gold, seg)), (select count(*)::double c from voxel where gold > 0 and seg = 0))""")(lambda s, d: metrics.adapted_rand(fx.labels(s, d)))
+_FILTERED = """small0 as (select iv, z, y, x, case when count(*) over (partition by seg) < 50 then 0 else seg end seg, case when count(*) over (partition by gold) < 50 then 0 else gold end gold from voxel),
+edge0 as (select distinct v.z, v.y, v.x from small0 v join small0 w on w.z = v.z and abs(w.y - v.y) + abs(w.x - v.x) = 1 and w.y between v.y - 1 and v.y + 1 and w.gold <> v.gold),
+near0 as (select distinct w.iv from small0 w join edge0 b on b.z = w.z and b.y between w.y - 2 and w.y + 2 and b.x between w.x - 2 and w.x + 2 and (b.y - w.y) ** 2 + (b.x - w.x) ** 2 <= 4),
+kept0 as (select s.iv, seg, case when n.iv is null then gold else 0 end gold from small0 s left join near0 n on n.iv = s.iv)"""
+query("adapted_rand_prepared", """select round(1 - 2 * p * r / (p + r), 6) are, round(p, 6) as precision, round(r, 6) recall from (select (ab + c / n) / (b + c / n) p, (ab + c / n) / a r from
+  (select count(*)::double n from kept0), (select sum(k * k) a from (select count(*)::double k from kept0 where gold > 0 group by gold)), (select sum(k * k) b from (select count(*)::double k from kept0 where gold > 0 and seg > 0 group by seg)),
+  (select coalesce(sum(k * k), 0) ab from (select count(*)::double k from kept0 where gold > 0 and seg > 0 group by gold, seg)), (select count(*)::double c from kept0 where gold > 0 and seg = 0))""", _FILTERED)(
+    lambda s, d: metrics.adapted_rand(fx.labels(s, d), dilate=2, least=50))
 query("seg2gold", "select label, gold from s2g")(mapping)
 query("classify_pairs", "select * from truth")(lambda s, d: truth.classify_pairs(pairs(s, d), mapping(s, d)))
 
@@ -193,6 +209,7 @@ def _(s, d):
 
 
 query("skeleton_endpoints", "select * from ends")(lambda s, d: skeleton.skeleton_endpoints(fx.skeleton_points(s, d)))
+query("skeleton_pairs", "select label, iv, n_iv from snb where n_iv > iv")(lambda s, d: skeleton.skeleton_pairs(fx.skeleton_points(s, d)))
 query("endpoint_vectors", "select label, iv, z, y, x, round(vz, 6) vz, round(vy, 6) vy, round(vx, 6) vx from evec")(
     lambda s, d: fx.endpoints(s, d).select("label", "iv", "z", "y", "x", *[F.round(f"v{a}", 6).alias(f"v{a}") for a in "zyx"]))
 
@@ -358,7 +375,12 @@ query("lifted_edges")(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d
 query("lifted_edges_strong", """select a v1, b v2, round(p, 6) p from (with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
 w(a, b, p, path) as (select a, b, p, [a, b] from e union all select w.a, e.b, w.p * e.p, list_append(path, e.b) from w join e on w.b = e.a where not list_contains(path, e.b)) select a, b, max(p) p from w where a < b group by all)""")(
     lambda s, d: lifted_rows(graph.lifted_edges(strong(s, d))))
-query("voxel_geodesic")(lambda s, d: graph.voxel_geodesic(fx.labels(s, d)))
+#: Forty steps: no path inside of a label of this volume is longer.
+_GEODESIC = """ge as (select a.iv, b.iv n_iv, sqrt(dz * dz + dy * dy + dx * dx) len from voxel a, off26 join voxel b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx and b.seg = a.seg where a.seg <> 0),
+geo(i, iv, d) as (select 0, min(iv), 0.0::double from voxel where seg <> 0 group by seg union all
+  select i + 1, iv, min(d) from (select i, iv, d from geo where i < 40 union all select geo.i, ge.n_iv, geo.d + len from geo join ge on ge.iv = geo.iv where geo.i < 40) group by i, iv)"""
+query("voxel_geodesic", "select seg label, v.iv, round(d, 6) distance from voxel v left join geo on geo.iv = v.iv and i = 40 where seg <> 0", _GEODESIC)(
+    lambda s, d: graph.voxel_geodesic(fx.labels(s, d)).withColumn("distance", F.round("distance", 6)))
 
 # Partition
 
@@ -381,7 +403,45 @@ def _(s, d):
     return skeleton.endpoint_matching(own, thin.select("label", "iv", "z", "y", "x"), fx.geometry(s, d))
 
 
-query("balanced_batches")(lambda s, d: features.balanced_batches(candidates(s, d)))
+query("balanced_batches", f"""select label_one, label_two, z, y, x, forward, truth, 2 * k + case when truth = 'negative' then 1 else 0 end as position from (select *, min(n) over () least, count(distinct truth) over () kinds from (
+  select *, row_number() over (partition by truth order by md5('7:' || label_one || ':' || label_two || ':' || z || ':' || y || ':' || x)) - 1 k, count(*) over (partition by truth) n from (
+  select label_one, label_two, z, y, x, x >= 40 forward, {_TRUTH} truth from cand join s2g a on a.label = label_one join s2g b on b.label = label_two) where truth <> 'unknown')) where kinds = 2 and k < least""")(
+    lambda s, d: features.balanced_batches(candidates(s, d)).select("label_one", "label_two", "z", "y", "x", "forward", "truth", "position"))
+query("medial_axis")(lambda s, d: skeleton.medial_axis(fx.labels(s, d)))
+
+
+def proposed(s, d):
+    thin = skeleton.thinning(fx.labels(s, d)).where("is_endpoint").join(fx.labels(s, d).select("iv", "z", "y", "x"), "iv")
+    return thin.select("label", "iv", "z", "y", "x")
+
+
+@query("endpoint_scores")
+def _(s, d):
+    own = skeleton.skeleton_endpoints(fx.skeleton_points(s, d))
+    return skeleton.endpoint_scores(skeleton.endpoint_matching(own, proposed(s, d), fx.geometry(s, d)), own, proposed(s, d))
+
+
+@query("upsample_endpoints")
+def _(s, d):
+    g = fx.geometry(s, d)
+    cells = voxel.downsample_topological(fx.skeleton_points(s, d), g, OUT)
+    return skeleton.upsample_endpoints(skeleton.upsample_skeleton(cells, voxel.upsample_representative(fx.labels(s, d), g, OUT)), fx.labels(s, d))
+
+
+@query("endpoint_sweep")
+def _(s, d):
+    """Two resolutions and two methods' parameters of the benchmark's grid, over all labels."""
+    own = skeleton.skeleton_endpoints(fx.skeleton_points(s, d))
+    return sweep.endpoint_sweep(fx.labels(s, d), own, fx.geometry(s, d), (60, 120), (0, 15), (13,), (2,))
+
+
+def cubes(s, d):
+    own = candidates(s, d).select("label_one", "label_two", "z", "y", "x")
+    return features.feature_cubes(own, fx.labels(s, d), fx.geometry(s, d), WIDTH, RADIUS)
+
+
+query("augmented_cubes")(lambda s, d: features.augment(cubes(s, d).withColumn("id", F.xxhash64("label_one", "label_two")), WIDTH))
+query("network_scores")(lambda s, d: scoring.score_examples(cubes(s, d), scoring.edge_network(3, WIDTH, (4, 8), hidden=16)).drop("cube"))
 
 
 # Scoring
@@ -392,3 +452,7 @@ def _(s, d):
 
 
 query("surface_triangles")(lambda s, d: surface.marching(fx.labels(s, d)))
+_TETRAHEDRA = ", ".join(str(sum(1 << (4 * z + 2 * y + x) for z, y, x in t)) for t in surface.tetrahedra())
+query("surface_counts", f"""select label, cast(sum(case bit_count(m & t) when 1 then 1 when 2 then 2 when 3 then 1 else 0 end) as bigint) n from (
+  select seg label, z - dz z, y - dy y, x - dx x, bit_or(1 << (4 * dz + 2 * dy + dx)) m from voxel, (select a.range::int dz, b.range::int dy, c.range::int dx from range(2) a, range(2) b, range(2) c) where seg <> 0 group by all), (select unnest([{_TETRAHEDRA}]) t) group by label""")(
+    lambda s, d: surface.marching(fx.labels(s, d)).groupBy("label").agg(F.count("*").alias("n")))

@@ -117,10 +117,39 @@ def packed_files(df: DataFrame, kind: str, name: str, **header: int) -> DataFram
 
 
 def save_files(files: DataFrame, folder: str) -> None:
-    """Writes (name, content) rows one at a time through Hadoop's file system API."""
+    """Writes (name, content) rows as files of a folder.
+
+    Executors write what they hold where Arrow has a file system for the folder's scheme (the folder must be one
+    that all of them share); for other schemes the rows come to the driver one at a time and go through Hadoop's.
+    """
+    from pyarrow import fs
+
+    uri = folder if "://" in folder else "file://" + (folder if folder.startswith("/") else "/" + folder)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception:  # noqa: BLE001  a scheme that only Hadoop's file systems know
+        _save_by_driver(files, folder)
+        return
+
+    def run(batches):
+        where, root = fs.FileSystem.from_uri(uri)
+        where.create_dir(root, recursive=True)
+        done = 0
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                # A task that is run again replaces its files.
+                with where.open_output_stream(f"{root}/{name}") as out:
+                    out.write(bytes(content))
+                done += 1
+        yield pd.DataFrame({"n": [done]})
+
+    files.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def _save_by_driver(files: DataFrame, folder: str) -> None:
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():
+    for row in files.select("name", "content").toLocalIterator():
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
         out = path.getFileSystem(conf).create(path, True)
         out.write(bytearray(row.content))
@@ -133,10 +162,21 @@ def read_mapping(spark: SparkSession, path) -> DataFrame:
 
 
 def read_skeletons(spark: SparkSession, points_path, vectors_path) -> DataFrame:
-    """(label, iv, is_endpoint, vz, vy, vx): negative or zero indices are endpoints; vectors join by label and index."""
-    p = read_packed(spark, points_path, "skeleton").select("label", F.abs("iv").alias("iv"), (F.col("iv") <= 0).alias("is_endpoint"))
-    v = read_packed(spark, vectors_path, "vectors").select("label", "iv", "vz", "vy", "vx")
-    return p.join(v, ["label", "iv"], "left")
+    """(label, iv, is_endpoint, vz, vy, vx): negative or zero indices are endpoints; vectors join by label and index.
+
+    The query fails where the headers of both files differ, or a label's endpoints are not as many as its vectors.
+    """
+    points, vectors = read_packed(spark, points_path, "skeleton"), read_packed(spark, vectors_path, "vectors")
+    p = points.select("label", F.abs("iv").alias("iv"), (F.col("iv") <= 0).alias("is_endpoint"))
+    v = vectors.select("label", "iv", "vz", "vy", "vx")
+    heads = points.select(*_GRID).unionByName(vectors.select(*_GRID)).agg(*[F.countDistinct(c).alias(c) for c in _GRID])
+    ends = p.where("is_endpoint").groupBy("label").agg(F.count("*").alias("a")).join(v.groupBy("label").agg(F.count("*").alias("b")), "label", "full")
+    odd = ends.agg(F.count_if(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0))).alias("odd"))
+    one = heads.crossJoin(odd)  # one row each
+    same = [F.col(c) <= 1 for c in _GRID]
+    fine = F.when(same[0] & same[1] & same[2] & same[3], F.when(F.col("odd") == 0, F.lit(True)).otherwise(F.raise_error(F.lit("skeleton endpoints and vectors differ in number"))))
+    one = one.select(fine.otherwise(F.raise_error(F.lit("headers of skeleton and vectors differ"))).cast("boolean").alias("fine"))
+    return p.join(v, ["label", "iv"], "left").crossJoin(F.broadcast(one)).where("fine").drop("fine")
 
 
 def read_skeleton_endpoints(spark: SparkSession, path, ny: int, nx: int) -> DataFrame:

@@ -135,6 +135,27 @@ def test_lifted_pairs_alone_are_never_contracted():
 
 
 def test_paths():
-    assert k.has_path(LINE, (0, 0, 0), (0, 0, 4))
-    apart = np.array([[0, 0, 0], [0, 0, 3]])
-    assert not k.has_path(apart, (0, 0, 0), (0, 0, 3))
+    assert k.has_path({tuple(p) for p in LINE.tolist()}, (0, 0, 0), (0, 0, 4))
+    assert not k.has_path({(0, 0, 0), (0, 0, 3)}, (0, 0, 0), (0, 0, 3))
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+def test_medial_axis_keeps_parts_and_ends(shape):
+    points = SHAPES[shape]
+    left = points[k.medial(points)]
+    assert len(np.unique(k.parts_of(left))) == len(np.unique(k.parts_of(points)))
+    # what is left is stable: ends stay, and nothing else can go
+    assert k.medial(left).all()
+
+
+def test_medial_axis_of_a_line_is_the_line():
+    assert k.medial(LINE).all() and k.few_neighbours(LINE).sum() == 2
+
+
+@pytest.mark.parametrize("reach", [0, 1, 3])
+def test_pairs_within_a_reach(reach):
+    rng = np.random.default_rng(reach)
+    points = [tuple(p) for p in rng.integers(-9, 9, (60, 3)).tolist()]
+    want = {(i, j) for j in range(60) for i in range(j) if max(abs(u - v) for u, v in zip(points[i], points[j], strict=True)) <= reach}
+    got = k.pairs_within(points, reach)
+    assert set(got) == want and len(got) == len(want)

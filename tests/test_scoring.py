@@ -120,3 +120,72 @@ def test_gif_decodes():
 
 def test_edge_forward_query(spark, sf_dir):
     assert q.QUERIES["edge_forward"](spark, sf_dir).count() == 1
+
+
+def test_architectures():
+    rng = np.random.default_rng(0)
+    node, edge = scoring.node_network(3, (20, 52, 52), (2, 3, 4), hidden=8), scoring.edge_network(1, (8, 24, 24), (2, 2, 2, 3), hidden=8)
+    for net in (node, edge):
+        out = scoring.forward(net, rng.random((2, net.channels, *net.width)) - 0.5)
+        assert out.shape == (2, 1) and ((out > 0) & (out < 1)).all()
+    assert [x.size for x in node.layers if x.kind == "pool"] == [(1, 2, 2), (1, 2, 2), (2, 2, 2)]
+    assert [x.size for x in edge.layers if x.kind == "pool"] == [(1, 2, 2)] * 3 + [(2, 2, 2)]
+    lines = scoring.network_log(node, {"depth": 3}).split("\n")
+    assert lines[0] == "conv_1 (3, 20, 52, 52) -> (2, 18, 50, 50)" and lines[-2] == "depth: 3" and len(lines) == len(node.layers) + 3
+    with pytest.raises(ValueError):
+        scoring.node_network(1, (4, 8, 8))
+
+
+def test_finetuning_goes_on_from_a_model(spark):
+    rng = np.random.default_rng(1)
+    rows = [([float(a), float(b)], "positive" if a > b else "negative") for a, b in rng.random((300, 2))] + [([9.0, 9.0], "unknown")]
+    df = spark.createDataFrame(rows, "features array<double>, truth string").repartition(3)
+    first = scoring.finetune(df, epochs=30, rate=5.0)
+    more = scoring.finetune(df, first, epochs=30, rate=5.0)
+    losses = scoring.loss_table(spark, more).orderBy("epoch").collect()
+    assert [r.epoch for r in losses] == list(range(1, 61)) and losses[-1].loss < losses[29].loss < losses[0].loss and losses[-1].accuracy > 0.95
+    # a step is that of the gradient over all rows
+    x, y = np.array([r[0] + [1.0] for r in rows[:-1]]), np.array([r[1] == "positive" for r in rows[:-1]])
+    step = -(0.5 - y) @ x / 300
+    one = scoring.finetune(df, epochs=1, rate=1.0)
+    assert np.allclose([*one.weights, one.bias], step)
+    scored = scoring.score_linear(df, more).where("truth <> 'unknown'").collect()
+    assert np.mean([(r.p > 0.5) == (r.truth == "positive") for r in scored]) > 0.95
+    assert scoring.finetune(df.where("truth = 'unknown'"), more, epochs=2).losses == more.losses
+
+
+def test_restricted_examples(spark):
+    from lattica.operators import features
+
+    made = [("A-one-nodes.h5", "training"), ("A-two-reduced-nodes.h5", "training"), ("A-one-nodes.h5", "validation"), ("B-one.h5", "training")]
+    df = spark.createDataFrame(made, "file string, subset string")
+    assert features.restricted(df, ("A",), "validation").count() == 2
+    assert features.restricted(df, ("A", "one"), "training").count() == 1
+    assert features.restricted(df, ("A",), "training", "edges").count() == 1 and features.restricted(df, ("A",), "validation", "edges").count() == 1
+
+
+def test_a_sweep_equals_its_parts(spark, sf_dir):
+    from lattica import fixtures as fx
+    from lattica.operators import skeleton, sweep, voxel
+
+    g, labels = fx.geometry(spark, sf_dir), fx.labels(spark, sf_dir)
+    truth = skeleton.skeleton_endpoints(fx.skeleton_points(spark, sf_dir))
+    scores = sweep.endpoint_sweep(labels, truth, g, (60,), (0, 15), (13,), (2,))
+    got = {r.config: r for r in scores.collect()}
+    assert set(got) == set(sweep.configurations((60,), (0, 15), (13,), (2,)))
+    # thinning without and with A*, put together from the single operators
+    out = (60, 60, 60)
+    cells = voxel.downsample_topological(labels, g, out).selectExpr("label", "dz z", "dy y", "dx x", "(dz * 1000 + dy) * 1000 + dx iv")
+    up = voxel.upsample_representative(labels, g, out)
+    thin = skeleton.thinning(cells).join(cells, ["label", "iv"]).selectExpr("label", "z dz", "y dy", "x dx", "is_endpoint").join(up, ["label", "dz", "dy", "dx"])
+    places = labels.select("iv", "z", "y", "x")
+    for config, ends in (("060-thinning-00", thin.where("is_endpoint").selectExpr("label", "up_iv iv")), ("060-thinning-15", skeleton.upsample_endpoints(thin.select("label", "up_iv"), labels).where("is_endpoint").select("label", "iv"))):
+        ends = ends.join(places, "iv").select("label", "iv", "z", "y", "x")
+        known = ends.join(truth.select("label").distinct(), "label", "left_semi")
+        want = skeleton.endpoint_scores(skeleton.endpoint_matching(truth, ends, g), truth, known).first()
+        r = got[config]
+        assert (r.tp, r.fp, r.fn, r.fscore) == (want.tp, want.fp, want.fn, want.fscore)
+    best = sweep.best_configuration(scores).first()
+    assert best.fscore == max(r.fscore for r in got.values() if r.fscore is not None)
+    assert sweep.reported(scores).count() == sum((r.precision or 0) > 0.8 and (r.recall or 0) > 0.9 for r in got.values())
+    assert len(sweep.configurations()) == 864

@@ -64,6 +64,56 @@ def test_skeletons(spark, tmp_path):
     assert (end.z, end.y, end.x) == (0, 1, 2)
 
 
+def test_skeletons_that_do_not_fit_are_refused(spark, tmp_path):
+    pts = pd.DataFrame({"label": [1, 1], "ordinal": [0, 1], "iv": [-7, -8]})
+    vec = pd.DataFrame({"label": [1], "ordinal": [0], "iv": [7], "vz": [1.0], "vy": [0.0], "vx": [0.0]})
+    head = {"nz": 1, "ny": 2, "nx": 5, "max_label": 2}
+    (tmp_path / "p").write_bytes(packed_files.encode("skeleton", pts, **head))
+    (tmp_path / "q").write_bytes(packed_files.encode("skeleton", pts[:1], **head | {"nx": 6}))
+    (tmp_path / "v").write_bytes(packed_files.encode("vectors", vec, **head))
+    with pytest.raises(Exception, match="differ in number"):
+        packed_files.read_skeletons(spark, str(tmp_path / "p"), str(tmp_path / "v")).collect()
+    with pytest.raises(Exception, match="headers"):
+        packed_files.read_skeletons(spark, str(tmp_path / "q"), str(tmp_path / "v")).collect()
+
+
+def test_datasets_by_metadata(spark, tmp_path):
+    a = np.arange(24).reshape(4, 2, 3)
+    np.save(tmp_path / "seg.npy", a)
+    np.save(tmp_path / "aff.npy", np.stack([a + 0.25, a + 0.5, a + 0.75]))
+    gold = volumes.read_npy(spark, str(tmp_path / "seg.npy")).drop("path").withColumnRenamed("label", "gold")
+    volumes.write_volume(gold, str(tmp_path / "gold.parquet"), slab=2)
+    text = "# resolution in nm\n6x7x30\n# affinity filename\naff.npy\n# gold filename\ngold.parquet\n# rhoana filename\nseg.npy main\n# grid size\n3x2x4\n"
+    meta = write(tmp_path / "VOL.meta", text)
+    read = lambda kind, **more: volumes.read_dataset(spark, meta, kind, str(tmp_path), **more)
+    seg = read("segmentation", prefix="VOL")
+    assert seg.columns == ["iv", "z", "y", "x", "label"] and {r.iv: r.label for r in seg.collect()} == {i: i for i in range(24)}
+    assert {r.iv: r.gold for r in read("gold").collect()} == {i: i for i in range(24)}
+    r = read("affinity").where("z = 3 and y = 1 and x = 2").first()
+    assert (r.aff_x, r.aff_y, r.aff_z) == (23.25, 23.5, 23.75)
+    with pytest.raises(RuntimeError, match="h5py"):
+        read("image")  # the default name is an HDF5 file
+    with pytest.raises(RuntimeError, match="h5py"):
+        volumes.write_h5(seg, str(tmp_path / "o.h5"), "main", (4, 2, 3))
+    with pytest.raises(ValueError, match="no gold file"):
+        read("gold", prefix="other")
+
+
+def test_tiff_slices(spark, tmp_path):
+    import struct
+
+    a = np.arange(24).reshape(4, 2, 3) * 10**10
+    np.save(tmp_path / "v.npy", a)
+    files = {r["name"]: bytes(r.content) for r in volumes.tiff_slices(volumes.read_npy(spark, str(tmp_path / "v.npy")), 2, 3, prefix="s").collect()}
+    assert sorted(files) == [f"s-{z:05d}.tif" for z in range(4)]
+    data = files["s-00002.tif"]
+    magic, number, at = struct.unpack("<2sHI", data[:8])
+    (n,) = struct.unpack("<H", data[at : at + 2])
+    tags = {t: v for t, _, _, v in (struct.unpack("<HHII", data[at + 2 + 12 * i : at + 14 + 12 * i]) for i in range(n))}
+    assert (magic, number, tags[256], tags[257], tags[258], tags[339]) == (b"II", 42, 3, 2, 64, 2)
+    assert (np.frombuffer(data, "<i8", 6, tags[273]) == a[2].ravel()).all() and tags[279] == 48
+
+
 def test_metadata(spark, tmp_path):
     r = metadata.read_meta(spark, write(tmp_path / "VOL.meta", META)).first()
     assert r.prefix == "VOL" and tuple(r.resolution) == (30.0, 7.0, 6.0) and tuple(r.grid) == (30, 20, 10)
