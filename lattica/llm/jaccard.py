@@ -354,8 +354,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = common.written(classes, "classes")
     names = renamed(classes)
     rows, classes = with_names(rows, names), with_names(classes, names)
-    parts = packed.parts_for(blocks)
-    tokens = common.written(prefixes(blocks, packed.key_counts(blocks, parts), parts, num, den, share_bound, names), "prefixes")
+    parts, n_blocks = packed.parts_for(blocks)
+    tokens = common.written(prefixes(blocks, packed.key_counts(blocks, parts, n_blocks), parts, num, den, share_bound, names), "prefixes")
     # Size bands: sets that can link are in one band or in neighbouring ones.
     banded = tokens.select("d1", "key", _band(num, den).alias("band"))
     leaders = banded.groupBy("key", "band").agg(F.min("d1").alias("lead"), F.count("*").alias("k"))

@@ -151,17 +151,17 @@ def long(packed: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def key_counts(blocks: DataFrame, parts: int, together: int = 100_000) -> DataFrame:
+def key_counts(blocks: DataFrame, parts: int, count_of: int, together: int = 100_000) -> DataFrame:
     """(block, part, counts): for rows (block, keys) how often each key stands in all rows, capped at 65535.
 
     Keys (packed 64-bit integers) go to `parts` tasks by hash, as one binary a block and part that has each
     distinct key once, with its number; totals come back in the same order, so a block can put them to its keys
-    (`told`).  A key that stands in every block brings one entry a block to its task; beyond `together` blocks
-    their entries are first summed in groups of about so many blocks, so it brings one a group.  The cap is on
+    (`told`).  A key that stands in every block brings one entry a block to its task; where the number of blocks,
+    `count_of`, is beyond `together` their entries are first summed in groups of about so many blocks, so it brings one a group.  The cap is on
     the number that is told, not on what is counted.  A key travels as 48 of its bits: two keys of one part that
     agree in them would count together, so a count may be too high, but is the same for a key wherever it stands.
     """
-    groups = max(1, -(-blocks.count() // together))
+    groups = max(1, -(-count_of // together))
     names = ["block", "part", "lot", "keys", "n"]
 
     def split(batches):
@@ -218,6 +218,7 @@ def told(keys: np.ndarray, parts: int, counts: list[tuple[int, bytes]]) -> np.nd
     return out[place]
 
 
-def parts_for(blocks: DataFrame, column: str = "n_keys", each: int = 1_500_000) -> int:
-    total = blocks.agg(F.sum(column)).first()[0] or 0
-    return max(1, -(-total // each))
+def parts_for(blocks: DataFrame, column: str = "n_keys", each: int = 1_500_000) -> tuple[int, int]:
+    """The number of parts for the blocks' keys, and of blocks."""
+    total, n = blocks.agg(F.sum(column), F.count("*")).first()
+    return max(1, -(-(total or 0) // each)), n

@@ -265,7 +265,7 @@ def _open(lens, body) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, ends - lens, ends
 
 
-def surroundings(blocks: DataFrame, copies: DataFrame | None, parts: int, length: int, k: int, hot: int, whole: bool = False) -> DataFrame:
+def surroundings(blocks: DataFrame, copies: DataFrame | None, parts: int, n_blocks: int, length: int, k: int, hot: int, whole: bool = False) -> DataFrame:
     """(part, block, at, context, left, right, ids, starts, done, windows): repeated anchors with their surroundings.
 
     Anchors are dealt to `parts` by hash.  Documents in `copies` (block, ats) take no part.  Equal surroundings of
@@ -280,7 +280,7 @@ def surroundings(blocks: DataFrame, copies: DataFrame | None, parts: int, length
                 _, h = anchors(*_open(np.array(lens, dtype=np.int64), body), length, k)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["block", "keys"])
 
-    counts = packed.key_counts(blocks.select("block", "lens", "body").mapInArrow(block_keys, "block long, keys binary"), parts)
+    counts = packed.key_counts(blocks.select("block", "lens", "body").mapInArrow(block_keys, "block long, keys binary"), parts, n_blocks)
     sides = counts.select("block", "part", "counts", F.lit(None).cast("array<int>").alias("ats"))
     if copies is not None:
         sides = sides.unionByName(copies.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("counts"), "ats"))
@@ -349,7 +349,8 @@ def surroundings(blocks: DataFrame, copies: DataFrame | None, parts: int, length
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
     schema = "part int, block long" + "".join(f", {c} binary" for c in columns[2:])
-    return blocks.select("block", "ids", "lens", "body").groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(run, schema)
+    # The columns that `remove_repeats` sends once more, so that Spark can use the exchange again.
+    return blocks.select("block", "ids", "no_id", "lens", "body").groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(run, schema)
 
 
 def _gathered(table: pa.Table, width: int):
@@ -388,7 +389,7 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     _checked(length, k)
     before = length - k
     blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
-    sent = surroundings(blocks, None, packed.parts_for(blocks, each=700_000), length, k, hot, whole=True)
+    sent = surroundings(blocks, None, *packed.parts_for(blocks, each=700_000), length, k, hot, whole=True)
 
     def name(string: bytes) -> str:
         return xxhash.xxh3_128_hexdigest(string)
@@ -442,14 +443,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     _checked(length, k)
     before = length - k
     blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
-    parts = packed.parts_for(blocks, each=700_000)
+    parts, n_blocks = packed.parts_for(blocks, each=700_000)
     # Copies of a text with a smaller id, as places in their blocks.
     rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "h1", "h2", "lens")).alias("at", "r")).select("block", "at", "r.*")
     least = common.written(rows.groupBy("h1", "h2", "lens").agg(F.min("ids").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "texts")
     total = least.agg(F.sum("copies")).first()[0] or 0
     copies = join_counted(rows, least, ["h1", "h2", "lens"], "copies", total).where("ids > least")
     copies = common.written(copies.groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("ats")), "copies")
-    sent = surroundings(blocks, copies, parts, length, k, hot)
+    sent = surroundings(blocks, copies, parts, n_blocks, length, k, hot)
 
     def settle(table: pa.Table) -> pa.Table:
         context, left, right, ids, at, bounds = _gathered(table, before + length)

@@ -255,7 +255,7 @@ def test_key_counts(spark, together):
     df = spark.createDataFrame([(b, bytearray(k.tobytes())) for b, k in held.items()], "block long, keys binary").repartition(4)
     want = Counter(k for ks in held.values() for k in ks.tolist())
     got = defaultdict(list)
-    for r in packed.key_counts(df, 5, together).collect():
+    for r in packed.key_counts(df, 5, 12, together).collect():
         got[r.block].append((r.part, bytes(r.counts)))
     for b, keys in held.items():
         assert packed.told(keys, 5, got[b]).tolist() == [want[k] for k in keys.tolist()]
