@@ -34,16 +34,22 @@ def feature_cubes(candidates: DataFrame, voxels: DataFrame, geometry: Geometry,
     """`candidates(..., z, y, x, label_one, label_two)` with cube array<int>, in raster order.
 
     The window has int(radius / resolution) voxels to each side and is empty outside of the grid.  Only the
-    window's voxels that a cell of the cube takes are looked up, by one equi-join.
+    window's voxels that a cell of the cube takes are looked up, by one equi-join on the place in the grid.
     """
     reach = geometry.radius(radius)
     offsets = [tuple(int(float(2 * h + 1) / float(w) * i) - h for h, w, i in zip(reach, width, c, strict=True)) for c in _cells(width)]
     cells = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for k, o in enumerate(offsets)])
     keys = ["label_one", "label_two", *AXES]
+    place = lambda z, y, x: (z * geometry.ny + y) * geometry.nx + x
+    inside = F.lit(True)
+    for a, n in zip(AXES, (geometry.nz, geometry.ny, geometry.nx), strict=True):
+        inside = inside & F.col(f"_{a}").between(0, n - 1)
     asked = candidates.select(*keys).distinct().withColumn("_c", F.explode(cells))
     asked = asked.select(*keys, F.col("_c.k").alias("k"), *[(F.col(a) + F.col(f"_c.d{a}")).alias(f"_{a}") for a in AXES])
-    own = voxels.where(F.col(label) != 0).select(*[F.col(a).alias(f"_v{a}") for a in AXES], F.col(label).alias("_l"))
-    joined = asked.join(own, (F.col("_z") == F.col("_vz")) & (F.col("_y") == F.col("_vy")) & (F.col("_x") == F.col("_vx")), "left")
+    # Cells outside of the grid have a key that no voxel has.
+    asked = asked.select(*keys, "k", F.when(inside, place(F.col("_z"), F.col("_y"), F.col("_x"))).otherwise(-1).alias("_at"))
+    own = voxels.where(F.col(label) != 0).select(place(F.col("z"), F.col("y"), F.col("x")).alias("_place"), F.col(label).alias("_l"))
+    joined = asked.join(own, F.col("_at") == F.col("_place"), "left")
     value = F.when(F.col("_l") == F.col("label_one"), 1).when(F.col("_l") == F.col("label_two"), 2).otherwise(0)
     cubes = joined.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda s: s["v"]).alias("cube"))
     return candidates.join(cubes, keys)
