@@ -4,7 +4,8 @@ Texts become a normal form: words (ASCII letters lower-cased) with one space bef
 so that a run of words occurs in a text exactly where its own normal form occurs as a string.
 A benchmark item's windows are its runs of `window` words; an item with fewer words, but not none,
 is one window.  Windows are searched with shift tables over blocks of bytes, buckets of windows by
-the hash of their suffix block (and of all bytes that the shift table spans), and a direct comparison.
+the hash of their suffix block, and a direct comparison (of the first bytes for all candidates at once, then
+of the rest).
 
 The tables are compact: windows are places in the benchmark's own normal form, a shift table is one byte for
 each value of a block's hash, and a bucket is a range of a sorted array.  They take about 11 bytes for each
@@ -20,6 +21,7 @@ through (see `common`).
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_TABLE).split()
 
 
+#: Bytes that are searched at once.
+AT_ONCE = 4_000_000
 #: Bits of a block's hash that a shift table tells apart, and the largest shift that it holds.
 MOST_BITS, MOST_SHIFT = 24, 255
 
@@ -55,48 +59,56 @@ class WuManber:
         while reach < 2 * m * len(begins):
             block, reach = block + 1, reach * 8
         self.block = block = min(m, block)
-        self.bits = min(MOST_BITS, max(12, int(2 * len(begins) * (m - block + 1)).bit_length()))
+        self.bits = min(MOST_BITS, max(12, int(8 * len(begins) * (m - block + 1)).bit_length()))
         text = np.frombuffer(body, np.uint8)
         blocks = self._slots(packed.string_hashes(text, block))
         self.shift = np.full(2**self.bits, m - block + 1, np.uint8)
         # Later blocks have smaller shifts, so each assignment leaves the smallest.
         for end in range(block, m + 1):
             self.shift[blocks[begins + end - block]] = m - end
-        # Buckets by the suffix block's hash; inside of one by the hash of all m bytes.
-        suffix, prefix = blocks[begins + m - block], packed.string_hashes(text, m)[begins]
-        order = np.lexsort((prefix, suffix))
-        self.suffix, self.prefix, self.begins, self.lengths = suffix[order], prefix[order], begins[order], lengths[order]
-        self.names = order
+        # Buckets by the suffix block's hash: ranges of the sorted patterns.
+        suffix = blocks[begins + m - block]
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.begins, self.lengths, self.names = suffix[order], begins[order], lengths[order], order
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (packed.mix(hashes) >> np.uint64(64 - self.bits)).astype(np.uint32)
+        return ((hashes * packed.MIX_A) >> np.uint64(64 - self.bits)).astype(np.uint32)
 
     def find(self, text: bytes, body: bytes):
         """(begin, number of the pattern) of every occurrence; `body` is the benchmark's normal form."""
         m, block, n = self.m, self.block, len(text)
         if n < m:
             return
-        bytes_ = np.frombuffer(text, np.uint8)
+        bytes_, known = np.frombuffer(text, np.uint8), np.frombuffer(body, np.uint8)
         slots = self._slots(packed.string_hashes(bytes_, block))
         shifts = self.shift[slots].tobytes()  # by the block's begin
-        spans = None
-        at, last = m - block, n - block
+        at, last, held = m - block, n - block, []
         while at <= last:
             skip = shifts[at]
             if skip:
                 at += skip
-                continue
-            if spans is None:
-                spans = packed.string_hashes(bytes_, m)
-            begin = at - (m - block)
-            low, high = np.searchsorted(self.suffix, slots[at]), np.searchsorted(self.suffix, slots[at], side="right")
-            if high > low:
-                own = self.prefix[low:high]
-                for k in range(low + int(np.searchsorted(own, spans[begin])), low + int(np.searchsorted(own, spans[begin], side="right"))):
-                    first = self.begins[k]
-                    if text.startswith(body[first : first + self.lengths[k]], begin):
-                        yield begin, int(self.names[k])
-            at += 1
+            else:
+                held.append(at)
+                at += 1
+        for k in range(0, len(held), 100_000):
+            places = np.array(held[k : k + 100_000])
+            low, high = np.searchsorted(self.suffix, slots[places]), np.searchsorted(self.suffix, slots[places], side="right")
+            # Candidates in lots: a bucket can be large where many patterns begin alike.
+            ends = np.cumsum(high - low)
+            first = 0
+            while first < len(places):
+                stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 1_000_000, side="right")))
+                counts = high[first:stop] - low[first:stop]
+                begin = np.repeat(places[first:stop] - (m - block), counts)
+                own = np.repeat(low[first:stop] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+                for j in range(0, m, max(1, m // 4)):
+                    same = bytes_[begin + j] == known[self.begins[own] + j]
+                    begin, own = begin[same], own[same]
+                for b, o in zip(begin.tolist(), own.tolist(), strict=True):
+                    f = self.begins[o]
+                    if text.startswith(body[f : f + self.lengths[o]], b):
+                        yield b, int(self.names[o])
+                first = stop
 
 
 class Matcher:
@@ -141,15 +153,23 @@ class Matcher:
             self.searches.append((WuManber(self.body, begin[own], length[own]), own))
         self.lengths = length
 
-    def spans(self, normal: bytes) -> tuple[list[tuple[int, int]], set[str]]:
-        """Byte spans hit in a normal form, and the ids of items with occurring windows."""
-        spans, found = [], set()
+    def occurrences(self, normal: bytes):
+        """(begin, end, number of the window) of all occurrences in normal forms that stand one after another.
+
+        Between two of them are two spaces, which no window has, so none reaches over two texts.  They are searched
+        in pieces that overlap by the longest window.
+        """
         for search, names in self.searches:
-            for begin, p in search.find(normal, self.body):
-                p = int(names[p])
-                spans.append((begin, begin + int(self.lengths[p])))
-                found.update(self.owners[self.own_at[p] : self.own_at[p + 1]].tolist())
-        return spans, {self.items[k] for k in found}
+            reach = int(search.lengths.max())
+            for s in range(0, len(normal), AT_ONCE):
+                for begin, p in search.find(normal[s : s + AT_ONCE + reach - 1], self.body):
+                    if begin < AT_ONCE:
+                        p = int(names[p])
+                        yield s + begin, s + begin + int(self.lengths[p]), p
+
+    def items_of(self, windows: set[int]) -> set[str]:
+        """Ids of the items that have one of the windows."""
+        return {self.items[k] for p in windows for k in self.owners[self.own_at[p] : self.own_at[p + 1]].tolist()}
 
 
 def _window_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +184,7 @@ def _window_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tupl
 
 
 def hit_words(normal: bytes, spans: list[tuple[int, int]]) -> int:
-    """Words under the union of spans; each span begins and ends with the space around its words."""
+    """Words of `normal` under the union of spans; each span begins and ends with the space around its words."""
     hit, end = 0, 0
     for b, e in sorted(spans):
         b = max(b, end)
@@ -211,23 +231,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     def make():
         def fn(texts):
-            normal = []
+            n_words, normal = [], []
             for t in texts:
                 ws = words_of(t)
-                normal.append((len(ws), b" " + b" ".join(ws) + b" " if ws else b""))
+                n_words.append(len(ws))
+                normal.append(b" " + b" ".join(ws) + b" " if ws else b"")
+            ends, joined = np.cumsum([len(t) for t in normal]), b"".join(normal)
             spans: list[list] = [[] for _ in texts]
             items: list[set] = [set() for _ in texts]
             for block in sent:
                 matcher = block.value
                 if len(sent) > 1:
                     vars(block).pop("_value", None)  # a worker holds one block at a time
-                for k, (n, text) in enumerate(normal):
-                    if n:
-                        s, i = matcher.spans(text)
-                        spans[k] += s
-                        items[k] |= i
-            n_words = [n for n, _ in normal]
-            n_hit = [hit_words(text, s) for (_, text), s in zip(normal, spans, strict=True)]
+                found = list(matcher.occurrences(joined))
+                windows = defaultdict(set)
+                for k, (begin, end, p) in zip(np.searchsorted(ends, [f[0] for f in found], side="right").tolist(), found, strict=True):
+                    spans[k].append((begin, end))
+                    windows[k].add(p)
+                for k, own in windows.items():
+                    items[k] |= matcher.items_of(own)
+            n_hit = [hit_words(joined, s) for s in spans]
             digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
             return [n_words, n_hit, [len(i) for i in items], digest, [h > 0 and den * h >= num * n for h, n in zip(n_hit, n_words, strict=True)]]
 

@@ -72,6 +72,16 @@ def brute_contamination(text, items, window=13):
     return len(ws), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(ws)
 
 
+def test_texts_are_searched_in_pieces(monkeypatch):
+    ts = [t for t in texts() if t]
+    m = decontaminate.Matcher([(str(i), t.encode()) for i, t in enumerate(ts[:12])], 13)
+    joined = b"".join(b" " + b" ".join(decontaminate.words_of(t.encode())) + b" " for t in ts)
+    want = sorted(m.occurrences(joined))
+    for size in (7, 100, 1000):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", size)
+        assert sorted(m.occurrences(joined)) == want
+
+
 @pytest.mark.parametrize("block_bytes", [16_000_000, 150])
 def test_decontaminate(spark, docs, block_bytes):
     ts = texts()
@@ -103,12 +113,12 @@ def test_tables_of_a_benchmark_are_compact():
     made = [" ".join(map(str, rng.integers(0, 10**6, 140))) for _ in range(1000)]
     items = [(str(i), f"the same words at the begin of every item {x}".encode()) for i, x in enumerate(made)]
     m = decontaminate.Matcher(items, 13)
-    held = sum(a.nbytes for s, names in m.searches for a in (s.shift, s.suffix, s.prefix, s.begins, s.lengths, s.names, names)) + m.owners.nbytes + m.own_at.nbytes + m.lengths.nbytes + len(m.body)
+    held = sum(a.nbytes for s, names in m.searches for a in (s.shift, s.suffix, s.begins, s.lengths, s.names, names)) + m.owners.nbytes + m.own_at.nbytes + m.lengths.nbytes + len(m.body)
     assert held < 30 * len(m.body)
     for i in (0, 500, 999):
         cut = made[i].split()[20:40]
-        spans, found = m.spans(" x {} y ".format(" ".join(cut)).encode())
-        assert found == {str(i)} and len(spans) == 8
+        found = list(m.occurrences(" x {} y ".format(" ".join(cut)).encode()))
+        assert m.items_of({p for _, _, p in found}) == {str(i)} and len(found) == 8
 
 
 # Exact dedup
