@@ -283,14 +283,38 @@ def comparer(words: int, num: int, den: int):
     return compare
 
 
-def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: int, block: int, most_tokens: int, pivots: int = 16) -> DataFrame:
+def block_pairs(own: DataFrame, tokens: DataFrame, few: int) -> DataFrame:
+    """(block, n_block) of blocks that can hold a new link, from own(cluster, d1, own, band, block) and the prefix tokens.
+
+    Linked classes share a token of their prefixes, so only blocks that share one meet.  Tokens of more than `few`
+    blocks would be paired over and over; all blocks that have one of these meet.
+    """
+    names = ["cluster", "own", "band", "block"]
+    has = tokens.select("d1", "key").join(own.select("d1", *names).distinct(), "d1").select("key", *names).distinct()
+    has = common.written(has, "keys")
+    spread = has.groupBy("cluster", "key").agg(F.count("*").alias("b")).where("b > 1")
+
+    def meet(rows: DataFrame, by: list[str]) -> DataFrame:
+        other = rows.select(*by, *[F.col(c).alias(f"n_{c}") for c in names[1:]])
+        return rows.join(other, by).where("block <= n_block and abs(band - n_band) <= 1 and not (own is not null and own <=> n_own)").select("block", "n_block")
+
+    rare = meet(has.join(spread.where(F.col("b") <= few), ["cluster", "key"]).drop("b"), ["cluster", "key"])
+    often = meet(has.join(spread.where(F.col("b") > few), ["cluster", "key"]).select(*names).distinct(), ["cluster"])
+    # Small components that share a block meet inside of it.
+    inside = own.where("own is null").select("block", F.col("block").alias("n_block"))
+    return rare.unionByName(often).unionByName(inside).distinct()
+
+
+def link_large(held: DataFrame, tokens: DataFrame, words: int, num: int, den: int, block: int, most_tokens: int, pivots: int = 16, few: int = 64) -> DataFrame:
     """(d1, root) of clusters (cluster, d1, n, text) that are too large for one task.
 
     First every class is compared with its cluster's pivots, the classes with the most common tokens, wherever
     its row is; in a family of copies of one text this connects nearly all.  What isn't known to be connected
     yet is compared in blocks: classes of a component, or of small components together, form blocks of about
-    `block` classes or `most_tokens` shingles of a size band, and only pairs of blocks that can hold a new link meet in a task.
+    `block` classes or `most_tokens` shingles of a size band, those with the same least prefix token together, and
+    only pairs of blocks that can hold a new link meet in a task (`block_pairs`).
     """
+    scores = tokens.groupBy("d1").agg(F.max("score").alias("score"), F.min(F.xxhash64("key")).alias("least"))
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "d1")
     tops = held.select("cluster", "d1").distinct().join(scores, "d1").withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select(F.col("d1").alias("_d"))
     leads = held.join(tops, F.col("d1") == F.col("_d")).groupBy("cluster").agg(F.collect_list(F.struct("d1", "text")).alias("leads"))
@@ -326,10 +350,16 @@ def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: in
     counts = own.groupBy("cluster", "own", "band").agg(F.countDistinct("d1").alias("k"), F.sum("n").alias("t")).select("cluster", F.col("own").alias("_o"), F.col("band").alias("_b"), F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("t") / most_tokens)).alias("ways"))
     on = (own["cluster"] == counts["cluster"]) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("band") == F.col("_b"))
     own = own.join(counts, on).drop(counts["cluster"]).drop("_o", "_b")
-    own = common.written(own.withColumn("block", F.xxhash64("cluster", "own", "band", F.pmod(F.xxhash64("d1"), "ways"))).select("cluster", "d1", "part", "own", "band", "block", "text"), "blocks", "none")
-    blocks = own.select("cluster", "own", "band", "block").distinct()
-    other = blocks.select("cluster", *[F.col(c).alias(f"n_{c}") for c in ("own", "band", "block")])
-    pairs = blocks.join(other, "cluster").where("block <= n_block and abs(band - n_band) <= 1 and not (own is not null and own <=> n_own)").select("block", "n_block")
+    # A least token that more classes have than a block takes has blocks of its own.
+    least = scores.select(F.col("d1").alias("_l"), "least")
+    own = own.join(least, F.col("d1") == F.col("_l")).drop("_l")
+    crowds = own.groupBy("cluster", "own", "band", "least").agg(F.greatest(F.ceil(F.countDistinct("d1") / block), F.ceil(F.sum("n") / most_tokens)).alias("split")).where("split > 1")
+    crowds = crowds.select(F.col("cluster").alias("_c"), F.col("own").alias("_o"), F.col("band").alias("_b"), F.col("least").alias("_l"), "split")
+    own = own.join(crowds, (F.col("cluster") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("band") == F.col("_b")) & (F.col("least") == F.col("_l")), "left")
+    place = F.when(F.col("split").isNull(), F.xxhash64(F.pmod(F.xxhash64("least"), "ways"))).otherwise(F.xxhash64("least", F.pmod(F.xxhash64("d1"), "split")))
+    own = own.withColumn("block", F.xxhash64(F.col("cluster"), F.col("own"), F.col("band"), place)).select("cluster", "d1", "part", "own", "band", "block", "text")
+    own = common.written(own, "blocks", "none")
+    pairs = block_pairs(own, tokens, few)
     pairs = pairs.withColumn("task", F.xxhash64("block", "n_block"))
     sides = pairs.select("task", F.col("block").alias("_k")).unionByName(pairs.select("task", F.col("n_block").alias("_k"))).distinct()
     rows = own.join(sides, F.col("block") == F.col("_k")).select("task", "d1", "text", F.col("part").alias("prior"))
@@ -339,7 +369,7 @@ def link_large(held: DataFrame, scores: DataFrame, words: int, num: int, den: in
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5), most_in_task: int = 1000,
-                    most_tokens: int = 4_000_000, bits: int = 64) -> DataFrame:
+                    most_tokens: int = 4_000_000, bits: int = 64, few: int = 64) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, root), one row for each row of `docs`.
 
     A task compares clusters of at most `most_in_task` classes with `most_tokens` shingles; larger ones are
@@ -376,8 +406,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     compare = comparer(words, num, den)
     found = held.where("not large").select("cluster", "d1", "text").groupBy("cluster").applyInArrow(compare, "d1 long, root long")
     if not sizes.where("large").isEmpty():
-        scores = tokens.groupBy("d1").agg(F.max("score").alias("score"))
-        found = found.unionByName(link_large(held.where("large").drop("large"), scores, words, num, den, most_in_task, most_tokens))
+        spread = link_large(held.where("large").drop("large"), tokens, words, num, den, most_in_task, most_tokens, few=few)
+        found = found.unionByName(spread)
     joined = classes.select("d1", "id", "members").join(found, "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     joined = common.written(joined, "linked")
     common.discard(tokens, clusters, sizes, held)

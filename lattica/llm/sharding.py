@@ -59,7 +59,8 @@ def external_shuffle(df: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     """All rows and columns of `df` with shard and slot.
 
     A bucket has about `bucket_bytes` (by default what an executor's memory allows, `common.task_bytes`); more
-    than `most_partitions` buckets share partitions, sorted, so that a task still holds one at a time.
+    than `most_partitions` buckets share partitions, sorted, so that a task still holds one at a time.  The order
+    depends on rows, seed and `bucket_bytes`, not on how the rows are partitioned.
     """
     spark = df.sparkSession
     limit = bucket_bytes or common.task_bytes(spark)

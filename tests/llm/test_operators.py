@@ -208,8 +208,8 @@ def test_one_of_each_group_stays(docs, none):
     assert jaccard.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [4, 25])
-def test_large_families_are_spread_and_exact(spark, most):
+@pytest.mark.parametrize("most, few", [(4, 64), (4, 2), (25, 64)])
+def test_large_families_are_spread_and_exact(spark, most, few):
     rng = np.random.default_rng(11)
     families = [rng.choice(WORDS, n).tolist() for n in (90, 100, 60)]
     source = []
@@ -219,11 +219,26 @@ def test_large_families_are_spread_and_exact(spark, most):
             w[at] = f"new{rng.integers(0, 5)}"
         source.append((i, " ".join(w + families[(i + 1) % 3][: rng.integers(0, 12)])))
     df = spark.createDataFrame(source, "doc_id long, text string").repartition(4)
-    got = jaccard.near_duplicates(df, words=5, similarity=Fraction(4, 5), most_in_task=most)
+    got = jaccard.near_duplicates(df, words=5, similarity=Fraction(4, 5), most_in_task=most, few=few)
     want = brute_links(source, 5, 4, 5)
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == sorted((a, n, c) for a, _, n, c in want)
 
 
+def test_a_chain_of_candidates_is_spread(spark):
+    """120 texts, each a little different from the one before: one cluster, in which pivots connect few."""
+    rng = np.random.default_rng(12)
+    words, source = rng.choice(10**6, 100).tolist(), []
+    for i in range(120):
+        for at in rng.integers(0, 100, 2 + i % 2):
+            words[at] = int(rng.integers(0, 10**6))
+        source.append((i, " ".join(map(str, words))))
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(df, words=5, similarity=Fraction(4, 5), most_in_task=6)
+    want = brute_links(source, 5, 4, 5)
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == sorted((a, n, c) for a, _, n, c in want)
+    assert len({c for *_, c in want}) > 5
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_link_cluster_is_exact(seed):
     rng = np.random.default_rng(seed)
