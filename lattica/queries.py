@@ -111,7 +111,7 @@ edge0 as (select distinct v.z, v.y, v.x from small0 v join small0 w on w.z = v.z
 near0 as (select distinct w.iv from small0 w join edge0 b on b.z = w.z and b.y between w.y - 2 and w.y + 2 and b.x between w.x - 2 and w.x + 2 and (b.y - w.y) ** 2 + (b.x - w.x) ** 2 <= 4),
 kept0 as (select s.iv, seg, case when n.iv is null then gold else 0 end gold from small0 s left join near0 n on n.iv = s.iv)"""
 query("adapted_rand_prepared", """select round(1 - 2 * p * r / (p + r), 6) are, round(p, 6) as precision, round(r, 6) recall from (select (ab + c / n) / (b + c / n) p, (ab + c / n) / a r from
-  (select count(*)::double n from kept0), (select sum(k * k) a from (select count(*)::double k from kept0 where gold > 0 group by gold)), (select sum(k * k) b from (select count(*)::double k from kept0 where gold > 0 and seg > 0 group by seg)),
+  (select count(*)::double n from kept0), (select coalesce(sum(k * k), 0) a from (select count(*)::double k from kept0 where gold > 0 group by gold)), (select coalesce(sum(k * k), 0) b from (select count(*)::double k from kept0 where gold > 0 and seg > 0 group by seg)),
   (select coalesce(sum(k * k), 0) ab from (select count(*)::double k from kept0 where gold > 0 and seg > 0 group by gold, seg)), (select count(*)::double c from kept0 where gold > 0 and seg = 0))""", _FILTERED)(
     lambda s, d: metrics.adapted_rand(fx.labels(s, d), dilate=2, least=50))
 query("seg2gold", "select label, gold from s2g")(mapping)
