@@ -41,7 +41,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 #: Bytes that are searched at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 250_000
 #: Bits of a block's hash that a shift table tells apart, and the largest shift that it holds.
 MOST_BITS, MOST_SHIFT = 24, 255
 

@@ -63,7 +63,7 @@ def string_hashes(text: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 250_000
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 

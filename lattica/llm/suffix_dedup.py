@@ -56,7 +56,7 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 #: Bytes that are searched for anchors at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 250_000
 
 
 def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
