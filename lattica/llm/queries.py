@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, for `__spark_entry__`."""
 
-from . import decontaminate, exact_dedup, jaccard, language_id, lm_scoring, mixing, secrets, sharding, suffix_dedup, url_filter
+from . import decontaminate, divergence, exact_dedup, jaccard, language_id, lm_scoring, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_lattice_likelihood": lm_scoring.op1_lattice_likelihood,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_grace_hash": exact_dedup.op8_grace_hash,
     "op9_token_groups": jaccard.op9_token_groups,
     "op10_blob_ledger": secrets.op10_blob_ledger,
+    "op11_radix_tries": divergence.op11_radix_tries,
+    "op12_trie_join": simhash.op12_trie_join,
 }
 ORACLE_SQL = {
     "op2_wu_manber": decontaminate.SQL,
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op8_grace_hash": exact_dedup.SQL,
     "op9_token_groups": jaccard.SQL,
     "op10_blob_ledger": secrets.SQL,
+    "op11_radix_tries": divergence.SQL,
 }
