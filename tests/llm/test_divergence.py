@@ -49,12 +49,13 @@ def brute(rows, least, smooth, scale, top):
     return out
 
 
-@pytest.mark.parametrize(("least", "smooth", "scale", "top", "ranges", "leaves"), [(30, 5, 10**9, 50, 10**6, 10**6), (2, 1, 1000, 3, 5, 4), (10**6, 5, 10**9, 50, 10, 10)])
+@pytest.mark.parametrize(("least", "smooth", "scale", "top", "ranges", "leaves"), [(30, 5, 10**9, 50, 10**6, 10**6), (2, 1, 1000, 3, 40, 2), (10**6, 5, 10**9, 50, 60, 10)])
 def test_divergence(spark, monkeypatch, least, smooth, scale, top, ranges, leaves):
     monkeypatch.setattr(divergence, "LEAVES", leaves)
+    monkeypatch.setattr(divergence, "COUNTERS", 20 * leaves)
     rows = made()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    found = divergence.divergence(df, least_docs=least, smooth=smooth, scale=scale, top=top, range_rows=ranges)
+    found = divergence.divergence(df, least_docs=least, smooth=smooth, scale=scale, top=top, range_size=ranges)
     assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got))
@@ -80,22 +81,26 @@ def test_blocks_of_sources_and_terms_change_nothing():
     assert len(whole) == len(parts) and {tuple(r.values()) for r in whole} == {tuple(r.values()) for r in parts}
 
 
-def test_trie_merges_and_walks_in_order():
+def test_tries_merge_and_keep_utf8_order():
     rng = random.Random(1)
-    terms = [bytes(rng.choices(b"ab\xc3\xa9", k=rng.randint(1, 6))) for _ in range(500)] + [b"a" * 3000, b"a" * 2999]
-    one, other = divergence.ByteTrie(), divergence.ByteTrie()
-    for i, t in enumerate(terms):
-        (one if i % 2 else other).add(t, i % 3, i, 1)
-    for t, counters in other.walk():
-        for group, (n, docs) in counters.items():
-            one.add(t, group, n, docs)
-    want = defaultdict(lambda: [0, 0])
-    for i, t in enumerate(terms):
-        want[t, i % 3][0] += i
-        want[t, i % 3][1] += 1
-    walked = list(one.walk())
-    assert [t for t, _ in walked] == sorted(set(terms)) and one.leaves == len(walked)
-    assert {(t, g): v for t, c in walked for g, v in c.items()} == want
+    docs = [(("en", f"s{i % 3}"), b" ".join(bytes(rng.choices(b"abAB\xc3\xa9", k=rng.randint(1, 6))) for _ in range(9))) for i in range(80)] + [(("en", "s1"), b"a" * 300 + b" " + b"a" * 299)]
+    tries = [divergence.counted([g for g, _ in docs[i : i + 9]], [t for _, t in docs[i : i + 9]]) for i in range(0, len(docs), 9)]
+    whole = divergence.Trie.merged(tries)
+    want = Counter()
+    of = Counter()
+    for group, text in docs:
+        words = text.lower().split()
+        want.update((w, group) for w in words)
+        of.update((w, group) for w in set(words))
+    assert whole.terms == sorted({w for w, _ in want})
+    assert {(whole.terms[i], whole.groups[g]): (n, d) for i, g, n, d in zip(whole.leaf, whole.group, whole.n, whole.docs, strict=True)} == {k: (n, of[k]) for k, n in want.items()}
+    # a slice, and back from edges
+    part = whole.slice(5, 17)
+    shared, edges = part.edges()
+    assert divergence.Trie.paths(shared.tolist(), edges) == whole.terms[5:17] and max(shared) > 0
+    (again,) = divergence._tries(divergence._batch(3, part))
+    assert again.terms == part.terms and again.n.tolist() == part.n.tolist()
+    assert [again.groups[g] for g in again.group] == [part.groups[g] for g in part.group]
 
 
 def test_long_division_is_exact():
