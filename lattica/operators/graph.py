@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import kernels
 from lattica.operators.voxel import map_labels
-from lattica.plans.bricks import local_components
+from lattica.plans import tables
+from lattica.plans.bricks import AXES, KEYS, local_components, own_box
 from lattica.plans.components import connected_components, ensure_checkpoint_dir
 from lattica.plans.joins import join_counted
 
@@ -135,18 +140,51 @@ def lifted_edges(edges: DataFrame, sources: int = 128) -> DataFrame:
     return spread.groupBy("root", "block").applyInPandas(paths, "v1 long, v2 long, p double")
 
 
+#: Voxels of a box whose distances one task settles.
+BOX = (32, 64, 64)
+
+
 def voxel_geodesic(voxels: DataFrame, label: str = "label", penalty: str | None = None) -> DataFrame:
     """(label, iv, distance) from each label's first voxel through its 26-neighbours; null where it isn't reached.
 
-    A step costs its length plus the penalty of the voxel that is entered.
+    A step costs its length plus the penalty of the voxel that is entered.  Distances are settled inside of boxes;
+    what became nearer at a box's faces goes to the boxes around, and only boxes that get something are settled again,
+    until none does.  So rounds grow with the boxes on a shortest path, and a label may lie in any number of boxes.
     """
-    from lattica.operators.kernels import geodesic
-
-    own = voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), "iv", "z", "y", "x", (F.col(penalty) if penalty else F.lit(0.0)).alias("penalty"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("iv", ignore_index=True)
-        distance, _ = geodesic(pdf[["z", "y", "x"]].to_numpy(), pdf.penalty.to_numpy(), 0)
-        return pd.DataFrame({"label": pdf.label, "iv": pdf.iv, "distance": pd.Series(distance).where(lambda d: d < float("inf"))})
-
-    return own.groupBy("label").applyInPandas(run, "label long, iv long, distance double")
+    own = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), "iv", *[F.col(a).cast("int").alias(a) for a in AXES],
+                                                 (F.col(penalty).cast("double") if penalty else F.lit(0.0)).alias("penalty"))
+    own = tables.written(own.select("*", *own_box(BOX)), "geodesic")
+    firsts = own.groupBy("label").agg(F.min(F.struct("iv", *AXES)).alias("f")).select("label", "f.*", F.lit(0.0).alias("distance"))
+    fresh = tables.written(firsts, "nearer")
+    found, names = [fresh], ["label", "iv", *AXES, "distance"]
+
+    def run(key, rows: pa.Table, brought: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+        both = {c: np.concatenate([column(rows, c), column(brought, c)]) for c in ("label", *AXES)}
+        n = rows.num_rows
+        old = pc.fill_null(rows.column("distance"), np.inf).to_numpy()
+        points = np.stack([both[a] for a in AXES], axis=1).astype(np.int64)
+        cost = np.concatenate([column(rows, "penalty"), np.full(brought.num_rows, np.inf)])  # copies are not entered
+        new = kernels.settle(points, both["label"], cost, np.concatenate([old, column(brought, "distance")]), np.arange(n, len(points)))[:n]
+        nearer = np.flatnonzero(new < old)
+        return pa.table({**{c: rows.column(c).take(pa.array(nearer)) for c in names[:-1]}, "distance": pa.array(new[nearer])})
+
+    while not fresh.isEmpty():
+        # a box gets the nearer voxels around it, and at first its own sources
+        brought = fresh
+        for a, size, k in zip(AXES, BOX, KEYS, strict=True):
+            brought = brought.withColumn(k, F.explode(F.array_distinct(F.array(*(F.floor((F.col(a) + d) / size).cast("int") for d in (-1, 0, 1))))))
+        if len(found) > 1:
+            own_z, own_y, own_x = (F.col(k) == F.floor(F.col(a) / size) for a, size, k in zip(AXES, BOX, KEYS, strict=True))
+            brought = brought.where(~(own_z & own_y & own_x))
+        brought = tables.written(brought, "brought")
+        active = brought.select(*KEYS).distinct()
+        known = reduce(DataFrame.unionByName, found).select("iv", "distance", *own_box(BOX)).join(active, KEYS, "left_semi").groupBy("iv").agg(F.min("distance").alias("distance"))
+        rows = own.join(active, KEYS, "left_semi").join(known, "iv", "left").select(*own.columns, "distance")
+        others = brought.select(*names, *[F.col(k).alias(f"{k}_") for k in KEYS])
+        settled = rows.groupBy(*KEYS).cogroup(others.groupBy(*[f"{k}_" for k in KEYS])).applyInArrow(run, "label long, iv long, z int, y int, x int, distance double")
+        fresh = tables.written(settled, "nearer")
+        tables.discard(brought)
+        found.append(fresh)
+    known = reduce(DataFrame.unionByName, found).groupBy("iv").agg(F.min("distance").alias("distance"))
+    return own.join(known, "iv", "left").select("label", "iv", "distance")

@@ -44,6 +44,57 @@ def squared_distance(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def envelopes(costs: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """`lower_envelope` of every row of a matrix of whole numbers, all rows at once."""
+    n = costs.shape[1]
+    if len(costs) > max(1, block // n):
+        return np.concatenate([envelopes(costs[i : i + max(1, block // n)], block) for i in range(0, len(costs), max(1, block // n))])
+    rows, top = np.arange(len(costs)), np.full(len(costs), -1)
+    hull, begins = np.zeros(costs.shape, np.int64), np.full((len(costs), n + 1), np.inf)
+    for q in range(n):
+        todo = rows[costs[:, q] < FAR]
+        if not len(todo):
+            continue
+        begin = np.full(len(costs), -np.inf)
+        while len(todo):
+            open_ = todo[top[todo] >= 0]
+            v = hull[open_, top[open_]]
+            begin[todo] = -np.inf
+            begin[open_] = (costs[open_, q] + q * q - costs[open_, v] - v * v) / (2 * (q - v))
+            todo = open_[begin[open_] <= begins[open_, top[open_]]]
+            top[todo] -= 1
+        put = rows[costs[:, q] < FAR]
+        top[put] += 1
+        hull[put, top[put]], begins[put, top[put]] = q, begin[put]
+        begins[put, top[put] + 1] = np.inf
+    out, at = np.full(costs.shape, FAR, np.int64), np.zeros(len(costs), np.int64)
+    some = rows[top >= 0]
+    for p in range(n):
+        while len(on := some[(at[some] < top[some]) & (begins[some, np.minimum(at[some] + 1, n)] <= p)]):
+            at[on] += 1
+        v = hull[some, at[some]]
+        out[some, p] = (p - v) ** 2 + costs[some, v]
+    return out
+
+
+def envelopes_of_runs(line: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """`lower_envelope` of each run of equal `line` numbers, over places that follow each other.
+
+    Runs are put together by length, each to the next power of two.
+    """
+    starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    sizes = np.diff(np.r_[starts, len(line)])
+    out = np.empty(len(costs), np.int64)
+    widths = 1 << np.ceil(np.log2(sizes)).astype(np.int64)
+    for width in np.unique(widths):
+        own = widths == width
+        at = starts[own][:, None] + np.arange(width)[None, :]
+        real = np.arange(width)[None, :] < sizes[own][:, None]
+        found = envelopes(np.where(real, costs[np.minimum(at, len(costs) - 1)], FAR))
+        out[at[real]] = found[real]
+    return out
+
+
 def grid_of(points: np.ndarray, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """A boolean box around points (n x 3) with `pad` empty voxels on all sides, and its corner."""
     low = points.min(axis=0) - pad
@@ -85,105 +136,129 @@ def geodesic(points: np.ndarray, penalty: np.ndarray, source: int) -> tuple[np.n
     return distance, before
 
 
-def _parts(mask: np.ndarray, start_in, near) -> int:
-    """Number of connected parts of a 3x3x3 mask (centre left out) that hold a voxel of `start_in`."""
-    left = {(a, b, c) for a in range(3) for b in range(3) for c in range(3) if mask[a, b, c] and (a, b, c) != (1, 1, 1)}
-    found = 0
-    while left:
-        stack, hit = [left.pop()], False
-        while stack:
-            p = stack.pop()
-            hit |= p in start_in
-            for o in near:
-                q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
-                if q in left:
-                    left.remove(q)
-                    stack.append(q)
-        found += hit
-    return found
+def _near(reach: int, among) -> list[int]:
+    """For each of the 26 offsets, a bit for each other one of `among` at most `reach` axis steps (26: any) away."""
+    out = []
+    for o in OFFSETS_26:
+        gaps = [[abs(u - v) for u, v in zip(o, p, strict=True)] for p in OFFSETS_26]
+        out.append(sum(1 << k for k, g in enumerate(gaps) if o in among and OFFSETS_26[k] in among and max(g) == 1 and sum(g) <= reach))
+    return out
+
+
+_EIGHTEEN = [o for o in OFFSETS_26 if sum(map(abs, o)) <= 2]
+_BITS_18 = sum(1 << k for k, o in enumerate(OFFSETS_26) if o in _EIGHTEEN)
+BITS_6 = sum(1 << k for k, o in enumerate(OFFSETS_26) if o in FACES)
+_NEAR_26, _NEAR_6 = _near(3, OFFSETS_26), _near(1, _EIGHTEEN)
 
 
-_ALL = {(a, b, c) for a in range(3) for b in range(3) for c in range(3)}
-_FACE = {(1 + a, 1 + b, 1 + c) for a, b, c in FACES}
-_EIGHTEEN = np.array([[[abs(a) + abs(b) + abs(c) <= 2 for c in (-1, 0, 1)] for b in (-1, 0, 1)] for a in (-1, 0, 1)])
+def _flooded(start: np.ndarray, masks: np.ndarray, near: list[int]) -> np.ndarray:
+    """What `start` reaches inside of each mask, over offsets that are `near` each other."""
+    reach = start
+    while True:
+        grown = reach.copy()
+        for k, bits in enumerate(near):
+            if bits:
+                grown |= -(reach >> k & 1) & bits
+        grown &= masks
+        if (grown == reach).all():
+            return reach
+        reach = grown
 
 
-class Topology:
-    """Simple points (26, 6) and curve isthmuses of 3x3x3 neighbourhoods; each mask is settled once."""
+def topology(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(simple, isthmus) of neighbourhoods with a bit for each of the 26 neighbours.
 
-    def __init__(self):
-        self.known: dict[bytes, tuple[bool, bool]] = {}
+    Simple (26, 6): one part of neighbours, and one part of the background in the 18-neighbourhood that touches the
+    middle by a face.  Isthmus: more than one part of neighbours.
+    """
+    own, place = np.unique(masks, return_inverse=True)
+    whole = _flooded(own & -own, own, _NEAR_26) == own
+    ground = ~own & _BITS_18
+    faces = ground & BITS_6
+    one = (faces != 0) & (faces & ~_flooded(faces & -faces, ground, _NEAR_6) == 0)
+    return ((own != 0) & whole & one)[place], ((own != 0) & ~whole)[place]
+
+
+class Box:
+    """Labels of points at the places of a dense box; a point that is taken out leaves the background there."""
+
+    def __init__(self, points: np.ndarray, labels: np.ndarray | None = None, pad: int = 1):
+        # `pad` places on all sides, so that no step of that length leads around to another row
+        low = points.min(axis=0) - pad
+        shape = points.max(axis=0) - low + pad + 1
+        self.strides = (int(shape[1] * shape[2]), int(shape[2]), 1)
+        self.at = (points - low) @ np.array(self.strides)
+        codes = np.ones(len(points), np.int32) if labels is None else np.unique(labels, return_inverse=True)[1].astype(np.int32) + 1
+        self.place = np.zeros(int(np.prod(shape)), np.int32)
+        self.place[self.at] = codes
+        self.codes = codes
+        self.parity = (points & 1) @ np.array((4, 2, 1))
+
+    def live(self) -> np.ndarray:
+        return self.place[self.at] != 0
+
+    def step(self, offset) -> int:
+        return sum(d * s for d, s in zip(offset, self.strides, strict=True))
+
+    def masks(self, rows: np.ndarray) -> np.ndarray:
+        """A bit for each of the 26 neighbours that has the label of the point."""
+        at, codes, out = self.at[rows], self.codes[rows], np.zeros(len(rows), np.int64)
+        for k, o in enumerate(OFFSETS_26):
+            out |= (self.place[at + self.step(o)] == codes).astype(np.int64) << k
+        return out
+
+
+def thin_round(box: Box, frozen: np.ndarray | None) -> None:
+    """One round of directional thinning, six sub-iterations; takes points out of the box.
+
+    Border points of a direction that are simple are noted.  With `frozen`, curve thinning: isthmuses are marked there
+    and stay for good.  Without, medial axis: points with fewer than two neighbours stay.  Noted points are checked
+    again and taken out by the parity of their three coordinates, eight classes in turn: points of one class never
+    touch, so that the order inside of a class doesn't matter, and what happens to a point depends on the
+    REACH around it only.
+    """
+    for d in FACES:
+        rows = np.flatnonzero(box.live())
+        rows = rows[box.place[box.at[rows] + box.step(d)] != box.codes[rows]]
+        if frozen is not None:
+            rows = rows[~frozen[rows]]
+        masks = box.masks(rows)
+        simple, isthmus = topology(masks)
+        if frozen is not None:
+            frozen[rows[isthmus]] = True
+        else:
+            simple &= np.bitwise_count(masks) > 1
+        noted = rows[simple]
+        for parity in range(8):
+            turn = noted[box.parity[noted] == parity]
+            masks = box.masks(turn)
+            goes = topology(masks)[0]
+            if frozen is None:
+                goes &= np.bitwise_count(masks) > 1
+            box.place[box.at[turn[goes]]] = 0
 
-    def of(self, cube: np.ndarray) -> tuple[bool, bool]:
-        key = cube.tobytes()
-        if key not in self.known:
-            objects = _parts(cube, _ALL, OFFSETS_26)
-            holes = _parts(~cube & _EIGHTEEN, _FACE, FACES)
-            self.known[key] = (objects == 1 and holes == 1, objects > 1)
-        return self.known[key]
 
+#: How far on each axis a round sees: six directions, in each 1 for what is noted, and 1, 3 or 7 changes of parity.
+REACH = (12, 24, 48)
 
-def thin(points: np.ndarray) -> np.ndarray:
-    """Mask of the points that stay after curve thinning.
 
-    Rounds of six sub-iterations (one for each face direction): border points that are simple are noted,
-    those that are isthmuses are frozen; then noted points are checked again one by one and removed if still
-    simple.  Ends when a round removes nothing.
-    """
-    box, low = grid_of(points, 2)
-    places = [tuple(p) for p in (points - low).tolist()]
-    frozen: set = set()
-    topology = Topology()
-    live = set(places)
+def _thinned(points: np.ndarray, labels: np.ndarray | None, curve: bool) -> np.ndarray:
+    box, frozen = Box(points, labels), np.zeros(len(points), bool) if curve else None
+    left = len(points) + 1
+    while (now := int(box.live().sum())) < left:
+        left = now
+        thin_round(box, frozen)
+    return box.live()
 
-    def cube(p):
-        return box[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
 
-    while True:
-        removed = 0
-        for d in FACES:
-            noted = []
-            for p in sorted(live):
-                if p in frozen or box[p[0] + d[0], p[1] + d[1], p[2] + d[2]]:
-                    continue
-                simple, isthmus = topology.of(cube(p))
-                if isthmus:
-                    frozen.add(p)
-                elif simple:
-                    noted.append(p)
-            for p in noted:
-                if topology.of(cube(p))[0]:
-                    box[p] = False
-                    live.discard(p)
-                    removed += 1
-        if not removed:
-            return np.array([p in live for p in places])
-
-
-def medial(points: np.ndarray) -> np.ndarray:
-    """Mask of the points that stay on the medial axis: what directional thinning leaves when line ends are kept.
-
-    Rounds over the six face directions: border points with more than one neighbour that are simple are noted,
-    then checked again one by one (also for being an end by now) and removed.
-    """
-    box, low = grid_of(points, 2)
-    places = [tuple(p) for p in (points - low).tolist()]
-    live, topology = set(places), Topology()
+def thin(points: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Mask of the points that stay after curve thinning: rounds until one takes nothing out."""
+    return _thinned(points, labels, True)
 
-    def goes(p) -> bool:
-        around = box[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
-        return around.sum() > 2 and topology.of(around)[0]
 
-    while True:
-        before = len(live)
-        for a, b, c in FACES:
-            border = [p for p in sorted(live) if not box[p[0] + a, p[1] + b, p[2] + c] and goes(p)]
-            for p in border:
-                if goes(p):
-                    box[p] = False
-                    live.discard(p)
-        if len(live) == before:
-            return np.array([p in live for p in places])
+def medial(points: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Mask of the points that stay on the medial axis: what directional thinning leaves when line ends are kept."""
+    return _thinned(points, labels, False)
 
 
 def few_neighbours(points: np.ndarray) -> np.ndarray:
@@ -210,6 +285,32 @@ def parts_of(points: np.ndarray) -> np.ndarray:
     return part
 
 
+def settle(points: np.ndarray, labels: np.ndarray, penalty: np.ndarray, distance: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distances through 26-neighbours of equal label, from `distance` and what the points of `first` bring.
+
+    A step costs its length and the penalty of the point that it enters.  Points that became nearer pass it on, all at
+    once, until none does.
+    """
+    box, out = Box(points, labels), distance.copy()
+    rows = np.full(len(box.place), -1, np.int64)
+    rows[box.at] = np.arange(len(points))
+    steps = [(box.step(o), (o[0] ** 2 + o[1] ** 2 + o[2] ** 2) ** 0.5) for o in OFFSETS_26]
+    while len(first):
+        to, cost = [], []
+        for step, length in steps:
+            other = rows[box.at[first] + step]
+            on = other >= 0
+            on[on] = box.codes[other[on]] == box.codes[first[on]]
+            new = out[first[on]] + length + penalty[other[on]]
+            less = new < out[other[on]]
+            to.append(other[on][less])
+            cost.append(new[less])
+        to, cost = np.concatenate(to), np.concatenate(cost)
+        np.minimum.at(out, to, cost)
+        first = np.unique(to)
+    return out
+
+
 def penalty_of(field: np.ndarray) -> np.ndarray:
     """5000 * (1 - DBF / max DBF)^16."""
     return 5000.0 * (1.0 - field / field.max()) ** 16

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.bricks import AXES, face_rows, face_sums
-
-OFFSETS_26 = tuple((dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) != (0, 0, 0))
+from lattica.operators.kernels import OFFSETS_26, Box
+from lattica.plans.bricks import AXES, face_rows, face_sums, in_boxes
 
 
 def neighbour_pairs(voxels: DataFrame, offsets, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -49,34 +50,68 @@ def mean_affinity(voxels: DataFrame, label: str = "label", scale: float = 1000.0
     return out.select("label_one", "label_two", "n", "total", (F.col("total") / (F.col("n") * scale)).alias("affinity"))
 
 
+#: Voxels of a box in which neighbours are looked up, without its halo.
+BOX = (32, 64, 128)
+
+
 def neighbour_mask(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """(label, iv, mask, n): 26 bits, one for each neighbour of the same label, in raster order."""
-    pairs = neighbour_pairs(voxels, OFFSETS_26, ["iv", label], [label])
-    bits = pairs.groupBy(label, "iv").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"), F.count("*").alias("n"))
-    own = voxels.select(F.col(label).alias("label"), "iv")
-    joined = own.join(bits.select(F.col(label).alias("label"), "iv", "mask", "n"), ["label", "iv"], "left")
-    return joined.select("label", "iv", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(label, iv, mask, n): 26 bits, one for each neighbour of the same label, in raster order; one shuffle of the voxels."""
+    own = voxels.select(F.col(label).cast("long").alias("label"), "iv", *AXES)
+
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        masks = _box(table, "label").masks(np.flatnonzero(inside))
+        kept = table.select(["label", "iv"]).filter(pa.array(inside))
+        return kept.append_column("mask", pa.array(masks)).append_column("n", pa.array(np.bitwise_count(masks).astype(np.int64)))
+
+    return in_boxes(own, BOX, (1, 1, 1), run, "label long, iv long, mask long, n long")
+
+
+def _box(table: pa.Table, label: str, pad: int = 1) -> Box:
+    return Box(np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64), table.column(label).to_numpy(), pad)
+
+
+def _plane_edges(box: Box) -> np.ndarray:
+    """Which points touch another label inside their plane."""
+    edge = np.zeros(len(box.at), bool)
+    for o in ((0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)):
+        other = box.place[box.at + box.step(o)]
+        edge |= (other != 0) & (other != box.codes)
+    return edge
+
+
+def plane_edges(table: pa.Table, label: str) -> np.ndarray:
+    """Which voxels of a table touch another label inside their plane."""
+    return _plane_edges(_box(table, label))
 
 
 def plane_boundary(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """Voxels that touch another label inside their plane (both sides of the boundary)."""
-    around = ((0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))
-    pairs = neighbour_pairs(voxels, around, ["iv", *AXES, label]).where(F.col(label) != F.col(f"n_{label}"))
-    return pairs.select("iv", *AXES).distinct()
+    """Voxels that touch another label inside their plane (both sides of the boundary); one shuffle of the voxels."""
+    own = voxels.select("iv", *AXES, label)
+
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        return table.select(["iv", *AXES]).filter(pa.array(inside & plane_edges(table, label)))
+
+    return in_boxes(own, BOX, (0, 1, 1), run, own.drop(label).schema)
 
 
 def dilate_gold(voxels: DataFrame, distance: int, label: str = "label") -> DataFrame:
-    """Labels within `distance` of a boundary in their plane become 0.
+    """Labels within `distance` of a boundary in their plane become 0; one shuffle of the voxels.
 
-    Each boundary voxel covers the whole-number offsets of a disc; covered places are distinct before the
-    join, so work grows with the boundary times the disc and no distances of pairs are computed.
+    A box sees `distance` and one more around it: where the boundary is, and the whole-number offsets of a disc around it.
     """
-    disc = [(dy, dx) for dy in range(-distance, distance + 1) for dx in range(-distance, distance + 1) if dy * dy + dx * dx <= distance * distance]
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc])
-    near = plane_boundary(voxels, label).select(F.col("z").alias("_z"), "y", "x", F.explode(steps).alias("o"))
-    near = near.select("_z", (F.col("y") + F.col("o.dy")).alias("_y"), (F.col("x") + F.col("o.dx")).alias("_x")).distinct()
-    joined = voxels.join(near, (F.col("z") == F.col("_z")) & (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x")), "left")
-    return joined.withColumn(label, F.when(F.col("_z").isNull(), F.col(label)).otherwise(0).cast("long")).drop("_z", "_y", "_x")
+    disc = [(0, dy, dx) for dy in range(-distance, distance + 1) for dx in range(-distance, distance + 1) if dy * dy + dx * dx <= distance * distance]
+    kind = voxels.schema[label].dataType
+
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        box = _box(table, label, max(1, distance))
+        edge, near = box.at[_plane_edges(box)], np.zeros(len(box.place), bool)
+        for o in disc:
+            near[edge + box.step(o)] = True
+        labels = np.where(near[box.at], 0, table.column(label).to_numpy())
+        return table.set_column(table.schema.get_field_index(label), label, pa.array(labels)).filter(pa.array(inside))
+
+    own = voxels.withColumn(label, F.col(label).cast("long"))
+    return in_boxes(own, BOX, (0, distance + 1, distance + 1), run, own.schema).withColumn(label, F.col(label).cast(kind))
 
 
 def best_large_neighbour(pairs: DataFrame, small: DataFrame, score: str) -> DataFrame:

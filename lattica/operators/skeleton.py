@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.geometry import Geometry
-from lattica.operators import kernels
-from lattica.operators.neighbors import AXES, OFFSETS_26, neighbour_mask, neighbour_pairs, plane_boundary
+from lattica.operators import kernels, neighbors
+from lattica.operators.neighbors import AXES, OFFSETS_26, neighbour_mask, neighbour_pairs, plane_edges
+from lattica.plans import tables
+from lattica.plans.bricks import along_lines, in_boxes
 
 
 def skeleton_endpoints(skeleton: DataFrame) -> DataFrame:
@@ -69,24 +72,48 @@ def _per_label(voxels: DataFrame, label: str, run, schema: str) -> DataFrame:
     return own.groupBy("label").applyInPandas(lambda pdf: run(pdf.sort_values("iv", ignore_index=True)), schema)
 
 
-def _curve(kernel):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[list(AXES)].to_numpy()
-        stays = kernel(points)
-        left = pdf[stays]
-        return pd.DataFrame({"label": left.label, "iv": left.iv, "is_endpoint": kernels.few_neighbours(points[stays])})
+#: Voxels of a box that thins as one task, without its halo.
+BOX = (64, 128, 256)
 
-    return run
+
+def _thinned(voxels: DataFrame, label: str, curve: bool) -> DataFrame:
+    """(label, iv, is_endpoint) of what thinning leaves of each label, in rounds over boxes of the volume.
+
+    A label may lie in any number of boxes: a round sees `kernels.REACH` around a voxel, which is the halo, so
+    that boxes agree, and the result is that of one box for all.  What is left is written between rounds;
+    the rounds end when one takes nothing out.
+    """
+    state = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), "iv", *[F.col(a).cast("int").alias(a) for a in AXES], F.lit(False).alias("frozen"))
+    schema = state.schema
+
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        box = kernels.Box(np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64), table.column("label").to_numpy())
+        frozen = np.array(table.column("frozen").to_numpy(zero_copy_only=False)) if curve else None
+        kernels.thin_round(box, frozen)
+        out = table.set_column(table.schema.get_field_index("frozen"), "frozen", pa.array(frozen)) if curve else table
+        return out.filter(pa.array(inside & box.live()))
+
+    state = tables.written(state, "thinning")
+    left = state.count()
+    while left:
+        after = tables.written(in_boxes(state, BOX, kernels.REACH, run, schema), "thinning")
+        now = after.count()
+        tables.discard(state)
+        state = after
+        if now == left:
+            break
+        left = now
+    return neighbour_mask(state.drop("frozen")).select("label", "iv", (F.col("n") <= 1).alias("is_endpoint"))
 
 
 def thinning(voxels: DataFrame, label: str = "label") -> DataFrame:
     """(label, iv, is_endpoint) of each label's curve skeleton by topological thinning that keeps isthmuses."""
-    return _per_label(voxels, label, _curve(kernels.thin), "label long, iv long, is_endpoint boolean")
+    return _thinned(voxels, label, True)
 
 
 def medial_axis(voxels: DataFrame, label: str = "label") -> DataFrame:
     """(label, iv, is_endpoint) of each label's medial axis: directional thinning that keeps line ends."""
-    return _per_label(voxels, label, _curve(kernels.medial), "label long, iv long, is_endpoint boolean")
+    return _thinned(voxels, label, False)
 
 
 def skeleton_pairs(skeleton: DataFrame) -> DataFrame:
@@ -110,13 +137,51 @@ def teaser(voxels: DataFrame, label: str = "label", scale: float = 1.3, buffer:
     return _per_label(voxels, label, run, "label long, iv long, is_endpoint boolean")
 
 
-def dbf_3d(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """(label, iv, dbf): distance-from-boundary field of each label; a boundary voxel has 1."""
+def _lengths(voxels: DataFrame) -> dict[str, int]:
+    """Places on each axis of the box that holds all voxels."""
+    ends = voxels.agg(*[f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+    return {a: (ends[f"high{a}"] or 0) - (ends[f"low{a}"] or 0) + 1 for a in AXES}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"label": pdf.label, "iv": pdf.iv, "dbf": kernels.boundary_distance(pdf[list(AXES)].to_numpy()).round(6)})
 
-    return _per_label(voxels, label, run, "label long, iv long, dbf double")
+def dbf_3d(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """(label, iv, dbf): distance-from-boundary field of each label; a boundary voxel has 1.
+
+    Voxels with a face to another label or to nothing have squared value 1, others the least squared distance to one of these
+    plus 1.  That is a lower envelope of parabolas along x, y and z in turn.  Between a voxel and its nearest boundary voxel all
+    places are of the label (the ball that touches the boundary there holds nothing else), so each axis has only to look
+    along runs of a label's voxels.  A task has a bundle of lines, never a label.
+    """
+    own = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), "iv", *[F.col(a).cast("int").alias(a) for a in AXES])
+    lengths = _lengths(own)
+    columns = [*own.columns, "square"]
+
+    def edges(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        box = kernels.Box(np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64), table.column("label").to_numpy())
+        faces = box.masks(np.flatnonzero(inside)) & kernels.BITS_6
+        return table.filter(pa.array(inside)).append_column("square", pa.array(np.where(faces == kernels.BITS_6, kernels.FAR, 1)))
+
+    def pass_along(axis: str):
+        others = [a for a in AXES if a != axis]
+
+        def run(table: pa.Table) -> pa.Table:
+            keys = [table.column(c).to_numpy() for c in (axis, *others, "label")]
+            order = np.lexsort(keys)
+            sorted_ = [k[order] for k in keys]
+            ends = np.zeros(len(order), bool)
+            ends[1:] = sorted_[0][1:] != sorted_[0][:-1] + 1
+            for k in sorted_[1:]:
+                ends[1:] |= k[1:] != k[:-1]
+            found = np.empty(len(order), np.int64)
+            found[order] = kernels.envelopes_of_runs(np.cumsum(ends), table.column("square").to_numpy()[order])
+            return table.set_column(columns.index("square"), "square", pa.array(found))
+
+        return run
+
+    schema = ", ".join(f"{c} {t}" for c, t in own.dtypes) + ", square long"
+    field = in_boxes(own, BOX, (1, 1, 1), edges, schema)
+    for axis in reversed(AXES):
+        field = along_lines(field, axis, lengths[axis], pass_along(axis), schema)
+    return field.select("label", "iv", F.round(F.sqrt(F.col("square").cast("double")), 6).alias("dbf"))
 
 
 def pdrf_penalty(field: DataFrame) -> DataFrame:
@@ -126,18 +191,40 @@ def pdrf_penalty(field: DataFrame) -> DataFrame:
 
 
 def distance_transform_2d(voxels: DataFrame, geometry: Geometry, label: str = "label") -> DataFrame:
-    """(iv, distance) inside each plane to the nearest boundary voxel; null where a plane has no boundary."""
-    marked = voxels.select("iv", *AXES).join(plane_boundary(voxels, label).select("iv", F.lit(True).alias("edge")), "iv", "left")
-    ny, nx = geometry.ny, geometry.nx
+    """(iv, distance) inside each plane to the nearest boundary voxel; null where a plane has no boundary.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = np.full((ny, nx), kernels.FAR, dtype=np.int64)
-        own = pdf[pdf.edge.notna()]
-        cost[own.y.to_numpy(), own.x.to_numpy()] = 0
-        field = kernels.squared_distance(cost)[pdf.y.to_numpy(), pdf.x.to_numpy()]
-        return pd.DataFrame({"iv": pdf.iv, "distance": np.where(field < kernels.FAR, np.sqrt(field).round(6), np.nan)})
-
-    return marked.groupBy("z").applyInPandas(run, "iv long, distance double").withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    One shuffle finds the boundary, one looks along x and one along y, on bundles of whole lines; places without a voxel
+    pass distances on like all others.
+    """
+    own = voxels.select("iv", *[F.col(a).cast("int").alias(a) for a in AXES], label)
+    schema = "iv long, z int, y int, x int, square long"
+
+    def edges(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        square = np.where(plane_edges(table, label), 0, kernels.FAR)
+        return table.select(["iv", *AXES]).append_column("square", pa.array(square)).filter(pa.array(inside))
+
+    def pass_along(axis: str, other: str, length: int):
+        def run(table: pa.Table) -> pa.Table:
+            z, at, line = (table.column(c).to_numpy() for c in ("z", axis, other))
+            lines, row = np.unique(np.stack([z, line], axis=1), axis=0, return_inverse=True)
+            row = row.reshape(-1)
+            costs = np.full((len(lines), length), kernels.FAR, np.int64)
+            costs[row, at] = table.column("square").to_numpy()
+            ivs, known = np.zeros(costs.shape, np.int64), np.zeros(costs.shape, bool)
+            there = table.column("iv").is_valid().to_numpy()
+            ivs[row[there], at[there]], known[row[there], at[there]] = table.column("iv").drop_null().to_numpy(), True
+            found = kernels.envelopes(costs)
+            r, p = np.nonzero(known | (found < kernels.FAR))
+            out = {"z": lines[r, 0], axis: p, other: lines[r, 1]}
+            return pa.table({"iv": pa.array(ivs[r, p], mask=~known[r, p]), **{a: pa.array(out[a].astype(np.int32)) for a in AXES}, "square": pa.array(found[r, p])})
+
+        return run
+
+    field = in_boxes(own, neighbors.BOX, (0, 1, 1), edges, schema)
+    field = along_lines(field, "x", geometry.nx, pass_along("x", "y", geometry.nx), schema)
+    field = along_lines(field, "y", geometry.ny, pass_along("y", "x", geometry.ny), schema)
+    near = F.when(F.col("square") < kernels.FAR, F.round(F.sqrt(F.col("square").cast("double")), 6))
+    return field.where("iv is not null").select("iv", near.alias("distance"))
 
 
 def endpoint_matching(truth: DataFrame, proposed: DataFrame, geometry: Geometry, radius: int = 800) -> DataFrame:

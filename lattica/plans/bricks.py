@@ -160,3 +160,41 @@ def local_components(voxels: DataFrame, label: str, name: str = "iv") -> DataFra
         return out.select(schema.names).cast(kinds)
 
     return per_brick(own, run, schema, below=True)
+
+
+def in_boxes(voxels: DataFrame, box: tuple[int, int, int], halo: tuple[int, int, int], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """`run(table, inside)` for each box of `box` voxels with all voxels that are at most `halo` away on each axis.
+
+    `inside` marks rows that lie in the box itself; others are copies.  A halo may be wider than a box.  Only
+    columns of `voxels` are in the table.
+    """
+    names, nothing = voxels.columns, to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    out = voxels
+    for a, size, wide, key in zip(AXES, box, halo, KEYS, strict=True):
+        first, last = F.floor((F.col(a) - wide) / size).cast("int"), F.floor((F.col(a) + wide) / size).cast("int")
+        out = out.withColumn(key, F.explode(F.sequence(first, last)) if wide else first)
+
+    def whole(table: pa.Table) -> pa.Table:
+        inside = np.ones(table.num_rows, bool)
+        for a, k, size in zip(AXES, KEYS, box, strict=True):
+            inside &= table.column(a).to_numpy() // size == table.column(k)[0].as_py()
+        return run(table.select(names), inside) if inside.any() else nothing.empty_table()
+
+    return out.groupBy(*KEYS).applyInArrow(whole, schema)
+
+
+def own_box(box: tuple[int, int, int]) -> list:
+    """Columns of the box that a voxel lies in."""
+    return [F.floor(F.col(a) / size).cast("int").alias(k) for a, size, k in zip(AXES, box, KEYS, strict=True)]
+
+
+#: Voxels of the lines that one task has at once.
+LINES = 1 << 21
+
+
+def along_lines(voxels: DataFrame, axis: str, length: int, run: Callable[[pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """`run(table)` on bundles of whole lines along an axis of `length` places; a table has LINES voxels or one line."""
+    side = max(1, int((LINES // max(1, length)) ** 0.5))
+    others = [a for a in AXES if a != axis]
+    keyed, names = voxels.select("*", *[F.floor(F.col(a) / side).cast("int").alias(f"_b{a}") for a in others]), voxels.columns
+    return keyed.groupBy(*[f"_b{a}" for a in others]).applyInArrow(lambda table: run(table.select(names)), schema)

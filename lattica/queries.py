@@ -339,16 +339,17 @@ def _(s, d):
 
 # Graphs
 
-def _closure(keep: str) -> str:
-    return f"""(with recursive e as (select v1 a, v2 b from scored where {keep} union all select v2, v1 from scored where {keep}),
-r as (select distinct a v, a u from (select v1 a from scored union select v2 from scored) union select r.v, e.b from r join e on r.u = e.a) select v label, min(u) mapped from r group by v)"""
+def closure(keep: str, edges: str = "scored") -> str:
+    """SQL of (label, mapped): what the vertices of `edges` reach over edges with `keep`."""
+    return f"""(with recursive e as (select v1 a, v2 b from {edges} where {keep} union all select v2, v1 from {edges} where {keep}),
+r as (select distinct a v, a u from (select v1 a from {edges} union select v2 from {edges}) union select r.v, e.b from r join e on r.u = e.a) select v label, min(u) mapped from r group by v)"""
 
 
 query("connected_components", "select label v, mapped root from roots95 where label in (select a from roots95e)")(
     lambda s, d: graph.connected_components(fx.scored(s, d).where("p >= 0.95").select(F.col("v1").alias("a"), F.col("v2").alias("b"))))
 query("graph_baseline", "select * from roots95")(lambda s, d: graph.graph_baseline(fx.scored(s, d)))
-query("agglomerate", f"select * from {_closure('p > 0.5')}")(lambda s, d: graph.agglomerate(fx.scored(s, d)))
-query("merge_ground_truth", f"select * from {_closure('(select gold from s2g where label = v1) = (select gold from s2g where label = v2) and (select gold from s2g where label = v1) <> 0')}")(
+query("agglomerate", f"select * from {closure('p > 0.5')}")(lambda s, d: graph.agglomerate(fx.scored(s, d)))
+query("merge_ground_truth", f"select * from {closure('(select gold from s2g where label = v1) = (select gold from s2g where label = v2) and (select gold from s2g where label = v1) <> 0')}")(
     lambda s, d: graph.merge_ground_truth(fx.scored(s, d), mapping(s, d)))
 query("collapse_graph", "select iv, coalesce(mapped, seg) label from voxel left join roots95 on label = seg")(
     lambda s, d: graph.collapse_graph(fx.labels(s, d), graph.graph_baseline(fx.scored(s, d))).select("iv", "label"))
@@ -357,9 +358,10 @@ query("collapse_vi", _VI.format("seg", "(select coalesce(mapped, seg) seg, gold,
 _PARTS = """(with recursive e as (select a.iv a, b.iv b from voxel a, off26 join voxel b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx and b.seg_split = a.seg_split where a.seg_split > 0),
 r as (select iv v, iv u from voxel where seg_split > 0 union select r.v, e.b from r join e on r.u = e.a) select v.seg_split label, r.v iv, min(u) component from r join voxel v on v.iv = r.v group by all)"""
 query("components_per_label", f"select label, count(distinct component) n_components from {_PARTS} group by label")(lambda s, d: graph.components_per_label(fx.labels(s, d, "seg_split")))
-query("force_connectivity", f"""select v.iv, coalesce(n.new, v.seg_split) label from voxel v left join (select p.iv, case when c.k = 1 then p.label else (select max(seg_split) from voxel) + c.x end as new from {_PARTS} p join
-  (select *, cast(sum(case when k > 1 then 1 else 0 end) over (order by label, component) as bigint) x from (select distinct label, component, dense_rank() over (partition by label order by component) k from {_PARTS})) c
-  on c.component = p.component) n on n.iv = v.iv""")(lambda s, d: graph.force_connectivity(fx.labels(s, d, "seg_split")).select("iv", "label"))
+query("force_connectivity", """select v.iv, coalesce(p.new, v.seg_split) label from voxel v left join named p on p.iv = v.iv""", f"""parts as materialized {_PARTS},
+ranked as materialized (select label, component, row_number() over (partition by label order by component) k from (select label, component from parts group by all)),
+added as materialized (select label, component, k, (select max(seg_split) from voxel) + cast(sum(case when k > 1 then 1 else 0 end) over (order by label, component) as bigint) n from ranked),
+named as (select parts.iv, case when k = 1 then parts.label else n end as new from parts join added on added.component = parts.component)""")(lambda s, d: graph.force_connectivity(fx.labels(s, d, "seg_split")).select("iv", "label"))
 
 
 def lifted_rows(df):
