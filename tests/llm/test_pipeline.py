@@ -40,6 +40,47 @@ def test_language_stage_drops_only_what_has_no_language(stages):
     assert set(ids(stages[0])) - set(ids(stages[1])) == {10**6, 10**6 + 1}
 
 
+CLASHING = ["size", "n_words", "score", "col", "host", "lang_pred", "copies", "time", "contaminated", "own_size"]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir, stages):
+    """Columns with names that operators use come through with their values."""
+    import corpus_pipeline as c
+    from pyspark.sql import functions as F
+
+    docs = stages[0]
+    for i, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + i)
+    for (name, stage), after in zip(c.STAGES[:-1], stages[1:], strict=False):
+        docs = c.common.written(stage(spark, docs, sf_dir), f"clash-{name}")
+        assert docs.columns == [*stages[0].columns, *CLASHING], name
+        assert ids(docs) == ids(after), name
+        assert docs.where(" or ".join(f"`{x}` is distinct from doc_id * 100 + {i}" for i, x in enumerate(CLASHING))).isEmpty(), name
+    last = c.STAGES[-1][1](spark, docs.withColumn("slot", F.lit(-1)), sf_dir)
+    assert ids(last) == ids(stages[5]) and last.where("slot < 0").isEmpty()
+
+
+def test_stages_of_nothing(spark, sf_dir, stages):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        assert stage(spark, stages[0].limit(0), sf_dir).count() == 0, name
+
+
+def test_language_stage_judges_by_its_bar(spark, sf_dir, stages, monkeypatch):
+    """On a bar that half of the documents pass, the stage keeps those whose score, worked out word by word, reaches it."""
+    import corpus_pipeline as c
+    from lattica.llm import language_id
+
+    model = language_id.fit(stages[0].where(~language_id.held_out()))
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(stages[0].select("doc_id", "text"), model).collect()}
+    known = sorted(s for lang, s in scores.values() if lang != "und")
+    bar = known[len(known) // 2]
+    monkeypatch.setattr(c, "LEAST_SCORE", bar)
+    want = {i for i, (lang, s) in scores.items() if lang != "und" and s >= bar}
+    assert set(ids(c.language_stage(spark, stages[0], sf_dir))) == want and 0 < len(want) <= len(known)
+
+
 def test_near_duplicate_stage(stages):
     from test_operators import brute_links
 
