@@ -311,6 +311,22 @@ def settle(points: np.ndarray, labels: np.ndarray, penalty: np.ndarray, distance
     return out
 
 
+def products_over(best: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """max of `best` and of one[i, t] * two[t, j] over all t."""
+    out = best.copy()
+    for t in range(one.shape[1]):
+        np.maximum(out, one[:, t, None] * two[t], out=out)
+    return out
+
+
+def best_products(m: np.ndarray) -> np.ndarray:
+    """The largest product of factors of at most 1 along any path between two places of a square matrix."""
+    out = m.copy()
+    for t in range(len(out)):
+        np.maximum(out, out[:, t, None] * out[t], out=out)
+    return out
+
+
 def penalty_of(field: np.ndarray) -> np.ndarray:
     """5000 * (1 - DBF / max DBF)^16."""
     return 5000.0 * (1.0 - field / field.max()) ** 16

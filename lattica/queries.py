@@ -256,16 +256,6 @@ query("skeleton_label_semi", "select * from skel where label in (select label fr
 
 # Features and candidates
 
-_SCALED = """(select iz, iy, ix, case seg when 1 then 1 when 2 then 2 else 0 end val from (select 0::bigint iz, a.range iy, b.range ix from range(10) a, range(20) b) join voxel on z = 0 and y = iy * 3 and x = cast(floor(2.5 * ix) as bigint))"""
-
-
-def scaled_plane(s, d):
-    return features.scale_feature(fx.labels(s, d).where("z = 0"), (1, fx.NY, fx.NX), (1, 10, 20), 1, 2)
-
-
-query("scale_feature_plane", f"select iz, iy, ix, val from {_SCALED}")(scaled_plane)
-query("example_channels_plane", f"select iz, iy, ix, case when val > 0 then 0.5 else -0.5 end::double c0, case when val = 1 then 0.5 else -0.5 end::double c1, case when val = 2 then 0.5 else -0.5 end::double c2 from {_SCALED}")(
-    lambda s, d: features.example_channels(scaled_plane(s, d)))
 #: The whole volume: three cells for four planes, so that planes 0 and 1, which hold labels 1 and 2, are both taken.
 _SCALED_ALL = """(select iz, iy, ix, case seg when 1 then 1 when 2 then 2 else 0 end val from (select iz, cast(floor(nz::double / nc::double * iz) as bigint) az from (select nz, nc, unnest(range(nc)) iz from (select max(z) + 1 nz, (3 * (max(z) + 1) + 3) // 4 nc from voxel)))
   cross join (select a.range iy, b.range ix from range(10) a, range(20) b) join voxel on z = az and y = iy * 3 and x = cast(floor(2.5 * ix) as bigint))"""
@@ -368,15 +358,10 @@ def lifted_rows(df):
     return df.select("v1", "v2", F.round("p", 6).alias("p"))
 
 
-def strong(s, d):
-    """Edges of p >= 0.9: on these, SQL can list all paths and so check the operators; on all edges it cannot."""
-    return fx.scored(s, d).where("p >= 0.9")
-
-
-query("lifted_edges")(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d))))
-query("lifted_edges_strong", """select a v1, b v2, round(p, 6) p from (with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
-w(a, b, p, path) as (select a, b, p, [a, b] from e union all select w.a, e.b, w.p * e.p, list_append(path, e.b) from w join e on w.b = e.a where not list_contains(path, e.b)) select a, b, max(p) p from w where a < b group by all)""")(
-    lambda s, d: lifted_rows(graph.lifted_edges(strong(s, d))))
+#: Best products of all pairs: paths of one edge, then of twice as many each time; 1024 edges are more than any path here has.
+_PATHS = ",\n".join(["""path0 as materialized (select v1 a, v2 b, p from scored union all select v2, v1, p from scored union all select v, v, 1.0::double from (select v1 v from scored union select v2 from scored))""",
+                     *(f"path{k + 1} as materialized (select x.a, y.b, max(x.p * y.p) p from path{k} x join path{k} y on y.a = x.b group by all)" for k in range(10))])
+query("lifted_edges", "select a v1, b v2, round(p, 6) p from path10 where a < b", _PATHS)(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d))))
 #: Forty steps: no path inside of a label of this volume is longer.
 _GEODESIC = """ge as (select a.iv, b.iv n_iv, sqrt(dz * dz + dy * dy + dx * dx) len from voxel a, off26 join voxel b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx and b.seg = a.seg where a.seg <> 0),
 geo(i, iv, d) as (select 0, min(iv), 0.0::double from voxel where seg <> 0 group by seg union all
@@ -387,11 +372,9 @@ query("voxel_geodesic", "select seg label, v.iv, round(d, 6) distance from voxel
 # Partition
 
 query("multicut_weights", "select v1, v2, round(ln(p / (1 - p)) + ln((1 - 0.95) / 0.95), 6) weight from scored")(lambda s, d: partition.multicut_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 6)))
-query("lifted_weights")(lambda s, d: partition.lifted_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 4)))
-query("lifted_weights_strong", """select a v1, b v2, o original, round(case when o then nv * (nv - 1) / 2 else ne end * (ln(p / (1 - p)) + ln((1 - 0.95) / 0.95)), 4) weight from (select a, b, max(p) p, bool_or(len(path) = 2) o from (
-with recursive e as (select v1 a, v2 b, p from scored where p >= 0.9 union all select v2, v1, p from scored where p >= 0.9),
-w(a, b, p, path) as (select a, b, p, [a, b] from e union all select w.a, e.b, w.p * e.p, list_append(path, e.b) from w join e on w.b = e.a where not list_contains(path, e.b)) select * from w where a < b) group by all),
-(select max(v2) + 1.0::double nv, count(*)::double ne from scored where p >= 0.9)""")(lambda s, d: partition.lifted_weights(strong(s, d)).withColumn("weight", F.round("weight", 4)))
+query("lifted_weights", """select a v1, b v2, s.v1 is not null original, round(case when s.v1 is not null then nv * (nv - 1) / 2 else ne end * (ln(q / (1 - q)) + ln((1 - 0.95) / 0.95)), 4) weight
+  from (select a, b, least(greatest(p, 1e-12), 1 - 1e-12) q from path10 where a < b) left join scored s on s.v1 = a and s.v2 = b, (select max(v2) + 1.0::double nv, count(*)::double ne from scored)""", _PATHS)(
+    lambda s, d: partition.lifted_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 4)))
 query("multicut")(lambda s, d: partition.multicut(fx.scored(s, d)))
 query("lifted_multicut")(lambda s, d: partition.lifted_multicut(fx.scored(s, d)))
 query("thinning")(lambda s, d: skeleton.thinning(fx.labels(s, d)))

@@ -81,8 +81,8 @@ def test_nothing(spark):
     assert neighbors.adjacency(df).count() == neighbors.face_pairs(df).count() == graph.voxel_components(df).count() == graph.force_connectivity(df).count() == 0
 
 
-@pytest.mark.parametrize("sources", [1, 3, 128])
-def test_lifted_edges_are_best_paths(spark, sources):
+@pytest.mark.parametrize("tile", [1, 3, 128])
+def test_lifted_edges_are_best_paths(spark, tile):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b), float(p)) for a, b, p in zip(rng.integers(0, 14, 22), rng.integers(0, 14, 22), rng.random(22) * 0.9, strict=True)] + [(50, 51, 0.0), (60, 60, 0.5), (70, 71, 1e-200), (71, 72, 1e-200)]
     best = {}
@@ -96,6 +96,6 @@ def test_lifted_edges_are_best_paths(spark, sources):
             for b in names:
                 if a != b and (a, m) in best and (m, b) in best:
                     best[a, b] = max(best.get((a, b), 0.0), best[a, m] * best[m, b])
-    got = {(r.v1, r.v2): r.p for r in graph.lifted_edges(spark.createDataFrame(edges, "v1 long, v2 long, p double"), sources).collect()}
+    got = {(r.v1, r.v2): r.p for r in graph.lifted_edges(spark.createDataFrame(edges, "v1 long, v2 long, p double"), tile).collect()}
     want = {k: p for k, p in best.items() if k[0] < k[1]}
     assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
