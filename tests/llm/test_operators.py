@@ -650,6 +650,38 @@ def test_shuffle(docs, none, bucket_bytes, most):
     assert sharding.external_shuffle(none).count() == 0
 
 
+@pytest.mark.parametrize("bucket_bytes", [10**9, 3000])
+def test_shuffle_equals_a_plain_one(spark, docs, bucket_bytes):
+    """Buckets, canonical order, Fisher-Yates and dealing worked out row by row from the hashes of the records."""
+    seed, shards = 29, 5
+    docs = docs.dropDuplicates().drop("slot")
+    rows = docs.select("*", F.xxhash64(F.lit(seed), *docs.columns).alias("of_record")).collect()
+    size = lambda r: len((r.text or "").encode()) + 64
+    largest, count = max(map(size, rows)), -(-sum(map(size, rows)) // bucket_bytes)
+    hashes = [r.of_record for r in rows]
+    assert len(set(hashes)) == len(hashes)  # records that repeat would be numbered
+    got = sharding.external_shuffle(docs, shards, seed=seed, bucket_bytes=bucket_bytes).collect()
+    while True:
+        named = spark.createDataFrame([(h,) for h in hashes], "h long").select("h", F.pmod(F.xxhash64(F.lit(seed + 1), "h", F.lit(0).cast("long")), F.lit(count)).cast("int").alias("b")).collect()
+        buckets = defaultdict(list)
+        for r, n in zip(rows, named, strict=True):
+            buckets[n.b].append(r)
+        if max(sum(map(size, b)) for b in buckets.values()) <= 4 * bucket_bytes + largest:
+            break
+        count *= 2
+    place, want = 0, Counter()
+    for b in sorted(buckets):
+        own = sorted(buckets[b], key=lambda r: (r.of_record, str(r.doc_id)))
+        rng, order = np.random.default_rng([seed, b]), list(range(len(own)))
+        picks = (rng.random(len(own)) * np.arange(1, len(own) + 1)).astype(int)
+        for i in range(len(own) - 1, 0, -1):
+            order[i], order[picks[i]] = order[picks[i]], order[i]
+        for i in order:
+            want[(own[i].doc_id, own[i].text, place % shards, place // shards)] += 1
+            place += 1
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == want
+
+
 def test_shuffle_of_one_row_over_and_over(spark):
     """Equal rows are spread over buckets; names that the operator would use itself travel along."""
     made = [(1, "same", 5, 6, 7)] * 5000 + [(i, f"t{i}", 1, 2, 3) for i in range(100)]
@@ -731,6 +763,19 @@ def test_ledger_at_a_path(spark, tmp_path):
     assert read(secrets.advance(df, f"{path}2")) == want
 
 
+def test_two_runs_scan_each_pair_once(spark, tmp_path):
+    rows = SECRETS + [(100 + i, f"token=abcdef{i} " + "0123456789abcdef" * (i % 3)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"{tmp_path}/ledger"
+    found = secrets.in_two_runs(df, path)
+    assert sorted((r.path, [tuple(s) for s in r.spans]) for r in found.collect()) == sorted((i, brute_spans(t)) for i, t in rows)
+    blobs = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    early = {b for b in blobs if b[0] < "8"}
+    pairs = Counter((r.blob, r.kind, r.version) for r in spark.read.parquet(path).collect())
+    assert 0 < len(early) < len(blobs) and set(pairs.values()) == {1}
+    assert set(pairs) == {(b, k, 1) for b in blobs for k in ("assign", "access", "hex")} | {(b, "hex", 0) for b in early}
+
+
 def test_secrets_of_a_text_with_very_many_matches(spark):
     text = "".join(f"é token=abcdef{i} \u0001 {'0123456789abcdef' * 2} " for i in range(40_000))
     df = spark.createDataFrame([(1, text), (2, "token=abcdefg")], "doc_id long, text string")
