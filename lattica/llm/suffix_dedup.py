@@ -384,9 +384,14 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     `repeat` is a 128-bit digest of the repeated string.  A repeat around an anchor has `length` bytes or more and
     all its occurrences; it is maximal inside of the anchor's reach (see above).  Around hot anchors the repeats
     are the windows of `length` bytes.  The bytes that `remove_repeats` removes are those of the occurrences in
-    documents with a larger id than the least of their repeat.
+    documents with a larger id than the least of their repeat.  A null id stands for the largest integer inside; an
+    input that has both is refused.
     """
     _checked(length, k)
+    own = common.col(id_col).cast("long")
+    ends = docs.agg(F.count_if(own.isNull()), F.count_if(own == LAST)).first()
+    if ends[0] and ends[1]:
+        raise ValueError(f"documents have null ids and the id {LAST}: name one of them otherwise")
     before = length - k
     blocks = common.written(blocks_of(docs, id_col, text_col), "bodies", "none")
     sent = surroundings(blocks, None, *packed.parts_for(blocks, each=700_000), length, k, hot, whole=True)
@@ -432,7 +437,8 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = common.written(found.dropDuplicates(), "repeats")
     counts = found.groupBy("repeat", "n_bytes").agg(F.count("*").alias("k")).where("k > 1")
     out = join_counted(found, counts, ["repeat", "n_bytes"], "k", found.count())
-    return out.select("repeat", "n_bytes", F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "begin")
+    named = F.col("doc_id") if ends[1] else F.when(F.col("doc_id") != LAST, F.col("doc_id"))
+    return out.select("repeat", "n_bytes", named.alias("doc_id"), "begin")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False, hot: int = 20_000) -> DataFrame:

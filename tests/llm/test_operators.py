@@ -361,6 +361,14 @@ def test_repeat_groups(spark, seed, hot):
     check_repeats(suffix_dedup.remove_repeats(df, hot=hot), source)
 
 
+def test_repeat_groups_of_null_and_largest_ids(spark):
+    text, last = "a passage of more than fifty bytes that stands twice here", 2**63 - 1
+    ids = lambda own: {r.doc_id for r in suffix_dedup.repeat_groups(spark.createDataFrame([(i, text) for i in own], "doc_id long, text string")).collect()}
+    assert ids([1, last]) == {1, last} and ids([1, None]) == {1, None}
+    with pytest.raises(ValueError):
+        ids([None, last])
+
+
 @pytest.mark.parametrize("length, k", [(50, 20), (300, 40), (20, 20)])
 def test_lengths_and_texts_in_pieces(spark, monkeypatch, length, k):
     source = [(i, t * 3) for i, t in dense(5, 12)]
