@@ -98,6 +98,10 @@ def augment(examples: DataFrame, width, seed: int = 0) -> DataFrame:
 BUCKETS = tuple((t, f) for f in (False, True) for t in ("positive", "negative", "unknown"))
 
 
+#: Labels of a range in which candidates are ordered by one task.
+RANGE = 100_000
+
+
 def examples_union(candidates: DataFrame, forward: bool = True) -> DataFrame:
     """Candidates by bucket: positive, negative and unknown, then (if asked) those of the forward region.
 
@@ -110,8 +114,13 @@ def examples_union(candidates: DataFrame, forward: bool = True) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    order = Window.partitionBy("source_rank").orderBy("label_one", "label_two", *AXES)
-    return out.withColumn("ordinal", F.row_number().over(order) - 1)
+    # Two levels: inside of ranges of labels, and over the ranges' counts, so that no task orders a bucket.
+    out = out.withColumn("_range", F.floor(F.col("label_one") / RANGE))
+    ranges = out.groupBy("source_rank", "_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("source_rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("source_rank", "_range").orderBy("label_one", "label_two", *AXES)) - 1
+    ranked = out.withColumn("_i", place).join(ranges.select("source_rank", "_range", before.alias("_b")), ["source_rank", "_range"])
+    return ranked.withColumn("ordinal", F.col("_i") + F.col("_b")).select(*candidates.columns, "source_rank", "ordinal")
 
 
 def balanced_batches(examples: DataFrame, seed: int = 7) -> DataFrame:
