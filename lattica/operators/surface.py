@@ -8,11 +8,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.kernels import grid_of
 from lattica.operators.neighbors import AXES
+from lattica.plans import tables
+from lattica.plans.joins import join_counted
 
 
 def tetrahedra() -> list[tuple[tuple[int, int, int], ...]]:
@@ -27,8 +30,8 @@ def tetrahedra() -> list[tuple[tuple[int, int, int], ...]]:
     return out
 
 
-def isosurface(points: np.ndarray) -> np.ndarray:
-    """Triangles (n x 3 x 3) around a set of voxels, by marching tetrahedra at the half level.
+def isosurface(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles (n x 3 x 3, in half voxels) around a set of voxels by marching tetrahedra at the half level, and the lowest corner of the cube of each.
 
     A tetrahedron with one corner apart gives one triangle over the midpoints of its three cut edges, one with two and
     two gives two.  All cubes are taken at once for each tetrahedron and each choice of its inner corners.
@@ -36,38 +39,83 @@ def isosurface(points: np.ndarray) -> np.ndarray:
     box, low = grid_of(points)
     cubes = tuple(s - 1 for s in box.shape)
     corner = {c: box[tuple(slice(o, o + n) for o, n in zip(c, cubes, strict=True))] for c in itertools.product((0, 1), repeat=3)}
-    out = [np.zeros((0, 3, 3))]
+    out, of = [np.zeros((0, 3, 3), np.int64)], [np.zeros((0, 3), np.int64)]
     for t in tetrahedra():
         code = sum(corner[c].astype(np.uint8) << i for i, c in enumerate(t))
         for mask in range(1, 15):
             inside, outside = [c for i, c in enumerate(t) if mask >> i & 1], [c for i, c in enumerate(t) if not mask >> i & 1]
-            middle = np.array([[np.add(i, o) / 2 for o in outside] for i in inside])
+            middle = np.array([[np.add(i, o) for o in outside] for i in inside])
             if len(inside) == 2:
                 (a, b), (c, d) = middle
                 shapes = np.array([[a, b, c], [b, d, c]])
             else:
                 shapes = middle.reshape(1, 3, 3)
             at = np.argwhere(code == mask) + low
-            out += [at[:, None, :] + s for s in shapes]
-    return np.concatenate(out)
+            out += [2 * at[:, None, :] + s for s in shapes]
+            of += [at] * len(shapes)
+    return np.concatenate(out), np.concatenate(of)
 
 
-def marching(voxels: DataFrame, resolution=(30, 15, 15), rate: int = 1, scale: float = 500.0, label: str = "label") -> DataFrame:
-    """(label, ordinal, triangle array<array<double>>) per label, centred on the label's box and in units of `scale` nm.
+#: Cubes of a box whose triangles one task finds.
+BOX = (32, 64, 64)
+_CORNER = "struct<z:int,y:int,x:int>"
+
 
-    Every `rate`-th voxel on each axis is taken.
+def mesh(voxels: DataFrame, rate: int = 1, label: str = "label") -> DataFrame:
+    """(label, box, place, a, b, c): the triangles of each label's surface, of every `rate`-th voxel on each axis.
+
+    Corners are named by where they cut the grid, in half voxels: a cut edge has one such place, so triangles of different
+    boxes that meet name the same corners, and nothing has to be compared.  A cube belongs to the box of its lowest corner,
+    which sees one voxel further.  A task has a box with all its labels, never a label.
     """
-    own = voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), *AXES)
+    own = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), *AXES)
     for a in AXES:
-        own = own.where(F.col(a) % rate == 0)
+        own = own.where(F.col(a) % rate == 0).withColumn(a, F.expr(f"{a} div {int(rate)}").cast("int"))
+    size = BOX
+
+    def run(table: pa.Table) -> pa.Table:
+        labels, points = table.column("label").to_numpy(), np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
+        box = np.array([table.column(f"_b{a}")[0].as_py() for a in AXES])
+        order = np.argsort(labels, kind="stable")
+        cuts = np.flatnonzero(np.diff(labels[order])) + 1
+        found, of = [np.zeros((0, 3, 3), np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, cuts):
+            triangles, cube = isosurface(points[rows])
+            triangles = triangles[(cube // np.array(size) == box).all(axis=1)]
+            found.append(triangles)
+            of.append(np.full(len(triangles), labels[rows[0]]))
+        triangles = np.concatenate(found).astype(np.int32) * rate
+        corner = lambda k: pa.StructArray.from_arrays([pa.array(triangles[:, k, j]) for j in range(3)], names=list(AXES))
+        name = "/".join(map(str, box.tolist()))
+        return pa.table({"label": pa.array(np.concatenate(of)), "box": pa.array([name] * len(triangles), pa.string()), "place": pa.array(np.arange(len(triangles))),
+                         "a": corner(0), "b": corner(1), "c": corner(2)})
+
+    keyed = own
+    for a, n in zip(AXES, size, strict=True):
+        keyed = keyed.withColumn(f"_b{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - 1) / n).cast("int"), F.floor(F.col(a) / n).cast("int")))))
+    return keyed.groupBy(*[f"_b{a}" for a in AXES]).applyInArrow(run, f"label long, box string, place long, a {_CORNER}, b {_CORNER}, c {_CORNER}")
+
+
+def vertices(triangles: DataFrame) -> DataFrame:
+    """(label, z, y, x): each corner of the triangles of `mesh` once, in half voxels."""
+    return triangles.select("label", F.explode(F.array("a", "b", "c")).alias("v")).select("label", "v.*").distinct()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = isosurface(pdf[list(AXES)].to_numpy() // rate) * rate * np.array(resolution)
-        flat = t.reshape(-1, 3)
-        t = (t - (flat.min(axis=0) + flat.max(axis=0)) / 2) / scale
-        return pd.DataFrame({"label": pdf.label.iloc[0], "ordinal": np.arange(len(t)), "triangle": t.tolist()})
 
-    return own.groupBy("label").applyInPandas(run, "label long, ordinal long, triangle array<array<double>>")
+def marching(voxels: DataFrame, resolution=(30, 15, 15), rate: int = 1, scale: float = 500.0, label: str = "label") -> DataFrame:
+    """(label, ordinal, triangle array<array<double>>) per label, centred on the surface's box and in units of `scale` nm.
+
+    Triangles of `mesh`, numbered inside of each box and over the boxes of a label.
+    """
+    found = tables.written(mesh(voxels, rate, label), "mesh")
+    least = lambda f, a: f(*(F.col(f"{k}.{a}") for k in "abc"))
+    sizes = found.groupBy("label", "box").agg(F.count("*").alias("_n"), *[F.min(least(F.least, a)).alias(f"_l{a}") for a in AXES], *[F.max(least(F.greatest, a)).alias(f"_h{a}") for a in AXES])
+    whole = Window.partitionBy("label")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("box").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("label", "box", "_n", before.alias("_before"), *[((F.min(f"_l{a}").over(whole) + F.max(f"_h{a}").over(whole)) / 2).alias(f"_m{a}") for a in AXES])
+    placed = join_counted(found, sizes, ["label", "box"], "_n", found.count())
+    corner = lambda k: F.array(*[(F.col(f"{k}.{a}") - F.col(f"_m{a}")) / 2 * r / scale for a, r in zip(AXES, resolution, strict=True)])
+    first = Window.partitionBy("label", "box").orderBy("place")
+    return placed.select("label", (F.col("_before") + F.row_number().over(first) - 1).alias("ordinal"), F.array(*map(corner, "abc")).alias("triangle"))
 
 
 def stl_files(triangles: DataFrame) -> DataFrame:

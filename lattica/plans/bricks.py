@@ -166,7 +166,7 @@ def in_boxes(voxels: DataFrame, box: tuple[int, int, int], halo: tuple[int, int,
     """`run(table, inside)` for each box of `box` voxels with all voxels that are at most `halo` away on each axis.
 
     `inside` marks rows that lie in the box itself; others are copies.  A halo may be wider than a box.  Only
-    columns of `voxels` are in the table.
+    columns of `voxels` are in the table.  Boxes that have nothing but copies are left out.
     """
     names, nothing = voxels.columns, to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     out = voxels

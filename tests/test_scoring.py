@@ -52,7 +52,7 @@ def test_surfaces_are_closed():
     rng = np.random.default_rng(2)
     for points in (np.array([[0, 0, 0]]), np.argwhere(rng.random((4, 4, 4)) < 0.4)):
         edges = {}
-        for t in surface.isosurface(points):
+        for t in surface.isosurface(points)[0]:
             t = [tuple(p) for p in t]
             for a, b in ((0, 1), (1, 2), (2, 0)):
                 key = tuple(sorted((t[a], t[b])))
@@ -60,6 +60,34 @@ def test_surfaces_are_closed():
         assert edges and all(n % 2 == 0 for n in edges.values())
 
 
+@pytest.mark.parametrize("box", [(32, 64, 64), (2, 3, 2)])
+def test_a_mesh_over_many_boxes_is_closed(spark, monkeypatch, box):
+    """Triangles of all boxes are those of the whole label; every edge has two sides and each corner is there once."""
+    monkeypatch.setattr(surface, "BOX", box)
+    rng = np.random.default_rng(3)
+    volume = np.where(rng.random((7, 8, 9)) < 0.5, 0, rng.integers(1, 3, (7, 8, 9)))
+    low = (-2, 5, 0)
+    df = spark.createDataFrame([(*(int(a + b) for a, b in zip(p, low, strict=True)), int(v)) for p, v in np.ndenumerate(volume)], "z long, y long, x long, label long")
+    found = surface.mesh(df)
+    rows = found.collect()
+    for label in (1, 2):
+        got = sorted(tuple(tuple(r[k]) for k in "abc") for r in rows if r.label == label)
+        want, _ = surface.isosurface(np.argwhere(volume == label) + low)
+        assert got == sorted(tuple(map(tuple, t)) for t in want.tolist())
+        edges = {}
+        for t in got:
+            for i, j in ((0, 1), (1, 2), (2, 0)):
+                key = tuple(sorted((t[i], t[j])))
+                edges[key] = edges.get(key, 0) + 1
+        assert all(n % 2 == 0 for n in edges.values())
+    corners = [tuple(r) for r in surface.vertices(found).collect()]
+    assert len(corners) == len(set(corners)) == len({(r.label, *r[k]) for r in rows for k in "abc"})
+    shown = surface.marching(df).collect()
+    for label in (1, 2):
+        own = sorted(r.ordinal for r in shown if r.label == label)
+        assert own == list(range(len(own))) and len(own) == sum(r.label == label for r in rows)
+
+
 def test_meshes(spark, sf_dir):
     from lattica import fixtures as fx
 
