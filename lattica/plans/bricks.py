@@ -25,27 +25,29 @@ KEYS = [f"_b{a}" for a in AXES]
 def dealt(voxels: DataFrame, below: bool) -> DataFrame:
     """`voxels` with its brick (_bz, _by, _bx) and _halo: copies for the bricks before it at each axis, and with
     `below` for all bricks around."""
+    # Arrays of places with nulls, exploded and then filtered: generated code throughout, which a lambda over the array is not.
     cells = []
     for a, size in zip(AXES, BRICK, strict=True):
-        own = F.floor(F.col(a) / size).cast("long")
+        own = F.floor(F.col(a) / size).cast("int")
         at = F.col(a) - own * size
         sides = [F.struct(own.alias("b"), F.lit(False).alias("h")), F.when(at == 0, F.struct((own - 1).alias("b"), F.lit(True).alias("h")))]
         if below:
             sides.append(F.when(at == size - 1, F.struct((own + 1).alias("b"), F.lit(True).alias("h"))))
-        cells.append(F.filter(F.array(*sides), lambda s: s.isNotNull()))
+        cells.append(sides)
     if below:
         out = voxels
-        for a, c in zip(AXES, cells, strict=True):
-            out = out.withColumn(f"_c{a}", F.explode(c))
+        for a, sides in zip(AXES, cells, strict=True):
+            out = out.withColumn(f"_c{a}", F.explode(F.array(*sides))).where(F.col(f"_c{a}").isNotNull())
         own = [F.col(f"_c{a}.b").alias(k) for a, k in zip(AXES, KEYS, strict=True)]
         return out.select(*voxels.columns, *own, (F.col("_cz.h") | F.col("_cy.h") | F.col("_cx.h")).alias("_halo"))
     # Faces only: one axis at a time is in the halo.
-    own = [c[0]["b"] for c in cells]
+    own = [F.floor(F.col(a) / size).cast("int") for a, size in zip(AXES, BRICK, strict=True)]
     places = [F.struct(*[o.alias(k) for o, k in zip(own, KEYS, strict=True)], F.lit(False).alias("_halo"))]
-    for i, c in enumerate(cells):
+    for i, (a, size) in enumerate(zip(AXES, BRICK, strict=True)):
         moved = [x - 1 if j == i else x for j, x in enumerate(own)]
-        places.append(F.when(F.size(c) > 1, F.struct(*[o.alias(k) for o, k in zip(moved, KEYS, strict=True)], F.lit(True).alias("_halo"))))
-    return voxels.select(*voxels.columns, F.explode(F.filter(F.array(*places), lambda s: s.isNotNull())).alias("_p")).select(*voxels.columns, *[f"_p.{k}" for k in KEYS], "_p._halo")
+        places.append(F.when(F.col(a) - own[i] * size == 0, F.struct(*[o.alias(k) for o, k in zip(moved, KEYS, strict=True)], F.lit(True).alias("_halo"))))
+    exploded = voxels.select(*voxels.columns, F.explode(F.array(*places)).alias("_p")).where("_p is not null")
+    return exploded.select(*voxels.columns, *[f"_p.{k}" for k in KEYS], "_p._halo")
 
 
 class Places:

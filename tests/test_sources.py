@@ -188,6 +188,7 @@ def test_entry_without_the_optional_parts(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/lattica", tmp_path / "lattica", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{root}/jobs", tmp_path / "jobs")
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 70 and 'pipeline' not in q and not [x for x in q if x.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
