@@ -180,7 +180,10 @@ def topology(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Box:
-    """Labels of points at the places of a dense box; a point that is taken out leaves the background there."""
+    """Labels of points at the places of a dense box; a point that is taken out leaves the background there.
+
+    Where several labels have the same place, as cells of a coarser grid do, each label has a box of its own.
+    """
 
     def __init__(self, points: np.ndarray, labels: np.ndarray | None = None, pad: int = 1):
         # `pad` places on all sides, so that no step of that length leads around to another row
@@ -188,23 +191,34 @@ class Box:
         shape = points.max(axis=0) - low + pad + 1
         self.strides = (int(shape[1] * shape[2]), int(shape[2]), 1)
         self.at = (points - low) @ np.array(self.strides)
-        codes = np.ones(len(points), np.int32) if labels is None else np.unique(labels, return_inverse=True)[1].astype(np.int32) + 1
-        self.place = np.zeros(int(np.prod(shape)), np.int32)
-        self.place[self.at] = codes
-        self.codes = codes
+        self.codes = np.ones(len(points), np.int32) if labels is None else np.unique(labels, return_inverse=True)[1].astype(np.int32) + 1
+        size = int(np.prod(shape))
+        if labels is not None and len(np.unique(self.at)) < len(points):
+            order, of = np.argsort(self.codes, kind="stable"), self.codes - 1
+            first = np.searchsorted(self.codes[order], np.arange(1, of.max() + 2))
+            low = np.minimum.reduceat(points[order], first) - pad
+            shape = np.maximum.reduceat(points[order], first) - low + pad + 1
+            ends = np.cumsum(shape.prod(axis=1))
+            self.strides = ((shape[:, 1] * shape[:, 2])[of], shape[of, 2], 1)
+            self.at = (ends - shape.prod(axis=1))[of] + sum(c * s for c, s in zip((points - low[of]).T, self.strides, strict=True))
+            size = int(ends[-1])
+        self.place = np.zeros(size, np.int32)
+        self.place[self.at] = self.codes
         self.parity = (points & 1) @ np.array((4, 2, 1))
 
     def live(self) -> np.ndarray:
         return self.place[self.at] != 0
 
-    def step(self, offset) -> int:
-        return sum(d * s for d, s in zip(offset, self.strides, strict=True))
+    def beside(self, rows: np.ndarray, offset) -> np.ndarray:
+        """The places at an offset from the points."""
+        z, y, _ = (s if np.isscalar(s) else s[rows] for s in self.strides)
+        return self.at[rows] + (offset[0] * z + offset[1] * y + offset[2])
 
     def masks(self, rows: np.ndarray) -> np.ndarray:
         """A bit for each of the 26 neighbours that has the label of the point."""
-        at, codes, out = self.at[rows], self.codes[rows], np.zeros(len(rows), np.int64)
+        codes, out = self.codes[rows], np.zeros(len(rows), np.int64)
         for k, o in enumerate(OFFSETS_26):
-            out |= (self.place[at + self.step(o)] == codes).astype(np.int64) << k
+            out |= (self.place[self.beside(rows, o)] == codes).astype(np.int64) << k
         return out
 
 
@@ -219,7 +233,7 @@ def thin_round(box: Box, frozen: np.ndarray | None) -> None:
     """
     for d in FACES:
         rows = np.flatnonzero(box.live())
-        rows = rows[box.place[box.at[rows] + box.step(d)] != box.codes[rows]]
+        rows = rows[box.place[box.beside(rows, d)] != box.codes[rows]]
         if frozen is not None:
             rows = rows[~frozen[rows]]
         masks = box.masks(rows)
@@ -294,11 +308,11 @@ def settle(points: np.ndarray, labels: np.ndarray, penalty: np.ndarray, distance
     box, out = Box(points, labels), distance.copy()
     rows = np.full(len(box.place), -1, np.int64)
     rows[box.at] = np.arange(len(points))
-    steps = [(box.step(o), (o[0] ** 2 + o[1] ** 2 + o[2] ** 2) ** 0.5) for o in OFFSETS_26]
+    steps = [(o, (o[0] ** 2 + o[1] ** 2 + o[2] ** 2) ** 0.5) for o in OFFSETS_26]
     while len(first):
         to, cost = [], []
         for step, length in steps:
-            other = rows[box.at[first] + step]
+            other = rows[box.beside(first, step)]
             on = other >= 0
             on[on] = box.codes[other[on]] == box.codes[first[on]]
             new = out[first[on]] + length + penalty[other[on]]
@@ -372,11 +386,14 @@ def pairs_within(points: list[tuple], reach: int) -> list[tuple[int, int]]:
     return out
 
 
-def lonely(inside: set[tuple], points: list[tuple], reach: int = 3, expansion: float = 1.5) -> np.ndarray:
-    """Points with fewer than 2 others that are at most `reach` away on each axis and that A* reaches inside the set."""
+def lonely(inside: set[tuple], points: list[tuple], reach: int = 3, expansion: float = 1.5, own: np.ndarray | None = None) -> np.ndarray:
+    """Points with fewer than 2 others that are at most `reach` away on each axis and that A* reaches inside the set.
+
+    A search goes from the earlier point to the later one.  Only pairs with a point of `own` are looked at, if given.
+    """
     n = np.zeros(len(points), dtype=int)
     for i, j in pairs_within(points, reach):
-        if has_path(inside, points[i], points[j], expansion):
+        if (own is None or own[i] or own[j]) and has_path(inside, points[i], points[j], expansion):
             n[[i, j]] += 1
     return n < 2
 

@@ -72,9 +72,9 @@ def _box(table: pa.Table, label: str, pad: int = 1) -> Box:
 
 def _plane_edges(box: Box) -> np.ndarray:
     """Which points touch another label inside their plane."""
-    edge = np.zeros(len(box.at), bool)
+    every, edge = np.arange(len(box.at)), np.zeros(len(box.at), bool)
     for o in ((0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)):
-        other = box.place[box.at + box.step(o)]
+        other = box.place[box.beside(every, o)]
         edge |= (other != 0) & (other != box.codes)
     return edge
 
@@ -104,9 +104,9 @@ def dilate_gold(voxels: DataFrame, distance: int, label: str = "label") -> DataF
 
     def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
         box = _box(table, label, max(1, distance))
-        edge, near = box.at[_plane_edges(box)], np.zeros(len(box.place), bool)
+        edge, near = np.flatnonzero(_plane_edges(box)), np.zeros(len(box.place), bool)
         for o in disc:
-            near[edge + box.step(o)] = True
+            near[box.beside(edge, o)] = True
         labels = np.where(near[box.at], 0, table.column(label).to_numpy())
         return table.set_column(table.schema.get_field_index(label), label, pa.array(labels)).filter(pa.array(inside))
 

@@ -53,18 +53,28 @@ def upsample_skeleton(skeleton_cells: DataFrame, representatives: DataFrame) ->
 def upsample_endpoints(points: DataFrame, voxels: DataFrame, label: str = "label", reach: int = 3, expansion: float = 1.5) -> DataFrame:
     """(label, iv, is_endpoint) of upsampled points: endpoints have fewer than 2 neighbours that A* reaches inside the label.
 
-    Neighbours are points whose voxels are at most `reach` apart on each axis.
+    Neighbours are points whose voxels are at most `reach` apart on each axis; a search goes from the smaller index to
+    the larger.  It gives up where squared distances say more than `expansion` times the first estimate, so it stays
+    within the root of expansion * 3 * reach^2 of its goal: a box sees that and `reach` around it, and no task has a label.
     """
-    both = voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), "iv", *AXES)
-    marked = both.join(points.select("label", F.col("up_iv").alias("iv")).withColumn("point", F.lit(True)), ["label", "iv"], "left")
+    both = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), "iv", *[F.col(a).cast("int").alias(a) for a in AXES])
+    marked = both.join(points.select("label", F.col("up_iv").alias("iv")).distinct().withColumn("point", F.lit(True)), ["label", "iv"], "left")
+    marked = marked.withColumn("point", F.col("point").isNotNull())
+    around = int((expansion * 3 * reach * reach) ** 0.5) + reach
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.point.notna()]
-        at = [tuple(p) for p in own[list(AXES)].to_numpy().tolist()]
-        inside = {tuple(p) for p in pdf[list(AXES)].to_numpy().tolist()}
-        return pd.DataFrame({"label": own.label, "iv": own.iv, "is_endpoint": kernels.lonely(inside, at, reach, expansion)})
-
-    return marked.groupBy("label").applyInPandas(run, "label long, iv long, is_endpoint boolean")
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        pdf = table.to_pandas().assign(own=inside).sort_values("iv")
+        out = []
+        for _, of in pdf.groupby("label", sort=False):
+            at = of[of.point]
+            if at.own.any():
+                places = set(of[list(AXES)].itertuples(index=False, name=None))
+                ends = kernels.lonely(places, list(at[list(AXES)].itertuples(index=False, name=None)), reach, expansion, at.own.to_numpy())
+                out.append(at[["label", "iv"]].assign(is_endpoint=ends)[at.own])
+        found = pd.concat(out) if out else pd.DataFrame({"label": np.zeros(0, np.int64), "iv": np.zeros(0, np.int64), "is_endpoint": np.zeros(0, bool)})
+        return pa.Table.from_pandas(found, preserve_index=False)
+
+    return in_boxes(marked, neighbors.BOX, (around, around, around), run, "label long, iv long, is_endpoint boolean")
 
 
 def _per_label(voxels: DataFrame, label: str, run, schema: str) -> DataFrame:

@@ -55,6 +55,7 @@ def proposed_endpoints(voxels: DataFrame, geometry: Geometry, resolutions=RESOLU
         if len(points):
             for method, kernel in (("thinning", kernels.thin), ("medial-axis", kernels.medial)):
                 stays = np.flatnonzero(kernel(points))
+                stays = stays[np.argsort(cell.up_iv.to_numpy()[stays], kind="stable")]  # searches go from the smaller index
                 at = [tuple(p) for p in cell.loc[stays, list(AXES)].to_numpy().tolist()]
                 for e in expansions:
                     if not e:

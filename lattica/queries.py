@@ -406,7 +406,17 @@ def _(s, d):
     return skeleton.endpoint_scores(skeleton.endpoint_matching(own, proposed(s, d), fx.geometry(s, d)), own, proposed(s, d))
 
 
-@query("upsample_endpoints")
+#: States (pair, voxel, cost) of a search; costs are whole and bounded, so that there are few.
+_SEARCH = f"""ups as materialized (select v.seg label, v.iv, v.z, v.y, v.x from (select u.label, up_iv from {_UP} u join (select distinct label, {_CELL} from skel) using (label, dz, dy, dx)) p join voxel v on v.iv = p.up_iv),
+close as materialized (select a.label, a.iv a, b.iv b, a.z, a.y, a.x, b.z bz, b.y by_, b.x bx, 1.5 * ((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) most
+  from ups a join ups b on b.label = a.label and b.iv > a.iv and abs(a.z - b.z) <= 3 and abs(a.y - b.y) <= 3 and abs(a.x - b.x) <= 3),
+seen as (select a, b, label, z, y, x, bz, by_, bx, most, 0::bigint g from close union
+  select a, b, s.label, v.z, v.y, v.x, bz, by_, bx, most, g + dz * dz + dy * dy + dx * dx from seen s, off26 join voxel v on v.seg = s.label and v.z = s.z + dz and v.y = s.y + dy and v.x = s.x + dx
+  where g + dz * dz + dy * dy + dx * dx + (v.z - bz) ** 2 + (v.y - by_) ** 2 + (v.x - bx) ** 2 <= most),
+met as (select distinct a, b from seen where z = bz and y = by_ and x = bx)"""
+
+
+@query("upsample_endpoints", "select label, iv, (select count(*) from met where a = iv or b = iv) < 2 is_endpoint from ups", _SEARCH)
 def _(s, d):
     g = fx.geometry(s, d)
     cells = voxel.downsample_topological(fx.skeleton_points(s, d), g, OUT)

@@ -59,6 +59,25 @@ def test_thinning_of_boxes_is_that_of_one_box(spark, boxes, seed, name):
     assert {r.iv: (r.label, r.is_endpoint) for r in got} == want and len(got) == len(want)
 
 
+def test_labels_that_overlap_are_thinned_apart(spark, boxes):
+    """Cells of a coarser grid: several labels have the same place."""
+    own = {label: np.argwhere(blobs(label, labels=1) > 0) for label in (1, 2, 3)}
+    rows = [(10_000 * label + i, *map(int, p), label) for label, points in own.items() for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.label, r.iv): r.is_endpoint for r in skeleton.thinning(df).collect()}
+    mask = {(r.label, r.iv): r.n for r in neighbors.neighbour_mask(df).collect()}
+    field = {(r.label, r.iv): r.dbf for r in skeleton.dbf_3d(df).collect()}
+    want = {}
+    for label, points in own.items():
+        stays = kernels.thin(points)
+        want |= {(label, 10_000 * label + int(i)): bool(e) for i, e in zip(np.flatnonzero(stays), kernels.few_neighbours(points[stays]), strict=True)}
+        here = set(map(tuple, points.tolist()))
+        for i, (p, d) in enumerate(zip(points.tolist(), kernels.boundary_distance(points), strict=True)):
+            assert mask[label, 10_000 * label + i] == sum(tuple(a + b for a, b in zip(p, o, strict=True)) in here for o in kernels.OFFSETS_26)
+            assert field[label, 10_000 * label + i] == round(float(d), 6)
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("kernel", [kernels.thin, kernels.medial])
 def test_thinning_keeps_topology(seed, kernel):
@@ -205,6 +224,22 @@ def test_a_path_through_hundreds_of_boxes(spark, monkeypatch):
     assert [got[i] for i in range(len(points))] == pytest.approx(want.tolist()) and max(want) > 40
 
 
+@pytest.mark.parametrize(("reach", "expansion"), [(3, 1.5), (2, 1.1)])
+def test_endpoints_by_paths_of_many_boxes(spark, boxes, reach, expansion):
+    box = blobs(9)
+    rng = np.random.default_rng(9)
+    chosen = np.flatnonzero((box.ravel() > 0) & (rng.random(box.size) < 0.08))
+    points = spark.createDataFrame([(int(box.ravel()[i]), int(i)) for i in chosen], "label long, up_iv long")
+    got = {r.iv: (r.label, r.is_endpoint) for r in skeleton.upsample_endpoints(points, frame(spark, box), reach=reach, expansion=expansion).collect()}
+    want = {}
+    for label in np.unique(box[box > 0]):
+        own = [int(i) for i in chosen if box.ravel()[i] == label]
+        at = [tuple(map(int, np.unravel_index(i, box.shape))) for i in own]
+        ends = kernels.lonely({tuple(map(int, p)) for p in np.argwhere(box == label)}, at, reach, expansion)
+        want |= {i: (int(label), bool(e)) for i, e in zip(own, ends, strict=True)}
+    assert got == want and len({e for _, e in want.values()}) == 2
+
+
 @pytest.mark.parametrize("run", [skeleton.thinning, skeleton.medial_axis, skeleton.dbf_3d, graph.voxel_geodesic, neighbors.neighbour_mask, neighbors.plane_boundary])
 def test_nothing(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
