@@ -355,13 +355,14 @@ named as (select parts.iv, case when k = 1 then parts.label else n end as new fr
 
 
 def lifted_rows(df):
-    return df.select("v1", "v2", F.round("p", 6).alias("p"))
+    """Millionths, halves upwards: products of thousandths often end on a half, where the last bit of a product would decide."""
+    return df.select("v1", "v2", (F.floor(F.col("p") * 1e6 + 0.5001) / 1e6).alias("p"))
 
 
 #: Best products of all pairs: paths of one edge, then of twice as many each time; 1024 edges are more than any path here has.
 _PATHS = ",\n".join(["""path0 as materialized (select v1 a, v2 b, p from scored union all select v2, v1, p from scored union all select v, v, 1.0::double from (select v1 v from scored union select v2 from scored))""",
                      *(f"path{k + 1} as materialized (select x.a, y.b, max(x.p * y.p) p from path{k} x join path{k} y on y.a = x.b group by all)" for k in range(10))])
-query("lifted_edges", "select a v1, b v2, round(p, 6) p from path10 where a < b", _PATHS)(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d))))
+query("lifted_edges", "select a v1, b v2, floor(p * 1e6 + 0.5001) / 1e6 p from path10 where a < b", _PATHS)(lambda s, d: lifted_rows(graph.lifted_edges(fx.scored(s, d))))
 #: Forty steps: no path inside of a label of this volume is longer.
 _GEODESIC = """ge as (select a.iv, b.iv n_iv, sqrt(dz * dz + dy * dy + dx * dx) len from voxel a, off26 join voxel b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx and b.seg = a.seg where a.seg <> 0),
 geo(i, iv, d) as (select 0, min(iv), 0.0::double from voxel where seg <> 0 group by seg union all
