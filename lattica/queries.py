@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica import fixtures as fx
-from lattica.operators import features, graph, metrics, neighbors, partition, scoring, skeleton, spatial, surface, sweep, truth, voxel
+from lattica.operators import contraction, features, graph, metrics, neighbors, partition, scoring, skeleton, spatial, surface, sweep, truth, voxel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -377,6 +377,21 @@ query("lifted_weights", """select a v1, b v2, s.v1 is not null original, round(c
   from (select a, b, least(greatest(p, 1e-12), 1 - 1e-12) q from path10 where a < b) left join scored s on s.v1 = a and s.v2 = b, (select max(v2) + 1.0::double nv, count(*)::double ne from scored)""", _PATHS)(
     lambda s, d: partition.lifted_weights(fx.scored(s, d)).withColumn("weight", F.round("weight", 4)))
 query("multicut")(lambda s, d: partition.multicut(fx.scored(s, d)))
+#: Contraction in rounds: rows of k = 0 are the edges of round i, those of k = 1 the part of each vertex.
+_ROUNDS = """mcw as materialized (select v1 a, v2 b, cast(round((ln(p / (1 - p)) + ln((1 - 0.95) / 0.95)) * 1e6) as bigint) w from scored),
+mc(i, k, a, b, w) as ((select 0, 0, a, b, w from mcw union all select 0, 1, v, v, 0 from (select a v from mcw union select b from mcw)) union all
+  (with e as (select * from mc where k = 0), ends as (select a v, b o, w from e union all select b, a, w from e),
+  chosen as (select v, o t, w from (select *, row_number() over (partition by v order by w desc, o) n from ends where w > 0) where n = 1),
+  pair as (select x.v, least(x.v, x.t) star from chosen x join chosen y on y.v = x.t and y.t = x.v),
+  mem as (select v, star, 1 fixed, 0 w from pair union all select c.v, p.star, 0, c.w from chosen c join pair p on p.v = c.t where c.v not in (select v from pair)),
+  waits as (select case when (x.fixed, x.w, -x.v) < (y.fixed, y.w, -y.v) then x.v else y.v end v from e join mem x on x.v = e.a join mem y on y.v = e.b where x.star = y.star and e.w < 0),
+  step as (select v, star from mem where v not in (select v from waits)),
+  moved as (select e.i, coalesce(x.star, a) a, coalesce(y.star, b) b, e.w from e left join step x on x.v = a left join step y on y.v = b)
+  select i + 1, 0, least(a, b), greatest(a, b), cast(sum(w) as bigint) from moved where a <> b and exists (from step) group by all
+  union all select i + 1, 1, a, coalesce(star, b), 0 from mc left join step on step.v = mc.b where mc.k = 1 and exists (from step))),
+mcr as (select a v, b root from mc where k = 1 and i = (select max(i) from mc))"""
+query("multicut_rounds", "select v1, v2, x.root <> y.root cut from scored join mcr x on x.v = v1 join mcr y on y.v = v2", _ROUNDS)(lambda s, d: contraction.multicut_in_rounds(fx.scored(s, d)))
+query("lifted_multicut_rounds")(lambda s, d: contraction.lifted_multicut_in_rounds(fx.scored(s, d)))
 query("lifted_multicut")(lambda s, d: partition.lifted_multicut(fx.scored(s, d)))
 query("thinning")(lambda s, d: skeleton.thinning(fx.labels(s, d)))
 query("teaser")(lambda s, d: skeleton.teaser(fx.labels(s, d)))
