@@ -1,13 +1,17 @@
 """Struct-packed binary files (little-endian) as DataFrames and back.
 
-Files are read with Spark's `binaryFile` source, so any file system that Spark knows will do, and a folder or
-glob of files is one scan; each file is decoded where it is read.  A layout is a header, then either records
-or, for each label in order, a count and that label's records.
+Spark's `binaryFile` source lists a folder or glob of files without their contents.  A first step finds the places where a
+file may be cut: records are of fixed size, so only counts of labels are looked at.  Pieces of some megabytes are then dealt over
+tasks of `spark.sql.files.maxPartitionBytes`, so a file of any size is read by many tasks and is never a row.  A layout is a
+header, then either records or, for each label in order, a count and that label's records.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -49,35 +53,71 @@ LAYOUTS = {
 }
 
 
-def decode(kind: str, path: str, content: bytes) -> pd.DataFrame:
-    """Rows of one file; a file that is too short raises ValueError."""
+#: Bytes of a file that are decoded at once.
+PIECE = 8 << 20
+
+
+def pieces(kind: str, path: str, length: int, read: Callable[[int, int], bytes], most: int = PIECE) -> Iterator[tuple]:
+    """(offset, bytes, label, ordinal, left, last label, header): where a file's records may be cut, about `most` bytes each.
+
+    A piece starts with `left` records of its label, from `ordinal` on, or with a count where `left` is -1.  A file
+    that is too short raises ValueError.
+    """
     layout = LAYOUTS[kind]
-    head = np.frombuffer(content, "<i8", len(layout.header)) if len(content) >= 8 * len(layout.header) else None
-    if head is None:
+    size, at = layout.dtype.itemsize, 8 * len(layout.header)
+    most = max(most, size)
+    if length < at:
         raise ValueError(f"{path}: no room for the header of {kind}")
-    header, at = dict(zip(layout.header, head.tolist(), strict=True)), 8 * len(layout.header)
-
-    def records(n: int, at: int) -> np.ndarray:
-        if n < 0 or len(content) < at + n * layout.dtype.itemsize:
+    head = np.frombuffer(read(0, at), "<i8").tolist()
+    header = dict(zip(layout.header, head, strict=True))
+    start, first = at, (0, 0, -1 if layout.per_label else header["n"])
+    for label in range(header["max_label"] if layout.per_label else 1):
+        n = header.get("n", -1)
+        if layout.per_label:
+            n = int(np.frombuffer(read(at, 8), "<i8")[0]) if length >= at + 8 else -1
+            at += 8
+        if n < 0 or length < at + n * size:
             raise ValueError(f"{path}: {n} records of {kind} do not fit")
-        return np.frombuffer(content, layout.dtype, n, at)
-
-    frames = []
+        done = 0
+        while at + (n - done) * size - start > most:
+            take = max(0, (start + most - at) // size)
+            at, done = at + take * size, done + take
+            yield start, at - start, *first, label, head
+            start, first = at, (label, done, n - done)
+        at += (n - done) * size
+    if at > start:
+        yield start, at - start, *first, label, head
+
+
+def decode_piece(kind: str, path: str, content: bytes, label: int, ordinal: int, left: int, head: list[int]) -> pd.DataFrame:
+    """Rows of one piece."""
+    layout = LAYOUTS[kind]
+    size, at, found = layout.dtype.itemsize, 0, []
+    if left < 0:
+        label, left = label - 1, 0
+    while True:
+        take = min(left, (len(content) - at) // size)
+        if take:
+            found.append((np.frombuffer(content, layout.dtype, take, at), label, ordinal))
+            at += take * size
+        if at >= len(content):
+            break
+        label, ordinal, left = label + 1, 0, int(np.frombuffer(content, "<i8", 1, at)[0])
+        at += 8
+    counts = [len(r) for r, _, _ in found]
+    rows = np.concatenate([r for r, _, _ in found]) if found else np.zeros(0, layout.dtype)
+    own = {"ordinal": np.concatenate([np.arange(o, o + n) for (_, _, o), n in zip(found, counts, strict=True)]) if found else np.zeros(0, np.int64)}
     if layout.per_label:
-        for label in range(header["max_label"]):
-            n = int(np.frombuffer(content, "<i8", 1, at)[0]) if len(content) >= at + 8 else -1
-            rows = records(n, at + 8)
-            at += 8 + rows.nbytes
-            frames.append(pd.DataFrame(rows).assign(label=label, ordinal=np.arange(n)))
-    else:
-        rows = records(header["n"], at)
-        frames.append(pd.DataFrame(rows).assign(ordinal=np.arange(len(rows))))
+        own["label"] = np.repeat(np.array([k for _, k, _ in found], np.int64), counts)
+    header = {h: v for h, v in zip(layout.header, head, strict=True) if h != "n"}
     names = [c.split()[0] for c in layout.schema.split(", ")]
-    out = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=names)
-    for k, v in header.items():
-        if k != "n":
-            out[k] = v
-    return out.assign(path=path)[names]
+    return pd.DataFrame(rows).assign(**own, **header, path=path)[names]
+
+
+def decode(kind: str, path: str, content: bytes) -> pd.DataFrame:
+    """Rows of one file; a file that is too short raises ValueError."""
+    found = [decode_piece(kind, path, content[at : at + n], *first, head) for at, n, *first, _, head in pieces(kind, path, len(content), lambda at, n: content[at : at + n])]
+    return pd.concat(found, ignore_index=True) if found else decode_piece(kind, path, b"", 0, 0, 0, [0] * len(LAYOUTS[kind].header))
 
 
 def encode(kind: str, rows: pd.DataFrame, **header: int) -> bytes:
@@ -96,15 +136,97 @@ def encode(kind: str, rows: pd.DataFrame, **header: int) -> bytes:
     return head + b"".join(np.array([len(p)], "<i8").tobytes() + p.tobytes() for p in parts)
 
 
-def read_packed(spark: SparkSession, path, kind: str, ignore_missing: bool = False) -> DataFrame:
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", str(ignore_missing).lower()).load(path).select("path", "content")
+def _opened(path: str):
+    """Arrow's random-access file of a path as Spark lists it; ValueError for schemes that only Hadoop's file systems know."""
+    from pyarrow import fs
+
+    scheme = urlsplit(path).scheme
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    where, own = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return where.open_input_file(own)
+
+
+def _looked_up(file, block: int = 1 << 16) -> Callable[[int, int], bytes]:
+    """A reader of few bytes at growing places that asks for a block at a time."""
+    held, content = 0, b""
+
+    def read(at: int, n: int) -> bytes:
+        nonlocal held, content
+        if at < held or at + n > held + len(content):
+            file.seek(at)
+            held, content = at, file.read(max(n, block))
+        return content[at - held : at - held + n]
+
+    return read
+
 
+def read_packed(spark: SparkSession, path, kind: str, ignore_missing: bool = False, labels: tuple[int, int] | None = None, piece: int = PIECE) -> DataFrame:
+    """Rows of all files of a path, by pieces of about `piece` bytes; empty files of no records give no row.
+
+    `labels` (first, last) of a layout with labels keeps these; pieces outside of them are not read.  A file that is too short
+    fails the query.  With `ignore_missing` files that are gone since the listing are left out.  Schemes that
+    only Hadoop's file systems know are read a whole file at a time, each below 2 GB.
+    """
+    layout, schema = LAYOUTS[kind], LAYOUTS[kind].schema
+    if labels is not None and not layout.per_label:
+        raise ValueError(f"{kind} has no labels")
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", str(ignore_missing).lower()).load(path)
+    listed = files.select("path", "length")
+    total, example = listed.agg(F.sum("length"), F.min("path")).first()
+    try:
+        if example is not None:
+            _opened(example).close()
+    except FileNotFoundError:
+        pass
+    except Exception:  # noqa: BLE001  no file system of Arrow's
+        return _kept(_read_whole(files, kind), labels)
+
+    def cut(batches):
+        for pdf in batches:
+            for p, length in zip(pdf.path, pdf.length, strict=True):
+                try:
+                    with _opened(p) as file:
+                        found = list(pieces(kind, p, length, _looked_up(file), piece))
+                except FileNotFoundError:
+                    if not ignore_missing:
+                        raise
+                    continue
+                rows = [(p, *row) for row in found if labels is None or (row[2] <= labels[1] and row[5] >= labels[0])]
+                yield pd.DataFrame(rows, columns=["path", "offset", "bytes", "label", "ordinal", "left", "last", "head"])
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                try:
+                    with _opened(r.path) as file:
+                        file.seek(r.offset)
+                        content = file.read(r.bytes)
+                except FileNotFoundError:
+                    if not ignore_missing:
+                        raise
+                    continue
+                if len(content) < r.bytes:
+                    raise ValueError(f"{r.path}: shorter than when it was listed")
+                yield decode_piece(kind, r.path, content, r.label, r.ordinal, r.left, list(r.head))
+
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    tasks = max(1, -(-(total or 0) // (int(number) << 10 * " kmgtp".index(unit or " "))))
+    found = listed.mapInPandas(cut, "path string, offset long, bytes long, label long, ordinal long, left long, last long, head array<long>")
+    return _kept(found.repartition(tasks).mapInPandas(run, schema), labels)
+
+
+def _kept(rows: DataFrame, labels: tuple[int, int] | None) -> DataFrame:
+    return rows if labels is None else rows.where(F.col("label").between(*labels))
+
+
+def _read_whole(files: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for p, c in zip(pdf.path, pdf.content, strict=True):
                 yield decode(kind, p, bytes(c))
 
-    return files.mapInPandas(run, LAYOUTS[kind].schema)
+    return files.select("path", "content").mapInPandas(run, LAYOUTS[kind].schema)
 
 
 def packed_files(df: DataFrame, kind: str, name: str, **header: int) -> DataFrame:

@@ -44,6 +44,69 @@ def test_short_file_is_refused():
     assert len(packed_files.decode("mapping", "x", np.array([0], "<i8").tobytes())) == 0
 
 
+def packed_rows(rng, labels):
+    counts = rng.integers(0, 9, labels) * rng.integers(0, 2, labels)
+    label = np.repeat(np.arange(labels), counts)
+    ordinal = np.concatenate([np.arange(n) for n in counts]) if len(label) else label
+    return pd.DataFrame({"label": label, "ordinal": ordinal, "iv": rng.integers(-50, 50, len(label)), **{v: rng.random(len(label)) for v in ("vz", "vy", "vx")}})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_of_any_size_are_the_file(seed):
+    """Cut at every size from one record on: what the pieces hold, in order, is what was written, and none is longer than said."""
+    rows = packed_rows(np.random.default_rng(seed), 12 * (seed > 0))
+    content = packed_files.encode("vectors", rows, nz=1, ny=2, nx=3, max_label=12 * (seed > 0))
+    for most in range(32, 200, 8):
+        found = list(packed_files.pieces("vectors", "f", len(content), lambda at, n: content[at : at + n], most))
+        assert sum(n for _, n, *_ in found) == len(content) - 32 and all(n <= most + 8 * 12 for _, n, *_ in found)
+        got = [packed_files.decode_piece("vectors", "f", content[at : at + n], *first, head) for at, n, *first, _, head in found]
+        for frame, (_, _, first, _, _, last, _) in zip(got, found, strict=True):
+            assert frame.label.between(first, last).all()
+        whole = pd.concat(got, ignore_index=True) if got else packed_files.decode("vectors", "f", content)
+        pd.testing.assert_frame_equal(whole[list(rows)], rows, check_dtype=False)
+
+
+def test_packed_files_are_read_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    frames = {f"a b%20{k}.bin": packed_rows(rng, 40) for k in range(3)}
+    for name, rows in frames.items():
+        (tmp_path / name).write_bytes(packed_files.encode("vectors", rows, nz=1, ny=2, nx=3, max_label=40))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        df = packed_files.read_packed(spark, str(tmp_path), "vectors", piece=64)
+        some = packed_files.read_packed(spark, str(tmp_path), "vectors", labels=(7, 20), piece=64)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    size = sum((tmp_path / n).stat().st_size for n in frames)
+    assert df.rdd.getNumPartitions() == -(-size // 1024) > 3
+    key = lambda r: (r.path.rsplit("/", 1)[1], r.label, r.ordinal, r.iv, r.vx)
+    want = sorted((n, *r) for n, rows in frames.items() for r in rows[["label", "ordinal", "iv", "vx"]].itertuples(index=False, name=None))
+    assert sorted(map(key, df.collect())) == want
+    assert sorted(map(key, some.collect())) == [r for r in want if 7 <= r[1] <= 20]
+
+
+def test_packed_file_above_two_gigabytes_by_label(spark, tmp_path):
+    """A sparse file whose second label has 3 GB of zeros; only the pieces of the third one are read."""
+    n = 3 * 2**30 // 8
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.write(np.array([1, 2, 3, 3, 1, 77, n], "<i8").tobytes())
+        f.seek(n * 8, 1)
+        f.write(np.array([2, 5, -6], "<i8").tobytes())
+    got = packed_files.read_packed(spark, str(tmp_path / "big.bin"), "cells", labels=(2, 2)).orderBy("ordinal").collect()
+    assert [(r.label, r.iv, r.max_label) for r in got] == [(2, 5, 3), (2, -6, 3)]
+
+
+def test_short_packed_files_fail_the_query(spark, tmp_path):
+    (tmp_path / "short").write_bytes(np.array([1, 2, 3, 2, 1, 9, 4, 0], "<i8").tobytes())
+    (tmp_path / "none").write_bytes(b"1234")
+    for name, why in (("short", "do not fit"), ("none", "no room")):
+        with pytest.raises(Exception, match=why):
+            packed_files.read_packed(spark, str(tmp_path / name), "cells").collect()
+    with pytest.raises(ValueError, match="no labels"):
+        packed_files.read_packed(spark, str(tmp_path / "none"), "mapping", labels=(0, 1))
+
+
 def test_packed_sink(spark, tmp_path):
     df = spark.createDataFrame([("a.bin", 0, 5), ("a.bin", 1, 6), ("b.bin", 0, 7)], "file string, ordinal long, mapped long")
     packed_files.save_files(packed_files.packed_files(df, "mapping", "file"), str(tmp_path))
