@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.geometry import Geometry
 from lattica.operators.neighbors import AXES, face_pairs
-from lattica.plans.components import ensure_checkpoint_dir
+from lattica.operators.kernels import assignment
+from lattica.plans import tables
+from lattica.plans.components import connected_components, ensure_checkpoint_dir
 
 CONE = math.cos(0.3216)
 
@@ -65,6 +69,44 @@ def endpoint_pair_match(endpoints: DataFrame, geometry: Geometry, distance: int
     return pairs.where((_gap() <= distance * distance) & (dot <= angle)).select(F.least("label", "n_label").alias("label_one"), F.greatest("label", "n_label").alias("label_two")).distinct()
 
 
+def nearby_matching(truth: DataFrame, proposed: DataFrame, geometry: Geometry, radius: int = 800) -> DataFrame:
+    """(label, truth_iv, proposed_iv, distance): one-to-one matches of points of a label less than `radius` nm apart.
+
+    Of all matchings the one with the least sum of distances, where a point of the smaller side that stays alone costs `radius`.
+    Partners that are farther cost the same as none, so only pairs within the radius have to be looked at, and what is not
+    linked by such pairs is matched on its own: a task gets one connected set of nearby points, not a label.  A pair whose ends have no
+    other partner is a match without that.  (`skeleton.endpoint_matching` lets far partners weigh in with their distance and
+    drops them then, which can cost a near match.)  Repeated points count once.
+    """
+    sides = [df.select("label", "iv", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)]).distinct() for df in (truth, proposed)]
+    near = binned_join(*sides, (radius,) * 3, by=["label"]).where(_gap() < radius * radius)
+    near = tables.written(near.select("label", F.col("iv").alias("truth_iv"), F.col("n_iv").alias("proposed_iv"), F.sqrt(_gap().cast("double")).alias("distance")), "matching")
+    for side in ("truth", "proposed"):
+        partners = near.groupBy("label", f"{side}_iv").agg(F.count("*").alias(f"{side}_n"))
+        near = near.join(partners, ["label", f"{side}_iv"])
+    near = tables.written(near.withColumn("alone", (F.col("truth_n") == 1) & (F.col("proposed_n") == 1)).drop("truth_n", "proposed_n"), "matching")
+    linked = near.where(~F.col("alone"))
+    roots = connected_components(linked.select((F.col("truth_iv") * 2).alias("a"), (F.col("proposed_iv") * 2 + 1).alias("b")))
+    placed = linked.join(roots, F.col("truth_iv") * 2 == F.col("v")).select("label", "truth_iv", "proposed_iv", "distance", "root")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A root's points are of one label unless a voxel is a point of several.
+        out = []
+        for _, of in pdf.groupby("label"):
+            of = of.sort_values(["truth_iv", "proposed_iv"])
+            (i, a), (j, b) = (pd.factorize(of[c], sort=True) for c in ("truth_iv", "proposed_iv"))
+            cost = np.full((len(a), len(b)), float(radius))
+            cost[i, j] = of.distance
+            chosen = np.zeros(cost.shape, bool)
+            for x, y in assignment(cost):
+                chosen[x, y] = True
+            out.append(of[chosen[i, j]])
+        return pd.concat(out)[["label", "truth_iv", "proposed_iv", "distance"]]
+
+    schema = placed.drop("root").schema
+    return near.where("alone").select(*schema.names).unionByName(placed.groupBy("root").applyInPandas(run, schema))
+
+
 def medial_axis_baseline(pairs: DataFrame, n_positive: int) -> DataFrame:
     """Matched pairs of known truth against the number of all positive pairs."""
     s = pairs.agg(F.count_if(F.col("truth") == "positive").alias("tp"), F.count_if(F.col("truth") == "negative").alias("fp"))

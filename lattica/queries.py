@@ -416,6 +416,12 @@ def proposed(s, d):
     return thin.select("label", "iv", "z", "y", "x")
 
 
+@query("nearby_matching")
+def _(s, d):
+    own = skeleton.skeleton_endpoints(fx.skeleton_points(s, d))
+    return spatial.nearby_matching(own, proposed(s, d), fx.geometry(s, d))
+
+
 @query("endpoint_scores")
 def _(s, d):
     own = skeleton.skeleton_endpoints(fx.skeleton_points(s, d))
