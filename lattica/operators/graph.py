@@ -15,7 +15,7 @@ from lattica.operators import kernels
 from lattica.operators.voxel import map_labels
 from lattica.plans import tables
 from lattica.plans.bricks import AXES, KEYS, local_components, own_box
-from lattica.plans.components import connected_components, ensure_checkpoint_dir
+from lattica.plans.components import connected_components
 from lattica.plans.joins import join_counted
 
 def union_edges(edges: DataFrame, keep, one: str = "v1", two: str = "v2") -> DataFrame:
@@ -54,13 +54,13 @@ def _with_components(voxels: DataFrame, label: str) -> DataFrame:
 
     Components are found inside of bricks; only voxels at the bricks' faces are links of the graph over bricks.
     """
-    ensure_checkpoint_dir(voxels.sparkSession)
-    local = local_components(voxels, label).checkpoint()
+    local = tables.written(local_components(voxels, label), "components")
     links = local.where("_halo or _near").select(F.col("iv").alias("a"), F.col("_root").alias("b"))
     found = connected_components(links).select(F.col("v").alias("_root"), F.col("root").alias("_first"))
     own = local.where("not _halo").drop("_halo", "_near")
     # One component may hold a good part of all voxels.
-    sizes = own.groupBy("_root").agg(F.count("*").alias("_n")).join(found, "_root", "left").select("_root", "_n", F.coalesce("_first", "_root").alias("_component")).checkpoint()
+    sizes = own.groupBy("_root").agg(F.count("*").alias("_n")).join(found, "_root", "left").select("_root", "_n", F.coalesce("_first", "_root").alias("_component"))
+    sizes = tables.written(sizes, "components")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     return join_counted(own, sizes, ["_root"], "_n", total).drop("_root", "_n")
 
@@ -81,7 +81,7 @@ def force_connectivity(voxels: DataFrame, label: str = "label") -> DataFrame:
     Numbers are a rank inside the label plus the number of extra components of smaller labels.
     """
     own = _with_components(voxels, label)
-    parts = own.groupBy(F.col(label).alias("label"), F.col("_component").alias("component")).agg(F.count("*").alias("_n")).checkpoint()
+    parts = tables.written(own.groupBy(F.col(label).alias("label"), F.col("_component").alias("component")).agg(F.count("*").alias("_n")), "parts")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("component")) - 1
     ranked = parts.withColumn("rank", rank)
     extra = ranked.groupBy("label").agg((F.count("*") - 1).alias("extra")).withColumn("_range", F.floor(F.col("label") / 1_000_000))
@@ -91,7 +91,8 @@ def force_connectivity(voxels: DataFrame, label: str = "label") -> DataFrame:
     offsets = extra.withColumn("_in", inside).join(ranges, "_range").select("label", (F.col("_in") + F.col("_o")).alias("offset"))
     top = voxels.agg(F.max(label).alias("top"))
     names = ranked.join(offsets, "label").crossJoin(F.broadcast(top))  # one row
-    names = names.select(F.col("component").alias("_component"), F.col("_n"), F.when(F.col("rank") == 0, F.col("label")).otherwise(F.col("top") + F.col("offset") + F.col("rank")).alias("_new")).checkpoint()
+    names = names.select(F.col("component").alias("_component"), F.col("_n"), F.when(F.col("rank") == 0, F.col("label")).otherwise(F.col("top") + F.col("offset") + F.col("rank")).alias("_new"))
+    names = tables.written(names, "parts")
     total = names.agg(F.sum("_n")).first()[0] or 0
     renamed = join_counted(own, names, ["_component"], "_n", total).withColumn(label, F.col("_new").cast(voxels.schema[label].dataType))
     return renamed.select(*voxels.columns).unionByName(voxels.where(F.col(label) == 0))
@@ -110,7 +111,6 @@ def lifted_edges(edges: DataFrame, tile: int = 512) -> DataFrame:
     three tiles at most, all components take the same pivot at once, and those with fewer blocks are done earlier.  Its
     result has a row for each pair, and its work is that of all triples of blocks.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
     own = edges.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), F.col("p").cast("double").alias("p")).where("p > 0 and v1 <> v2")
     own = tables.written(own.groupBy("v1", "v2").agg(F.max("p").alias("p")), "edges")
     roots = connected_components(own.select(F.col("v1").alias("a"), F.col("v2").alias("b")))

@@ -13,7 +13,7 @@ from lattica.geometry import Geometry
 from lattica.operators.neighbors import AXES, face_pairs
 from lattica.operators.kernels import assignment
 from lattica.plans import tables
-from lattica.plans.components import connected_components, ensure_checkpoint_dir
+from lattica.plans.components import connected_components
 
 CONE = math.cos(0.3216)
 
@@ -62,8 +62,8 @@ def points_within(points: DataFrame, radius: int) -> DataFrame:
 
 def endpoint_pair_match(endpoints: DataFrame, geometry: Geometry, distance: int = 800, angle: float = -1 / math.sqrt(2)) -> DataFrame:
     """Distinct pairs of labels with endpoints at most `distance` nm apart and vectors that point at each other."""
-    ensure_checkpoint_dir(endpoints.sparkSession)
-    points = endpoints.select("label", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)], "vz", "vy", "vx").checkpoint()
+    points = endpoints.select("label", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)], "vz", "vy", "vx")
+    points = tables.written(points, "endpoints")
     pairs = binned_join(points, points, (distance,) * 3, half=True).where(F.col("label") != F.col("n_label"))
     dot = sum((F.col(f"v{a}") * F.col(f"n_v{a}") for a in AXES), F.lit(0.0))
     return pairs.where((_gap() <= distance * distance) & (dot <= angle)).select(F.least("label", "n_label").alias("label_one"), F.greatest("label", "n_label").alias("label_two")).distinct()
@@ -107,10 +107,14 @@ def nearby_matching(truth: DataFrame, proposed: DataFrame, geometry: Geometry, r
     return near.where("alone").select(*schema.names).unionByName(placed.groupBy("root").applyInPandas(run, schema))
 
 
-def medial_axis_baseline(pairs: DataFrame, n_positive: int) -> DataFrame:
-    """Matched pairs of known truth against the number of all positive pairs."""
+def medial_axis_baseline(pairs: DataFrame, n_positive: int | DataFrame) -> DataFrame:
+    """Matched pairs of known truth against the number of all positive pairs (or a table whose one row has it as n_positive)."""
     s = pairs.agg(F.count_if(F.col("truth") == "positive").alias("tp"), F.count_if(F.col("truth") == "negative").alias("fp"))
-    s = s.withColumn("fn", F.lit(n_positive) - F.col("tp"))
+    if isinstance(n_positive, DataFrame):
+        s = s.crossJoin(F.broadcast(n_positive.select("n_positive")))  # one row
+    else:
+        s = s.withColumn("n_positive", F.lit(n_positive))
+    s = s.select("tp", "fp", (F.col("n_positive") - F.col("tp")).alias("fn"))
     return s.withColumn("f1", F.round(F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), 6))
 
 
@@ -149,8 +153,7 @@ def _in_cone(aimed: DataFrame, near: DataFrame, geometry: Geometry, distance: in
 def endpoint_cone(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
     """(label, iv, neighbour): labels with a voxel at most `distance` nm from an endpoint inside its cone."""
     sizes, _ = _window(geometry, distance)
-    ensure_checkpoint_dir(endpoints.sparkSession)
-    aimed = _aimed(endpoints).checkpoint()
+    aimed = tables.written(_aimed(endpoints), "endpoints")
     return _in_cone(aimed, _near(aimed, voxels, sizes, label), geometry, distance)
 
 
@@ -161,9 +164,8 @@ def endpoint_traversal(endpoints: DataFrame, voxels: DataFrame, geometry: Geomet
     cut to whole numbers.  Only voxels around endpoints are looked at, and read once.
     """
     sizes, inside = _window(geometry, distance)
-    ensure_checkpoint_dir(endpoints.sparkSession)
-    aimed = _aimed(endpoints).checkpoint()
-    near = _near(aimed, voxels, sizes, label).checkpoint()
+    aimed = tables.written(_aimed(endpoints), "endpoints")
+    near = tables.written(_near(aimed, voxels, sizes, label), "endpoints")
     faces = face_pairs(near)
     axis = [(2 * F.col(a) + (F.col("axis") == a).cast("long")).alias(f"m{a}") for a in AXES]
     sides = F.explode(F.array(F.struct(F.col("label").alias("label"), F.col("n_label").alias("other")), F.struct(F.col("n_label").alias("label"), F.col("label").alias("other"))))
