@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.geometry import Geometry
-from lattica.operators.neighbors import AXES, face_pairs
+from lattica.operators.neighbors import AXES, BOX, face_pairs
 from lattica.operators.kernels import assignment
 from lattica.plans import tables
+from lattica.plans.bricks import in_boxes
 from lattica.plans.components import connected_components
 
 CONE = math.cos(0.3216)
@@ -32,7 +35,8 @@ def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[st
     """Pairs of rows in the same or neighbouring cells of the given sizes, so all pairs within `sizes` on each axis.
 
     `left` is exploded into its 27 cells and meets `right` in one equi-join, so a pure range predicate never
-    becomes a nested loop.  Columns of `right` are named n_*.  `by` are columns that must agree as well.  With
+    becomes a nested loop; it is a merge join at every size, as a broadcast is chosen by the rows before they
+    are exploded, and the driver would hold 27 times that.  Columns of `right` are named n_*.  `by` are columns that must agree as well.  With
     `half` (both sides are the same table) 14 cells do: rows of different cells meet once, in either order, and
     `_same` says that both are in one cell, where they meet in both orders.
     """
@@ -46,7 +50,7 @@ def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[st
     on = (F.col("_c0") == F.col("_r0")) & (F.col("_c1") == F.col("_r1")) & (F.col("_c2") == F.col("_r2"))
     for c in by:
         on = on & (F.col(c) == F.col(f"n_{c}"))
-    return l.join(r, on).drop(*[f"_{k}{i}" for k in "cr" for i in range(3)])
+    return l.join(r.hint("merge"), on).drop(*[f"_{k}{i}" for k in "cr" for i in range(3)])
 
 
 def _gap():
@@ -130,42 +134,63 @@ def _aimed(endpoints: DataFrame) -> DataFrame:
     return endpoints.where("vz * vz + vy * vy + vx * vx >= 0.5").select("label", "iv", *AXES, "vz", "vy", "vx")
 
 
-def _near(aimed: DataFrame, voxels: DataFrame, sizes, label: str) -> DataFrame:
-    """Voxels of labels other than 0 in the cells around endpoints: their windows and one voxel more."""
-    sizes = [s + 1 for s in sizes]
-    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)]) for o in _around(False)])
-    cells = aimed.withColumn("_o", F.explode(around)).select(*[(_cell(a, s) + F.col(f"_o.d{i}")).alias(f"_c{i}") for i, (a, s) in enumerate(zip(AXES, sizes, strict=True))]).distinct()
-    on = (_cell("z", sizes[0]) == F.col("_c0")) & (_cell("y", sizes[1]) == F.col("_c1")) & (_cell("x", sizes[2]) == F.col("_c2"))
-    return voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), "iv", *AXES).join(cells, on, "left_semi")
-
-
-def _in_cone(aimed: DataFrame, near: DataFrame, geometry: Geometry, distance: int) -> DataFrame:
-    sizes, inside = _window(geometry, distance)
-    pairs = binned_join(aimed, near.select("label", *AXES), sizes).where(inside & (F.col("label") != F.col("n_label")))
-    step = {a: (F.col(f"n_{a}") - F.col(a)) * F.lit(r) for a, r in zip(AXES, geometry.resolution, strict=True)}
-    squared = sum((step[a] * step[a] for a in AXES), F.lit(0))
-    # dot(v, offset) / |offset| >= cos, without a division
-    dot = sum((F.col(f"v{a}") * step[a] for a in AXES), F.lit(0.0))
-    hit = (squared <= distance * distance) & (squared > 0) & (dot >= CONE * F.sqrt(squared.cast("double")))
-    return pairs.where(hit).select("label", "iv", F.col("n_label").alias("neighbour")).distinct()
+def _in_cone(aimed: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int) -> DataFrame:
+    """(label, iv, neighbour) over boxes with a halo of the window: each offset is looked up for all endpoints of a box at once."""
+    half, steps = geometry.radius(distance), geometry.resolution
+    whole = [F.col("label").cast("long").alias("label"), "iv", *[F.col(a).cast("long").alias(a) for a in AXES]]
+    vectors = [f"v{a}" for a in AXES]
+    rows = voxels.select(*whole, *[F.lit(0.0).alias(v) for v in vectors], F.lit(False).alias("point")).unionByName(aimed.select(*whole, *vectors, F.lit(True).alias("point")))
+
+    def run(table: pa.Table, inside: np.ndarray) -> pa.Table:
+        point, label, iv = (table.column(c).to_numpy() for c in ("point", "label", "iv"))
+        places = np.stack([table.column(a).to_numpy() for a in AXES], axis=1)
+        own, near = np.flatnonzero(point & inside), np.flatnonzero(~point)
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(own) and len(near):
+            low = np.minimum(places[own].min(axis=0) - half, places[near].min(axis=0))
+            shape = np.maximum(places[own].max(axis=0) + half, places[near].max(axis=0)) - low + 1
+            grid, strides = np.zeros(int(shape.prod()), np.int64), np.array([shape[1] * shape[2], shape[2], 1])
+            grid[(places[near] - low) @ strides] = label[near]
+            at = (places[own] - low) @ strides
+            v = [table.column(c).to_numpy()[own] for c in vectors]
+            for o in itertools.product(*(range(-h, h + 1) for h in half)):
+                step = [d * r for d, r in zip(o, steps, strict=True)]
+                squared = sum(d * d for d in step)
+                if not 0 < squared <= distance * distance:
+                    continue
+                # dot(v, offset) / |offset| >= cos, without a division
+                aims = np.flatnonzero(v[0] * step[0] + v[1] * step[1] + v[2] * step[2] >= CONE * math.sqrt(squared))
+                seen = grid[at[aims] + int(np.dot(o, strides))]
+                hit = (seen != 0) & (seen != label[own[aims]])
+                hits.append((own[aims[hit]], seen[hit]))
+        row, seen = map(np.concatenate, zip(*hits, strict=True))
+        order = np.lexsort((seen, iv[row], label[row]))
+        found = [label[row][order], iv[row][order], seen[order]]
+        first = np.ones(len(order), bool)
+        first[1:] = np.any([c[1:] != c[:-1] for c in found], axis=0)
+        return pa.table([pa.array(c[first]) for c in found], names=["label", "iv", "neighbour"])
+
+    return in_boxes(rows, BOX, half, run, "label long, iv long, neighbour long")
+
+
+def _seen(voxels: DataFrame, label: str) -> DataFrame:
+    return voxels.where(F.col(label) != 0).select(F.col(label).alias("label"), "iv", *AXES)
 
 
 def endpoint_cone(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
     """(label, iv, neighbour): labels with a voxel at most `distance` nm from an endpoint inside its cone."""
-    sizes, _ = _window(geometry, distance)
-    aimed = tables.written(_aimed(endpoints), "endpoints")
-    return _in_cone(aimed, _near(aimed, voxels, sizes, label), geometry, distance)
+    return _in_cone(_aimed(endpoints), _seen(voxels, label), geometry, distance)
 
 
 def endpoint_traversal(endpoints: DataFrame, voxels: DataFrame, geometry: Geometry, distance: int = 500, label: str = "label") -> DataFrame:
     """(label, iv, neighbour, z, y, x): neighbours in the cone that touch the endpoint's label inside its window.
 
     The place is the mean of the midpoints of the faces between both labels whose lower voxel is in the window,
-    cut to whole numbers.  Only voxels around endpoints are looked at, and read once.
+    cut to whole numbers.
     """
     sizes, inside = _window(geometry, distance)
     aimed = tables.written(_aimed(endpoints), "endpoints")
-    near = tables.written(_near(aimed, voxels, sizes, label), "endpoints")
+    near = _seen(voxels, label)
     faces = face_pairs(near)
     axis = [(2 * F.col(a) + (F.col("axis") == a).cast("long")).alias(f"m{a}") for a in AXES]
     sides = F.explode(F.array(F.struct(F.col("label").alias("label"), F.col("n_label").alias("other")), F.struct(F.col("n_label").alias("label"), F.col("label").alias("other"))))
