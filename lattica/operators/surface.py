@@ -59,41 +59,128 @@ def isosurface(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: Cubes of a box whose triangles one task finds.
 BOX = (32, 64, 64)
 _CORNER = "struct<z:int,y:int,x:int>"
+_CORNERS = tuple(itertools.product((0, 1), repeat=3))
 
 
-def mesh(voxels: DataFrame, rate: int = 1, label: str = "label") -> DataFrame:
-    """(label, box, place, a, b, c): the triangles of each label's surface, of every `rate`-th voxel on each axis.
+def cut_cubes(points: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, cubes, masks): each label and each cube that has it at some corners, by label and cube; a bit of the mask for each of `_CORNERS`."""
+    names, code = np.unique(labels, return_inverse=True)
+    low = points.min(axis=0) - 1
+    shape = points.max(axis=0) - low + 1
+    at = code * shape.prod() + (points - low) @ np.array([shape[1] * shape[2], shape[2], 1])
+    keys = np.concatenate([at - (c[0] * shape[1] + c[1]) * shape[2] - c[2] for c in _CORNERS])
+    order = np.argsort(keys, kind="stable")
+    keys, bits = keys[order], (np.uint8(1) << (order // len(points)).astype(np.uint8))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    masks, keys = np.bitwise_or.reduceat(bits, first), keys[first]
+    place = np.stack(np.unravel_index(keys % shape.prod(), shape), axis=1) + low
+    return names[keys // shape.prod()], place, masks
 
-    Corners are named by where they cut the grid, in half voxels: a cut edge has one such place, so triangles of different
-    boxes that meet name the same corners, and nothing has to be compared.  A cube belongs to the box of its lowest corner,
-    which sees one voxel further.  A task has a box with all its labels, never a label.
+
+def _codes(t) -> np.ndarray:
+    """Of each of the 256 masks of a cube, the bits of a tetrahedron's corners."""
+    return np.array([sum((m >> _CORNERS.index(c) & 1) << i for i, c in enumerate(t)) for m in range(256)], np.uint8)
+
+
+#: Triangles of a cube by its mask.
+TRIANGLES = np.array([0, 1, 1, 2, 1, 2, 2, 1, 1, 2, 2, 1, 2, 1, 1, 0])[np.stack([_codes(t) for t in tetrahedra()])].sum(axis=0)
+
+
+def triangles_of(labels: np.ndarray, cubes: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, triangles): those of `isosurface` for every label, label after label and in its order."""
+    shapes, step = [np.zeros((0, 3, 3), np.int32)], 0
+    rows, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
+    for t in tetrahedra():
+        code = _codes(t)[masks]
+        order = np.argsort(code, kind="stable")
+        ends = np.searchsorted(code[order], np.arange(17))
+        for mask in range(1, 15):
+            inside, outside = [c for i, c in enumerate(t) if mask >> i & 1], [c for i, c in enumerate(t) if not mask >> i & 1]
+            middle = np.array([[np.add(i, o) for o in outside] for i in inside], np.int32)
+            if len(inside) == 2:
+                (a, b), (c, d) = middle
+                own = [[a, b, c], [b, d, c]]
+            else:
+                own = middle.reshape(1, 3, 3)
+            for shape in own:
+                shapes.append(np.array(shape, np.int32)[None])
+                rows.append(order[ends[mask] : ends[mask + 1]])
+                steps.append(np.full(len(rows[-1]), step, np.int16))
+                step += 1
+    rows, steps = np.concatenate(rows), np.concatenate(steps)
+    of = labels[rows]
+    order = np.argsort(of, kind="stable")  # steps rise inside of a label, and cubes inside of a step
+    rows, steps = rows[order], steps[order]
+    return of[order], 2 * cubes[rows].astype(np.int32)[:, None, :] + np.concatenate(shapes)[steps]
+
+
+def _cubes_of_boxes(voxels: DataFrame, rate: int, label: str, run, schema: str) -> DataFrame:
+    """`run(box, labels, cubes, masks)` for each box: its cubes and the labels at their corners, of every `rate`-th voxel on each axis.
+
+    A cube belongs to the box of its lowest corner, which sees one voxel further.  A task has a box with all its labels, never a label.
     """
-    own = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), *AXES)
+    keyed = voxels.where(F.col(label) != 0).select(F.col(label).cast("long").alias("label"), *AXES)
     for a in AXES:
-        own = own.where(F.col(a) % rate == 0).withColumn(a, F.expr(f"{a} div {int(rate)}").cast("int"))
+        keyed = keyed.where(F.col(a) % rate == 0).withColumn(a, F.expr(f"{a} div {int(rate)}").cast("int"))
     size = BOX
+    for a, n in zip(AXES, size, strict=True):
+        keyed = keyed.withColumn(f"_b{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - 1) / n).cast("int"), F.floor(F.col(a) / n).cast("int")))))
 
-    def run(table: pa.Table) -> pa.Table:
-        labels, points = table.column("label").to_numpy(), np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
+    def whole(table: pa.Table) -> pa.Table:
         box = np.array([table.column(f"_b{a}")[0].as_py() for a in AXES])
-        order = np.argsort(labels, kind="stable")
-        cuts = np.flatnonzero(np.diff(labels[order])) + 1
-        found, of = [np.zeros((0, 3, 3), np.int64)], [np.zeros(0, np.int64)]
-        for rows in np.split(order, cuts):
-            triangles, cube = isosurface(points[rows])
-            triangles = triangles[(cube // np.array(size) == box).all(axis=1)]
-            found.append(triangles)
-            of.append(np.full(len(triangles), labels[rows[0]]))
-        triangles = np.concatenate(found).astype(np.int32) * rate
+        points = np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
+        labels, cubes, masks = cut_cubes(points, table.column("label").to_numpy())
+        own = (cubes // np.array(size) == box).all(axis=1)
+        return run(box, labels[own], cubes[own], masks[own])
+
+    return keyed.groupBy(*[f"_b{a}" for a in AXES]).applyInArrow(whole, schema)
+
+
+def mesh(voxels: DataFrame, rate: int = 1, label: str = "label") -> DataFrame:
+    """(label, box, place, a, b, c): the triangles of each label's surface, of every `rate`-th voxel on each axis.
+
+    Corners are named by where they cut the grid, in half voxels: a cut edge has one such place, so triangles of different
+    boxes that meet name the same corners, and nothing has to be compared.
+    """
+
+    def run(box, labels, cubes, masks) -> pa.Table:
+        of, triangles = triangles_of(labels, cubes, masks)
+        triangles *= rate
         corner = lambda k: pa.StructArray.from_arrays([pa.array(triangles[:, k, j]) for j in range(3)], names=list(AXES))
-        name = "/".join(map(str, box.tolist()))
-        return pa.table({"label": pa.array(np.concatenate(of)), "box": pa.array([name] * len(triangles), pa.string()), "place": pa.array(np.arange(len(triangles))),
-                         "a": corner(0), "b": corner(1), "c": corner(2)})
+        name = pa.array(["/".join(map(str, box.tolist()))], pa.string()).take(pa.array(np.zeros(len(of), np.int8)))
+        return pa.table({"label": pa.array(of), "box": name, "place": pa.array(np.arange(len(of))), "a": corner(0), "b": corner(1), "c": corner(2)})
 
-    keyed = own
-    for a, n in zip(AXES, size, strict=True):
-        keyed = keyed.withColumn(f"_b{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - 1) / n).cast("int"), F.floor(F.col(a) / n).cast("int")))))
-    return keyed.groupBy(*[f"_b{a}" for a in AXES]).applyInArrow(run, f"label long, box string, place long, a {_CORNER}, b {_CORNER}, c {_CORNER}")
+    return _cubes_of_boxes(voxels, rate, label, run, f"label long, box string, place long, a {_CORNER}, b {_CORNER}, c {_CORNER}")
+
+
+def mesh_sizes(voxels: DataFrame, rate: int = 1, label: str = "label") -> DataFrame:
+    """(label, n): the number of triangles of each label in `mesh`, counted by the masks of its cubes."""
+
+    def run(box, labels, cubes, masks) -> pa.Table:
+        names, place = np.unique(labels, return_inverse=True)
+        n = np.bincount(place, TRIANGLES[masks], len(names)).astype(np.int64)
+        return pa.table({"label": pa.array(names[n > 0]), "n": pa.array(n[n > 0])})
+
+    return _cubes_of_boxes(voxels, rate, label, run, "label long, n long").groupBy("label").agg(F.sum("n").alias("n"))
+
+
+def mesh_vertices(voxels: DataFrame, rate: int = 1, label: str = "label") -> DataFrame:
+    """(label, z, y, x): each corner of the triangles of `mesh` once, in half voxels.
+
+    A corner is the middle of a cut edge, and an edge begins at the lowest corner of one cube, so boxes have no corner in common.
+    """
+    edges = [(c, _CORNERS.index(c)) for c in _CORNERS[1:]]
+
+    def run(box, labels, cubes, masks) -> pa.Table:
+        of, found = [], []
+        for offset, bit in edges:
+            cut = np.flatnonzero((masks & 1) != (masks >> bit & 1))
+            of.append(labels[cut])
+            found.append((2 * cubes[cut] + offset).astype(np.int32) * rate)
+        places = np.concatenate(found)
+        return pa.table({"label": pa.array(np.concatenate(of)), **{a: pa.array(places[:, i]) for i, a in enumerate(AXES)}})
+
+    return _cubes_of_boxes(voxels, rate, label, run, "label long, z int, y int, x int")
 
 
 def vertices(triangles: DataFrame) -> DataFrame:

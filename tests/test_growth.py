@@ -23,3 +23,33 @@ def test_a_cone_joins_nothing(spark, sf_dir):
     ends = fx.endpoints(spark, sf_dir).localCheckpoint()
     found = spatial.endpoint_cone(ends, fx.labels(spark, sf_dir), fx.geometry(spark, sf_dir), fx.REACH)
     assert "Join" not in plan_of(found)
+
+
+def test_triangles_of_all_labels_at_once():
+    """Those of each label on its own, in the same order."""
+    from lattica.operators import surface
+
+    volume = np.random.default_rng(5).integers(0, 40, (9, 8, 10))
+    points = np.argwhere(volume > 0) - (3, 0, 2)
+    labels = volume[volume > 0] * 7
+    of, got = surface.triangles_of(*surface.cut_cubes(points, labels))
+    at = 0
+    for name in np.unique(labels):
+        want, _ = surface.isosurface(points[labels == name])
+        assert (of[at : at + len(want)] == name).all() and (got[at : at + len(want)] == want).all()
+        at += len(want)
+    assert at == len(got)
+
+
+@pytest.mark.parametrize("rate", [1, 2])
+def test_corners_and_sizes_are_those_of_the_mesh(spark, monkeypatch, rate):
+    from lattica.operators import surface
+
+    monkeypatch.setattr(surface, "BOX", (3, 4, 5))
+    volume = np.random.default_rng(6).integers(0, 4, (7, 8, 9))
+    rows = [(*map(int, p - 2), int(volume[tuple(p)])) for p in np.argwhere(volume >= 0)]
+    df = spark.createDataFrame(rows, "z int, y int, x int, label long").localCheckpoint()
+    found = surface.mesh(df, rate)
+    assert sorted(map(tuple, surface.mesh_vertices(df, rate).collect())) == sorted(map(tuple, surface.vertices(found).collect()))
+    assert sorted(map(tuple, surface.mesh_sizes(df, rate).collect())) == sorted(map(tuple, found.groupBy("label").count().collect()))
+    assert "Exchange hashpartitioning(label" not in plan_of(surface.mesh_vertices(df))
