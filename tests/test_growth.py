@@ -53,3 +53,32 @@ def test_corners_and_sizes_are_those_of_the_mesh(spark, monkeypatch, rate):
     assert sorted(map(tuple, surface.mesh_vertices(df, rate).collect())) == sorted(map(tuple, surface.vertices(found).collect()))
     assert sorted(map(tuple, surface.mesh_sizes(df, rate).collect())) == sorted(map(tuple, found.groupBy("label").count().collect()))
     assert "Exchange hashpartitioning(label" not in plan_of(surface.mesh_vertices(df))
+
+
+def test_a_sweep_takes_labels_together(spark, sf_dir, monkeypatch):
+    """A few tasks for all labels, and the same counts however labels are dealt."""
+    from lattica.operators import skeleton, sweep
+
+    labels, g = fx.labels(spark, sf_dir).localCheckpoint(), fx.geometry(spark, sf_dir)
+    truth = skeleton.skeleton_endpoints(fx.skeleton_points(spark, sf_dir)).localCheckpoint()
+    found = []
+    for together in (1 << 15, 50):
+        monkeypatch.setattr(sweep, "TOGETHER", together)
+        scores = sweep.endpoint_sweep(labels, truth, g, (60,), (0, 15), (13,), (2,))
+        assert "bundle" in plan_of(scores)
+        found.append(sorted(map(tuple, scores.collect())))
+    assert found[0] == found[1] and len(found[0]) == 5
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (4, 5, 6), (9, 20, 21)])
+def test_boundary_distance_without_a_search_of_each_line(monkeypatch, shape):
+    from lattica.operators import kernels
+
+    points = np.argwhere(np.random.default_rng(1).random(shape) < 0.97)
+    points = points if len(points) else np.zeros((1, 3), np.int64)
+    box, low = kernels.grid_of(points)
+    edge = np.array([any(not box[tuple(p - low + f)] for f in kernels.FACES) for p in points])
+    edges, empty = points[edge], np.argwhere(~box) + low
+    want = [1 if e else min(((p - empty) ** 2).sum(axis=1).min(), ((p - edges) ** 2).sum(axis=1).min() + 1) for p, e in zip(points, edge, strict=True)]
+    monkeypatch.setattr(kernels, "lower_envelope", None)
+    assert np.array_equal(kernels.boundary_distance(points), np.sqrt(np.array(want, float)))
