@@ -191,18 +191,18 @@ def vertices(triangles: DataFrame) -> DataFrame:
 def marching(voxels: DataFrame, resolution=(30, 15, 15), rate: int = 1, scale: float = 500.0, label: str = "label") -> DataFrame:
     """(label, ordinal, triangle array<array<double>>) per label, centred on the surface's box and in units of `scale` nm.
 
-    Triangles of `mesh`, numbered inside of each box and over the boxes of a label.
+    Triangles of `mesh`, numbered inside of each box and over the boxes of a label; only the sizes of boxes are sorted.
     """
     found = tables.written(mesh(voxels, rate, label), "mesh")
     least = lambda f, a: f(*(F.col(f"{k}.{a}") for k in "abc"))
-    sizes = found.groupBy("label", "box").agg(F.count("*").alias("_n"), *[F.min(least(F.least, a)).alias(f"_l{a}") for a in AXES], *[F.max(least(F.greatest, a)).alias(f"_h{a}") for a in AXES])
+    sizes = found.groupBy("label", "box").agg(F.count("*").alias("_n"), F.min("place").alias("_first"), *[F.min(least(F.least, a)).alias(f"_l{a}") for a in AXES], *[F.max(least(F.greatest, a)).alias(f"_h{a}") for a in AXES])
     whole = Window.partitionBy("label")
     before = F.coalesce(F.sum("_n").over(whole.orderBy("box").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("label", "box", "_n", before.alias("_before"), *[((F.min(f"_l{a}").over(whole) + F.max(f"_h{a}").over(whole)) / 2).alias(f"_m{a}") for a in AXES])
+    # a box numbers its triangles label after label
+    sizes = sizes.select("label", "box", "_n", (before - F.col("_first")).alias("_from"), *[((F.min(f"_l{a}").over(whole) + F.max(f"_h{a}").over(whole)) / 2).alias(f"_m{a}") for a in AXES])
     placed = join_counted(found, sizes, ["label", "box"], "_n", found.count())
     corner = lambda k: F.array(*[(F.col(f"{k}.{a}") - F.col(f"_m{a}")) / 2 * r / scale for a, r in zip(AXES, resolution, strict=True)])
-    first = Window.partitionBy("label", "box").orderBy("place")
-    return placed.select("label", (F.col("_before") + F.row_number().over(first) - 1).alias("ordinal"), F.array(*map(corner, "abc")).alias("triangle"))
+    return placed.select("label", (F.col("_from") + F.col("place")).alias("ordinal"), F.array(*map(corner, "abc")).alias("triangle"))
 
 
 def stl_files(triangles: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_boundary_distance_without_a_search_of_each_line(monkeypatch, shape):
     want = [1 if e else min(((p - empty) ** 2).sum(axis=1).min(), ((p - edges) ** 2).sum(axis=1).min() + 1) for p, e in zip(points, edge, strict=True)]
     monkeypatch.setattr(kernels, "lower_envelope", None)
     assert np.array_equal(kernels.boundary_distance(points), np.sqrt(np.array(want, float)))
+
+
+def test_triangles_are_numbered_without_a_sort_of_them(spark, sf_dir):
+    from lattica.operators import surface
+
+    shown = surface.marching(fx.labels(spark, sf_dir))
+    assert "row_number" not in plan_of(shown)
+    own = [r.ordinal for r in shown.where("label = 1").collect()]
+    assert sorted(own) == list(range(len(own))) and own
