@@ -51,6 +51,8 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, p long")
 
 
+#: So many links (16 MB) are contracted in one task; more go in rounds until no more than these are left.
+IN_ONE = 2**20
 #: At most so many vertices are hubs of a round: those that hold this share of all link ends.
 HUBS, LEAST_HUB = 2000, 1000
 
@@ -73,7 +75,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root) from edges (a, b): root is the smallest vertex that v reaches.
 
     Alternating large-star and small-star steps: every vertex hangs its larger neighbours under the smallest
-    one, then its smaller ones.  First the links that lie in one partition are contracted there.  The number of
+    one, then its smaller ones.  First the links that lie in one partition are contracted there, and once no more than
+    IN_ONE links are left, one task contracts these and no round follows.  The number of
     rounds grows with the logarithm of a component's size, each round aggregates before it shuffles, and each
     ends in a checkpoint.  Vertices are 64-bit integers; self-loops name isolated ones; null ends are ignored.
     """
@@ -84,6 +87,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = _contracted(links).checkpoint()
     state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "p").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds if state[0] else 0):
+        if state[0] <= IN_ONE:
+            links = _contracted(links.coalesce(1)).checkpoint()
+            break
         # large star: larger neighbours u of p go under m(p)
         ends = links.select(F.col("u"), F.col("p"), F.lit(0).alias("n")).unionByName(links.select(F.col("p").alias("u"), F.col("u").alias("p"), F.lit(1).alias("n")))
         least = ends.groupBy("u").agg(F.least(F.min("p"), F.col("u")).alias("m"), F.sum("n").alias("n")).where("n > 0")

@@ -46,6 +46,19 @@ def test_components_of_random_graphs(spark, monkeypatch, spread, least_hub):
     assert got == {v: find(v) for e in edges for v in e}
 
 
+@pytest.mark.parametrize("in_one, rounds", [(0, True), (150, True), (2**20, False)])
+def test_few_links_need_no_round(spark, monkeypatch, in_one, rounds):
+    """Rounds go on only while there are more links than a task contracts; all ways have the same roots."""
+    told = []
+    step = components._with_least
+    monkeypatch.setattr(components, "_with_least", lambda *a: told.append(1) or step(*a))
+    monkeypatch.setattr(components, "IN_ONE", in_one)
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(9).permutation([(i, i + 1) for i in range(300) if i % 100 != 99])]
+    got = {r.v: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {v: min(v // 100 * 100, 300) for v in range(301) if v != 300}
+    assert bool(told) == rounds
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
