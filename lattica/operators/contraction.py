@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import log_odds
-from lattica.operators.partition import lifted_weights
+from lattica.operators.partition import contractible_weights
 from lattica.plans import tables
 from lattica.plans.components import connected_components
 from lattica.plans.joins import join_counted
@@ -114,9 +114,9 @@ def multicut_in_rounds(edges: DataFrame, beta: float = 0.95) -> DataFrame:
 
 def lifted_multicut_in_rounds(edges: DataFrame, n_vertices: int | None = None, beta: float = 0.95) -> DataFrame:
     """(v1, v2, cut) for pairs with an edge; lifted pairs weigh in, but only edges are contracted."""
-    own = lifted_weights(edges, n_vertices, beta)
+    own, original = contractible_weights(edges, n_vertices, beta)
     weights = tables.written(own.withColumn("weight", F.round(F.col("weight") * UNIT).cast("decimal(38,0)")), "multicut")
-    return cuts(weights.where("original"), contract_in_rounds(weights))
+    return cuts(original, contract_in_rounds(weights))
 
 
 def partition_weight(weights: DataFrame, partition: DataFrame) -> DataFrame:

@@ -129,6 +129,8 @@ def lifted_edges(edges: DataFrame, tile: int = 512) -> DataFrame:
     left = names.select("root", "blocks", "i", F.col("names").alias("one"))
     pairs = left.join(names.select("root", F.col("i").alias("j"), F.col("names").alias("two")), "root").where("i <= j").join(there, ["root", "i", "j"], "left")
 
+    ways = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def matrix(m: bytes, rows: int) -> np.ndarray:
         return np.frombuffer(m).reshape(rows, -1)
 
@@ -138,7 +140,8 @@ def lifted_edges(edges: DataFrame, tile: int = 512) -> DataFrame:
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             return run(pdf, next(pdf.itertuples()))
 
-        return df.groupBy("root", "i", "j").applyInPandas(one, schema)
+        # Rows of tiles are few, and their work isn't seen in their bytes: tasks must not be put together by these.
+        return df.repartition(ways, "root", "i", "j").groupBy("root", "i", "j").applyInPandas(one, schema)
 
     def laid(pdf: pd.DataFrame, r) -> pd.DataFrame:
         one, two = np.array(r.one), np.array(r.two)

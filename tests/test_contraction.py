@@ -108,3 +108,27 @@ def test_lifted_query_equals_the_rule_on_its_weights(spark, sf_dir):
     want, _ = rounds([(r.v1, r.v2, round(r.weight * contraction.UNIT), r.original) for r in weights])
     got = {(r.v1, r.v2): r.cut for r in q.QUERIES["lifted_multicut_rounds"](spark, sf_dir).collect()}
     assert got == {(r.v1, r.v2): want[r.v1] != want[r.v2] for r in weights if r.original}
+
+
+def test_contraction_takes_no_row_for_pairs_that_stay_cut(spark):
+    """Weights and cuts equal those from all pairs, though only pairs of parts above beta are made."""
+    from lattica.operators.kernels import best_products, contract_complete
+
+    rng = np.random.default_rng(95)
+    rows = {tuple(sorted(rng.choice(40, 2, replace=False).tolist())): float(rng.choice([0.3, 0.7, 0.9, 0.96, 0.98, 0.99])) for _ in range(70)}
+    # an edge below beta that is better than the way above it
+    rows |= {(0, 50): 0.5, (50, 51): 0.96, (51, 52): 0.96, (52, 53): 0.96, (50, 53): 0.9}
+    m = np.eye(54)
+    for (a, b), p in rows.items():
+        m[a, b] = m[b, a] = p
+    m = best_products(m)
+    one, two = (x.astype(np.int64) for x in np.nonzero(np.triu(m, 1)))
+    real = np.array([(a, b) in rows for a, b in zip(one.tolist(), two.tolist(), strict=True)])
+    weight = np.where(real, 54 * 53 / 2, len(rows)) * (np.log(m[one, two] / (1 - m[one, two])) + np.log(0.05 / 0.95))
+    want = dict(zip(zip(one.tolist(), two.tolist(), strict=True), weight.tolist(), strict=True))
+    edges = spark.createDataFrame([(b, a, p) for (a, b), p in rows.items()], "v1 long, v2 long, p double")
+    got = {(r.v1, r.v2): r.weight for r in partition.contractible_weights(edges)[0].collect()}
+    assert len(got) < len(want) and {k for k, w in want.items() if w > 0} | {(50, 53)} <= got.keys() <= want.keys()
+    assert all(np.isclose(got[k], want[k]) for k in got)
+    expected = dict(zip(zip(one[real].tolist(), two[real].tolist(), strict=True), contract_complete(one, two, weight, real).tolist(), strict=True))
+    assert {(r.v1, r.v2): r.cut for r in partition.lifted_multicut(edges).collect()} == expected
