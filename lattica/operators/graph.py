@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import kernels
+from lattica.operators.paths import lifted_edges  # noqa: F401  one of the graph's operators
 from lattica.operators.voxel import map_labels
 from lattica.plans import tables
 from lattica.plans.bricks import AXES, KEYS, local_components, own_box
@@ -98,113 +98,6 @@ def force_connectivity(voxels: DataFrame, label: str = "label") -> DataFrame:
     return renamed.select(*voxels.columns).unionByName(voxels.where(F.col(label) == 0))
 
 
-_TILE = "root long, blocks int, i int, j int, rows int, m binary"
-_NAMES = ["root", "blocks", "i", "j", "rows", "m"]
-
-
-def lifted_edges(edges: DataFrame, tile: int = 512) -> DataFrame:
-    """(v1, v2, p) for all connected v1 < v2: the largest product of probabilities along a path.
-
-    Parallel edges count by their largest p.  The vertices of a component are dealt to blocks of about `tile`, and pairs
-    of blocks are tiles of a matrix of best products (one of each two mirrored tiles).  Then the closure by pivots: for each block,
-    its own tile is closed, the tiles in its row are carried over it, and all others over two of these.  A task has
-    three tiles at most, all components take the same pivot at once, and those with fewer blocks are done earlier.  Its
-    result has a row for each pair, and its work is that of all triples of blocks.
-    """
-    own = edges.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), F.col("p").cast("double").alias("p")).where("p > 0 and v1 <> v2")
-    own = tables.written(own.groupBy("v1", "v2").agg(F.max("p").alias("p")), "edges")
-    roots = connected_components(own.select(F.col("v1").alias("a"), F.col("v2").alias("b")))
-    roots = tables.written(roots, "roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    placed = roots.join(sizes, "root").select("v", "root", F.pmod(F.xxhash64("v"), "blocks").alias("_h"))
-    # names of a block in rising order, about `tile` of them; blocks that got any are numbered
-    names = placed.groupBy("root", "_h").agg(F.sort_array(F.collect_list("v")).alias("names"))
-    number, every = F.row_number().over(Window.partitionBy("root").orderBy("_h")) - 1, F.count("*").over(Window.partitionBy("root"))
-    names = tables.written(names.select("root", every.cast("int").alias("blocks"), number.cast("int").alias("i"), "names"), "blocks")
-    ends = names.select(F.explode("names").alias("v"), "root", "i")
-    there = own.join(ends.toDF("v1", "root", "_a"), "v1").join(ends.select("v", "i").toDF("v2", "_b"), "v2")
-    turned = F.col("_a") > F.col("_b")
-    cell = F.struct(F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("a"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("b"), "p")
-    there = there.groupBy("root", F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j")).agg(F.collect_list(cell).alias("cells"))
-    left = names.select("root", "blocks", "i", F.col("names").alias("one"))
-    pairs = left.join(names.select("root", F.col("i").alias("j"), F.col("names").alias("two")), "root").where("i <= j").join(there, ["root", "i", "j"], "left")
-
-    ways = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def matrix(m: bytes, rows: int) -> np.ndarray:
-        return np.frombuffer(m).reshape(rows, -1)
-
-    def each(df: DataFrame, run, schema: str = _TILE) -> DataFrame:
-        """One tile at a time, as a group of its own: a batch of many tiles would not fit."""
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            return run(pdf, next(pdf.itertuples()))
-
-        # Rows of tiles are few, and their work isn't seen in their bytes: tasks must not be put together by these.
-        return df.repartition(ways, "root", "i", "j").groupBy("root", "i", "j").applyInPandas(one, schema)
-
-    def laid(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        one, two = np.array(r.one), np.array(r.two)
-        m = np.zeros((len(one), len(two)))
-        for c in r.cells if r.cells is not None else ():
-            a, b = np.searchsorted(one, c["a"]), np.searchsorted(two, c["b"])
-            m[a, b] = c["p"]
-            if r.i == r.j:
-                m[b, a] = c["p"]
-        if r.i == r.j:
-            np.fill_diagonal(m, 1.0)
-        return pd.DataFrame({"root": [r.root], "blocks": [r.blocks], "i": [r.i], "j": [r.j], "rows": [len(one)], "m": [m.tobytes()]})
-
-    def closed(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        return pdf.assign(m=[kernels.best_products(matrix(r.m, r.rows)).tobytes()])
-
-    def carried(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        """A row tile (i is the other block, j the pivot) over the pivot's own tile p."""
-        own = matrix(r.m, r.rows)
-        return pdf.assign(m=[kernels.products_over(own, own, matrix(r.p, r.pivot_rows)).tobytes()])[_NAMES]
-
-    def crossed(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        """A tile over the row tiles of both of its blocks."""
-        return pdf.assign(m=[kernels.products_over(matrix(r.m, r.rows), matrix(r.a, r.rows), matrix(r.b, r.other_rows).T).tobytes()])[_NAMES]
-
-    def mirrored(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        turned = matrix(r.m, r.rows).T
-        return pdf.assign(i=r.j, j=r.i, rows=len(turned), m=[turned.tobytes()])
-
-    tiles = tables.written(each(pairs.select("root", "blocks", "i", "j", "one", "two", "cells"), laid), "tiles")
-    tables.discard(own, roots)
-    done = []
-    for k in range(sizes_of(names)):
-        # components whose blocks were all pivots are finished
-        done.append(tables.written(tiles.where(F.col("blocks") <= k), "tiles"))
-        before, tiles = tiles, tiles.where(F.col("blocks") > k)
-        pivot = tables.written(each(tiles.where((F.col("i") == k) & (F.col("j") == k)), closed), "pivot")
-        row = tiles.where((F.col("j") == k) & (F.col("i") != k)).unionByName(each(tiles.where((F.col("i") == k) & (F.col("j") != k)), mirrored))
-        row = row.join(pivot.select("root", F.col("m").alias("p"), F.col("rows").alias("pivot_rows")), "root").select(*_NAMES, "p", "pivot_rows")
-        row = tables.written(each(row, carried), "row")
-        rest = tiles.where((F.col("i") != k) & (F.col("j") != k))
-        rest = rest.join(row.select("root", "i", F.col("m").alias("a")), ["root", "i"]).join(row.select("root", F.col("i").alias("j"), F.col("m").alias("b"), F.col("rows").alias("other_rows")), ["root", "j"])
-        rest = each(rest.select(*_NAMES, "a", "b", "other_rows"), crossed)
-        after = pivot.unionByName(row.where(F.col("i") < k)).unionByName(each(row.where(F.col("i") > k), mirrored)).unionByName(rest)
-        tiles = tables.written(after, "tiles")
-        tables.discard(before, pivot, row)
-    whole = reduce(DataFrame.unionByName, [*done, tiles])
-    whole = whole.join(names.select("root", "i", F.col("names").alias("one")), ["root", "i"]).join(names.select("root", F.col("i").alias("j"), F.col("names").alias("two")), ["root", "j"])
-
-    def put_out(pdf: pd.DataFrame, r) -> pd.DataFrame:
-        m, one, two = matrix(r.m, r.rows), np.array(r.one), np.array(r.two)
-        # all of a component are connected, also where a product is too small for a number
-        a, b = np.triu_indices(len(one), 1) if r.i == r.j else (x.ravel() for x in np.indices(m.shape))
-        return pd.DataFrame({"v1": np.minimum(one[a], two[b]), "v2": np.maximum(one[a], two[b]), "p": m[a, b]})
-
-    return each(whole, put_out, "v1 long, v2 long, p double")
-
-
-def sizes_of(names: DataFrame) -> int:
-    """The largest number of blocks of a component."""
-    return names.agg(F.max("blocks")).first()[0] or 0
-
-
 #: Voxels of a box whose distances one task settles.
 BOX = (32, 64, 64)
 

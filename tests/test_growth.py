@@ -91,3 +91,34 @@ def test_triangles_are_numbered_without_a_sort_of_them(spark, sf_dir):
     assert "row_number" not in plan_of(shown)
     own = [r.ordinal for r in shown.where("label = 1").collect()]
     assert sorted(own) == list(range(len(own))) and own
+
+
+@pytest.mark.parametrize("tile", [8, 100])
+def test_best_paths_go_over_borders(spark, monkeypatch, tile):
+    """Every pair of a long volume's components without a pivot over all blocks, also where only an edge of no worth links some."""
+    from lattica.operators import paths
+
+    rng, edges = np.random.default_rng(9), {}
+    for layer in range(30):
+        for k in range(2):
+            v = 2 * layer + k - 7
+            for other in ([v + 1] if k == 0 else []) + ([v + 2] if layer < 29 else []):
+                edges[v, other] = float(rng.random())
+    edges |= {(100, 101): 0.5, (101, 102): 0.25, (100, 102): 0.0, (52, 100): 0.0, (200, 201): 1e-200, (201, 202): 1e-200}
+    seen, whole = [], paths._whole
+    monkeypatch.setattr(paths, "_whole", lambda shut, links: seen.append(shut.groupBy("root").count().agg({"count": "max"}).first()[0]) or whole(shut, links))
+    df = spark.createDataFrame([(*e, p) for e, p in edges.items()], "v1 long, v2 long, p double")
+    got = {(r.v1, r.v2): (r.p, r.original) for r in paths.lifted_pairs(df, tile).collect()}
+    names = sorted({v for e in edges for v in e})
+    best = np.zeros((len(names),) * 2)
+    joined = np.zeros(best.shape, bool)
+    for (a, b), p in edges.items():
+        i, j = names.index(a), names.index(b)
+        best[i, j] = best[j, i] = p
+        joined[i, j] = joined[j, i] = p > 0
+    for k in range(len(names)):
+        best, joined = np.maximum(best, best[:, k, None] * best[k]), joined | joined[:, k, None] & joined[k]
+    want = {(a, b): best[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if i < j and joined[i, j]}
+    assert got.keys() == want.keys() and all(np.isclose(got[k][0], want[k], rtol=1e-12, atol=0) for k in want)
+    assert {k for k in got if got[k][1]} == edges.keys() & want.keys()
+    assert seen == [1]
