@@ -122,3 +122,18 @@ def test_best_paths_go_over_borders(spark, monkeypatch, tile):
     assert got.keys() == want.keys() and all(np.isclose(got[k][0], want[k], rtol=1e-12, atol=0) for k in want)
     assert {k for k in got if got[k][1]} == edges.keys() & want.keys()
     assert seen == [1]
+
+
+def test_lifted_pairs_say_themselves_which_have_an_edge(spark):
+    """The rows of all pairs are neither shuffled nor sorted to be joined with the edges."""
+    from lattica.operators import partition
+
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (4, 1, 0.0), (4, 3, 0.5), (9, 8, 0.0), (3, 2, 0.1)], "v1 long, v2 long, p double")
+    found = partition.lifted_weights(edges)
+    above = plan_of(found).split("FlatMapGroupsInPandas")[0]
+    assert "Exchange" not in above and "SortMergeJoin" not in above and "BroadcastHashJoin" not in above
+    got = {(r.v1, r.v2): (r.original, round(r.weight, 6)) for r in found.collect()}
+    odds = lambda p: np.log(p / (1 - p)) + np.log(0.05 / 0.95)
+    want = {(1, 2): (True, 0.9), (2, 3): (True, 0.8), (1, 4): (True, 0.36), (3, 4): (True, 0.5), (1, 3): (False, 0.72), (2, 4): (False, 0.4)}
+    nv, ne = 10, 5
+    assert got == {k: (o, round((nv * (nv - 1) / 2 if o else ne) * odds(p), 6)) for k, (o, p) in want.items()}
