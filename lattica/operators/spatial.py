@@ -21,6 +21,10 @@ from lattica.plans.components import connected_components
 CONE = math.cos(0.3216)
 
 
+#: Exploded rows of a join through cells that one task sorts, about 30 MB of them.
+TOGETHER = 1 << 18
+
+
 def _around(half: bool) -> list[tuple[int, int, int]]:
     """Offsets to the cell itself and its neighbours; with `half` to one of each two that are opposite."""
     cells = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
@@ -39,8 +43,12 @@ def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[st
     are exploded, and the driver would hold 27 times that.  Columns of `right` are named n_*.  `by` are columns that must agree as well.  With
     `half` (both sides are the same table) 14 cells do: rows of different cells meet once, in either order, and
     `_same` says that both are in one cell, where they meet in both orders.
+
+    Copies of a row compress well, so tasks put together by shuffled bytes would have 20 times these to sort.  Their
+    number follows the rows instead: `left` is counted, so it should be a table.
     """
     by = by or []
+    ways = max(left.sparkSession.sparkContext.defaultParallelism, -(-left.count() * len(_around(half)) // TOGETHER))
     around = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)], F.lit(o == (0, 0, 0)).alias("same")) for o in _around(half)])
     l = left.withColumn("_o", F.explode(around))
     for i, (a, s) in enumerate(zip(axes, sizes, strict=True)):
@@ -50,6 +58,7 @@ def binned_join(left: DataFrame, right: DataFrame, sizes, axes=AXES, by: list[st
     on = (F.col("_c0") == F.col("_r0")) & (F.col("_c1") == F.col("_r1")) & (F.col("_c2") == F.col("_r2"))
     for c in by:
         on = on & (F.col(c) == F.col(f"n_{c}"))
+    l, r = l.repartition(ways, *[f"_c{i}" for i in range(3)], *by), r.repartition(ways, *[f"_r{i}" for i in range(3)], *[f"n_{c}" for c in by])
     return l.join(r.hint("merge"), on).drop(*[f"_{k}{i}" for k in "cr" for i in range(3)])
 
 
@@ -82,7 +91,7 @@ def nearby_matching(truth: DataFrame, proposed: DataFrame, geometry: Geometry, r
     other partner is a match without that.  (`skeleton.endpoint_matching` lets far partners weigh in with their distance and
     drops them then, which can cost a near match.)  Repeated points count once.
     """
-    sides = [df.select("label", "iv", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)]).distinct() for df in (truth, proposed)]
+    sides = [tables.written(df.select("label", "iv", *[(F.col(a) * r).alias(a) for a, r in zip(AXES, geometry.resolution, strict=True)]).distinct(), "points") for df in (truth, proposed)]
     near = binned_join(*sides, (radius,) * 3, by=["label"]).where(_gap() < radius * radius)
     near = tables.written(near.select("label", F.col("iv").alias("truth_iv"), F.col("n_iv").alias("proposed_iv"), F.sqrt(_gap().cast("double")).alias("distance")), "matching")
     for side in ("truth", "proposed"):

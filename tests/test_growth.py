@@ -137,3 +137,19 @@ def test_lifted_pairs_say_themselves_which_have_an_edge(spark):
     want = {(1, 2): (True, 0.9), (2, 3): (True, 0.8), (1, 4): (True, 0.36), (3, 4): (True, 0.5), (1, 3): (False, 0.72), (2, 4): (False, 0.4)}
     nv, ne = 10, 5
     assert got == {k: (o, round((nv * (nv - 1) / 2 if o else ne) * odds(p), 6)) for k, (o, p) in want.items()}
+
+
+def test_tasks_of_a_join_through_cells_follow_its_rows(spark, monkeypatch):
+    """However well the copies of rows compress, a task has TOGETHER of them."""
+    rows = [(i, i % 3, i // 9, i // 3 % 3, i % 3) for i in range(200)]
+    own = spark.createDataFrame(rows, "id long, label long, z long, y long, x long").localCheckpoint()
+    monkeypatch.setattr(spatial, "TOGETHER", 100)
+    want = {(a[0], b[0]) for a in rows for b in rows if all(abs(p - q) <= 1 for p, q in zip(a[2:], b[2:], strict=True))}
+    inside = "abs(z - n_z) <= 1 and abs(y - n_y) <= 1 and abs(x - n_x) <= 1"
+    for half, by, parts in ((True, [], 28), (False, [], 54), (False, ["label"], 54)):
+        found = spatial.binned_join(own, own, (2, 2, 2), by=by, half=half)
+        assert found.rdd.getNumPartitions() == parts and "ENSURE_REQUIREMENTS" not in plan_of(found)
+        pairs = [(r.id, r.n_id) for r in found.where(inside).collect()]
+        assert len(pairs) == len(set(pairs))
+        pairs = {p for a, b in pairs for p in ((a, b), (b, a))} if half else set(pairs)
+        assert pairs == {(a, b) for a, b in want if not by or a % 3 == b % 3}
