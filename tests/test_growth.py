@@ -153,3 +153,15 @@ def test_tasks_of_a_join_through_cells_follow_its_rows(spark, monkeypatch):
         assert len(pairs) == len(set(pairs))
         pairs = {p for a, b in pairs for p in ((a, b), (b, a))} if half else set(pairs)
         assert pairs == {(a, b) for a, b in want if not by or a % 3 == b % 3}
+
+
+def test_the_medial_axis_baseline_matches_in_counted_tasks(spark, sf_dir, monkeypatch):
+    """Its largest sort is that of the exploded endpoints."""
+    from lattica import queries as q
+
+    monkeypatch.setattr(spatial, "TOGETHER", 100)
+    found = q.QUERIES["medial_axis_baseline"](spark, sf_dir)
+    ends = fx.endpoints(spark, sf_dir).count()
+    tasks = -(-ends * 14 // 100)
+    assert tasks > 4 and plan_of(found).count(f"{tasks}), REPARTITION_BY_NUM") == 2
+    assert found.count() == 1
