@@ -179,7 +179,8 @@ def _in_cone(aimed: DataFrame, voxels: DataFrame, geometry: Geometry, distance:
         first[1:] = np.any([c[1:] != c[:-1] for c in found], axis=0)
         return pa.table([pa.array(c[first]) for c in found], names=["label", "iv", "neighbour"])
 
-    return in_boxes(rows, BOX, half, run, "label long, iv long, neighbour long")
+    # Endpoints are some of the voxels.
+    return in_boxes(rows, BOX, half, run, "label long, iv long, neighbour long", 2 * voxels.count())
 
 
 def _seen(voxels: DataFrame, label: str) -> DataFrame:

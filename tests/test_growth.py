@@ -165,3 +165,33 @@ def test_the_medial_axis_baseline_matches_in_counted_tasks(spark, sf_dir, monkey
     tasks = -(-ends * 14 // 100)
     assert tasks > 4 and plan_of(found).count(f"{tasks}), REPARTITION_BY_NUM") == 2
     assert found.count() == 1
+
+
+def test_tasks_of_bricks_and_boxes_follow_their_rows(spark, sf_dir, monkeypatch):
+    """However well places compress, a task has TOGETHER rows of them (or one brick), with the same results."""
+    from lattica.operators import neighbors
+    from lattica.plans import bricks
+
+    own = fx.labels(spark, sf_dir).where("label <> 0").localCheckpoint()
+    n = own.count()
+    steps = {"faces": (lambda: neighbors.face_pairs(own), n), "sums": (lambda: neighbors.mean_affinity(own), n), "masks": (lambda: neighbors.neighbour_mask(own), None)}
+    want = {k: sorted(map(tuple, step().collect())) for k, (step, _) in steps.items()}
+    monkeypatch.setattr(bricks, "TOGETHER", 100, raising=False)
+    monkeypatch.setattr(bricks, "BRICK", (1, 8, 8))
+    for k, (step, rows) in steps.items():
+        found = step()
+        below = plan_of(found).split("FlatMapGroupsInArrow")[1]
+        tasks = -(-rows // 100) if rows else -(-int(np.ceil(n * np.prod([1 + 2 / s for s in neighbors.BOX]))) // 100)
+        assert tasks > 4 and f"{tasks}), REPARTITION_BY_NUM" in below and "ENSURE_REQUIREMENTS" not in below
+        assert sorted(map(tuple, found.collect())) == want[k] and want[k]
+
+
+def test_the_medial_axis_baseline_has_no_brick_step_by_bytes(spark, sf_dir, monkeypatch):
+    from lattica import queries as q
+    from lattica.plans import bricks
+
+    monkeypatch.setattr(bricks, "TOGETHER", 100, raising=False)
+    plan = plan_of(q.QUERIES["medial_axis_baseline"](spark, sf_dir))
+    labels = fx.labels(spark, sf_dir).where("label <> 0").count()
+    assert f"{-(-labels // 100)}), REPARTITION_BY_NUM" in plan and "hashpartitioning(_bz" in plan
+    assert all("REPARTITION_BY_NUM" in line for line in plan.split("\n") if "hashpartitioning(_bz" in line)
