@@ -17,6 +17,7 @@ from lattica.operators.kernels import assignment
 from lattica.plans import tables
 from lattica.plans.bricks import in_boxes
 from lattica.plans.components import connected_components
+from lattica.plans.joins import dealt_by_rows
 
 CONE = math.cos(0.3216)
 
@@ -79,7 +80,9 @@ def endpoint_pair_match(endpoints: DataFrame, geometry: Geometry, distance: int
     points = tables.written(points, "endpoints")
     pairs = binned_join(points, points, (distance,) * 3, half=True).where(F.col("label") != F.col("n_label"))
     dot = sum((F.col(f"v{a}") * F.col(f"n_v{a}") for a in AXES), F.lit(0.0))
-    return pairs.where((_gap() <= distance * distance) & (dot <= angle)).select(F.least("label", "n_label").alias("label_one"), F.greatest("label", "n_label").alias("label_two")).distinct()
+    found = pairs.where((_gap() <= distance * distance) & (dot <= angle)).select(F.least("label", "n_label").alias("label_one"), F.greatest("label", "n_label").alias("label_two"))
+    # Dealt by the rows that are looked up: what is found follows these where points lie equally dense.
+    return dealt_by_rows(found, points.count() * len(_around(True)), "label_one", "label_two").distinct()
 
 
 def nearby_matching(truth: DataFrame, proposed: DataFrame, geometry: Geometry, radius: int = 800) -> DataFrame:

@@ -195,3 +195,23 @@ def test_the_medial_axis_baseline_has_no_brick_step_by_bytes(spark, sf_dir, monk
     labels = fx.labels(spark, sf_dir).where("label <> 0").count()
     assert f"{-(-labels // 100)}), REPARTITION_BY_NUM" in plan and "hashpartitioning(_bz" in plan
     assert all("REPARTITION_BY_NUM" in line for line in plan.split("\n") if "hashpartitioning(_bz" in line)
+
+
+def test_tasks_of_endpoints_and_their_matches_follow_rows(spark, sf_dir, monkeypatch):
+    """No step from skeleton points to pairs of labels is dealt by shuffled bytes, and results are the same."""
+    from lattica.plans import joins
+
+    points = fx.skeleton_points(spark, sf_dir).localCheckpoint()
+    n = points.count()
+
+    def steps():
+        ends = fx.skeleton.endpoint_vectors(points)
+        return ends, spatial.endpoint_pair_match(ends, fx.geometry(spark, sf_dir), fx.REACH)
+
+    want = [sorted(map(tuple, df.collect())) for df in steps()]
+    monkeypatch.setattr(joins, "TOGETHER", 20, raising=False)
+    for found, same in zip(steps(), want, strict=True):
+        plan = plan_of(found)
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+        assert sorted(map(tuple, found.collect())) == same and same
+    assert f"{-(-n * 26 // 20)}), REPARTITION_BY_NUM" in plan_of(steps()[0]) and -(-n * 26 // 20) > 4
