@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.geometry import Geometry
+from lattica.plans.joins import dealt_by_rows
 
 
 def seg2gold(voxels: DataFrame, match: float = 0.80, nonzero: float = 0.40, label: str = "label", gold: str = "gold") -> DataFrame:
@@ -22,11 +23,16 @@ def seg2gold(voxels: DataFrame, match: float = 0.80, nonzero: float = 0.40, labe
     return out.select("label", F.when(few | (F.col("some") == 0), 0).when(split, -1).otherwise(-F.col("top.g")).cast("long").alias("gold"))
 
 
-def classify_pairs(pairs: DataFrame, mapping: DataFrame, one: str = "label_one", two: str = "label_two") -> DataFrame:
-    """`pairs` with truth: unknown if a gold id is below 1, positive if both are equal, else negative."""
+def classify_pairs(pairs: DataFrame, mapping: DataFrame, one: str = "label_one", two: str = "label_two", rows: int | None = None) -> DataFrame:
+    """`pairs` with truth: unknown if a gold id is below 1, positive if both are equal, else negative.
+
+    With `rows`, about the number of pairs, tasks of both joins follow it and not the shuffled bytes.
+    """
+    deal = (lambda df, key: dealt_by_rows(df, rows, key)) if rows else lambda df, key: df
     a = mapping.select(F.col("label").alias("_a"), F.col("gold").alias("_ga"))
     b = mapping.select(F.col("label").alias("_b"), F.col("gold").alias("_gb"))
-    joined = pairs.join(a, F.col(one) == F.col("_a"), "left").join(b, F.col(two) == F.col("_b"), "left")
+    joined = deal(pairs, one).join(deal(a, "_a"), F.col(one) == F.col("_a"), "left")
+    joined = deal(joined, two).join(deal(b, "_b"), F.col(two) == F.col("_b"), "left")
     unknown = F.coalesce((F.col("_ga") < 1) | (F.col("_gb") < 1), F.lit(True))
     truth = F.when(unknown, "unknown").when(F.col("_ga") == F.col("_gb"), "positive").otherwise("negative")
     return joined.withColumn("truth", truth).drop("_a", "_ga", "_b", "_gb")

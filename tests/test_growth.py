@@ -215,3 +215,16 @@ def test_tasks_of_endpoints_and_their_matches_follow_rows(spark, sf_dir, monkeyp
         assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
         assert sorted(map(tuple, found.collect())) == same and same
     assert f"{-(-n * 26 // 20)}), REPARTITION_BY_NUM" in plan_of(steps()[0]) and -(-n * 26 // 20) > 4
+
+
+def test_pairs_are_classified_in_counted_tasks(spark, monkeypatch):
+    from lattica.operators import truth
+    from lattica.plans import joins
+
+    pairs = spark.createDataFrame([(i, i % 7 + 50) for i in range(60)], "label_one long, label_two long").localCheckpoint()
+    mapping = spark.createDataFrame([(i, i % 3) for i in range(55)], "label long, gold long").localCheckpoint()
+    want = sorted(map(tuple, truth.classify_pairs(pairs, mapping).collect()))
+    monkeypatch.setattr(joins, "TOGETHER", 10)
+    found = truth.classify_pairs(pairs, mapping, rows=60)
+    assert plan_of(found).count("6), REPARTITION_BY_NUM") == 4 and "ENSURE_REQUIREMENTS" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == want and {t for _, _, t in want} == {"unknown", "positive", "negative"}
