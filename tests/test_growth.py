@@ -124,6 +124,103 @@ def test_best_paths_go_over_borders(spark, monkeypatch, tile):
     assert seen == [1]
 
 
+def best_of_all(edges):
+    """Best products and connection of all pairs, from {(a, b): p} with a < b."""
+    names = sorted({v for e in edges for v in e})
+    best = np.zeros((len(names),) * 2)
+    joined = np.zeros(best.shape, bool)
+    for (a, b), p in edges.items():
+        i, j = names.index(a), names.index(b)
+        best[i, j] = best[j, i] = p or 0.0
+        joined[i, j] = joined[j, i] = (p or 0.0) > 0
+    for k in range(len(names)):
+        best, joined = np.maximum(best, best[:, k, None] * best[k]), joined | joined[:, k, None] & joined[k]
+    return {(a, b): best[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if i < j and joined[i, j]}
+
+
+def layered(layers, wide, rng, ahead=1.0):
+    edges = {(wide * z + k, wide * z + k + 1): float(rng.random()) for z in range(layers) for k in range(wide - 1)}
+    return edges | {(wide * z + k, wide * z + k + wide): float(ahead * rng.random()) for z in range(layers - 1) for k in range(wide)}
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = sc._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_shuffles_of_best_paths_grow_with_labels_not_with_pairs(spark, monkeypatch):
+    """No row or matrix for each two blocks is dealt to tasks; four times the labels are 16 times the pairs."""
+    from lattica.operators import paths
+
+    monkeypatch.setattr(paths, "LEAST", 1, raising=False)
+    written, rng = [], np.random.default_rng(41)
+    for layers in (120, 480):
+        df = spark.createDataFrame([(*e, p) for e, p in layered(layers, 2, rng).items()], "v1 long, v2 long, p double").localCheckpoint()
+        before = shuffled(spark)
+        assert paths.lifted_pairs(df, 16).count() == layers * (2 * layers - 1)
+        written.append(sum(n for k, n in shuffled(spark).items() if k not in before))
+    assert written[1] < 6 * written[0]
+
+
+@pytest.mark.parametrize("most", [1, 700])
+def test_pairs_of_sides_are_all_pairs(spark, monkeypatch, most):
+    """However the leaves of a level are cut into sides, also over several components and with edges of no worth."""
+    from lattica.operators import paths
+
+    rng = np.random.default_rng(17)
+    edges = layered(40, 3, rng) | {(a + 1000, b + 1000): p for (a, b), p in layered(7, 3, rng, 1e-100).items()} | {(2000, 2001): 0.5}
+    edges |= {(0, 100): 0.0, (3, 1001): 0.0, (1000, 1018): None, (50, 90): None}
+    monkeypatch.setattr(paths, "LEAST", 1)
+    monkeypatch.setattr(paths, "MOST", most)
+    got = paths.lifted_pairs(spark.createDataFrame([(*e, p) for e, p in edges.items()], "v1 long, v2 long, p double"), 8).collect()
+    want = best_of_all(edges)
+    assert len(got) == len(want) == 120 * 119 // 2 + 21 * 20 // 2 + 1
+    assert {(r.v1, r.v2): r.original for r in got} == {k: k in edges for k in want}
+    assert all(np.isclose(r.p, want[r.v1, r.v2], rtol=1e-12, atol=0) for r in got)
+
+
+def test_blocks_are_closed_in_tasks_of_their_own(spark):
+    """Also after a join by the same keys: their bytes do not put them together."""
+    from lattica.operators import paths
+
+    one = spark.range(40).selectExpr("id root", "cast(id as int) b").localCheckpoint()
+    two = one.selectExpr("root", "b", "b + 1 n").hint("merge")
+    found = paths._each(one.hint("merge").join(two, ["root", "b"]), lambda pdf, r: pdf, "root long, b int, n int", ("root", "b"))
+    assert found.selectExpr("spark_partition_id() at").distinct().count() == 4
+    assert sorted(map(tuple, found.collect())) == [(k, k, k + 1) for k in range(40)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200])
+def test_closure_over_64_places_at_a_time(n):
+    from lattica.operators import kernels
+
+    rng = np.random.default_rng(n)
+    m = np.where(rng.random((n, n)) < 4 / max(n, 1), rng.random((n, n)), 0.0)
+    want = m.copy()
+    for t in range(n):
+        want = np.maximum(want, want[:, t, None] * want[t])
+    assert np.allclose(kernels.best_products(m), want, rtol=1e-13, atol=0)
+
+
+def test_rows_that_are_multiples_of_others():
+    from lattica.operators import kernels
+
+    rng = np.random.default_rng(3)
+    base = rng.random((5, 7)) * (rng.random((5, 7)) < 0.7)
+    base[4] = 0
+    for most in (1, 3, 32):
+        rows = base[[0, 1, 0, 2, 4, 3, 0, 4]] * np.array([1, 0.5, 1e-200, 0.3, 1, 1, 0.7, 1])[:, None]
+        scale, kind, units = kernels.multiples(rows, most)
+        assert np.allclose(scale[:, None] * units[kind], rows, rtol=1e-12, atol=0)
+        assert most < 32 or len(units) == 5
+    scale, kind, units = kernels.multiples(np.zeros((0, 3)))
+    assert len(scale) == len(kind) == len(units) == 0
+
+
 def test_lifted_pairs_say_themselves_which_have_an_edge(spark):
     """The rows of all pairs are neither shuffled nor sorted to be joined with the edges."""
     from lattica.operators import partition
