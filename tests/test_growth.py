@@ -166,6 +166,22 @@ def test_shuffles_of_best_paths_grow_with_labels_not_with_pairs(spark, monkeypat
     assert written[1] < 6 * written[0]
 
 
+def test_shuffles_of_lifted_weights_grow_with_labels_not_with_pairs(spark, monkeypatch):
+    from lattica.operators import partition, paths
+
+    monkeypatch.setattr(paths, "LEAST", 1, raising=False)
+    monkeypatch.setattr(partition, "lifted_pairs", lambda own: paths.lifted_pairs(own, 16))
+    written, rng = [], np.random.default_rng(42)
+    for layers in (100, 400):
+        edges = layered(layers, 2, rng)
+        df = spark.createDataFrame([(*e, p) for e, p in edges.items()], "v1 long, v2 long, p double").localCheckpoint()
+        before = shuffled(spark)
+        found = partition.lifted_weights(df).selectExpr("count(*) n", "count_if(original) edges", "count(weight) weighed").first()
+        assert tuple(found) == (layers * (2 * layers - 1), len(edges), layers * (2 * layers - 1))
+        written.append(sum(n for k, n in shuffled(spark).items() if k not in before))
+    assert written[1] < 6 * written[0]
+
+
 @pytest.mark.parametrize("most", [1, 700])
 def test_pairs_of_sides_are_all_pairs(spark, monkeypatch, most):
     """However the leaves of a level are cut into sides, also over several components and with edges of no worth."""
